@@ -57,7 +57,7 @@ def embed(windows: np.ndarray, rep: int) -> np.ndarray:
     out = np.empty((count, 3 * n), dtype=np.int64)
     for j in range(3 * n):
         out[:, j] = here = padded[rows, at]
-        bit = _mix(here.astype(np.uint64) * _M1 + np.uint64((rep * 1_000_003 + j) * 2 + 1) * _M2) & np.uint64(1)
+        bit = _mix(here.astype(np.uint64) * _M1 + np.uint64(((rep * 1_000_003 + j) * 2 + 1) * int(_M2) % 2**64)) & np.uint64(1)
         at = np.minimum(at + bit.astype(np.int64), n)
     return out
 
