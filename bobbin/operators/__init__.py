@@ -1,0 +1 @@
+"""Operators of stitch, artwork and catalogue tables."""

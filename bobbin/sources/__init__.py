@@ -1,0 +1 @@
+"""Sources of stitch, artwork and catalogue tables."""

@@ -1,0 +1 @@
+"""Streaming of stitch, artwork and catalogue tables."""
