@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, spare
 
 #: Pieces that a worker remembers, and characters of text handled at once.
 CACHE_PIECES, CHUNK_CHARS = 900_000, 8_000_000
@@ -213,10 +213,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     prepare(docs.sparkSession)
     shared = _share(docs, ranks_path, pattern)
     new = [T.StructField("n_tokens", T.LongType())]
-    new += [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")] if digests else [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.BinaryType())] * bool(decoded)
+    new += [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")] if digests else [T.StructField(ids, T.ArrayType(T.IntegerType())), *(T.StructField(c, T.BinaryType()) for c in (decoded,) if c)]
     carried = [f for f in docs.schema.fields if f.name.lower() not in {x.name.lower() for x in new}]
     # the text itself goes to the worker once; carried columns keep their own types
-    source = docs.select(*[F.col(f"`{f.name}`") for f in carried], F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{f.name}`") for f in carried], F.col(f"`{text}`").alias(spare(docs.columns, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
@@ -245,7 +245,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, ids: str = "token_ids"
     prepare(encoded.sparkSession)
     shared = _share(encoded, ranks_path, ".")
     carried = [f for f in encoded.schema.fields if f.name.lower() != decoded.lower()]
-    source = encoded.select(*[F.col(f"`{f.name}`") for f in carried], F.col(f"`{ids}`").alias("__ids"))
+    source = encoded.select(*[F.col(f"`{f.name}`") for f in carried], F.col(f"`{ids}`").alias(spare(encoded.columns, "__ids")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)

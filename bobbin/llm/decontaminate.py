@@ -210,6 +210,6 @@ def find_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no item."""
+    """The rows of `docs` that hold no item; rows without doc_id stay."""
     held = find_items(docs, items, similarity, doc_id, text).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, F.col(f"`{doc_id}`").eqNullSafe(F.col("__held")), "left_anti")
+    return docs.join(held, F.col(f"`{doc_id}`") == F.col("__held"), "left_anti")

@@ -12,7 +12,7 @@ Groups are counted before they are shuffled, so a group of copies costs a row fo
 joined back by recipe, where a hot recipe can be split.
 
 Defined results: null counts as empty and empty texts are equal; the largest doc_id of a group stays, null
-doc_ids are least; a repeated row is a copy too and shares its doc_id's verdict (drop_copies keeps one).
+doc_ids are least; a repeated row is a copy too and shares its doc_id's verdict; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -52,6 +52,6 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose text no larger doc_id repeats."""
+    """The rows of `docs` whose text no larger doc_id repeats; rows without doc_id stay."""
     gone = exact_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, spare
 
 GRAM, DIM = 3, 1 << 15
 FIT_PER_LANGUAGE, FIT_ROWS, LANDMARKS_PER_LANGUAGE, LANDMARKS, RIDGE, BATCH = 300, 2_000, 24, 240, 1e-3, 128
@@ -106,7 +106,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang: str = "lang_
     shared = spark.sparkContext.broadcast(model)
     carried = [f for f in docs.schema.fields if f.name.lower() not in (lang.lower(), score.lower())]
     lettered = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
-    src = docs.select(*[F.col(f"`{f.name}`") for f in carried], F.when(lettered, F.col(f"`{text}`")).alias("__text"))
+    src = docs.select(*[F.col(f"`{f.name}`") for f in carried], F.when(lettered, F.col(f"`{text}`")).alias(spare(docs.columns, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

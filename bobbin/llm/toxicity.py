@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, spare
 
 FIT_ROWS, LEXICON, STEMS = 6_000, 4_000, (4, 5, 6, 7)
 #: Least toxic documents that hold an entry, and least log odds.
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     carried = [f for f in docs.schema.fields if f.name.lower() != out.lower()]
-    src = docs.select(*[F.col(f"`{f.name}`") for f in carried], F.col(f"`{text}`").alias("__text"))
+    src = docs.select(*[F.col(f"`{f.name}`") for f in carried], F.col(f"`{text}`").alias(spare(docs.columns, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, curve = Matcher(shared.value), shared.value["curve"]
