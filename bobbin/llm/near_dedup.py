@@ -5,9 +5,10 @@ shingles of consecutive words. Each task computes 128 minima per document, hashe
 32 band keys and keeps two low bits of each minimum, packed into four longs. Documents with equal shingle sets
 are joined first, so copies cost one row each from there on. Documents that share a band key are candidates:
 
-1. Per bucket, every member meets two documents: the bucket's centre, which is its member with the most company
-   over all bands (in a family of copies that is one with few edits), and one drawn by hash. A bucket
-   of n gives at most 2n pairs.
+1. Per bucket, every member meets the bucket's centre, which is its member with the most company over all bands
+   (in a family of copies that is one with few edits). A bucket of n gives at most n pairs, and a family's
+   buckets mostly share their centre. The members that this leaves outside the bucket's largest component meet a
+   centre of their own in the same way, once more.
 2. The packed signatures estimate each pair's similarity from equal bit groups, corrected for chance
    collisions; pairs clearly below the threshold go. The rest is confirmed on the full sets.
 3. Links give components. Documents of buckets whose members still lie in several components get a longer
@@ -18,7 +19,8 @@ are joined first, so copies cost one row each from there on. Documents that shar
 With similarity 0.8 a pair shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 
 Defined results: null, empty and blank texts have no set and link with nothing; fewer words than a shingle
-give one shingle of all words; equal sets link; null doc_ids are left out of links; repeated rows count once.
+give one shingle of all words; equal sets link; a null doc_id is nobody's component and its row is kept; repeated rows
+count once and share a verdict; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -134,20 +136,20 @@ def sketches(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, whole binary, s0 long, s1 long, s2 long, s3 long, keys array<long>")
 
 
-def long_signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and the longer signature, as `long` (array of longs)."""
-    kind = dict(docs.dtypes)["doc_id"]
+def long_signatures(sets: DataFrame) -> DataFrame:
+    """doc_id and the longer signature, as `long` (array of longs), of shingle sets."""
+    kind = dict(sets.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.zeros((batch.num_rows, LONG // 64), dtype=np.int64)
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                if len(h := shingle_hashes(t, width)):
+            for i, x in enumerate(batch.column(1)):
+                if len(h := np.frombuffer(x.as_buffer(), np.uint64)):
                     bits[i] = np.packbits((minima(h, _LA, _LB) & np.uint32(1)).astype(np.uint8)).view(np.int64)
             ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (LONG // 64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(bits.ravel()))], names=["doc_id", "long"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, long array<long>")
+    return sets.select("doc_id", "set").mapInArrow(run, f"doc_id {kind}, long array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -228,10 +230,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, doc
     sizes = narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keep(narrow.join(sizes, "key").select("key", "doc_id", "n"), "shared")
     company = shared.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    ranked = shared.select("key", "doc_id").join(company, "doc_id")
-    least_of = lambda order: F.min(F.struct(order.alias("o"), F.col("doc_id").alias("d"))).getField("d")
-    heads = ranked.groupBy("key").agg(least_of(-F.col("company")).alias("first"), least_of(F.xxhash64("doc_id")).alias("drawn"))
-    members = keep(shared.select("key", "doc_id").join(heads, "key"), "members")
+    members = keep(shared.select("key", "doc_id").join(company, "doc_id"), "members")
     least = least_matching(threshold)
     signed = keep(reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "s0", "s1", "s2", "s3").dropDuplicates(["doc_id"]), "signatures")
     percent = round(100 * threshold)
@@ -243,35 +242,50 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, doc
         fits = F.least("p.n_shingles", "q.n_shingles") * 100 >= F.greatest("p.n_shingles", "q.n_shingles") * percent
         return x.where(fits & (matching_groups("p", "q") >= least)).select("a", "b")
 
-    def pair(u: str, v: str) -> DataFrame:
-        return members.where(f"{u} <> {v}").select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
+    def stars(rows: DataFrame) -> DataFrame:
+        """Every row of a bucket with the one of most company, lowest doc_id on ties."""
+        heads = rows.groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("o"), F.col("doc_id").alias("d"))).getField("d").alias("head"))
+        met = rows.select("key", "doc_id").join(heads, "key").where("doc_id <> head")
+        return met.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
 
-    stars = keep(passing(pair("doc_id", "first").union(pair("doc_id", "drawn")).distinct()), "pairs")
-    used = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sets = keep(shingle_sets(source.join(used, "doc_id", "left_semi"), width), "sets")
-    links = keep(confirm(stars, sets, threshold), "links")
-    reached = components(links, "a", "b")
+
+    # The texts of documents that share a bucket are read and cut into shingles once more, for all that follows. How
+    # many these are has no bound, so their ids are not broadcast.
+    sharing = members.select("doc_id").distinct()
+    sets = keep(shingle_sets(source.join(sharing.hint("merge"), "doc_id", "left_semi"), width), "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return keep(confirm(pairs, sets, threshold), "links")
+
+    def by_component(links: DataFrame) -> DataFrame:
+        """Rows of buckets with several components: key, doc_id, company, component, and the bucket's largest component as main."""
+        reached = components(links, "a", "b")
+        labelled = members.join(reached.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).getField("component").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        return labelled.join(sizes.drop("parts"), "key")
+
+    met = keep(passing(stars(members)), "pairs")
+    links = linked(met)
+    again = keep(passing(stars(by_component(links).where("component <> main"))).join(met, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(linked(again))
+    met = met.union(again)
     # what is left: buckets that hold several components, across these only
-    labelled = members.select("key", "doc_id").join(reached.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_rows = keep(labelled.join(mixed, "key").select("key", "doc_id", "component"), "open")
-    longer = keep(long_signatures(source.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]).join(signed, "doc_id").join(reps.select("doc_id", "keys").dropDuplicates(["doc_id"]), "doc_id"), "longer")
+    open_rows = keep(by_component(links).drop("company"), "open")
+    longer = keep(long_signatures(sets.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).join(signed, "doc_id").join(reps.select("doc_id", "keys").dropDuplicates(["doc_id"]), "doc_id"), "longer")
     rows = keep(open_rows.join(longer, "doc_id"), "open")
     # one side without the bucket's largest component: two of its members never need to meet
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).getField("component").alias("main"))
-    p, q = rows.join(sizes, "key").where("component <> main").alias("p"), rows.alias("q")
+    p, q = rows.where("component <> main").alias("p"), rows.alias("q")
     fits = F.least("p.n_shingles", "q.n_shingles") * 100 >= F.greatest("p.n_shingles", "q.n_shingles") * percent
     near_by_bands = matching_groups("p", "q") >= least
     near = differing_bits("p", "q") <= most_differing(threshold)
     once = F.element_at(F.array_intersect("p.keys", "q.keys"), 1) == F.col("p.key")  # of the buckets that both are in, one
     across = F.when((F.col("p.component") != F.col("q.component")) & fits & near_by_bands, once & near).otherwise(False)
     rest = p.join(q, (F.col("p.key") == F.col("q.key")) & across).select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
-    rest = keep(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = rest.select(F.col("a").alias("doc_id")).union(rest.select(F.col("b").alias("doc_id"))).distinct()
-    more_links = keep(confirm(rest, shingle_sets(source.join(more, "doc_id", "left_semi"), width), threshold), "links")
-    forget(open_rows, longer, rows, sets, stars, shared)
-    final = components(links.union(more_links), "a", "b")
+    rest = keep(rest.join(met, ["a", "b"], "left_anti"), "rest")
+    links = links.union(linked(rest))
+    forget(open_rows, longer, rows, shared, sets)
+    final = components(links, "a", "b")
     of_rep = same.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("whole", F.coalesce("component", "rep").alias("component_id"))
     out = all_docs.select("doc_id", "n_shingles", "whole").join(of_rep, "whole", "left")
     component = F.coalesce("component_id", "doc_id")
