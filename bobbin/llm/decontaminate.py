@@ -32,6 +32,8 @@ from .common import prepare
 
 SIMILARITY, REPETITIONS, TABLES, SAMPLED, SEED = 0.8, 6, 12, 2, 7
 BLOCK_BYTES = 16 << 20
+#: Windows embedded together.
+WINDOWS = 4096
 SPACED = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -128,9 +130,9 @@ class Index:
             acc = _mix((acc ^ ids[k : k + n].astype(np.uint64)) * _M1)
         return acc
 
-    def find(self, ids: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """For each item held: (edits, first word, last word + 1) of its best stretch, the first on ties."""
-        windows = defaultdict(set)  # (item) -> starts
+    def starts(self, ids: np.ndarray) -> dict[int, set[int]]:
+        """By item length: where windows of a document start."""
+        windows = defaultdict(set)
         for q, known in self.known.items():
             if len(ids) < q:
                 continue
@@ -143,31 +145,47 @@ class Index:
             acc = np.zeros(len(places), np.uint64)
             for k in range(q):
                 acc = _mix((acc ^ ids[places + k].astype(np.uint64)) * _M1)
-            slot = np.minimum(np.searchsorted(known, acc), len(known) - 1)
-            for p, g in zip(places[known[slot] == acc].tolist(), acc[known[slot] == acc].tolist(), strict=True):
+            hit = known[np.minimum(np.searchsorted(known, acc), len(known) - 1)] == acc
+            for p, g in zip(places[hit].tolist(), acc[hit].tolist(), strict=True):
                 for k, o in self.at[q][g]:
-                    windows[k].add(p - o)
-        found = {}
-        by_length = defaultdict(set)
-        for k, starts in windows.items():
-            by_length[len(self.items[k])] |= starts
-        for n, starts in by_length.items():
-            order = np.array(sorted(starts), dtype=np.int64)
-            spread = order[:, None] + np.arange(n)[None, :]
-            inside = (spread >= 0) & (spread < len(ids))
-            rows = np.where(inside, ids[np.clip(spread, 0, len(ids) - 1)], 0)
+                    windows[len(self.items[k])].add(p - o)
+        return windows
+
+    def find(self, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int, int]]]:
+        """For each document, by item held: (edits, first word, last word + 1) of its best stretch, the first on ties.
+
+        Windows of all documents are embedded together, WINDOWS of them at a time."""
+        found: list[dict[int, tuple[int, int, int]]] = [{} for _ in docs]
+        by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for d, ids in enumerate(docs):
+            for n, starts in self.starts(ids).items():
+                by_length[n] += [(d, x) for x in sorted(starts)]
+        for n, places in by_length.items():
             bucket = self.buckets[n]
-            for start, keys in zip(order.tolist(), lsh_keys(rows).tolist(), strict=True):
-                for k in set().union(*(bucket[x] for x in keys if x in bucket)):
-                    reach = self.reach[k]
-                    lo, hi = max(0, start - reach), min(len(ids), start + n + reach)
-                    cost, end = best_stretch(self.items[k], ids[lo:hi])
-                    if cost <= reach:
-                        back, from_end = best_stretch(self.items[k][::-1], ids[lo : lo + end][::-1])
-                        hit = (cost, lo + end - from_end, lo + end)
-                        found[k] = min(found.get(k, hit), hit)
+            for at in range(0, len(places), WINDOWS):
+                part = places[at : at + WINDOWS]
+                rows = np.zeros((len(part), n), dtype=np.int64)
+                for i, (d, x) in enumerate(part):
+                    lo, hi = max(0, x), min(len(docs[d]), x + n)
+                    rows[i, lo - x : hi - x] = docs[d][lo:hi]
+                keys = lsh_keys(rows)
+                known = np.fromiter(bucket, np.uint64, len(bucket))
+                for i in np.flatnonzero(np.isin(keys, known).any(axis=1)).tolist():
+                    d, start = part[i]
+                    for k in set().union(*(bucket[x] for x in keys[i].tolist() if x in bucket)):
+                        self.verify(k, docs[d], start, n, found[d])
         return found
 
+    def verify(self, k: int, ids: np.ndarray, start: int, n: int, found: dict[int, tuple[int, int, int]]) -> None:
+        """Exact edit distance of item k to the best stretch around a window."""
+        reach = self.reach[k]
+        lo, hi = max(0, start - reach), min(len(ids), start + n + reach)
+        cost, end = best_stretch(self.items[k], ids[lo:hi])
+        if cost <= reach:
+            _, from_end = best_stretch(self.items[k][::-1], ids[lo : lo + end][::-1])
+            hit = (cost, lo + end - from_end, lo + end)
+            found[k] = min(found.get(k, hit), hit)
+
 
 _indexes: dict[str, Index] = {}
 
@@ -195,10 +213,10 @@ def find_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
             for batch in batches:
                 made: list[list] = [[], [], [], [], []]
                 taken = []
-                for i, t in enumerate(batch.column(1).to_pylist()):
-                    words = words_of(t)
-                    ids = np.fromiter(map(index.vocab.get, words, repeat(0)), dtype=np.int64, count=len(words))
-                    for k, (cost, first, end) in sorted(index.find(ids).items()) if len(ids) else ():
+                cut = [words_of(t) for t in batch.column(1).to_pylist()]
+                ids = [np.fromiter(map(index.vocab.get, words, repeat(0)), dtype=np.int64, count=len(words)) for words in cut]
+                for i, held in enumerate(index.find(ids)):
+                    for k, (cost, first, end) in sorted(held.items()):
                         taken.append(i)
                         for column, value in zip(made, (None, index.ids[k], cost, first, end), strict=True):
                             column.append(value)
