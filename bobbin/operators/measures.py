@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import axial_mean, distance, kth
-from .stream import DESIGN, HOP_U, blocks, break_kinds, classify_runs, cut_gaps, reversals, runs, sample_segments, segments
+from .stream import HOP_U, blocks, break_kinds, classify_runs, cut_gaps, design, reversals, runs, sample_segments, segments
 
 #: Thread drawn per length of seam.
 THREAD_FACTOR = 1.35
@@ -17,7 +17,7 @@ def _n(cond) -> F.Column:
 
 
 def plan_stats(df: DataFrame) -> DataFrame:
-    prev = F.lag("cmd").over(DESIGN)
+    prev = F.lag("cmd").over(design())
     lone = (F.col("cmd") == "jump") & (prev.isNull() | (prev != "trim"))
     s = F.col("cmd") == "stitch"
     g = df.withColumn("__lone", lone).groupBy("design_id").agg(_n(s).alias("stitches"), _n(F.col("cmd") == "color").alias("color_changes"), _n(F.col("cmd") == "trim").alias("trims"), _n(F.col("__lone")).alias("jumps"), *[f(F.when(s, F.col(c))).alias(f"{k}_{c[0]}") for c in ("x_u", "y_u") for k, f in (("min", F.min), ("max", F.max))])
@@ -139,7 +139,7 @@ def distance_bands(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
 def pass_count_grid(df: DataFrame, chunk: int = 16, cell_u: float = 10, hop_u: int = HOP_U) -> DataFrame:
     """Per cell, how many stretches of `chunk` stitches cross it."""
     s = sample_segments(df, 5, hop_u)
-    order = segments(df, hop_u).withColumn("chunk", F.floor((F.row_number().over(DESIGN) - 1) / chunk)).select("design_id", "seq", "chunk")
+    order = segments(df, hop_u).withColumn("chunk", F.floor((F.row_number().over(design()) - 1) / chunk)).select("design_id", "seq", "chunk")
     cells = s.join(order, ["design_id", "seq"]).select("design_id", F.floor(F.col("x") / cell_u).alias("cx"), F.floor(F.col("y") / cell_u).alias("cy"), "chunk").distinct()
     return cells.groupBy("design_id", "cx", "cy").agg(F.count("*").alias("passes"))
 

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import distance, kth
 
-DESIGN = Window.partitionBy("design_id").orderBy("seq")
-SO_FAR = DESIGN.rowsBetween(Window.unboundedPreceding, 0)
 #: Units (0.1 mm) that end a run when stitched over.
 HOP_U = 75
 
 
+def design():
+    """A design's records in order. Windows are made on use: they need a session."""
+    return Window.partitionBy("design_id").orderBy("seq")
+
+
+def so_far():
+    return design().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def blocks(df: DataFrame) -> DataFrame:
     """Block number: colour changes so far."""
-    return df.withColumn("block", F.sum((F.col("cmd") == "color").cast("int")).over(SO_FAR))
+    return df.withColumn("block", F.sum((F.col("cmd") == "color").cast("int")).over(so_far()))
 
 
 def islands(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
@@ -27,17 +34,17 @@ def islands(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
 
 def runs(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     """Needle-down stitches with run number: any other command, or a hop, ends a run."""
-    prev = lambda c: F.lag(c).over(DESIGN)
+    prev = lambda c: F.lag(c).over(design())
     opens = prev("cmd").isNull() | (prev("cmd") != "stitch") | (distance(F.col("x_u") - prev("x_u"), F.col("y_u") - prev("y_u")) >= hop_u)
     marked = blocks(df).withColumn("__open", opens & (F.col("cmd") == "stitch"))
-    return marked.withColumn("run", F.sum(F.col("__open").cast("int")).over(SO_FAR) - 1).where("cmd = 'stitch'").drop("__open", "cmd")
+    return marked.withColumn("run", F.sum(F.col("__open").cast("int")).over(so_far()) - 1).where("cmd = 'stitch'").drop("__open", "cmd")
 
 
 def break_kinds(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     """What opened each run: color before trim before start before jump before hop."""
-    marked = df.withColumn("__n", F.sum((F.col("cmd") == "stitch").cast("int")).over(DESIGN.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = df.withColumn("__n", F.sum((F.col("cmd") == "stitch").cast("int")).over(design().rowsBetween(Window.unboundedPreceding, -1)))
     between = marked.where("cmd <> 'stitch'").groupBy("design_id", F.coalesce("__n", F.lit(0)).alias("__n")).agg(F.max(F.when(F.col("cmd") == "color", 3).when(F.col("cmd") == "trim", 2).otherwise(1)).alias("__k"))
-    first = runs(df, hop_u).withColumn("__n", F.row_number().over(DESIGN) - 1).groupBy("design_id", "run").agg(F.min("__n").alias("__n"))
+    first = runs(df, hop_u).withColumn("__n", F.row_number().over(design()) - 1).groupBy("design_id", "run").agg(F.min("__n").alias("__n"))
     kind = F.when(F.col("__k") == 3, "color").when(F.col("__k") == 2, "trim").when(F.col("__n") == 0, "start").when(F.col("__k") == 1, "jump").otherwise("hop")
     return first.join(between, ["design_id", "__n"], "left").select("design_id", "run", kind.alias("break_kind"))
 
@@ -121,7 +128,7 @@ def jump_trim_marks(df: DataFrame) -> DataFrame:
 def collapse_jump_runs(df: DataFrame, trim_at: int = 3) -> DataFrame:
     """Consecutive jumps become one row at the last of them: a trim from `trim_at` on, else a jump; trailing jumps go."""
     w = Window.partitionBy("design_id").orderBy("seq")
-    j = df.withColumn("__j", F.col("cmd") == "jump").withColumn("__g", F.sum((~F.col("__j") | ~F.coalesce(F.lag("__j").over(w), F.lit(False))).cast("int")).over(SO_FAR))
+    j = df.withColumn("__j", F.col("cmd") == "jump").withColumn("__g", F.sum((~F.col("__j") | ~F.coalesce(F.lag("__j").over(w), F.lit(False))).cast("int")).over(so_far()))
     last = F.max("seq").over(Window.partitionBy("design_id"))
     g = j.withColumn("__last", last).groupBy("design_id", "__g").agg(F.max("seq").alias("seq"), F.max_by("x_u", "seq").alias("x_u"), F.max_by("y_u", "seq").alias("y_u"), F.max_by("cmd", "seq").alias("cmd"), F.count("*").alias("n"), F.max("__last").alias("__last"))
     cmd = F.when((F.col("cmd") == "jump") & (F.col("n") >= trim_at), "trim").otherwise(F.col("cmd"))
@@ -137,7 +144,7 @@ def center_on_stitch_bbox(df: DataFrame) -> DataFrame:
 
 def trim_before(df: DataFrame) -> DataFrame:
     """Stitches with whether a trim or colour change stands between them and the one before."""
-    marked = df.withColumn("__n", F.sum((F.col("cmd") == "stitch").cast("int")).over(SO_FAR))
+    marked = df.withColumn("__n", F.sum((F.col("cmd") == "stitch").cast("int")).over(so_far()))
     cut = F.max(F.col("cmd").isin("trim", "color").cast("int")).over(Window.partitionBy("design_id", "__n"))
     seen = marked.withColumn("__cut", cut)
     w = Window.partitionBy("design_id").orderBy("seq")
