@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, spare
@@ -94,8 +94,12 @@ def features(total: float, words: int) -> tuple[float, float]:
 
 def _sample(labels: DataFrame, doc_id: str, label: str, rows: int) -> DataFrame:
     known = labels.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y"))
-    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "y"))
-    return known.withColumn("__n", place).where(F.col("__n") <= rows).drop("__n")
+    known = known.withColumn("__h", F.xxhash64("doc_id"))
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    # a hash below this share of its range leaves about twice the rows wanted, so only those meet in one task
+    share = {y: min(1.0, 2 * rows / n) for y, n in sizes.items()}
+    parts = [known.where((F.col("y") == y) & (F.col("__h") / 2.0**64 + 0.5 <= share.get(y, 1.0))).orderBy("__h", "doc_id").limit(rows) for y in (0, 1)]
+    return parts[0].union(parts[1]).drop("__h")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, exceptions: tuple[str, ...] = ()) -> dict:
