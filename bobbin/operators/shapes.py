@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
+from .graph import checkpointed
 
 
 def polygon_measures(vertices: DataFrame) -> DataFrame:
@@ -56,13 +57,11 @@ def match_shape_ids(prev: DataFrame, cur: DataFrame, tolerance_u: int = 25) -> D
     Pairs are written to a checkpoint each round; rounds end when no pair is left.
     """
     pairs, found = shape_candidates(prev, cur, tolerance_u), None
-    spark = prev.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.cache())
-    pairs = cut(pairs)
+    pairs = checkpointed(pairs)
     while not pairs.isEmpty():
-        got = cut(mutual_best(pairs))
+        got = checkpointed(mutual_best(pairs))
         found = got if found is None else found.unionByName(got)
-        pairs = cut(pairs.join(got.select("design_id", "prev_id"), ["design_id", "prev_id"], "left_anti").join(got.select("design_id", "cur_id"), ["design_id", "cur_id"], "left_anti"))
+        pairs = checkpointed(pairs.join(got.select("design_id", "prev_id"), ["design_id", "prev_id"], "left_anti").join(got.select("design_id", "cur_id"), ["design_id", "cur_id"], "left_anti"))
     return pairs if found is None else found
 
 
