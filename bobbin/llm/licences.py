@@ -1,22 +1,32 @@
 """Licence notices by MinHash bands over overlapping windows.
 
-Templates and texts are word sequences (lower case, ASCII punctuation dropped). Windows as long as a template, at every
-word, overlap by all but one word. A window's and a template's shingle sets are compared in BANDS bands of one minimum each: sets
-of similarity 0.8 miss all bands with probability 0.2^BANDS < 3e-12, equal sets never. Bands retrieve (window,
-template) pairs; the exact share of the template's shingles that the window holds then verifies each.
+Templates and texts are word sequences (lower case, ASCII punctuation dropped). A window is one word longer than a template
+and starts at every word, so it holds a notice with a word inserted. A window and a template match when the window holds
 
-A band can only agree if the window holds the template's least shingle in that band, so windows without any of a
-template's shingles are passed over before minima are taken.
+- the template's keys, the words in [[ ]] that make it this licence and no other (name, terms, version), each key unbroken;
+- all but max(1, n // 5) of the template's n distinct words; and
+- CONTAINMENT of its shingles (WIDTH words each), or, where that is less, what one changed word inside leaves of them.
 
-The scan is one pass without a shuffle; the template table is a parameter of fixed size (MAX_TEMPLATE_BYTES).
+So any one word outside the keys may be changed, dropped or put in. A change inside a key is another licence or none: no
+version is guessed. Two templates may be each other's near copies (GPL and LGPL); where matches of such rivals overlap, the
+one with the greater share stays, on ties both.
 
-Defined results: null and empty texts match nothing; a template of fewer words than a shingle counts as one
-shingle; overlapping matches of one template give the best (the first on ties), separate ones are reported each; repeated
-rows are reported each.
+Retrieval: windows with too few of a template's shingles are passed over by exact counts. The rest are compared with it in
+BANDS bands of one minimum each, shingles that no template of that length has left out of both. At these settings a template of n words has a
+share of at least 1/3 (n = 4) in a match; with up to n - 1 other known shingles in the window the similarity is 1/6 or more and
+a match misses all bands with probability (5/6)^BANDS < 1e-9; equal sets never miss.
+
+The scan is one pass without a shuffle; the template table is a parameter of fixed size (MAX_TEMPLATE_BYTES). A licence
+may have many texts; a full licence text is found by its title and its fixed sentences.
+
+Defined results: null and empty texts match nothing; a template of fewer than four words is compared by single words;
+first_word and end_word bound the shingles held; overlapping matches of one licence give the best (on ties that of the longer text, then the first),
+separate ones are reported each; repeated rows are reported each.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,22 +38,36 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .decontaminate import words_of
 
-WIDTH, CONTAINMENT, BANDS, SEED = 5, 0.8, 17, 11
+WIDTH, CONTAINMENT, BANDS, SEED = 2, 0.8, 128, 11
 MAX_TEMPLATE_BYTES = 8 << 20
-#: Short notices by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
-    "Proprietary": "All rights reserved.",
+#: Notices by SPDX identifier, keys in [[ ]].
+TEMPLATES: dict[str, str | tuple[str, ...]] = {
+    "0BSD": "[[BSD Zero Clause]] License",
+    "AGPL-3.0": ("This work is licensed under the GNU [[Affero]] General Public License, version [[3]].", "Licensed under the GNU [[Affero]] General Public License, version [[3]].", "Licensed under the [[AGPL v3]].", "Licensed under the [[AGPLv3]].", "GNU [[AFFERO]] GENERAL PUBLIC LICENSE Version [[3]], 19 November 2007"),
+    "Apache-1.1": ("Licensed under the [[Apache]] License, Version [[1.1]].", "The [[Apache]] Software License, Version [[1.1]]"),
+    "Apache-2.0": ("Licensed under the [[Apache]] License, Version [[2.0]].", "[[Apache]] License Version [[2.0]], January 2004"),
+    #: The sentence that BSD-2-Clause and BSD-3-Clause have in common.
+    "BSD": "[[Redistribution]] and use in [[source and binary]] forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": ("Released under the [[BSD 2 Clause]] License.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and or other materials provided with the [[distribution THIS SOFTWARE]] IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"),
+    "BSD-3-Clause": ("Released under the [[BSD 3 Clause]] License.", "Neither the [[name]] of the copyright holder nor the names of its contributors may be used to [[endorse or promote]] products derived from this software without specific prior written permission"),
+    "BSD-4-Clause": "All [[advertising]] materials mentioning features or use of this software must display the following [[acknowledgement]]",
+    "BSL-1.0": ("[[Boost]] Software License Version [[1.0]]", "Distributed under the [[Boost]] Software License, Version [[1.0]]."),
+    "CC0-1.0": ("Licensed under [[CC0 1.0]] Universal.", "Released under [[CC0]].", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the [[public domain]] worldwide", "To the extent possible under law, the person who associated CC0 with this work has [[waived]] all copyright and related or neighboring rights to this work"),
+    "EPL-1.0": "This program is made available under the terms of the [[Eclipse]] Public License [[1.0]]",
+    "EPL-2.0": "This program is made available under the terms of the [[Eclipse]] Public License [[2.0]]",
+    "ISC": ("Released under the [[ISC]] License.", "Permission to [[use copy modify]] and or distribute this software for any purpose [[with or without fee]] is hereby granted"),
+    "MIT": "Released under the [[MIT]] License.",
+    "MIT-grant": "[[Permission]] is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MPL-1.1": "The contents of this file are subject to the [[Mozilla]] Public License Version [[1.1]]",
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the [[Mozilla]] Public License, v. [[2.0]].", "[[Mozilla]] Public License Version [[2.0]]"),
+    "OFL-1.0": "This Font Software is licensed under the SIL [[Open Font]] License, Version [[1.0]].",
+    "OFL-1.1": ("This Font Software is licensed under the SIL [[Open Font]] License, Version [[1.1]].", "SIL [[OPEN FONT]] LICENSE Version [[1.1]] 26 February 2007"),
+    "Proprietary": "[[All rights]] [[reserved]].",
+    "Unlicense": "This is free and [[unencumbered]] software released into the [[public domain]].",
+    "Zlib": "This software is provided as is, without any express or implied warranty. [[In no event]] will the [[authors]] be held liable for any damages arising from the use of this software",
+    **{f"GPL-{v}.0": (f"This work is licensed under the [[GNU General]] Public License, version [[{v}]].", f"Licensed under the [[GNU General]] Public License, version [[{v}]].", f"Licensed under the [[GPL v{v}]].", f"Licensed under the [[GPLv{v}]].", f"Licensed under the [[GPL version {v}]].", f"[[GNU GENERAL]] PUBLIC LICENSE Version [[{v}]], {day}", f"under the terms of the [[GNU General]] Public License as published by the Free Software Foundation, either version [[{v}]] of the License") for v, day in ((1, "February 1989"), (2, "June 1991"), (3, "29 June 2007"))},
+    **{f"LGPL-{v}": (f"This work is licensed under the GNU [[{kind}]] General Public License, version [[{said}]].", f"Licensed under the GNU [[{kind}]] General Public License, version [[{said}]].", f"Licensed under the [[LGPL v{said}]].", f"Licensed under the [[LGPLv{said}]].", f"GNU [[{kind}]] GENERAL PUBLIC LICENSE Version [[{said}]], {day}", f"under the terms of the GNU [[{kind}]] General Public License as published by the Free Software Foundation, either version [[{said}]] of the License") for v, said, kind, day in (("2.0", "2", "Library", "June 1991"), ("2.1", "2.1", "Lesser", "February 1999"), ("3.0", "3", "Lesser", "29 June 2007"))},
+    **{f"CC-{kind}-{v}": (f"Licensed under [[CC {kind} {v}]].", f"Licensed under a Creative Commons [[{name} {v}]] License.", f"This work is licensed under the Creative Commons [[{name} {v}]] International License.") for kind, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in ("1.0", "2.0", "2.5", "3.0", "4.0")},
 }
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _rng = np.random.default_rng(SEED)
@@ -61,74 +85,92 @@ def shingles(ids: np.ndarray, width: int) -> np.ndarray:
     return acc ^ (acc >> np.uint64(32))
 
 
+def _holds(ids: list[int], phrase: list[int]) -> bool:
+    return any(ids[i : i + len(phrase)] == phrase for i in range(len(ids) - len(phrase) + 1))
+
+
 class Index:
-    def __init__(self, templates: dict[str, str], width: int, containment: float):
+    def __init__(self, templates: dict[str, str | tuple[str, ...]], width: int, containment: float):
         self.vocab: dict[bytes, int] = {}
-        self.containment = containment
-        self.names, self.sets, self.size, self.width = [], [], [], []
+        self.names, self.sets, self.words, self.keys, self.need, self.spare = [], [], [], [], [], []
         self.groups: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for name in sorted(templates):
-            words = words_of(templates[name])
-            if not words:
+        number = lambda t: [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(t)]
+        every = [(name, t) for name in sorted(templates) for t in ([templates[name]] if isinstance(templates[name], str) else templates[name])]
+        texts = []
+        for name, t in every:
+            if not (ids := number(t)):
                 continue
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words])
-            w = min(width, len(ids))
-            self.groups[len(ids), w].append(len(self.names))
+            n, w = len(ids), width if len(ids) > max(3, width) else 1
+            self.groups[n, w].append(len(self.names))
             self.names.append(name)
-            self.sets.append(np.unique(shingles(ids, w)))
-            self.size.append(len(ids))
-            self.width.append(w)
-        self.bands = {g: [{} for _ in range(BANDS)] for g in self.groups}
-        self.known = {}
+            self.sets.append(np.unique(shingles(np.array(ids), w)))
+            self.words.append(set(ids))
+            self.keys.append([k for k in map(number, re.findall(r"\[\[(.*?)\]\]", t)) if k])
+            self.spare.append(max(1, n // 5))
+            # one changed word inside leaves this many shingles
+            self.need.append(max(1, min(int(np.ceil(containment * len(self.sets[-1]) - 1e-9)), len(self.sets[-1]) - w)))
+            texts.append(words_of(t))
+        self.bands, self.known = {}, {}
         for g, ks in self.groups.items():
-            for k in ks:
-                for b in range(BANDS):
-                    self.bands[g][b].setdefault(int((self.sets[k] * _A[b]).min()), []).append(k)
+            self.bands[g] = np.stack([(self.sets[k][:, None] * _A[None, :]).min(axis=0) for k in ks])
             self.known[g] = np.unique(np.concatenate([self.sets[k] for k in ks]))
+        #: Pairs of licences (a, b) where a notice of b also matches a.
+        self.rivals = {(hit[0], self.names[k]) for k, words in enumerate(texts) for hit in self.matches(words)}
+        self.rivals |= {(b, a) for a, b in self.rivals}
 
-    def find(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """(template, first word, last word + 1, containment) of each match."""
+    def matches(self, words: list[bytes]) -> list[tuple[str, int, int, float, int]]:
+        """(licence, first word, last word + 1, containment, shingles held) of each window and template that match."""
         get = self.vocab.get
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        found = []
-        hashes = {}
-        for (n, w), _ in self.groups.items():
+        held = set(ids[ids > 0].tolist())
+        hashes, found = {}, []
+        for (n, w), members in self.groups.items():
+            able = [i for i, k in enumerate(members) if all(x in held for key in self.keys[k] for x in key) and len(self.words[k] - held) <= self.spare[k]]
+            if not able:
+                continue
             if w not in hashes:
                 hashes[w] = shingles(ids, w)
             s = hashes[w]
-            held = np.flatnonzero(np.isin(s, self.known[n, w]))
-            if not len(held):
+            at = np.flatnonzero(np.isin(s, self.known[n, w]))
+            if not len(at):
                 continue
+            wide = n + 2 - w  # shingles of n + 1 words
             # a short text is one window of its own
-            last = max(0, len(s) - (n - w + 1))
-            starts = np.unique(np.clip((held[:, None] - np.arange(n - w + 1)[None, :]).ravel(), 0, last))
-            spread = starts[:, None] + np.arange(n - w + 1)[None, :]
-            rows = s[np.minimum(spread, len(s) - 1)]
-            pairs = set()
-            for b in range(BANDS):
-                bucket = self.bands[n, w][b]
-                low = (rows * _A[b]).min(axis=1)
-                for i in np.flatnonzero(np.isin(low, np.fromiter(bucket, np.uint64, len(bucket)))).tolist():
-                    pairs.update((i, k) for k in bucket[int(low[i])])
-            best: dict[int, list[tuple[float, int]]] = defaultdict(list)
-            for i, k in pairs:
-                share = np.isin(self.sets[k], rows[i]).mean()
-                if share >= self.containment - 1e-9:
-                    best[k].append((-share, int(starts[i])))
-            for k, hits in best.items():
-                taken: list[int] = []
-                for share, at in sorted(hits):
-                    if all(abs(at - x) >= n for x in taken):
-                        taken.append(at)
-                        found.append((self.names[k], at, min(len(words), at + n), float(-share)))
-        return sorted(found, key=lambda x: (x[1], x[0]))
-
-
-def find_licences(docs: DataFrame, templates: dict[str, str] | None = None, width: int = WIDTH, containment: float = CONTAINMENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+            last = max(0, len(s) - wide)
+            starts = np.unique(np.clip((at[:, None] - np.arange(wide)[None, :]).ravel(), 0, last))
+            sums = np.concatenate([[0], np.cumsum(np.isin(s, self.known[n, w]))])
+            counts = sums[np.minimum(starts + wide, len(s))] - sums[starts]
+            starts = starts[counts >= min(self.need[members[i]] for i in able)]
+            for start in starts.tolist():
+                row = s[start : start + wide]
+                known = row[np.isin(row, self.known[n, w])]
+                agree = (self.bands[n, w][able] == (known[:, None] * _A[None, :]).min(axis=0)[None, :]).any(axis=1)
+                for k in (members[i] for i, yes in zip(able, agree.tolist(), strict=True) if yes):
+                    own = np.isin(row, self.sets[k])
+                    got = len(np.unique(row[own]))
+                    if got < self.need[k]:
+                        continue
+                    window = ids[start : start + n + 1].tolist()
+                    if len(self.words[k].difference(window)) <= self.spare[k] and all(_holds(window, key) for key in self.keys[k]):
+                        places = np.flatnonzero(own)
+                        found.append((self.names[k], start + int(places[0]), start + int(places[-1]) + w, got / len(self.sets[k]), got))
+        return found
+
+    def find(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
+        """(licence, first word, last word + 1, containment) of each notice."""
+        best: list[tuple[str, int, int, float, int]] = []
+        for hit in sorted(set(self.matches(words)), key=lambda x: (-x[3], -x[4], x[2] - x[1], x[1], x[0])):
+            near = [x for x in best if x[1] < hit[2] and hit[1] < x[2]]
+            if not any(x[0] == hit[0] or x[3] > hit[3] and (x[0], hit[0]) in self.rivals for x in near):
+                best.append(hit)
+        return sorted((x[:4] for x in best), key=lambda x: (x[1], x[0]))
+
+
+def find_licences(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, width: int = WIDTH, containment: float = CONTAINMENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, licence, first_word, end_word, containment of every notice in `docs`."""
     spark = prepare(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
-    if sum(len(t.encode()) for t in templates.values()) > MAX_TEMPLATE_BYTES:
+    if sum(len(t.encode()) for v in templates.values() for t in ([v] if isinstance(v, str) else v)) > MAX_TEMPLATE_BYTES:
         raise ValueError(f"templates exceed {MAX_TEMPLATE_BYTES} bytes")
     shared = spark.sparkContext.broadcast(templates)
     kind = dict(docs.dtypes)[doc_id]

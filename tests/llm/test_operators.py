@@ -202,6 +202,40 @@ def test_licences(docs, spark, empty):
     assert licences.find_licences(empty).count() == 0
 
 
+def test_licence_notices_with_one_word_changed(spark):
+    rows, want = [], {}
+    for name, texts in licences.TEMPLATES.items():
+        for t in [texts] if isinstance(texts, str) else texts:
+            marked = re.split(r"(\[\[.*?\]\])", t)
+            words, fixed = [], []
+            for part in marked:
+                own = [w.decode() for w in decontaminate.words_of(part)]
+                words += own
+                fixed += [part.startswith("[[") and (k, len(own)) for k in range(len(own))]
+            loose = [k for k in range(len(words)) if not fixed[k]]
+            gaps = [k for k in range(1, len(words)) if not fixed[k] or fixed[k][0] == 0]
+            edited = [words] + [[*words[:k], "quux", *words[k + 1 :]] for k in loose] + [[*words[:k], *words[k + 1 :]] for k in loose] + [[*words[:k], "quux", *words[k:]] for k in gaps]
+            for e in edited:
+                want[len(rows)] = name
+                rows.append((len(rows), f"{prose(len(rows), 9)} {' '.join(e)} {prose(len(rows) + 1, 9)}"))
+    got = {}
+    for r in licences.find_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.licence)
+    lost = [(want[i], rows[i][1]) for i in want if want[i] not in got.get(i, ())]
+    assert not lost, (len(lost), len(rows), lost[:5])
+
+
+def test_licence_versions_and_names_are_told_apart(spark):
+    said = {
+        "Licensed under CC BY 3.0.": {"CC-BY-3.0"}, "Licensed under CC BY-NC-SA 4.0": {"CC-BY-NC-SA-4.0"}, "licensed under the GNU General Public License, version 2": {"GPL-2.0"}, "Released under MIT License": {"MIT"},
+        "This work is licensed under the GNU Lesser General Public License, version 3.": {"LGPL-3.0"}, "Licensed under CC BY 9.9": set(), "Released under the Foo License": set(), "All rights are reserved": {"Proprietary"}, "all human rights": set(),
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": {"BSD"},
+    }
+    df = spark.createDataFrame([(k, f"{prose(k, 8)} {t} {prose(k + 50, 8)}") for k, t in enumerate(said)], "doc_id long, text string")
+    rows = licences.find_licences(df).collect()
+    assert [{r.licence for r in rows if r.doc_id == k} for k in range(len(said))] == list(said.values())
+
+
 def test_warc_round_trip_in_small_splits(spark):
     page = "<html>" + "x" * 300
     rows = [(1, "http://a", page), (2, "http://b", page), (3, "http://c", "tiny"), (4, "http://d", "tiny"), (5, None, None), (6, "http://e\n", page + "é"), (0, "http://f", page)]
