@@ -7,7 +7,8 @@ again writes a file of another name, and the manifest lists the files of the att
 
 Reader. Archives are cut into byte ranges. A task scans its range for the gzip magic, takes a place as a record only
 if what it inflates to starts with a WARC version line and a complete header, and owns the records that start inside its
-range, reading past the end for the last one. So one large archive is read by many tasks.
+range, reading past the end for the last one. So one large archive is read by many tasks. A header may be of any length. Records lie end
+to end, so a place after a record (or at the start) that holds none fails rather than being passed over.
 
 Files go through pyarrow's filesystems by URI (local folders, HDFS, S3, GCS), in the shared folder.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import keep, prepare, shared_dir
 
 MIN_BYTES = 100
-#: Bytes in one range of the reader, read at a time, and inflated to validate a header.
+#: Bytes in one range of the reader, read at a time, and inflated at a time while a header is validated (it may be of any length).
 SPLIT_BYTES, WINDOW, HEADER_BYTES = 8 << 20, 128 << 10, 16 << 10
 MAGIC = b"\x1f\x8b\x08"
 #: Fixed: the record date, so that archives of equal pages are equal.
@@ -124,18 +125,28 @@ def parse_header(head: bytes) -> dict[str, str] | None:
     return fields if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
 
 
-def _valid(view: bytes) -> bool | None:
-    """Whether a gzip member that starts here holds a WARC record; None: more bytes are needed to tell."""
-    inflate = zlib.decompressobj(31)
-    try:
-        head = inflate.decompress(view, HEADER_BYTES)
-    except zlib.error:
-        return False
-    if parse_header(head):
-        return True
-    if not b"WARC/".startswith(head[:5]):
-        return False
-    return None if not inflate.eof and len(head) < HEADER_BYTES else False
+class _Probe:
+    """Whether the gzip member at the front of a range holds a WARC record, told from ever more of its bytes."""
+
+    def __init__(self):
+        self.inflate, self.head, self.used = zlib.decompressobj(31), bytearray(), 0
+
+    def look(self, view: bytes) -> bool | None:
+        """True or False; None: more bytes are needed to tell. Every byte is inflated once, however long the header is."""
+        rest = view[self.used :]
+        self.used = len(view)
+        while rest and not self.inflate.eof:
+            seen = max(0, len(self.head) - 3)
+            try:
+                self.head += self.inflate.decompress(rest, HEADER_BYTES)
+            except zlib.error:
+                return False
+            rest = self.inflate.unconsumed_tail
+            if not b"WARC/".startswith(self.head[:5]):
+                return False
+            if (end := self.head.find(b"\r\n\r\n", seen)) >= 0:
+                return parse_header(bytes(self.head[: end + 4])) is not None
+        return False if self.inflate.eof else None
 
 
 def records_in(uri: str, start: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -143,17 +154,21 @@ def records_in(uri: str, start: int, end: int, size: int) -> Iterator[tuple[int,
     fs, path = _open(uri)
     with fs.open_input_file(path) as file:
         r = _Range(file, start, size)
+        due = 0 if start == 0 else None  # where the next record has to start
         while True:
             k = r.data.find(MAGIC)
             if k < 0:
                 r.skip(max(0, len(r.data) - 2))
-                if r.at >= end or not r.more():
-                    return
-                continue
-            r.skip(k)
-            if r.at >= end:
+                if r.at < end and r.more():
+                    continue
+            else:
+                r.skip(k)
+            if k < 0 or r.at >= end:
+                if due is not None and due < min(end, size):
+                    raise ValueError(f"{uri}: no record at {due}")
                 return
-            while (ok := _valid(r.data)) is None and r.more():
+            probe = _Probe()
+            while (ok := probe.look(r.data)) is None and r.more():
                 pass
             if not ok:
                 r.skip(1)
@@ -167,8 +182,11 @@ def records_in(uri: str, start: int, end: int, size: int) -> Iterator[tuple[int,
                 body += inflate.decompress(piece)
                 used = len(r.data) - len(inflate.unused_data)
             offset = r.at
-            fields = parse_header(bytes(body[: HEADER_BYTES * 4]))
+            if due not in (None, offset):
+                raise ValueError(f"{uri}: no record at {due}")
+            due = offset + used
             head = body.find(b"\r\n\r\n") + 4
+            fields = parse_header(bytes(body[:head]))
             n = int(fields["content-length"])
             if len(body) < head + n:
                 raise ValueError(f"{uri}: record at {offset} is shorter than it says")

@@ -236,6 +236,24 @@ def test_licence_versions_and_names_are_told_apart(spark):
     assert [{r.licence for r in rows if r.doc_id == k} for k in range(len(said))] == list(said.values())
 
 
+def test_warc_headers_of_any_length(spark):
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(map(chr, rng.integers(33, 126, n)))
+    rows = [(1, "http://a/" + noise(100_000), "<html>one"), (2, "http://b", "<html>two"), (3, "data:" + " " * 9_000, "<html>three"), (4, "x" * 400_000, "<html>" + noise(300_000)), (5, noise(70_000), None)]
+    files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    for split in (1000, 50_000, 1 << 20):
+        got = {r.page_id: (r.url, bytes(r.payload)) for r in warc.read_archives(files, split).collect()}
+        assert got == {i: (u.replace(" ", "%20"), (h or "").encode()) for i, u, h in rows}
+
+
+def test_warc_gap_is_an_error(tmp_path):
+    one = warc.record(1, "http://a", b"x", hashlib.sha256(b"x").hexdigest(), 1, None)
+    for k, data in enumerate((one + b"\x1f\x8b\x08rest" + one, one + b"rest", b"rest" + one)):
+        (tmp_path / f"{k}.warc.gz").write_bytes(data)
+        with pytest.raises(ValueError, match="no record at"):
+            list(warc.records_in(f"file://{tmp_path}/{k}.warc.gz", 0, len(data), len(data)))
+
+
 def test_warc_round_trip_in_small_splits(spark):
     page = "<html>" + "x" * 300
     rows = [(1, "http://a", page), (2, "http://b", page), (3, "http://c", "tiny"), (4, "http://d", "tiny"), (5, None, None), (6, "http://e\n", page + "é"), (0, "http://f", page)]
