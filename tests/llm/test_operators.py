@@ -236,6 +236,14 @@ def test_licence_versions_and_names_are_told_apart(spark):
     assert [{r.licence for r in rows if r.doc_id == k} for k in range(len(said))] == list(said.values())
 
 
+def test_pii_secrets_without_digits_and_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    keys = ["correcthorsebatterystaple", *("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEF_/+-"), n)) for n in (16, 64, 65, 88, 93, 200)), "".join(rng.choice(list("abcdef0123456789"), 120))]
+    texts = [f"set password={k} now" for k in keys] + ["password=tooshort now"]
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.found] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {**{i: [("secret", f"password={k}")] for i, k in enumerate(keys)}, len(keys): []}
+
+
 def test_warc_headers_of_any_length(spark):
     rng = np.random.default_rng(8)
     noise = lambda n: "".join(map(chr, rng.integers(33, 126, n)))
