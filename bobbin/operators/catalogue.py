@@ -42,9 +42,23 @@ def fit_scale(sizes: DataFrame, garments: DataFrame) -> DataFrame:
     return sizes.crossJoin(_small(garments)).withColumn("scale", F.least(F.col("width_in") * INCH_MM / F.col("w"), F.col("height_in") * INCH_MM / F.col("h")))
 
 
+def chart_colors(threads: DataFrame) -> DataFrame:
+    """The chart's distinct colours, each with its lowest thread: threads of one colour are as near, so no other can be nearest."""
+    return threads.groupBy("r", "g", "b").agg(F.min("thread_idx").alias("thread_idx"))
+
+
+def by_color(found: DataFrame, threads: DataFrame) -> DataFrame:
+    """What was found for the lowest thread of each colour (thread_idx), for every thread of the chart."""
+    low = chart_colors(threads).join(found, "thread_idx").withColumnsRenamed({**{c: f"__{c}" for c in "rgb"}, "thread_idx": "__low"})
+    same = F.lit(True)
+    for c in "rgb":
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return threads.select("thread_idx", "r", "g", "b").join(_small(low), same).drop("r", "g", "b", "__r", "__g", "__b", "__low")
+
+
 def nearest_thread_rgb(colors: DataFrame, threads: DataFrame) -> DataFrame:
     """For each distinct colour (r, g, b) the chart's nearest thread by squared RGB distance, lowest index on ties."""
-    t = threads.select("thread_idx", *[F.col(c).alias(f"t{c}") for c in "rgb"])
+    t = chart_colors(threads).select("thread_idx", *[F.col(c).alias(f"t{c}") for c in "rgb"])
     d2 = sum(((F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in "rgb"), F.lit(0))
     return colors.select("r", "g", "b").distinct().crossJoin(_small(t)).groupBy("r", "g", "b").agg(F.min(F.struct(d2.alias("d2"), "thread_idx")).alias("m")).select("r", "g", "b", "m.thread_idx", "m.d2")
 
@@ -56,7 +70,7 @@ def with_lab(df: DataFrame, prefix: str = "") -> DataFrame:
 
 def nearest_thread_lab(colors: DataFrame, threads: DataFrame) -> DataFrame:
     """As nearest_thread_rgb by CIEDE2000. Distances are rounded to 1e-6 before ties are told."""
-    t = with_lab(threads, "lab_").select("thread_idx", *[F.col(f"lab_{c}").alias(f"t{c}") for c in "LAB"])
+    t = with_lab(chart_colors(threads), "lab_").select("thread_idx", *[F.col(f"lab_{c}").alias(f"t{c}") for c in "LAB"])
     c = with_lab(colors.select("r", "g", "b").distinct(), "lab_")
     de = F.round(delta_e2000(tuple(F.col(f"lab_{x}") for x in "LAB"), tuple(F.col(f"t{x}") for x in "LAB")), 6)
     return c.crossJoin(_small(t)).groupBy("r", "g", "b").agg(F.min(F.struct(de.alias("delta_e"), "thread_idx")).alias("m")).select("r", "g", "b", "m.thread_idx", "m.delta_e")
@@ -73,22 +87,24 @@ def palette_costs(colors: DataFrame, threads: DataFrame) -> DataFrame:
 def select_palette(colors: DataFrame, threads: DataFrame, k: int) -> list[int]:
     """Greedy k-medoids: each round adds the thread that lowers the weighted total cost most, lowest index on ties.
 
-    `colors` has r, g, b and weight, one row a colour. A round is one aggregate over colours times chart.
+    `colors` has r, g, b and weight, one row a colour. A round is one aggregate over colours times the colours of the threads
+    not chosen yet, each by its lowest thread (equal colours have equal costs, so no other of them can be chosen in that round).
     """
-    t = threads.select("thread_idx", *[F.col(c).alias(f"t{c}") for c in "rgb"])
     d2 = sum(((F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in "rgb"), F.lit(0))
     far = 3 * 255 * 255
     chosen: list[int] = []
-    rgb = {r["thread_idx"]: (r["tr"], r["tg"], r["tb"]) for r in t.collect()} if k > 1 else {}
+    rgb: list[tuple[int, int, int]] = []
     for _ in range(k):
+        t = chart_colors(threads.where(~F.col("thread_idx").isin(chosen)) if chosen else threads).select("thread_idx", *[F.col(c).alias(f"t{c}") for c in "rgb"])
         near = F.lit(far)
-        for c in chosen:
-            near = F.least(near, sum(((F.col(x) - v) * (F.col(x) - v) for x, v in zip("rgb", rgb[c], strict=True)), F.lit(0)))
-        cost = colors.withColumn("near", near).crossJoin(_small(t)).groupBy("thread_idx").agg(F.sum(F.col("weight") * F.least("near", d2)).alias("cost"))
-        best = cost.where(~F.col("thread_idx").isin(chosen) if chosen else F.lit(True)).agg(F.min(F.struct("cost", "thread_idx")).alias("m")).first()["m"]
+        for own in rgb:
+            near = F.least(near, sum(((F.col(x) - v) * (F.col(x) - v) for x, v in zip("rgb", own, strict=True)), F.lit(0)))
+        cost = colors.withColumn("near", near).crossJoin(_small(t)).groupBy("thread_idx", "tr", "tg", "tb").agg(F.sum(F.col("weight") * F.least("near", d2)).alias("cost"))
+        best = cost.agg(F.min(F.struct("cost", "thread_idx", "tr", "tg", "tb")).alias("m")).first()["m"]
         if best is None:
             break
         chosen.append(best["thread_idx"])
+        rgb.append((best["tr"], best["tg"], best["tb"]))
     return chosen
 
 

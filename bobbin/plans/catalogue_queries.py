@@ -64,7 +64,8 @@ def _(s, t):
 @query("a34_palette_costs", "v_shapes", "v_threads", sql="""WITH c AS (SELECT DISTINCT r, g, b FROM v_shapes), d AS (SELECT c.*, thread_idx, (c.r - t.r) * (c.r - t.r) + (c.g - t.g) * (c.g - t.g) + (c.b - t.b) * (c.b - t.b) AS d2 FROM c CROSS JOIN v_threads t)
 SELECT thread_idx, COUNT(*) AS colors, CAST(SUM(d2) AS BIGINT) AS cost, CAST(SUM(m) AS BIGINT) AS floors FROM (SELECT *, MIN(d2) OVER (PARTITION BY r, g, b) AS m FROM d) q GROUP BY 1""")
 def _(s, t):
-    return K.palette_costs(s.select("r", "g", "b").distinct(), t).groupBy("thread_idx").agg(F.count("*").alias("colors"), F.sum("d2").cast("long").alias("cost"), F.sum("floor").cast("long").alias("floors"))
+    costs = K.palette_costs(s.select("r", "g", "b").distinct(), K.chart_colors(t)).groupBy("thread_idx").agg(F.count("*").alias("colors"), F.sum("d2").cast("long").alias("cost"), F.sum("floor").cast("long").alias("floors"))
+    return K.by_color(costs, t)
 
 
 def _weighted(s):

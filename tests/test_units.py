@@ -74,3 +74,26 @@ def test_reports_cover_newly_arrived_designs_once(spark, tmp_path):
         spark.createDataFrame(rows, STITCHES).coalesce(1).write.mode("append").parquet(src)
         jobs.incremental_qc(spark, src, out, log, qc_report).awaitTermination()
     assert sorted(r.design_id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_chart_is_whole_and_its_colors_stand_for_all_threads(spark):
+    from bobbin.operators import catalogue as K
+    from bobbin.views import view
+
+    sf = "/root/testdata/sf0.01"
+    t, s = view(spark, sf, "v_threads"), view(spark, sf, "v_shapes")
+    chart = [(x.thread_idx, x.r, x.g, x.b) for x in t.collect()]
+    assert len(chart) == view(spark, sf, "part").count()
+    weight = {(x.r, x.g, x.b): x["count"] for x in s.groupBy("r", "g", "b").count().collect()}
+    far = lambda c, h: sum((p - q) ** 2 for p, q in zip(c, h[1:], strict=True))
+    want = {c: min((far(c, h), h[0]) for h in chart) for c in weight}
+    assert {(x.r, x.g, x.b): (x.d2, x.thread_idx) for x in K.nearest_thread_rgb(s, t).collect()} == want
+    # few colours and many threads of each, so that rounds end in ties
+    few = [h for h in chart if h[1] < 12]
+    chosen, near = [], {c: 3 * 255 * 255 for c in weight}
+    for _ in range(6):
+        best = min((sum(w * min(near[c], far(c, h)) for c, w in weight.items()), h) for h in few if h[0] not in chosen)[1]
+        chosen.append(best[0])
+        near = {c: min(near[c], far(c, best)) for c in near}
+    colors = s.groupBy("r", "g", "b").agg({"*": "count"}).withColumnRenamed("count(1)", "weight")
+    assert K.select_palette(colors, t.where("r < 12"), 6) == chosen
