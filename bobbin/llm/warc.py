@@ -1,7 +1,8 @@
 """WARC archives: a deduplicating writer and a splittable reader.
 
 Writer. Payload digests are grouped (partial counts first); of equal payloads of at least MIN_BYTES the smallest
-page_id is the response and the others are revisit records that name it and carry no payload. Each task writes
+page_id is the response and the others are revisit records that name it and carry no payload. Each row is decided by its own
+digest; digests that hold over a thousandth of all rows are dealt by a salt. Each task writes
 one archive of gzip members, one a record, under a temporary name and renames it when it is whole; a task that runs
 again writes a file of another name, and the manifest lists the files of the attempts that counted.
 
@@ -13,8 +14,9 @@ to end, so a place after a record (or at the start) that holds none fails rather
 Files go through pyarrow's filesystems by URI (local folders, HDFS, S3, GCS), in the shared folder.
 
 Defined results: a null html is an empty payload; null page_ids are archived as records without an id and read
-back as null; repeated rows are records each (equal ids and payloads: one is response, by order in the archive);
-payloads under MIN_BYTES are all responses; no pages give no records.
+back as null, and revisit a page with an id if one has their payload, else they are responses; rows that repeat the response's
+page_id and payload are responses too; a page_id on two payloads is decided for each; payloads under MIN_BYTES are all
+responses; no pages give no records.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, prepare, shared_dir
+from .common import attach, hot_keys, keep, prepare, shared_dir
 
 MIN_BYTES = 100
 #: Bytes in one range of the reader, read at a time, and inflated at a time while a header is validated (it may be of any length).
@@ -58,12 +60,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
     return squeeze.compress(head + payload + b"\r\n\r\n") + squeeze.flush()
 
 
-def decide(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, refers_to of the pages that only repeat another's payload."""
-    body = F.coalesce(F.col(f"`{html}`"), F.lit(""))
-    small = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.sha2(body, 256).alias("d"), F.octet_length(body).alias("n")).where(F.col("n") >= min_bytes).drop("n")
-    groups = small.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    return small.join(groups, "d").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+def decide(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """page_id, url, html and refers_to (null: a response) of each row of `pages`."""
+    body = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").alias("html")).withColumn("d", F.sha2(body, 256))
+    each = rows.select("d", "page_id", F.octet_length(body).alias("bytes")).groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+    groups = keep(each.where("n > 1"), "digests")
+    to = groups.select("d", F.when(F.col("bytes") >= min_bytes, F.col("first")).alias("to"))
+    decided = attach(rows, to, "d", "left", heavy=hot_keys(groups, "d", groups, pages.count()), counted=True)
+    return decided.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("to")), F.col("to")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -72,9 +77,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
-    repeats = decide(pages, page_id, html, min_bytes)
-    src = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").alias("html"))
-    rows = src.join(repeats.withColumnRenamed("page_id", "__p"), F.col("page_id") == F.col("__p"), "left").select("page_id", "url", "html", "refers_to")
+    rows = decide(pages, page_id, url, html, min_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
