@@ -4,6 +4,10 @@ Texts are cut by the vocabulary's pattern. The distinct pieces of a batch that a
 met before become token-position rows in DuckDB; a recursive query joins neighbouring tokens with
 the merge table and contracts each piece's leftmost minimum-rank pair until nothing joins. Ids
 are decoded by an ordered aggregation over (document, position, id) rows joined to the vocabulary.
+A piece of over LONG bytes is cut into stretches that are encoded like pieces. Ids are the encoding of a whole if every two
+neighbours among them are the encoding of their own bytes; so only the ids around the cuts where that fails are encoded
+again, over more and more of both sides until their outer neighbours agree. The work is in proportion to the piece's length, but for
+a piece whose encoding depends on all that stands before (such as one letter, repeated), which the query then takes whole.
 Spark partitions the documents; nothing is shuffled and only the vocabulary (a fixed file) is broadcast.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows are
@@ -51,7 +55,7 @@ SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids
 FROM step JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it) GROUP BY w
 """
 
-#: Long pieces: every occurrence of the least-ranked pair is contracted in one round where that can't change the
+#: Stretches over LONG bytes that have to be encoded in one: every occurrence of the least-ranked pair is contracted in one round where that can't change the
 #: result: no pair made with the new token may rank below it (column safe). Overlapping occurrences
 #: (aaaa) are taken from the left, every second one.
 ENCODE_LONG = """
@@ -75,10 +79,9 @@ SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids
 FROM step JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it) GROUP BY w
 """
 
-#: One thread and kept insertion order: the aggregation takes the rows of a document as sorted. Bytes travel as
-#: characters of the same number.
+#: Ordered aggregation. Bytes travel as characters of the same number.
 DECODE = """
-SELECT doc, string_agg(ch, '') AS chars FROM (SELECT doc, pos, ch FROM tokens JOIN vocab USING (id) ORDER BY doc, pos) GROUP BY doc
+SELECT doc, string_agg(ch, '' ORDER BY pos) AS chars FROM tokens JOIN vocab USING (id) GROUP BY doc
 """
 
 
@@ -113,6 +116,7 @@ class Coder:
         vocab = pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "ch": [t.decode("latin-1") for t in tokens]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merged")
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
+        self.tokens, self.neighbours = tokens, {}
         self.rank = {t: k for k, t in enumerate(tokens)}
         self.byte_id = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
         self.pattern, self.fast = regex.compile(pattern), _latin(pattern)
@@ -136,16 +140,70 @@ class Coder:
             else:
                 self.known[p] = str(k)
         hard.sort(key=len)  # pieces of like length need like numbers of rounds
-        for query, some in ((ENCODE, [p for p in hard if len(p.encode()) <= LONG]), (ENCODE_LONG, [p for p in hard if len(p.encode()) > LONG])):
+        raw = [p.encode() for p in hard]
+        short = [k for k, r in enumerate(raw) if len(r) <= LONG]
+        for k, ids in zip(short, self.contract([raw[k] for k in short]), strict=True):
+            self.known[hard[k]] = ids
+        for k, r in enumerate(raw):
+            if len(r) > LONG:
+                self.known[hard[k]] = " ".join(map(str, self.encode_long(r)))
+
+    def contract(self, raw: list[bytes]) -> list[str]:
+        """The ids, joined by one space, of stretches of bytes, by the recursive queries."""
+        out = [""] * len(raw)
+        for query, some in ((ENCODE, [k for k, r in enumerate(raw) if len(r) <= LONG]), (ENCODE_LONG, [k for k, r in enumerate(raw) if len(r) > LONG])):
             for at in range(0, len(some), QUERY_PIECES):
                 part = some[at : at + QUERY_PIECES]
-                raw = [p.encode() for p in part]
-                size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-                word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+                size = np.array([len(raw[k]) for k in part], dtype=np.int64)
+                word = np.repeat(np.arange(len(part), dtype=np.int32), size)
                 pos = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
-                start = pa.table({"w": word, "pos": pos, "id": self.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)]})  # noqa: F841
+                start = pa.table({"w": word, "pos": pos, "id": self.byte_id[np.frombuffer(b"".join(raw[k] for k in part), dtype=np.uint8)]})  # noqa: F841
                 for w, ids in self.con.execute(query).fetchall():
-                    self.known[part[w]] = ids
+                    out[part[w]] = ids
+        return out
+
+    def agree(self, pairs: set[tuple[int, int]]) -> None:
+        """Learn which pairs of ids are the encoding of their own bytes."""
+        new = [p for p in pairs if p not in self.neighbours]
+        if len(self.neighbours) + len(new) > CACHE_PIECES:
+            self.neighbours.clear()
+            new = list(pairs)
+        made = self.contract([self.tokens[a] + self.tokens[b] for a, b in new])
+        self.neighbours.update((p, ids == f"{p[0]} {p[1]}") for p, ids in zip(new, made, strict=True))
+
+    def encode_long(self, raw: bytes) -> list[int]:
+        """The ids of a long piece, from those of its stretches."""
+        cut = [raw[k : k + LONG] for k in range(0, len(raw), LONG)]
+        parts = [list(map(int, ids.split())) for ids in self.contract(cut)]
+        wide = [2] * len(parts)  # ids on either side of the cut before each part that are encoded again
+        while True:
+            cuts = {k: (parts[k - 1][-1], parts[k][0]) for k in range(1, len(parts))}
+            self.agree(set(cuts.values()))
+            open_ = [k for k, pair in cuts.items() if not self.neighbours[pair]]
+            if not open_:
+                return [x for p in parts for x in p]
+            # a cut takes at most half of either part, so that neighbouring cuts don't meet
+            fits = [k for k in open_ if 2 * wide[k] < min(len(parts[k - 1]), len(parts[k]))]
+            again = [parts[k - 1][-wide[k] :] + parts[k][: wide[k]] for k in fits]
+            made = [list(map(int, x.split())) for x in self.contract([b"".join(map(self.tokens.__getitem__, a)) for a in again])]
+            ends = [((parts[k - 1][-wide[k] - 1], m[0]), (m[-1], parts[k][wide[k]])) for k, m in zip(fits, made, strict=True)]
+            self.agree({p for e in ends for p in e})
+            for k, m, (left, right) in zip(fits, made, ends, strict=True):
+                if self.neighbours[left] and self.neighbours[right]:
+                    w = wide[k]
+                    parts[k - 1], parts[k] = parts[k - 1][:-w] + m[:1], m[1:] + parts[k][w:]
+                else:
+                    wide[k] *= 2
+            # parts that are too short for their cut become one, cut from anew
+            joined, wider, last = [], [], -2
+            for k, (p, w) in enumerate(zip(parts, wide, strict=True)):
+                if k in open_ and k not in fits and last < k - 1:
+                    whole = b"".join(map(self.tokens.__getitem__, joined[-1] + p))
+                    joined[-1], last = list(map(int, self.contract([whole])[0].split())), k
+                else:
+                    joined.append(p)
+                    wider.append(w)
+            parts, wide = joined, wider
 
     def encode(self, texts: list[str]) -> list[str]:
         """For each text its ids in decimal, joined by one space."""
