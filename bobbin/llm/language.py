@@ -51,6 +51,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """A model from the rows of `docs` that have a language and a letter. Filter `docs` first to hold rows out."""
     prepare(docs.sparkSession)
     named = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    # a hash below this share of its range leaves about twice the rows wanted of each language, so only those meet in one
+    # task; at most `rows` languages (the first by name) can be chosen from, so their counts may be broadcast
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n_lang")).orderBy("lang").limit(rows)
+    share = F.lit(2.0 * per_language) / F.col("n_lang")
+    named = named.join(F.broadcast(sizes), "lang").where(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= share).drop("n_lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = named.withColumn("n", place).where(F.col("n") <= per_language).orderBy("n", "lang").limit(rows)
     src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), "doc_id").select("lang", "n", "doc_id", "text")
