@@ -8,8 +8,9 @@ use and the toxic ones don't, or one that the caller names) doesn't count. Weigh
 normalised by length, and a logistic curve over the sum and the density makes the score.
 
 Fitting. At most FIT_ROWS labelled documents of each class (the least by hash of doc_id) are read; that bound is a
-parameter. Entries are counted in Spark, at most LEXICON of them reach the driver, and the curve is fitted on three
-numbers of each sampled document. Scoring is a pass without a shuffle.
+parameter. Entries are counted in Spark; all that reach SUPPORT and MIN_ODDS form the lexicon (each occurs in SUPPORT of the
+FIT_ROWS toxic documents, so their number is bounded by what these hold), and the curve is fitted on three numbers of
+each sampled document. Scoring is a pass without a shuffle.
 
 Defined results: null and empty texts score as texts without matches; without both classes among the labels
 every score is the share of toxic labels (0 if none); repeated rows are scored each.
@@ -27,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, spare
 
-FIT_ROWS, LEXICON, STEMS = 6_000, 4_000, (4, 5, 6, 7)
+FIT_ROWS, STEMS = 6_000, (4, 5, 6, 7)
 #: Least toxic documents that hold an entry, and least log odds.
 SUPPORT, MIN_ODDS = 6, 2.5
 #: Look-alikes in other scripts, then substitutions.
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not clean or not toxic:
         return {"lexicon": {}, "exceptions": [], "curve": None, "base": toxic / max(1, clean + toxic)}
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    top = counts.where((F.col("entry") != "") & (F.col("toxic") >= SUPPORT)).withColumn("w", odds).where(F.col("w") >= MIN_ODDS).orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "entry").limit(LEXICON).collect()
+    top = counts.where((F.col("entry") != "") & (F.col("toxic") >= SUPPORT)).withColumn("w", odds).where(F.col("w") >= MIN_ODDS).select("entry", "w").collect()
     model = {"lexicon": {r["entry"]: float(r["w"]) for r in top}, "exceptions": [fold(x).strip() for x in exceptions], "curve": None, "base": 0.0}
     first = spark.sparkContext.broadcast(model)
 
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     seen.update((p, y) for p in own)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([n if not y else 0 for (_, y), n in seen.items()], pa.int64()), pa.array([n if y else 0 for (_, y), n in seen.items()], pa.int64())], names=["pair", "clean", "toxic"])
 
-    learned = src.mapInArrow(pairs, "pair string, clean long, toxic long").groupBy("pair").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("clean") >= SUPPORT) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "pair").limit(LEXICON).collect()
+    learned = src.mapInArrow(pairs, "pair string, clean long, toxic long").groupBy("pair").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("clean") >= SUPPORT) & (F.col("toxic") == 0)).select("pair").collect()
     model["exceptions"] += [r["pair"] for r in learned]
     shared = spark.sparkContext.broadcast(model)
 
@@ -191,6 +193,4 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
                     got.append(float(1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * a + curve[2] * b, -30, 30)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], names=[*(f.name for f in carried), out])
 
-    from pyspark.sql import types as T
-
     return src.mapInArrow(run, T.StructType([*carried, T.StructField(out, T.DoubleType())]))
