@@ -104,7 +104,7 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hea
         return rows.join(lookup, key, how)
     heavy = F.broadcast(heavy)
     mix = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-    salted = rows.join(heavy, key, "left").withColumn("__salt", F.when(F.col(f"`{key}`").isNull(), mix.cast("int")).otherwise(F.pmod(mix, F.coalesce("__salts", F.lit(1))).cast("int"))).drop("__salts")
+    salted = rows.join(heavy, key, "left").withColumn("__salt", F.pmod(mix, F.when(F.col(f"`{key}`").isNull(), F.lit(1 << 30)).otherwise(F.coalesce("__salts", F.lit(1)))).cast("int")).drop("__salts")
     copies = lookup.join(heavy, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return salted.join(copies, [key, "__salt"], how).drop("__salt")
 

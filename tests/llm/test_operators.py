@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bobbin.llm import bpe, components, decontaminate, exact_dedup, language, licences, near_dedup, pii, sharding, toxicity, warc
 from bobbin.llm import queries as Q
@@ -60,6 +61,7 @@ def test_bpe_long_and_odd_pieces():
     coder = bpe.Coder(tokens, bpe.merge_table(tokens), P.PATTERN)
     rng = np.random.default_rng(5)
     texts = ["".join(map(chr, rng.choice([97, 98, 99, 101, 110, 116, 233, 0x4E2D], n))) for n in (1, 2, 30, 65, 66, 400, 2000)]
+    texts += ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000)), "a" * 30_000, " " + "=" * 900, "".join(rng.choice(WORDS, 5000))]
     texts += ["ab" * 500, "aab" * 333, "=" * 700, " " * 90, "\x1c\x85　x    y"]
     assert [list(map(int, x.split())) for x in coder.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
 
@@ -75,14 +77,61 @@ def test_decontamination_finds_edited_items(spark, docs, empty):
     assert decontaminate.find_items(empty, items).count() == 0 and decontaminate.find_items(docs, items.where("item_id > 9")).count() == 0
 
 
-def test_lsh_recall_reaches_target():
-    rng, hit = np.random.default_rng(3), 0
-    for _ in range(200):
-        item = rng.integers(1, 500, 35)
-        other = item.copy()
-        other[rng.choice(35, 7, replace=False)] = 0
-        hit += bool(set(decontaminate.lsh_keys(item[None, :])[0]) & set(decontaminate.lsh_keys(other[None, :])[0]))
-    assert hit >= 190
+def edited(rng, words, k, mode):
+    x = list(words)
+    for j in range(k):
+        if mode == "changed front":
+            x[j] = "quux"
+        elif mode == "lost front":
+            x.pop(0)
+        elif mode == "longer front":
+            x.insert(1, "quux")
+        elif mode == "changed end":
+            x[-1 - j] = "quux"
+        else:
+            at, how = rng.integers(len(x)), rng.integers(3)
+            x[at : at + (how != 1)] = [] if how == 2 else ["quux"]
+    return x
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    vocab = [f"w{k}" for k in range(300)]
+    share = 1 / np.arange(1, 301)
+    pick = lambda n: rng.choice(vocab, n, p=share / share.sum()).tolist()
+    items = [(k, pick(n)) for k, n in enumerate((3, 5, 9, 14, 20, 35, 59) * 4)]
+    modes = ("any", "any", "changed front", "lost front", "longer front", "changed end")
+    docs = [" ".join(pick(25) + edited(rng, x, decontaminate.edits(len(x), 0.8), m) + pick(25)) for _, x in items for m in modes]
+    index = decontaminate.Index([(k, " ".join(x)) for k, x in items], 0.8)
+    want = set()
+    for d, t in enumerate(docs):
+        ids = decontaminate._numbers(index, [t])[0]
+        want |= {(d, k) for k, x in enumerate(index.items) if decontaminate.best_stretch(x, ids)[0] <= index.reach[k]}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_items(df, bench).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
+    left = {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()}
+    assert left == set(range(len(docs))) - {d for d, _ in got}
+
+
+def test_lsh_keys_tell_windows_apart():
+    rng = np.random.default_rng(4)
+    for n in (5, 12, 35, 59):
+        a, b = rng.integers(1, 400, (200, n)), rng.integers(1, 400, (200, n))
+        ka, kb = decontaminate.lsh_keys(a), decontaminate.lsh_keys(b)
+        met = ((ka == kb) & (ka > 0)).any(axis=1)
+        assert met.mean() <= 0.15 and ((ka > 0).any(axis=1)).all()
+
+
+def test_decontamination_of_odd_rows(spark, docs, empty):
+    items = spark.createDataFrame([(None, prose(2, 40), "t", 1), (7, prose(2, 40), "t", 1), (7, prose(2, 40), "t", 1), (8, None, "t", 1)], "item_id long, text string, doc_id string, rep long")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.find_items(docs, items).collect()]
+    assert sorted(got, key=str) == sorted([(d, i) for d in (9, 10) for i in (7, 7, None)], key=str)
+    twice = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(9, "only here", "en"), (None, prose(2, 60), "en")], "doc_id long, text string, lang string"))
+    left = decontaminate.drop_contaminated(twice, items)
+    assert left.columns == twice.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i in [i for i, _ in ROWS if i not in (9, 10)] + [9])
+    assert decontaminate.drop_contaminated(docs, items.where("item_id > 9")).count() == len(ROWS) and decontaminate.drop_contaminated(empty, items).count() == 0
 
 
 def test_shards_are_contiguous_and_near_equal(docs, empty):
@@ -96,6 +145,31 @@ def test_shards_are_contiguous_and_near_equal(docs, empty):
     assert sharding.shard_by_bytes(empty, 4).count() == 0
 
 
+def shard_sizes(rows, n):
+    return [sum(r.size for r in rows if r.shard == s) for s in range(n)]
+
+
+def test_shards_keep_equal_texts_together(spark):
+    rng = np.random.default_rng(6)
+    texts = ["hot" * 30] * 2000 + [t for k in range(40) for t in [f"copy {k} " + "y" * int(rng.integers(20, 400))] * int(rng.integers(2, 60))] + ["z" * int(rng.integers(10, 300)) + str(k) for k in range(3000)]
+    df = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    rows = sharding.shard_by_bytes(df, 10).collect()
+    sizes, target = shard_sizes(rows, 10), sum(len(t) + 16 for t in texts) / 10
+    assert len(rows) == len(texts) and max(sizes) <= 1.04 * target and min(sizes) >= 0.96 * target
+    homes = {}
+    for r in rows:
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+    hot = zlib.crc32(b"hot" * 30)
+    assert all(len(v) == 1 for k, v in homes.items() if k != hot) and len(homes[hot]) <= 2000 * 106 // target + 2
+    for s in range(10):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_shards_of_one_repeated_row(spark):
+    rows = sharding.shard_by_bytes(spark.createDataFrame([(1, "same")] * 400, "doc_id long, text string"), 4).collect()
+    assert sorted(shard_sizes(rows, 4)) == [2000] * 4 and len({(r.shard, r.slot) for r in rows}) == 400
+
+
 def shingles(t, width):
     w = re.findall(r"[^ \t-\r]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
     return frozenset([tuple(w)] if 0 < len(w) < width else zip(*[w[i:] for i in range(width)]))
@@ -129,6 +203,35 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty, width):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+TWICE = [(5, "only here " * 9), (5, "shared " + prose(4, 30)), (9, "shared " + prose(4, 30)), (None, "shared " + prose(4, 30)), (None, "lone " + prose(8, 30)), (None, "lone " + prose(8, 30)), (3, "twin " + prose(9, 30)), (3, "twin " + prose(9, 30)), (2, None), (1, "")]
+
+
+def test_one_id_on_two_texts_and_rows_without_id(spark):
+    df = spark.createDataFrame([(i, t, k, "c") for k, (i, t) in enumerate(TWICE)], "doc_id long, text string, whole long, rep string")
+    got = sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in exact_dedup.exact_duplicates(df).collect())
+    assert got == sorted(map(str, [(5, 5, 1, True), (5, 9, 3, False), (9, 9, 3, True), (None, 9, 3, False), *[(None, None, 2, True)] * 2, *[(3, 3, 2, True)] * 2, (2, 2, 2, True), (1, 2, 2, False)]))
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted([("5", TWICE[0][1]), ("9", TWICE[2][1]), ("None", TWICE[4][1]), ("3", TWICE[6][1]), ("2", "")])
+    near = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 0.8, 4).collect()}
+    assert near == {(5, 5, True), (9, 5, False), (None, 5, False), (None, None, True), (3, 3, True), (2, 2, True), (1, 1, True)}
+    left = near_dedup.drop_near_copies(df, 0.8, 4)
+    assert left.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted([("5", TWICE[0][1]), ("5", TWICE[1][1]), ("None", TWICE[4][1]), ("3", TWICE[6][1]), ("2", ""), ("1", "")])
+
+
+def test_hot_keys_are_dealt(spark):
+    from bobbin.llm import common
+
+    rows = spark.createDataFrame([(1 if k < 3000 else None if k < 5000 else k, k) for k in range(9000)], "key long, own long")
+    look = spark.createDataFrame([(1, "a"), (6000, "b"), (6001, "c")], "key long, v string")
+    for how, n in (("inner", 3002), ("left", 9000)):
+        out = common.attach(rows, look, "key", how)
+        assert out.count() == n and out.where("v = 'a'").count() == 3000 and out.columns == ["key", "own", "v"]
+    heavy = common.hot_keys(rows, "key").collect()
+    assert [r.key for r in heavy] == [1] and heavy[0][1] > 300
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
@@ -244,6 +347,28 @@ def test_pii_secrets_without_digits_and_of_any_length(spark):
     assert got == {**{i: [("secret", f"password={k}")] for i, k in enumerate(keys)}, len(keys): []}
 
 
+def test_licence_full_texts_and_blocks(spark, docs):
+    rows = []
+    for name, t in licences.FULL_TEXTS.items():
+        words = t.replace("[[", "").replace("]]", "").split()
+        for k in (7, len(words) // 2, len(words) - 9):
+            rows.append((name, f"{prose(k, 12)} {' '.join([*words[:k], 'quux', *words[k + 1 :]])} {prose(k + 1, 5)}"))
+    df = spark.createDataFrame([(k, t, "x", "y") for k, (_, t) in enumerate(rows)], "doc_id long, text string, hits string, licence string").unionByName(docs.select("doc_id", "text", F.lit("x").alias("hits"), F.lit("y").alias("licence")).where("doc_id = 10"))
+    whole = sorted(map(tuple, licences.find_licences(df).collect()))
+    wide = {(r[0], r[1]) for r in whole if r[3] - r[2] > 100}
+    assert {(k, name) for k, (name, _) in enumerate(rows)} <= wide
+    assert sorted(map(tuple, licences.find_licences(df, block_bytes=2000).collect())) == whole
+    assert [r for r in whole if r[0] == 10 and r[0] >= len(rows)] == []
+
+
+def test_warc_one_id_on_two_payloads(spark):
+    p, r = "<html>" + "p" * 200, "<html>" + "r" * 200
+    rows = [(2, "u", p), (2, "u", r), (1, "u", p), (None, "u", p), (None, "u", "<html>" + "s" * 200), (1, "u", p)]
+    pages = spark.createDataFrame([(*x, "d") for x in rows], "page_id long, url string, html string, d string")
+    got = sorted(((r_.page_id or 0), r_.record_type, r_.refers_to or 0, bytes(r_.payload)[-1:]) for r_ in warc.read_archives(warc.write_archives(pages)).collect())
+    assert got == sorted([(2, "revisit", 1, b""), (2, "response", 0, b"r"), (1, "response", 0, b"p"), (0, "revisit", 1, b""), (0, "response", 0, b"s"), (1, "response", 0, b"p")])
+
+
 def test_warc_headers_of_any_length(spark):
     rng = np.random.default_rng(8)
     noise = lambda n: "".join(map(chr, rng.integers(33, 126, n)))
