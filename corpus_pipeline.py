@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; run() writes each
 result as Parquet in the shared folder and reads it as the next stage's docs. All but the last return the columns of
 `documents`.
+
+Defined results, for every stage: rows are told apart by doc_id and text, so a doc_id on two texts is judged for each and a null
+doc_id like any other; null and empty texts are clean, equal to each other, near to nothing, hold no benchmark item and have
+no tokens; of rows that repeat a doc_id and its text one is left by the exact stage; other columns are carried along; no rows give no
+rows. Details stand in the operators' docstrings.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bobbin.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
-from bobbin.llm.common import crc_bucket, keep, table
+from bobbin.llm.common import crc_bucket, keep, made, sweep, table
 
 #: Documents whose toxicity score reaches this go.
 TOXIC = 0.5
@@ -34,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, as a whole; rows are dropped where they are read."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -54,6 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    first = made()
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, first, docs)  # what the stage wrote on its way, and its predecessor's result
     return docs
