@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Licence families in the order they are tried.
-FAMILIES = (
-    ("GPL", r"(?i)general public licen[sc]e|\bGPL\b"),
-    ("OFL", r"(?i)open font licen[sc]e|\bOFL\b"),
-    ("CC-BY-NC", r"(?i)\bCC BY-NC\b"),
-    ("CC-BY-ND", r"(?i)\bCC BY-ND\b"),
-    ("CC-BY-SA", r"(?i)\bCC BY-SA\b"),
-    ("CC-BY", r"(?i)\bCC BY\b"),
-    ("CC0", r"(?i)\bCC0\b"),
-)
+#: Patterns of licence names (any case), tried in this order after the restricted Creative Commons forms.
+GPL, OFL, CC_ZERO = "GNU General Public License|GPL", "SIL Open Font License|OFL", "public domain|CC0"
+CC_PARTS, NC, ND = r"CC[- ]BY((?:[- ](?:NC|ND|SA)\b){1,3})", r"\bNonCommercial\b", r"\bNoDerivat(?:ive|ion)s?\b|\bNoDerivs\b"
+CC_VERSION = r"CC[- ]BY(?:[- ](?:NC|ND|SA))+[^0-9]{0,10}([0-9])\s*\.\s*([0-9])"
+CC_SA, CC_SA_VERSION = r"CC[- ]BY[- ]SA", r"CC[- ]BY[- ]SA[^0-9]{0,10}([0-9]\.[0-9])"
+CC_BY, CC_BY_VERSION = r"CC[- ]BY", r"CC[- ]BY[^0-9]{0,10}([0-9]\.[0-9])"
+NO_LICENSE = "SEE-LICENSE-FILE"
 #: Named colours.
 NAMED = {"black": "000000", "white": "ffffff", "red": "ff0000", "green": "008000", "blue": "0000ff", "yellow": "ffff00", "gray": "808080", "grey": "808080", "orange": "ffa500", "purple": "800080"}
 
 
-def license_family(text: Column) -> Column:
-    out = None
-    for name, pattern in FAMILIES:
-        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
-    return out.otherwise("SEE-LICENSE-FILE")
+def license_id(text: Column) -> Column:
+    """The licence that a text names: GPL and OFL first, then Creative Commons with NC or ND before SA before BY, then CC0."""
+    t = F.coalesce(text, F.lit(""))
+    holds = lambda p: t.rlike(f"(?i){p}")
+    found = lambda p, k=1: F.regexp_extract(t, f"(?i){p}", k)
+    parts = found(CC_PARTS)
+    named = lambda x: parts.rlike(rf"(?i)\b{x}\b")
+    nc, nd = holds(NC) | named("NC"), holds(ND) | named("ND")
+    tag = lambda yes, x: F.when(yes, x).otherwise("")
+    version = lambda v: F.when(v == "", "4.0").otherwise(v)
+    spaced = F.when(found(CC_VERSION) == "", "").otherwise(F.concat_ws(".", found(CC_VERSION), found(CC_VERSION, 2)))
+    restricted = F.concat(F.lit("CC-BY-"), tag(nc, "NC-"), tag(nd, "ND-"), tag(named("SA"), "SA-"), version(spaced))
+    out = F.when(holds(GPL), "GPL-3.0").when(holds(OFL), "OFL-1.1").when(nc | nd, restricted)
+    out = out.when(holds(CC_SA), F.concat(F.lit("CC-BY-SA-"), version(found(CC_SA_VERSION)))).when(holds(CC_BY), F.concat(F.lit("CC-BY-"), version(found(CC_BY_VERSION))))
+    return out.when(holds(CC_ZERO), "CC0").otherwise(NO_LICENSE)
 
 
 def strip_emails(text: Column) -> Column:
@@ -71,3 +78,8 @@ def attr_map(tag: Column) -> Column:
 
 def safe_stem(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(label, "[^A-Za-z0-9._-]+", "_"), r"^[_.]+|[_.]+$", "")
+
+
+def override(df: DataFrame, own: DataFrame, key: str, column: str) -> DataFrame:
+    """`df` with the value that the lookup `own` (key, column) gives a key in place of its own."""
+    return df.join(own.withColumnRenamed(column, "__own"), key, "left").withColumn(column, F.coalesce("__own", F.col(column))).drop("__own")

@@ -154,12 +154,6 @@ def _(s):
     return s.select("event_id", K.content_key(F.col("content_key"), config).alias("key"), K.generation_key(F.col("content_key"), config).alias("generation"))
 
 
-@query("x1_license_id", "v_licences", sql="""SELECT font_id, CASE WHEN REGEXP_MATCHES(license, '(?i)general public licen[sc]e|\\bGPL\\b') THEN 'GPL' WHEN REGEXP_MATCHES(license, '(?i)open font licen[sc]e|\\bOFL\\b') THEN 'OFL' WHEN REGEXP_MATCHES(license, '(?i)\\bCC BY-NC\\b') THEN 'CC-BY-NC'
- WHEN REGEXP_MATCHES(license, '(?i)\\bCC BY-ND\\b') THEN 'CC-BY-ND' WHEN REGEXP_MATCHES(license, '(?i)\\bCC BY-SA\\b') THEN 'CC-BY-SA' WHEN REGEXP_MATCHES(license, '(?i)\\bCC BY\\b') THEN 'CC-BY' WHEN REGEXP_MATCHES(license, '(?i)\\bCC0\\b') THEN 'CC0' ELSE 'SEE-LICENSE-FILE' END AS license_id FROM v_licences""")
-def _(d):
-    return d.select("font_id", X.license_family(F.col("license")).alias("license_id"))
-
-
 @query("x2_strip_emails", "v_licences", sql="""SELECT font_id, SHA256(TRIM(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(license, '[(<][^()<> ]+@[^()<> ]+[)>]', '', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '', 'g'), ' {2,}', ' ', 'g'))) AS text_hash FROM v_licences""")
 def _(d):
     return d.select("font_id", F.sha2(X.strip_emails(F.col("license")), 256).alias("text_hash"))

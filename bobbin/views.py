@@ -65,12 +65,29 @@ FROM events""",
     "v_signals": """SELECT c_custkey AS image_id, (c_custkey % 100) / 100 AS ucm, (c_custkey % 37) / 4 AS grad, (c_custkey % 10) / 10 AS alpha,
        c_mktsegment AS forced_class
 FROM customer""",
+    "v_font_glyphs": """SELECT font_id, CHR(CAST(CASE WHEN k < 26 THEN 65 + k WHEN k < 36 THEN 71 + k ELSE 12 + k END AS INT)) AS ch, adv, cols, run_len_mm,
+       CASE WHEN cols > 0 THEN tall END AS col_height_u, CASE WHEN run_len_mm IS NOT NULL THEN tall + 3 END AS run_height_u
+FROM (
+  SELECT *, CASE WHEN font_id % 9 = 4 OR (n * 7 + p_size) % 23 = 0 THEN 0 ELSE CAST((n * 7 + p_size) % 11 + 1 AS INT) END AS cols
+  FROM (
+    SELECT CAST(FLOOR((p_partkey - 1) / 40) AS BIGINT) AS font_id, (p_partkey - 1) % 40 AS k, p_partkey AS n, p_size, CAST(p_size - 1 AS INT) AS adv,
+           CASE WHEN p_size % 3 = 0 THEN NULL ELSE 2.5 END AS run_len_mm,
+           CAST(CASE WHEN p_partkey % 97 = 0 THEN 1900 WHEN p_partkey % 53 = 0 THEN 60 ELSE 200 + (p_partkey * 37) % 300 END AS INT) AS tall
+    FROM part) g) h""",
+    "v_fonts": """SELECT font_id, CONCAT('f', CAST(font_id AS STRING)) AS key,
+       CASE WHEN font_id % 7 = 3 THEN NULL ELSE CONCAT(CASE font_id % 5 WHEN 1 THEN 'Bead/' WHEN 2 THEN 'ABC' ELSE '@#~' END, CASE WHEN font_id % 2 = 0 THEN '' ELSE CAST(font_id AS STRING) END) END AS name,
+       CASE font_id % 13 WHEN 0 THEN 'SIL Open Font License 1.1' WHEN 1 THEN 'CC-BY-SA 4.0' WHEN 2 THEN 'labelled CC-BY-NC-SA4 .0' WHEN 3 THEN 'GPLv3' WHEN 4 THEN 'this is public domain'
+         WHEN 5 THEN 'CC BY 3.0' WHEN 6 THEN 'a NonCommercial font' WHEN 7 THEN 'OFL-1.1' WHEN 8 THEN 'CC BY-ND 2.5' WHEN 9 THEN 'CC BY 4.0' WHEN 10 THEN 'CC0' WHEN 11 THEN 'made at home' END AS license
+FROM (SELECT DISTINCT CAST(FLOOR((p_partkey - 1) / 40) AS BIGINT) AS font_id FROM part) f""",
+    #: Garments.
     "v_garments": """SELECT garment_id, CAST(width_in AS DOUBLE) AS width_in, CAST(height_in AS DOUBLE) AS height_in, fabric_id
 FROM (VALUES ('hat_front', 5.0, 2.25, 'structured_cap'), ('left_chest', 4.0, 4.0, 'pique_knit'), ('full_back', 12.0, 12.0, 'fleece_sweatshirt'),
              ('beanie', 4.5, 2.5, 'jersey_tee'), ('sleeve', 3.0, 3.0, 'jersey_tee'), ('tote', 8.0, 8.0, 'canvas_tote'),
              ('jacket_back', 12.0, 10.0, 'canvas_tote'), ('patch', 3.5, 3.5, 'canvas_tote'), ('towel', 6.0, 6.0, 'terry_towel'),
              ('blanket', 10.0, 8.0, 'fleece_sweatshirt')) AS g(garment_id, width_in, height_in, fabric_id)""",
+    #: Hoops.
     "v_hoops": "SELECT * FROM (VALUES (0, '4x4', 100, 100), (1, '5x7', 130, 180), (2, '6x10', 160, 250), (3, '8x8', 200, 200)) AS h(ord, hoop_id, width_mm, height_mm)",
+    #: Fabrics.
     "v_fabrics": """SELECT fabric_id, CAST(density_adjust AS DOUBLE) AS density_adjust, CAST(trim_at_mm AS DOUBLE) AS trim_at_mm
 FROM (VALUES ('structured_cap', 1.0, 3.0), ('pique_knit', 1.0, 3.0), ('jersey_tee', 1.0, 3.0), ('fleece_sweatshirt', 0.9, 3.5),
              ('canvas_tote', 1.0, 3.0), ('terry_towel', 0.85, 4.0), ('woven_dress', 1.0, 3.0)) AS f(fabric_id, density_adjust, trim_at_mm)""",

@@ -97,3 +97,24 @@ def test_chart_is_whole_and_its_colors_stand_for_all_threads(spark):
         near = {c: min(near[c], far(c, best)) for c in near}
     colors = s.groupBy("r", "g", "b").agg({"*": "count"}).withColumnRenamed("count(1)", "weight")
     assert K.select_palette(colors, t.where("r < 12"), 6) == chosen
+
+
+def test_licence_names_with_versions_and_restrictions(spark):
+    from bobbin.functions.text import license_id
+
+    said = {
+        "CC-BY-SA 4.0": "CC-BY-SA-4.0", "labelled CC-BY-NC-SA4 .0": "CC-BY-NC-SA-4.0", "GPLv3": "GPL-3.0", "this is public domain": "CC0", "a NonCommercial font": "CC-BY-NC-4.0", "OFL-1.1": "OFL-1.1",
+        "CC BY 3.0": "CC-BY-3.0", "CC BY-ND 2.5": "CC-BY-ND-2.5", "CC-BY-NC-ND 3.0": "CC-BY-NC-ND-3.0", "CC BY": "CC-BY-4.0", "made at home": "SEE-LICENSE-FILE", "": "SEE-LICENSE-FILE", "NoDerivs": "CC-BY-ND-4.0",
+    }
+    df = spark.createDataFrame(list(said.items()) + [(None, "SEE-LICENSE-FILE")], "text string, want string")
+    assert [r for r in df.withColumn("got", license_id(F.col("text"))).collect() if r.got != r.want] == []
+
+
+def test_glyphs_that_sew_nothing_are_unsupported(spark):
+    from bobbin.operators import glyphs as G
+
+    g = spark.createDataFrame([(1, "A", 10, 1, None, 300, None), (1, "b", 10, 0, None, None, None), (1, "C", 10, 0, 2.5, None, 80)], "font_id long, ch string, adv int, cols int, run_len_mm double, col_height_u int, run_height_u int")
+    t = spark.createDataFrame([(1, 1, "a bc Zz"), (2, 1, "AaC c")], "text_id long, font_id long, text string")
+    assert {r.text_id: r.unsupported for r in G.unsupported_chars(t, g).collect()} == {1: "bZz"}
+    f = spark.createDataFrame([(1, "f", "ACA"), (2, "g", "q")], "font_id long, key string, name string")
+    assert {r.font_id: r.sample for r in G.name_sample(f, g).collect()} == {1: "ACA", 2: "?"}
