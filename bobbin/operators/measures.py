@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import axial_mean, distance, kth
-from .stream import HOP_U, blocks, break_kinds, classify_runs, cut_gaps, design, reversals, runs, sample_segments, segments
+from .stream import HOP_U, break_kinds, classify_runs, cut_gaps, design, reversals, runs, sample_segments, segments
 
 #: Thread drawn per length of seam.
 THREAD_FACTOR = 1.35
@@ -41,7 +41,7 @@ def bbox(df: DataFrame) -> DataFrame:
 
 
 def block_summary(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
-    s = segments(df, hop_u).groupBy("design_id", "block").agg(F.count("*").alias("steps"), F.countDistinct("run").alias("runs"), *[kth(F.collect_list("len"), q).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)], (F.sum("len") * 0.1).alias("mm"))
+    s = segments(df, hop_u).groupBy("design_id", "block").agg(F.count("*").alias("steps"), F.countDistinct("run").alias("runs"), *[kth(F.collect_list("len"), q).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)], (F.sum("len") * 0.1).alias("mm"), *[F.min(F.least(f"{c}0", f"{c}1")).alias(f"min_{c}") for c in "xy"], *[F.max(F.greatest(f"{c}0", f"{c}1")).alias(f"max_{c}") for c in "xy"])
     return s
 
 
@@ -168,7 +168,3 @@ def paired_means(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     """Means of a metric before and after, over the designs that both have."""
     j = a.select("design_id", F.col(metric).alias("before")).join(b.select("design_id", F.col(metric).alias("after")), "design_id").where("before is not null and after is not null")
     return j.agg(F.count("*").alias("designs"), F.avg("before").alias("before"), F.avg("after").alias("after"))
-
-
-def block_pairs(df: DataFrame) -> DataFrame:
-    return blocks(df).groupBy("design_id", "block").agg(F.count("*").alias("records"))

@@ -111,12 +111,6 @@ def _(st):
     return r4(S.classify_runs(st), "median_len", "reversal_share")
 
 
-@query("w7_phase_labels", "v_stitches", sql=f"""WITH {TURNS}, z AS (SELECT *, LIST(len) OVER w AS l, AVG(CASE WHEN cos < -0.2 THEN 1.0 ELSE 0.0 END) OVER w AS rev FROM t WINDOW w AS (PARTITION BY design_id, run ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))
-SELECT design_id, block, run, seq, CASE WHEN LIST_SORT(l)[LEN(l) // 2 + 1] <= 12 THEN 'L' WHEN rev >= 0.5 THEN 'Z' WHEN rev = 0 THEN 'R' ELSE 'O' END AS label FROM z""")
-def _(st):
-    return S.phase_labels(st).drop("len")
-
-
 @query("w9_tail_lock", "v_stitches", sql=f"""WITH {RUNS} SELECT design_id, run, CAST(SUM(CASE WHEN len <= 8 THEN 1 ELSE 0 END) AS INT) AS tiny, SUM(CASE WHEN len <= 8 THEN 1 ELSE 0 END) >= 2 AS locked FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY design_id, run ORDER BY seq DESC) AS rn FROM s) q WHERE rn <= 4 GROUP BY 1, 2""")
 def _(st):
@@ -200,7 +194,7 @@ def _(st):
     return M.bbox(st)
 
 
-@query("a5_block_summary", "v_stitches", sql=f"WITH {RUNS} SELECT design_id, block, COUNT(*) AS steps, COUNT(DISTINCT run) AS runs, " + ", ".join(f"ROUND({KTH.format(v='len', q=q)}, 4) AS p{int(q * 100)}" for q in (0.1, 0.5, 0.9)) + ", ROUND(SUM(len) * 0.1, 3) AS mm FROM s GROUP BY 1, 2")
+@query("a5_block_summary", "v_stitches", sql=f"WITH {RUNS} SELECT design_id, block, COUNT(*) AS steps, COUNT(DISTINCT run) AS runs, " + ", ".join(f"ROUND({KTH.format(v='len', q=q)}, 4) AS p{int(q * 100)}" for q in (0.1, 0.5, 0.9)) + ", ROUND(SUM(len) * 0.1, 3) AS mm, MIN(LEAST(x0, x1)) AS min_x, MIN(LEAST(y0, y1)) AS min_y, MAX(GREATEST(x0, x1)) AS max_x, MAX(GREATEST(y0, y1)) AS max_y FROM s GROUP BY 1, 2")
 def _(st):
     return r4(M.block_summary(st), "p10", "p50", "p90").withColumn("mm", F.round("mm", 3))
 
@@ -238,9 +232,10 @@ def _(st):
 
 @query("a12_dominant_angle", "v_stitches", sql=f"""WITH {RUNS}, a AS (SELECT *, ATAN2(CAST(y1 - y0 AS DOUBLE), CAST(x1 - x0 AS DOUBLE)) AS th FROM s WHERE len > 0),
 g AS (SELECT design_id, run, SUM(SIN(2 * th) * len) AS sn, SUM(COS(2 * th) * len) AS cs, SUM(len) AS l, COUNT(*) AS n FROM a GROUP BY 1, 2)
-SELECT design_id, run, ROUND(SQRT(sn * sn + cs * cs) / l, 4) AS concentration, n FROM g""")
+SELECT design_id, run, CASE WHEN SQRT(sn * sn + cs * cs) / l > 0.01 THEN (CAST(ROUND(DEGREES(ATAN2(sn, cs)) / 2, 2) * 100 AS BIGINT) + 36000) % 18000 END AS angle_c, ROUND(SQRT(sn * sn + cs * cs) / l, 4) AS concentration, n FROM g""")
 def _(st):
-    return r4(M.dominant_angle(st), "concentration").drop("angle")
+    # hundredths of a degree; runs without a direction to speak of have none
+    return M.dominant_angle(st).select("design_id", "run", F.when(F.col("concentration") > 0.01, F.pmod((F.round("angle", 2) * 100 + 0.5).cast("long"), F.lit(18000))).alias("angle_c"), F.round("concentration", 4).alias("concentration"), "n")
 
 
 def cells_sql(view: str, tag: str) -> str:
@@ -295,11 +290,6 @@ def _(st):
     return M.class_census(st)
 
 
-@query("a22_stitch_length", "v_stitches", sql=f"WITH {WHOLE} SELECT design_id, COUNT(*) FILTER (len > 30) AS too_long, ROUND(MAX(len), 4) AS longest, ROUND(AVG(CASE WHEN len < 10 THEN 1 ELSE 0 END), 4) AS short_share, COUNT(*) AS n FROM s GROUP BY 1")
-def _(st):
-    return r4(M.stitch_length_check(st, 30), "longest", "short_share")
-
-
 @query("a39_pass_count", "v_stitches", sql=f"""WITH {SAMPLES}, o AS (SELECT design_id, seq, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY design_id ORDER BY seq) - 1) / 16.0) AS BIGINT) AS chunk FROM s)
 SELECT p.design_id, CAST(FLOOR(x / 10) AS BIGINT) AS cx, CAST(FLOOR(y / 10) AS BIGINT) AS cy, COUNT(DISTINCT chunk) AS passes FROM p JOIN o ON p.design_id = o.design_id AND p.seq = o.seq GROUP BY 1, 2, 3""")
 def _(st):
