@@ -76,35 +76,62 @@ def nearest_thread_lab(colors: DataFrame, threads: DataFrame) -> DataFrame:
     return c.crossJoin(_small(t)).groupBy("r", "g", "b").agg(F.min(F.struct(de.alias("delta_e"), "thread_idx")).alias("m")).select("r", "g", "b", "m.thread_idx", "m.delta_e")
 
 
+def snap_palette(shapes: DataFrame, threads: DataFrame) -> DataFrame:
+    """Each shape's nearest thread by CIEDE2000 and its label in the palette that is left: colours on one thread merge."""
+    spool = nearest_thread_lab(shapes, threads).select("r", "g", "b", "thread_idx")
+    used = spool.select("thread_idx").distinct().withColumn("label", (F.dense_rank().over(Window.orderBy("thread_idx")) - 1).cast("long"))
+    return shapes.drop("thread_idx").join(spool, ["r", "g", "b"]).join(used, "thread_idx").select("shape_id", "thread_idx", "label")
+
+
+def _against(colors: DataFrame, chart: DataFrame) -> DataFrame:
+    """Every colour (r, g, b and more) with every thread of the chart, and delta_e (CIEDE2000, rounded to 1e-6)."""
+    t = with_lab(chart, "lab_").select("thread_idx", *[F.col(f"lab_{c}").alias(f"t{c}") for c in "LAB"])
+    de = F.round(delta_e2000(tuple(F.col(f"lab_{x}") for x in "LAB"), tuple(F.col(f"t{x}") for x in "LAB")), 6)
+    return with_lab(colors, "lab_").crossJoin(_small(t)).withColumn("delta_e", de).drop("lab_L", "lab_A", "lab_B", "tL", "tA", "tB")
+
+
 def palette_costs(colors: DataFrame, threads: DataFrame) -> DataFrame:
-    """Distance of every colour to every thread (squared RGB), with the colour's own floor."""
-    t = threads.select("thread_idx", *[F.col(c).alias(f"t{c}") for c in "rgb"])
-    d2 = sum(((F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in "rgb"), F.lit(0))
-    pairs = colors.crossJoin(_small(t)).withColumn("d2", d2)
-    return pairs.withColumn("floor", F.min("d2").over(Window.partitionBy("r", "g", "b")))
+    """CIEDE2000 of every colour to every thread, with the colour's own floor."""
+    return _against(colors, threads).withColumn("floor", F.min("delta_e").over(Window.partitionBy("r", "g", "b")))
 
 
-def select_palette(colors: DataFrame, threads: DataFrame, k: int) -> list[int]:
-    """Greedy k-medoids: each round adds the thread that lowers the weighted total cost most, lowest index on ties.
+#: How far from its own best a colour may stay, and how near its best must be to ask for one more thread.
+NEAR_ENOUGH, WORTH_MORE, EXTRA = 4.5, 2.25, 3
 
-    `colors` has r, g, b and weight, one row a colour. A round is one aggregate over colours times the colours of the threads
-    not chosen yet, each by its lowest thread (equal colours have equal costs, so no other of them can be chosen in that round).
+
+def select_palette(colors: DataFrame, threads: DataFrame, k: int, extra: int = EXTRA) -> list[int]:
+    """Greedy k-medoids by CIEDE2000: each round adds the thread that lowers the weighted total cost most, lowest index on ties.
+
+    `colors` has r, g, b and weight, one row a colour. Rounds end when every colour lies within NEAR_ENOUGH of its floor, when
+    nothing improves, or at k threads; then up to `extra` more serve the colour of the greatest excess, while its floor is
+    WORTH_MORE or less. The chart is its distinct colours, each by its lowest thread. What the rounds keep is
+    the colours with their distance to the nearest thread chosen: a round is one aggregate over colours times chart.
     """
-    d2 = sum(((F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in "rgb"), F.lit(0))
-    far = 3 * 255 * 255
+    from .graph import checkpointed
+
+    costs = checkpointed(palette_costs(colors, chart_colors(threads)))
+    state = checkpointed(costs.groupBy("r", "g", "b").agg(F.first("weight").alias("weight"), F.first("floor").alias("floor")).withColumn("near", F.lit(1e9)))
     chosen: list[int] = []
-    rgb: list[tuple[int, int, int]] = []
-    for _ in range(k):
-        t = chart_colors(threads.where(~F.col("thread_idx").isin(chosen)) if chosen else threads).select("thread_idx", *[F.col(c).alias(f"t{c}") for c in "rgb"])
-        near = F.lit(far)
-        for own in rgb:
-            near = F.least(near, sum(((F.col(x) - v) * (F.col(x) - v) for x, v in zip("rgb", own, strict=True)), F.lit(0)))
-        cost = colors.withColumn("near", near).crossJoin(_small(t)).groupBy("thread_idx", "tr", "tg", "tb").agg(F.sum(F.col("weight") * F.least("near", d2)).alias("cost"))
-        best = cost.agg(F.min(F.struct("cost", "thread_idx", "tr", "tg", "tb")).alias("m")).first()["m"]
-        if best is None:
+
+    def add(thread: int) -> DataFrame:
+        own = costs.where(F.col("thread_idx") == thread).select("r", "g", "b", "delta_e")
+        chosen.append(thread)
+        return checkpointed(state.join(own, ["r", "g", "b"]).withColumn("near", F.least("near", "delta_e")).drop("delta_e"))
+
+    while len(chosen) < k:
+        cost = F.round(F.sum(F.col("weight") * F.least("near", "delta_e")), 3).alias("cost")
+        open_ = costs.where(~F.col("thread_idx").isin(chosen)) if chosen else costs
+        best = open_.drop("weight", "floor").join(state, ["r", "g", "b"]).groupBy("thread_idx").agg(cost).agg(F.min(F.struct("cost", "thread_idx")).alias("m")).first()["m"]
+        now = state.agg(F.round(F.sum(F.col("weight") * F.col("near")), 3).alias("c"), F.max(F.col("near") - F.col("floor")).alias("x")).first()
+        if best is None or (chosen and (now["x"] <= NEAR_ENOUGH or best["cost"] >= now["c"])):
+            break
+        state = add(best["thread_idx"])
+    for _ in range(extra):
+        worst = state.where((F.col("near") - F.col("floor")) > NEAR_ENOUGH).agg(F.max(F.struct((F.col("near") - F.col("floor")).alias("x"), "floor", "r", "g", "b")).alias("m")).first()["m"]
+        if worst is None or worst["floor"] > WORTH_MORE:
             break
-        chosen.append(best["thread_idx"])
-        rgb.append((best["tr"], best["tg"], best["tb"]))
+        at = (F.col("r") == worst["r"]) & (F.col("g") == worst["g"]) & (F.col("b") == worst["b"])
+        state = add(costs.where(at).agg(F.min(F.struct("delta_e", "thread_idx")).getField("thread_idx")).first()[0])
     return chosen
 
 

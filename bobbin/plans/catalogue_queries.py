@@ -32,6 +32,30 @@ def lab_sql(src: str, out: str) -> str:
 {out} AS (SELECT *, 116 * fy - 16 AS ll, 500 * (fx - fy) AS aa, 200 * (fy - fz) AS bb FROM {out}f)"""
 
 
+def de2000_sql(src: str, out: str) -> str:
+    """Common table expressions that add de (CIEDE2000) to rows with l1, a1, b1, l2, a2, b2."""
+    hue = lambda x, y: f"CASE WHEN {x} = 0 AND {y} = 0 THEN 0 ELSE (CASE WHEN DEGREES(ATAN2({y}, {x})) < 0 THEN DEGREES(ATAN2({y}, {x})) + 360 ELSE DEGREES(ATAN2({y}, {x})) END) END"
+    return f"""{out}1 AS (SELECT *, POW((SQRT(a1 * a1 + b1 * b1) + SQRT(a2 * a2 + b2 * b2)) / 2, 7) AS c7 FROM {src}),
+{out}2 AS (SELECT *, a1 * (1.5 - 0.5 * SQRT(c7 / (c7 + 6103515625.0))) AS p1, a2 * (1.5 - 0.5 * SQRT(c7 / (c7 + 6103515625.0))) AS p2 FROM {out}1),
+{out}3 AS (SELECT *, SQRT(p1 * p1 + b1 * b1) AS k1, SQRT(p2 * p2 + b2 * b2) AS k2, {hue('p1', 'b1')} AS h1, {hue('p2', 'b2')} AS h2 FROM {out}2),
+{out}4 AS (SELECT *, CASE WHEN k1 * k2 = 0 THEN 0 WHEN ABS(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS dh,
+  CASE WHEN k1 * k2 = 0 THEN h1 + h2 WHEN ABS(h1 - h2) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS mh, (l1 + l2) / 2 AS ml, (k1 + k2) / 2 AS mk FROM {out}3),
+{out}5 AS (SELECT *, 1 - 0.17 * COS(RADIANS(mh - 30)) + 0.24 * COS(RADIANS(2 * mh)) + 0.32 * COS(RADIANS(3 * mh + 6)) - 0.2 * COS(RADIANS(4 * mh - 63)) AS tt FROM {out}4),
+{out}6 AS (SELECT *, (l2 - l1) / (1 + 0.015 * POW(ml - 50, 2) / SQRT(20 + POW(ml - 50, 2))) AS ul, (k2 - k1) / (1 + 0.045 * mk) AS uk, 2 * SQRT(k1 * k2) * SIN(RADIANS(dh / 2)) / (1 + 0.015 * mk * tt) AS uh,
+  -2 * SQRT(POW(mk, 7) / (POW(mk, 7) + 6103515625.0)) * SIN(RADIANS(60 * EXP(-POW((mh - 275) / 25, 2)))) AS rt FROM {out}5),
+{out} AS (SELECT *, SQRT(GREATEST(0, ul * ul + uk * uk + uh * uh + rt * uk * uh)) AS de FROM {out}6)"""
+
+
+def pairs_sql(colors: str, chart: str = "SELECT r, g, b, MIN(thread_idx) AS thread_idx FROM v_threads GROUP BY 1, 2, 3") -> str:
+    """d: every colour of `colors` with every colour of the chart (its lowest thread), with de."""
+    return f"""cc AS ({colors}), ch AS ({chart}), {lab_sql('cc', 'cl')}, {lab_sql('ch', 'hl')},
+pr AS (SELECT c.*, t.thread_idx, c.ll AS l1, c.aa AS a1, c.bb AS b1, t.ll AS l2, t.aa AS a2, t.bb AS b2 FROM cl c CROSS JOIN hl t), {de2000_sql('pr', 'd')}"""
+
+
+DISTINCT = "SELECT DISTINCT r, g, b FROM v_shapes"
+NEAREST = pairs_sql(DISTINCT) + ", nn AS (SELECT r, g, b, thread_idx, ROUND(de, 6) AS delta_e FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY r, g, b ORDER BY ROUND(de, 6), thread_idx) AS k FROM d) q WHERE k = 1)"
+
+
 @query("p8_rgb_to_lab", "v_threads", sql=f"WITH {lab_sql('v_threads', 'z')} SELECT thread_idx, ROUND(ll, 4) AS lab_l, ROUND(aa, 4) AS lab_a, ROUND(bb, 4) AS lab_b FROM z")
 def _(t):
     return K.with_lab(t, "lab_").select("thread_idx", F.round("lab_L", 4).alias("lab_l"), F.round("lab_A", 4).alias("lab_a"), F.round("lab_B", 4).alias("lab_b"))
@@ -44,42 +68,59 @@ def _(t):
     return z.join(n, "thread_idx").select(F.col("thread_idx").alias("a_idx"), "b_idx", F.round(C.delta_e76(tuple(F.col(f"lab_{c}") for c in "LAB"), tuple(F.col(f"n_{c}") for c in "LAB")), 3).alias("delta_e"))
 
 
+@query("p9_delta_e2000", "v_threads", sql=f"WITH {lab_sql('v_threads', 'z')}, pr AS (SELECT a.thread_idx AS a_idx, b.thread_idx AS b_idx, a.ll AS l1, a.aa AS a1, a.bb AS b1, b.ll AS l2, b.aa AS a2, b.bb AS b2 FROM z a JOIN z b ON b.thread_idx = a.thread_idx + 1), {de2000_sql('pr', 'd')} SELECT a_idx, b_idx, ROUND(de, 4) AS delta_e FROM d")
+def _(t):
+    z = K.with_lab(t, "lab_")
+    n = z.select((F.col("thread_idx") - 1).alias("thread_idx"), F.col("thread_idx").alias("b_idx"), *[F.col(f"lab_{c}").alias(f"n_{c}") for c in "LAB"])
+    return z.join(n, "thread_idx").select(F.col("thread_idx").alias("a_idx"), "b_idx", F.round(C.delta_e2000(tuple(F.col(f"lab_{c}") for c in "LAB"), tuple(F.col(f"n_{c}") for c in "LAB")), 4).alias("delta_e"))
+
+
 @query("p10_luminance", "v_threads", sql=f"WITH {lab_sql('v_threads', 'z')} SELECT thread_idx, ROUND(lr * 0.2126 + lg * 0.7152 + lb * 0.0722, 4) AS luminance FROM z")
 def _(t):
     return t.select("thread_idx", F.round(C.luminance(F.col("r"), F.col("g"), F.col("b")), 4).alias("luminance"))
 
 
-@query("j2_nearest_thread_lab", "v_shapes", "v_threads")
+@query("j2_nearest_thread_lab", "v_shapes", "v_threads", sql=f"WITH {NEAREST} SELECT r, g, b, thread_idx, ROUND(delta_e, 4) AS delta_e FROM nn")
 def _(s, t):
-    return K.nearest_thread_lab(s, t)
+    return r4(K.nearest_thread_lab(s, t), "delta_e")
 
 
-@query("j3_snap_palette", "v_shapes", "v_threads", sql="""WITH c AS (SELECT DISTINCT r, g, b FROM v_shapes), d AS (SELECT c.*, thread_idx, (c.r - t.r) * (c.r - t.r) + (c.g - t.g) * (c.g - t.g) + (c.b - t.b) * (c.b - t.b) AS d2 FROM c CROSS JOIN v_threads t),
-n AS (SELECT r, g, b, thread_idx FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY r, g, b ORDER BY d2, thread_idx) AS n FROM d) q WHERE n = 1)
-SELECT n.thread_idx, COUNT(*) AS shapes, COUNT(DISTINCT (s.r, s.g, s.b)) AS colors FROM v_shapes s JOIN n ON s.r = n.r AND s.g = n.g AND s.b = n.b GROUP BY 1""")
+@query("j3_snap_palette", "v_shapes", "v_threads", sql=f"WITH {NEAREST} SELECT s.shape_id, nn.thread_idx, DENSE_RANK() OVER (ORDER BY nn.thread_idx) - 1 AS label FROM v_shapes s JOIN nn ON s.r = nn.r AND s.g = nn.g AND s.b = nn.b")
 def _(s, t):
-    return s.join(K.nearest_thread_rgb(s, t).select("r", "g", "b", F.col("thread_idx").alias("spool")), ["r", "g", "b"]).groupBy(F.col("spool").alias("thread_idx")).agg(F.count("*").alias("shapes"), F.countDistinct("r", "g", "b").alias("colors"))
+    return K.snap_palette(s, t)
 
 
-@query("a34_palette_costs", "v_shapes", "v_threads", sql="""WITH c AS (SELECT DISTINCT r, g, b FROM v_shapes), d AS (SELECT c.*, thread_idx, (c.r - t.r) * (c.r - t.r) + (c.g - t.g) * (c.g - t.g) + (c.b - t.b) * (c.b - t.b) AS d2 FROM c CROSS JOIN v_threads t)
-SELECT thread_idx, COUNT(*) AS colors, CAST(SUM(d2) AS BIGINT) AS cost, CAST(SUM(m) AS BIGINT) AS floors FROM (SELECT *, MIN(d2) OVER (PARTITION BY r, g, b) AS m FROM d) q GROUP BY 1""")
+@query("a34_palette_costs", "v_shapes", "v_threads", sql=f"WITH {pairs_sql(DISTINCT)}, m AS (SELECT *, MIN(de) OVER (PARTITION BY r, g, b) AS fl FROM d) SELECT thread_idx, COUNT(*) AS colors, ROUND(SUM(ROUND(de, 6)), 2) AS cost, ROUND(SUM(ROUND(fl, 6)), 2) AS floors FROM m GROUP BY 1")
 def _(s, t):
-    costs = K.palette_costs(s.select("r", "g", "b").distinct(), K.chart_colors(t)).groupBy("thread_idx").agg(F.count("*").alias("colors"), F.sum("d2").cast("long").alias("cost"), F.sum("floor").cast("long").alias("floors"))
-    return K.by_color(costs, t)
+    costs = K.palette_costs(s.select("r", "g", "b").distinct(), K.chart_colors(t))
+    return costs.groupBy("thread_idx").agg(F.count("*").alias("colors"), F.round(F.sum("delta_e"), 2).alias("cost"), F.round(F.sum("floor"), 2).alias("floors"))
 
 
 def _weighted(s):
     return s.groupBy("r", "g", "b").agg(F.count("*").alias("weight"))
 
 
-@query("t5_select_palette_first", "v_shapes", "v_threads", sql="""WITH c AS (SELECT r, g, b, COUNT(*) AS w FROM v_shapes GROUP BY 1, 2, 3), d AS (SELECT thread_idx, SUM(w * ((c.r - t.r) * (c.r - t.r) + (c.g - t.g) * (c.g - t.g) + (c.b - t.b) * (c.b - t.b))) AS cost FROM c CROSS JOIN v_threads t GROUP BY 1)
-SELECT 1 AS place, thread_idx FROM d ORDER BY cost, thread_idx LIMIT 1""")
+WEIGHTED = "SELECT r, g, b, COUNT(*) AS w FROM v_shapes GROUP BY 1, 2, 3"
+
+
+@query("t5_select_palette_first", "v_shapes", "v_threads", sql=f"WITH {pairs_sql(WEIGHTED)}, s1 AS (SELECT thread_idx, ROUND(SUM(w * ROUND(de, 6)), 3) AS cost FROM d GROUP BY 1) SELECT 1 AS place, thread_idx FROM s1 ORDER BY cost, thread_idx LIMIT 1")
+def _(s, t):
+    chosen = K.select_palette(_weighted(s), t, 1, extra=0)
+    return s.sparkSession.createDataFrame([(k + 1, c) for k, c in enumerate(chosen)], "place int, thread_idx long")
+
+
+SECOND = f"""{pairs_sql(WEIGHTED)}, s1 AS (SELECT thread_idx FROM (SELECT thread_idx, ROUND(SUM(w * ROUND(de, 6)), 3) AS cost FROM d GROUP BY 1) q ORDER BY cost, thread_idx LIMIT 1),
+n1 AS (SELECT r, g, b, ROUND(de, 6) AS near FROM d WHERE thread_idx = (SELECT thread_idx FROM s1)),
+s2 AS (SELECT d.thread_idx, ROUND(SUM(w * LEAST(near, ROUND(de, 6))), 3) AS cost FROM d JOIN n1 ON d.r = n1.r AND d.g = n1.g AND d.b = n1.b WHERE d.thread_idx <> (SELECT thread_idx FROM s1) GROUP BY 1)"""
+
+
+@query("t5_select_palette", "v_shapes", "v_threads", sql=f"WITH {SECOND} SELECT 1 AS place, thread_idx FROM s1 UNION ALL (SELECT 2, thread_idx FROM s2 ORDER BY cost, thread_idx LIMIT 1)")
 def _(s, t):
-    chosen = K.select_palette(_weighted(s), t, 1)
+    chosen = K.select_palette(_weighted(s), t, 2, extra=0)
     return s.sparkSession.createDataFrame([(k + 1, c) for k, c in enumerate(chosen)], "place int, thread_idx long")
 
 
-@query("t5_select_palette", "v_shapes", "v_threads")
+@query("t5_select_palette_whole", "v_shapes", "v_threads")
 def _(s, t):
     chosen = K.select_palette(_weighted(s), t, 6)
     return s.sparkSession.createDataFrame([(k + 1, c) for k, c in enumerate(chosen)], "place int, thread_idx long")
