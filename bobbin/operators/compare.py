@@ -52,9 +52,11 @@ def command_phrases(df: DataFrame) -> DataFrame:
     return turns.groupBy("design_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "cmd"))), lambda e: e["cmd"]), ".").alias("phrase"))
 
 
-def mitre_pairs(df: DataFrame, reach_u: int = 20) -> DataFrame:
-    """Runs that end nearer than the reach to the start of another run of their design. Starts are met by grid cell."""
-    ends = runs(df).groupBy("design_id", "run").agg(*[f(c, "seq").alias(f"{n}_{c}") for n, f in (("first", F.min_by), ("last", F.max_by)) for c in ("x_u", "y_u")])
+def mitre_pairs(df: DataFrame, reach_u: int = 20, of_runs: bool = False) -> DataFrame:
+    """Runs that end nearer than the reach to the start of another run of their design. Starts are met by grid cell.
+
+    With `of_runs`, `df` has runs already."""
+    ends = (df if of_runs else runs(df)).groupBy("design_id", "run").agg(*[f(c, "seq").alias(f"{n}_{c}") for n, f in (("first", F.min_by), ("last", F.max_by)) for c in ("x_u", "y_u")])
     cell = lambda c: F.floor(F.col(c) / reach_u)
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     starts = ends.select("design_id", F.col("run").alias("other"), F.col("first_x_u").alias("sx"), F.col("first_y_u").alias("sy"), F.explode(offsets).alias("o")).withColumns({"cx": cell("sx") + F.col("o.i"), "cy": cell("sy") + F.col("o.j")})

@@ -205,12 +205,6 @@ def _(d):
     return d.select("font_id", F.sha2(X.first_paragraph(F.col("license"), "\n"), 256).alias("head_hash"))
 
 
-@query("x13_parse_colour", "v_markup", sql="""WITH h AS (SELECT page_id, SUBSTRING(MD5(html), 1, 6) AS hex FROM v_markup) SELECT page_id, CAST(('0x' || hex[1:2])::INT AS INT) AS r, CAST(('0x' || hex[3:4])::INT AS INT) AS g, CAST(('0x' || hex[5:6])::INT AS INT) AS b FROM h""")
-def _(p):
-    c = X.parse_colour(F.concat(F.lit("#"), F.substring(F.md5("html"), 1, 6)))
-    return p.select("page_id", c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"))
-
-
 @query("x14_style_prop", "v_markup", sql="SELECT page_id, NULLIF(TRIM(REGEXP_EXTRACT(REGEXP_EXTRACT(html, '<style>p\\{([^}]*)\\}', 1), '(?:^|;)\\s*margin\\s*:\\s*([^;]+)', 1)), '') AS margin FROM v_markup")
 def _(p):
     return p.select("page_id", X.style_prop(F.regexp_extract("html", r"<style>p\{([^}]*)\}", 1), "margin").alias("margin"))

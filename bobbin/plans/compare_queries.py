@@ -38,11 +38,6 @@ def _(s):
     return K.command_phrases(s)
 
 
-@query("j19_mitre_pairs", "v_stitches", sql="WITH " + GAPS + """, near AS (SELECT DISTINCT p.design_id, p.run FROM e p JOIN e q ON p.design_id = q.design_id AND p.run <> q.run AND POW(p.x1 - q.x0, 2) + POW(p.y1 - q.y0, 2) < 400) SELECT design_id, run FROM near""")
-def _(s):
-    return K.mitre_pairs(s)
-
-
 @query("w15_dedupe_ring", "v_vertices", sql="SELECT design_id, shape_id, vertex * 10 AS vertex, x_u, y_u FROM v_vertices")
 def _(v):
     step = v.withColumn("vertex", F.col("vertex") * 10)

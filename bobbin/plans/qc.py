@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import measures as M
+from ..operators import technique as T
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,14 @@ class Limits:
     too_many_long: int = 0
     shortest_u: float = 10
     short_share: float = 0.25
+    satin_steps: int = 30
+    column_u: float = 10
+    extent_u: float = 40
+    small_shapes: int = 0
+    fill_u: float = 4.0
+    satin_u: float = 4.0
+    density: float = 1.5
+    samples: int = 30
     trims_per_1000: float = 4.1
     least_stitches: int = 30
     stops: int = 10
@@ -50,10 +59,30 @@ def _finding(df: DataFrame, code: str, severity: str, metric: str) -> DataFrame:
 
 @rule("stitch_length")
 def stitch_length_rules(st: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    m = M.stitch_length_check(st, limits.longest_u, limits.shortest_u)
+    """Steps that are too long; satin of which too large a share is short."""
+    m = T.short_satin(st, limits.longest_u, limits.shortest_u, limits.satin_steps)
     return _finding(m.where(F.col("too_long") > limits.too_many_long), "too_long", "block", "longest").union(_finding(m.where(F.col("short_share") > limits.short_share), "too_short", "warn", "short_share"))
 
 
+@rule("lettering")
+def lettering_rule(st: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Satin shapes too narrow or too small to read, with how many there are in all."""
+    m = T.small_lettering(st, limits.column_u, limits.extent_u).where(F.col("small") > limits.small_shapes)
+    return m.select("design_id", F.lit("lettering_small").alias("code"), F.lit("warn").alias("severity"), F.col("small").cast("double").alias("metric"), "total")
+
+
+def density_rule(st: DataFrame, fabrics: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Fill and satin whose measured advance over the target lies outside 1 / density to density.
+
+    `fabrics` has design_id and density_adjust, by which the targets are scaled."""
+    fill = T.row_advance(st, limits.samples).select("design_id", F.lit("fill").alias("part"), (F.col("advance") / limits.fill_u).alias("ratio"))
+    satin = T.satin_advance(st, limits.samples).select("design_id", F.lit("satin").alias("part"), (F.col("advance") / limits.satin_u).alias("ratio"))
+    m = fill.union(satin).where("ratio is not null").join(fabrics, "design_id").withColumn("ratio", F.col("ratio") / F.col("density_adjust"))
+    out = m.where((F.round("ratio", 6) > limits.density) | (F.round("ratio", 6) < round(1 / limits.density, 6)))
+    code = F.concat("part", F.when(F.col("ratio") > 1, "_open").otherwise("_dense"))
+    return out.select("design_id", code.alias("code"), F.lit("warn").alias("severity"), F.col("ratio").alias("metric"))
+
+
 @rule("counts")
 def count_rules(st: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Trims, stops and stabiliser in one pass over the counts."""

@@ -126,11 +126,6 @@ def _(st, hoops):
     return K.suggest_hoop(sizes(st), hoops)
 
 
-@query("j11_fabric_for_garment", "v_garments", "v_fabrics", sql="SELECT garment_id, COALESCE(f.fabric_id, 'pique_knit') AS fabric_id, COALESCE(f.trim_at_mm, 3.0) AS trim_at_mm FROM v_garments g LEFT JOIN v_fabrics f ON g.fabric_id = f.fabric_id AND f.fabric_id <> 'terry_towel'")
-def _(g, f):
-    return K.fabric_for_garment(g, f.where("fabric_id <> 'terry_towel'"), "pique_knit")
-
-
 @query("j8_fixture_matrix", "v_stitches", "v_garments", sql="SELECT design_id, garment_id FROM (SELECT DISTINCT design_id FROM v_stitches) d CROSS JOIN v_garments")
 def _(st, g):
     return K.fixture_matrix(st.select("design_id").distinct(), g.select("garment_id"))

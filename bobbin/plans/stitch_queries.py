@@ -317,10 +317,20 @@ def _(st):
 # ---- quality rules and their report
 
 
+#: Satin steps: their share of short ones, and small satin runs.
+SATIN_STEPS = runs_sql(tag="k") + """, tk AS (SELECT *, CASE WHEN len * pl > 0 THEN ((x1 - x0) * pdx + (y1 - y0) * pdy) / (len * pl) END AS cos FROM (
+  SELECT *, LAG(len) OVER w AS pl, LAG(x1 - x0) OVER w AS pdx, LAG(y1 - y0) OVER w AS pdy FROM sk WINDOW w AS (PARTITION BY design_id, run ORDER BY seq)) q),
+ck AS (SELECT design_id, run FROM (SELECT design_id, run, COUNT(*) AS n, LIST_SORT(LIST(len))[CAST(FLOOR(COUNT(*) * 0.5) AS INT) + 1] AS med, AVG(CASE WHEN cos < -0.2 THEN 1 ELSE 0 END) AS rev FROM tk GROUP BY 1, 2) q WHERE NOT (n <= 5 AND med <= 10) AND rev >= 0.6),
+ss AS (SELECT sk.* FROM sk JOIN ck USING (design_id, run)), sx AS (SELECT design_id, COUNT(*) AS n, AVG(CASE WHEN len < 22 THEN 1 ELSE 0 END) AS sh FROM ss GROUP BY 1),
+se AS (SELECT design_id, run, LIST_SORT(LIST(len))[LEAST(COUNT(*), CAST(FLOOR(COUNT(*) * 0.5) AS BIGINT) + 1)] AS col, GREATEST(MAX(GREATEST(x0, x1)) - MIN(LEAST(x0, x1)), MAX(GREATEST(y0, y1)) - MIN(LEAST(y0, y1))) AS ext FROM ss GROUP BY 1, 2),
+sm AS (SELECT design_id, COUNT(*) FILTER (col < 24 OR ext < 30) AS small FROM se GROUP BY 1)"""
+
+
 @query("q1_qc_report", "v_stitches", sql=f"""WITH {WHOLE}, st AS (SELECT design_id, COUNT(*) FILTER (cmd = 'stitch') AS stitches, COUNT(*) FILTER (cmd = 'color') AS colors, COUNT(*) FILTER (cmd = 'trim') AS trims FROM v_stitches GROUP BY 1),
-ln AS (SELECT design_id, COUNT(*) FILTER (len > 30) AS too_long, AVG(CASE WHEN len < 10 THEN 1 ELSE 0 END) AS short_share FROM s GROUP BY 1),
+cs AS (SELECT * FROM s),
+ln AS (SELECT cs.design_id, COUNT(*) FILTER (len > 36) AS too_long FROM cs GROUP BY 1), {SATIN_STEPS},
 hole AS (SELECT design_id, SUM(CASE WHEN n >= 2 THEN 1 ELSE 0 END) / SUM(n) AS rate FROM (SELECT design_id, x_u, y_u, COUNT(*) AS n FROM v_stitches WHERE cmd = 'stitch' GROUP BY 1, 2, 3) q GROUP BY 1),
-f AS (SELECT design_id, 'too_long' AS code, 'block' AS severity FROM ln WHERE too_long > 25 UNION ALL SELECT design_id, 'too_short', 'warn' FROM ln WHERE short_share > 0.25
+f AS (SELECT design_id, 'too_long' AS code, 'block' AS severity FROM ln WHERE too_long > 29 UNION ALL SELECT design_id, 'too_short', 'warn' FROM sx WHERE n >= 8 AND sh > 0.25 UNION ALL SELECT design_id, 'lettering_small', 'warn' FROM sm WHERE small > 2
  UNION ALL SELECT design_id, 'trims', 'warn' FROM st WHERE stitches >= 30 AND trims * 1000.0 / stitches > 45 UNION ALL SELECT design_id, 'stops', 'warn' FROM st WHERE colors > 10
  UNION ALL SELECT design_id, 'stabiliser', 'info' FROM st WHERE stitches > 500 UNION ALL SELECT h.design_id, 'same_hole', 'info' FROM hole h JOIN st ON h.design_id = st.design_id WHERE rate > 0.02 AND stitches >= 30),
 g AS (SELECT design_id, COUNT(*) FILTER (severity = 'warn') AS w, COUNT(*) FILTER (severity = 'block') AS bl, COUNT(*) AS n FROM f GROUP BY 1),
@@ -329,11 +339,6 @@ SELECT design_id, findings, CAST(score AS BIGINT) AS score, CASE WHEN score >= 9
 def _(st):
     from .qc import Limits, qc_report
 
-    return qc_report(st, Limits(longest_u=30, too_many_long=25, trims_per_1000=45, many_stitches=500, same_hole=0.02))
+    return qc_report(st, Limits(longest_u=36, too_many_long=29, shortest_u=22, satin_steps=8, column_u=24, extent_u=30, small_shapes=2, trims_per_1000=45, many_stitches=500, same_hole=0.02))
 
 
-@query("q3_stitch_length_rules", "v_stitches", sql=f"WITH {WHOLE}, ln AS (SELECT design_id, COUNT(*) FILTER (len > 30) AS too_long, AVG(CASE WHEN len < 10 THEN 1 ELSE 0 END) AS short_share FROM s GROUP BY 1) SELECT design_id, 'too_long' AS code, 'block' AS severity FROM ln WHERE too_long > 25 UNION ALL SELECT design_id, 'too_short', 'warn' FROM ln WHERE short_share > 0.25")
-def _(st):
-    from .qc import Limits, stitch_length_rules
-
-    return stitch_length_rules(st, Limits(longest_u=30, too_many_long=25)).select("design_id", "code", "severity")
