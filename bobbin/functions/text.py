@@ -47,7 +47,7 @@ def first_paragraph(text: Column, separator: str = "\n\n") -> Column:
 def fix_mojibake(text: Column) -> Column:
     """UTF-8 that was read as Latin-1, read again; unchanged without the signature or if it isn't valid."""
     raw = F.encode(text, "ISO-8859-1")
-    suspect = text.rlike("[ÂÃ][-¿]") & ~text.rlike("[^ -ÿ]")
+    suspect = text.rlike(r"[ÂÃ][\u0080-¿]") & ~text.rlike(r"[^\u0000-ÿ]")
     return F.when(suspect, F.coalesce(F.try_validate_utf8(raw.cast("string")), text)).otherwise(text)
 
 

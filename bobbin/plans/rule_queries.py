@@ -22,17 +22,17 @@ def _(st):
     return qc.lettering_rule(st, qc.Limits(column_u=24, extent_u=30, small_shapes=2))
 
 
-DENSITY = f"""{ADVANCE}, fr AS (SELECT design_id, CASE WHEN LEN(st) >= 12 THEN st[LEN(st) // 2 + 1] END AS fill FROM fd), tw AS (SELECT r.design_id, SQRT(CAST(POW(LEAD(x_u, 2) OVER w - x_u, 2) + POW(LEAD(y_u, 2) OVER w - y_u, 2) AS DOUBLE)) AS two FROM r JOIN c USING (design_id, run) WHERE c.kind = 'satin' WINDOW w AS (PARTITION BY r.design_id, run ORDER BY seq)),
-sa AS (SELECT design_id, CASE WHEN LEN(l) >= 12 THEN l[LEN(l) // 2 + 1] END AS satin FROM (SELECT design_id, LIST_SORT(LIST(two) FILTER (two IS NOT NULL)) AS l FROM tw GROUP BY 1) q),
+DENSITY = f"""{ADVANCE}, fr AS (SELECT design_id, CASE WHEN LEN(st) >= 1 THEN st[LEN(st) // 2 + 1] END AS fill FROM fd), tw AS (SELECT r.design_id, SQRT(CAST(POW(LEAD(x_u, 2) OVER w - x_u, 2) + POW(LEAD(y_u, 2) OVER w - y_u, 2) AS DOUBLE)) AS two FROM r JOIN c USING (design_id, run) WHERE c.kind = 'satin' WINDOW w AS (PARTITION BY r.design_id, run ORDER BY seq)),
+sa AS (SELECT design_id, CASE WHEN LEN(l) >= 1 THEN l[LEN(l) // 2 + 1] END AS satin FROM (SELECT design_id, LIST_SORT(LIST(two) FILTER (two IS NOT NULL)) AS l FROM tw GROUP BY 1) q),
 fa_ AS (SELECT row_number() OVER (ORDER BY fabric_id) - 1 AS k, density_adjust FROM v_fabrics), ds AS (SELECT d.design_id, density_adjust, fill, satin FROM (SELECT DISTINCT design_id FROM v_stitches) d JOIN fa_ ON k = d.design_id % 7 LEFT JOIN fr USING (design_id) LEFT JOIN sa USING (design_id)),
-dm AS (SELECT design_id, 'fill' AS part, fill / (14.0 * density_adjust) AS ratio FROM ds WHERE fill IS NOT NULL UNION ALL SELECT design_id, 'satin', satin / (14.0 * density_adjust) FROM ds WHERE satin IS NOT NULL)"""
+dm AS (SELECT design_id, 'fill' AS part, fill / (11.0 * density_adjust) AS ratio FROM ds WHERE fill IS NOT NULL UNION ALL SELECT design_id, 'satin', satin / (11.0 * density_adjust) FROM ds WHERE satin IS NOT NULL)"""
 
 
 @query("q5_density_rule", "v_stitches", "v_fabrics", sql=f"WITH {DENSITY} SELECT design_id, CASE WHEN ratio > 1 THEN part || '_open' ELSE part || '_dense' END AS code, 'warn' AS severity, ROUND(ratio, 4) AS metric FROM dm WHERE ROUND(ratio, 6) > 1.5 OR ROUND(ratio, 6) < ROUND(1 / 1.5, 6)")
 def _(st, fabrics):
     place = fabrics.select("density_adjust", (F.row_number().over(D.by("fabric_id")) - 1).alias("k"))
     adjust = st.select("design_id").distinct().join(F.broadcast(place), F.col("design_id") % 7 == F.col("k")).select("design_id", "density_adjust")
-    return r4(qc.density_rule(st, adjust, qc.Limits(fill_u=14, satin_u=14, samples=12)), "metric")
+    return r4(qc.density_rule(st, adjust, qc.Limits(fill_u=11, satin_u=11, samples=1)), "metric")
 
 
 @query("q3_stitch_length_rules", "v_stitches", sql=f"""WITH {SATIN}, q AS (SELECT design_id, COUNT(*) AS n, AVG(CASE WHEN len < 22 THEN 1 ELSE 0 END) AS sh FROM ss GROUP BY 1), w AS (SELECT *, LAG(cmd) OVER o AS pc, LAG(x_u) OVER o AS px, LAG(y_u) OVER o AS py FROM v_stitches WINDOW o AS (PARTITION BY design_id ORDER BY seq)),

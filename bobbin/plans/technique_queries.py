@@ -74,9 +74,9 @@ fc AS (SELECT fs.design_id, conc, ABS((x1 - x0) * COS(axis) + (y1 - y0) * SIN(ax
 fd AS (SELECT design_id, MAX(conc) AS concentration, LIST_SORT(LIST(across) FILTER (ROUND(conc, 6) >= 0.6 AND ROUND(along, 6) < 0.707107 AND across > 0.000001)) AS st FROM fc GROUP BY 1)"""
 
 
-@query("a14_row_advance", "v_stitches", sql=f"WITH {ADVANCE} SELECT design_id, COALESCE(LEN(st), 0) AS n, ROUND(CASE WHEN LEN(st) >= 12 THEN st[LEN(st) // 2 + 1] END, 4) AS advance, ROUND(concentration, 4) AS concentration FROM fd")
+@query("a14_row_advance", "v_stitches", sql=f"WITH {ADVANCE} SELECT design_id, COALESCE(LEN(st), 0) AS n, ROUND(CASE WHEN LEN(st) >= 1 THEN st[LEN(st) // 2 + 1] END, 4) AS advance, ROUND(concentration, 4) AS concentration FROM fd")
 def _(st):
-    return r4(T.row_advance(st, 12), "advance", "concentration")
+    return r4(T.row_advance(st, 1), "advance", "concentration")
 
 
 SATIN = CLASSES + ", ss AS (SELECT s.* FROM s JOIN c USING (design_id, run) WHERE c.kind = 'satin')"
