@@ -163,9 +163,11 @@ def split_widest_box(boxes: DataFrame, number: Column | int) -> DataFrame:
 
 
 def median_cut(colors: DataFrame, n: int) -> DataFrame:
-    """Palettes of up to n boxes of each image: image_id, box and its weighted mean colour."""
-    boxes = colors.withColumn("box", F.lit(0))
+    """Palettes of up to n boxes of each image: image_id, box and its weighted mean colour. Lineage is cut after each split."""
+    from .graph import checkpointed
+
+    boxes = checkpointed(colors.withColumn("box", F.lit(0)))
     for k in range(1, n):
-        boxes = split_widest_box(boxes, k)
+        boxes = checkpointed(split_widest_box(boxes, k))
     mean = lambda c: F.floor(F.sum(F.col(c) * F.col("weight")) / F.sum("weight") + 0.5).cast("int").alias(c)
     return boxes.groupBy("image_id", "box").agg(*[mean(c) for c in "rgb"], F.sum("weight").alias("weight"))

@@ -32,7 +32,7 @@ def _(px, t):
 SELECT image_id, thread_idx, ROUND(MAX(delta_e), 4) AS delta_e, ARG_MAX(label, delta_e) AS worst, STRING_AGG(CAST(label AS VARCHAR), ',' ORDER BY label) AS regions, CASE WHEN MAX(delta_e) > 45 THEN 'block' ELSE 'warn' END AS severity FROM ov GROUP BY 1, 2""")
 def _(px, t):
     e = errors(px, t).withColumn("thread_idx", F.col("thread_idx") % 4)
-    return r4(K.thread_match_rule(e, 30, 45), "delta_e")
+    return r4(K.thread_match_rule(e, 30, 45).withColumn("delta_e", F.round("delta_e", 6)), "delta_e")
 
 
 @query("a27_tonal_span", "v_pixels", sql=f"""WITH op AS (SELECT * FROM v_pixels WHERE a > 127), {lab_sql('op', 'pl')}, ct AS (SELECT image_id, label, COUNT(*) AS n, QUANTILE_CONT(ll, 0.05) AS lo, QUANTILE_CONT(ll, 0.95) AS hi FROM pl GROUP BY 1, 2),
