@@ -85,10 +85,12 @@ def dominant_angle(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
 
 
 def cell_map(df: DataFrame, cell_u: float = 20, least_u: float = 20, hop_u: int = HOP_U) -> DataFrame:
-    """Per cell (by a segment's middle): thread, median length, reversal share and stitch type."""
+    """Per cell (by a segment's middle): thread, median length, reversal share, direction with its concentration, and stitch type."""
     s = reversals(df, -0.866, hop_u)
+    th = F.atan2((F.col("y1") - F.col("y0")).cast("double"), (F.col("x1") - F.col("x0")).cast("double"))
+    kept = distance(F.sum(F.sin(th * 2) * F.col("len")), F.sum(F.cos(th * 2) * F.col("len"))) / F.sum("len")
     cell = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / cell_u)
-    g = s.groupBy("design_id", cell("x0", "x1").alias("ci"), cell("y0", "y1").alias("cj")).agg(F.sum("len").alias("tot"), kth(F.collect_list("len"), 0.5).alias("med"), F.avg(F.col("reversal").cast("int")).alias("rev"))
+    g = s.groupBy("design_id", cell("x0", "x1").alias("ci"), cell("y0", "y1").alias("cj")).agg(F.sum("len").alias("tot"), kth(F.collect_list("len"), 0.5).alias("med"), F.avg(F.col("reversal").cast("int")).alias("rev"), axial_mean(th, F.col("len")).alias("angle"), F.when(F.sum("len") > 0, kept).alias("concentration"))
     kind = F.when(F.col("rev") >= 0.5, "satin").when(F.col("med") <= 25, "run").otherwise("fill")
     return g.where(F.col("tot") >= least_u).withColumn("typ", kind)
 

@@ -248,9 +248,12 @@ cell{tag} AS (SELECT *, CASE WHEN rev >= 0.5 THEN 'satin' WHEN med <= 25 THEN 'r
 BOTH = cells_sql("v_stitches", "") + ", " + cells_sql("v_stitches_b", "2")
 
 
-@query("a13_cell_map", "v_stitches", sql=f"WITH {cells_sql('v_stitches', '')} SELECT design_id, ci, cj, ROUND(tot, 4) AS tot, ROUND(med, 4) AS med, ROUND(rev, 4) AS rev, typ FROM cell")
+@query("a13_cell_map", "v_stitches", sql=f"""WITH {cells_sql('v_stitches', '')}, dr AS (SELECT design_id, CAST(FLOOR((x0 + x1) / 2.0 / 20) AS BIGINT) AS ci, CAST(FLOOR((y0 + y1) / 2.0 / 20) AS BIGINT) AS cj, SUM(len * SIN(2 * ATAN2(CAST(y1 - y0 AS DOUBLE), CAST(x1 - x0 AS DOUBLE)))) AS sn, SUM(len * COS(2 * ATAN2(CAST(y1 - y0 AS DOUBLE), CAST(x1 - x0 AS DOUBLE)))) AS cs, SUM(len) AS l FROM s GROUP BY 1, 2, 3)
+SELECT design_id, ci, cj, ROUND(tot, 4) AS tot, ROUND(med, 4) AS med, ROUND(rev, 4) AS rev, typ, ROUND(SQRT(sn * sn + cs * cs) / l, 4) AS concentration,
+ CASE WHEN SQRT(sn * sn + cs * cs) / l > 0.01 THEN (CAST(ROUND(DEGREES(ATAN2(sn, cs)) / 2, 2) * 100 AS BIGINT) + 36000) % 18000 END AS angle_c FROM cell JOIN dr USING (design_id, ci, cj)""")
 def _(st):
-    return r4(M.cell_map(st), "tot", "med", "rev")
+    angle = F.when(F.col("concentration") > 0.01, F.pmod((F.round("angle", 2) * 100 + 0.5).cast("long"), F.lit(18000)))
+    return r4(M.cell_map(st).withColumn("angle_c", angle).drop("angle"), "tot", "med", "rev", "concentration")
 
 
 @query("j5_type_confusion", "v_stitches", "v_stitches_b", sql=f"WITH {BOTH} SELECT a.typ AS pt, b.typ AS ot, COUNT(*) AS cells FROM cell a JOIN cell2 b ON a.design_id = b.design_id AND a.ci = b.ci AND a.cj = b.cj GROUP BY 1, 2")
