@@ -64,18 +64,6 @@ def same_hole_rate(df: DataFrame, least: int = 30) -> DataFrame:
     return g.select("design_id", "n", F.when(F.col("n") >= least, F.col("shared") / F.col("n")).alias("same_hole_rate"))
 
 
-def coverage_grid(df: DataFrame, cell_u: float = 10, width_u: float = 4, step_u: float = 5, hop_u: int = HOP_U) -> DataFrame:
-    """Thread area laid in each cell, in cell areas."""
-    s = sample_segments(df, step_u, hop_u)
-    return s.groupBy("design_id", F.floor(F.col("x") / cell_u).alias("cx"), F.floor(F.col("y") / cell_u).alias("cy")).agg((F.sum("weight") * width_u / (cell_u * cell_u)).alias("units"))
-
-
-def coverage_metrics(grid: DataFrame, bare: float = 0.25) -> DataFrame:
-    """Median, 95th percentile (interpolated), maximum and count of covered cells."""
-    g = grid.where(F.col("units") >= bare).groupBy("design_id")
-    return g.agg(F.count("*").alias("cells"), F.percentile("units", 0.5).alias("p50"), F.percentile("units", 0.95).alias("p95"), F.max("units").alias("most"))
-
-
 def dominant_angle(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     """Length-weighted axial mean direction of each run and its concentration R."""
     s = segments(df, hop_u).where("len > 0")

@@ -217,19 +217,6 @@ def _(st):
     return r4(M.same_hole_rate(st), "same_hole_rate")
 
 
-GRID = SAMPLES + ", grid AS (SELECT design_id, CAST(FLOOR(x / 10) AS BIGINT) AS cx, CAST(FLOOR(y / 10) AS BIGINT) AS cy, SUM(weight) * 4 / 100 AS units FROM p GROUP BY 1, 2, 3)"
-
-
-@query("a9_coverage_grid", "v_stitches", sql=f"WITH {GRID} SELECT design_id, cx, cy, ROUND(units, 4) AS units FROM grid")
-def _(st):
-    return r4(M.coverage_grid(st), "units")
-
-
-@query("a10_coverage_metrics", "v_stitches", sql=f"WITH {GRID} SELECT design_id, COUNT(*) AS cells, ROUND(QUANTILE_CONT(units, 0.5), 4) AS p50, ROUND(QUANTILE_CONT(units, 0.95), 4) AS p95, ROUND(MAX(units), 4) AS most FROM grid WHERE units >= 0.25 GROUP BY 1")
-def _(st):
-    return r4(M.coverage_metrics(M.coverage_grid(st)), "p50", "p95", "most")
-
-
 @query("a12_dominant_angle", "v_stitches", sql=f"""WITH {RUNS}, a AS (SELECT *, ATAN2(CAST(y1 - y0 AS DOUBLE), CAST(x1 - x0 AS DOUBLE)) AS th FROM s WHERE len > 0),
 g AS (SELECT design_id, run, SUM(SIN(2 * th) * len) AS sn, SUM(COS(2 * th) * len) AS cs, SUM(len) AS l, COUNT(*) AS n FROM a GROUP BY 1, 2)
 SELECT design_id, run, CASE WHEN SQRT(sn * sn + cs * cs) / l > 0.01 THEN (CAST(ROUND(DEGREES(ATAN2(sn, cs)) / 2, 2) * 100 AS BIGINT) + 36000) % 18000 END AS angle_c, ROUND(SQRT(sn * sn + cs * cs) / l, 4) AS concentration, n FROM g""")

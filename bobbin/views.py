@@ -33,7 +33,7 @@ FROM v_stitches WHERE seq % 17 <> 0""",
     "v_threads": """SELECT p_brand AS brand_id, p_partkey AS thread_idx, CAST(p_partkey AS STRING) AS number, p_name AS name,
        CAST((p_partkey * 73 + 41) % 256 AS INT) AS r, CAST((p_partkey * 151 + 7) % 256 AS INT) AS g, CAST((p_partkey * 199 + 113) % 256 AS INT) AS b
 FROM part""",
-    "v_shapes": """SELECT o_custkey % 50 AS design_id, o_orderkey AS shape_id,
+    "v_shapes": """SELECT o_custkey AS design_id, o_orderkey AS shape_id,
        CAST((o_orderkey * 37) % 1000 AS INT) AS cx_u, CAST((o_orderkey * 91) % 1000 AS INT) AS cy_u,
        CAST(10 + 10 * (o_orderkey % 13) AS INT) AS w_u, CAST(10 + 10 * (o_orderkey % 7) AS INT) AS h_u,
        CAST((o_orderkey * 17) % 200 AS INT) AS thread_idx,
