@@ -24,6 +24,12 @@ def exchange_rate(before: DataFrame, after: DataFrame) -> DataFrame:
     return d.where("d_trims <> 0 or d_stitches <> 0").select("*", F.when(F.col("d_trims") > 0, F.col("d_stitches") / F.col("d_trims")).alias("rate"), score.alias("score"), (score > 0).alias("worse"))
 
 
+def exchange_totals(rates: DataFrame) -> DataFrame:
+    """Totals over exchange_rate(): designs, cuts saved, stitches added, stitches a cut, score and how many designs got worse."""
+    g = rates.agg(F.count("*").alias("designs"), F.sum("d_trims").alias("d_trims"), F.sum("d_stitches").alias("d_stitches"), F.sum("score").alias("score"), F.count_if("worse").alias("worse"))
+    return g.withColumn("rate", F.when(F.col("d_trims") > 0, F.col("d_stitches") / F.col("d_trims")))
+
+
 def worst(df: DataFrame, by: str, k: int) -> DataFrame:
     """The k designs that lose most, lowest id first on ties."""
     return df.orderBy(F.col(by).desc(), "design_id").limit(k)
@@ -108,6 +114,11 @@ def confusion(df: DataFrame, truth: Column, arms: dict[str, Column]) -> DataFram
     return df.select(truth.alias("truth"), each.alias("e")).groupBy("e.arm").agg(n(True, True).alias("tp"), n(False, True).alias("fp"), n(False, False).alias("tn"), n(True, False).alias("fn"))
 
 
+def tier_matrix(df: DataFrame, truth: str, said: str, tiers: tuple[str, ...]) -> DataFrame:
+    """Rows of each true tier by the tier said, a column each."""
+    return df.groupBy(truth).pivot(said, list(tiers)).count().na.fill(0)
+
+
 def run_key(fixture: Column, width_mm: Column, garment: Column) -> Column:
     """`fixture @ Wmm/garment`, the width without trailing zeros."""
     return F.concat(fixture, F.lit(" @ "), F.regexp_replace(F.format_string("%.4f", width_mm), r"\.?0+$", ""), F.lit("mm/"), garment)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import axial_mean, distance, kth
-from .stream import HOP_U, break_kinds, classify_runs, cut_gaps, design, reversals, runs, sample_segments, segments
+from .stream import HOP_U, break_kinds, classify_runs, cut_gaps, design, reversals, runs, sample_segments, segments, so_far
 
 #: Thread drawn per length of seam.
 THREAD_FACTOR = 1.35
@@ -112,11 +112,31 @@ def stitch_length_check(df: DataFrame, longest_u: float = 60, short_u: float = 1
 
 
 def audit_stats(df: DataFrame, short_u: float = 8, hop_u: int = HOP_U) -> DataFrame:
-    """Trims, jumps, shortest cut gap, travel and short steps of each design."""
-    base = df.groupBy("design_id").agg(_n(F.col("cmd") == "trim").alias("trims"), _n(F.col("cmd") == "jump").alias("jumps"))
-    gaps = cut_gaps(df, hop_u).groupBy("design_id").agg(F.min(F.when(F.col("cut"), F.col("gap"))).alias("shortest_cut"), F.sum("gap").alias("travel"))
-    steps = segments(df, hop_u).groupBy("design_id").agg(_n(F.col("len") < short_u).alias("short_steps"))
-    return base.join(gaps, "design_id", "left").join(steps, "design_id", "left")
+    """Per design: trims, jumps, shortest cut gap, travel, short steps of fills, and the widest advance (two points apart) of satin.
+
+    All windows and both groupings are by the design first: one shuffle of the stitches."""
+    down = F.col("cmd") == "stitch"
+    prev = lambda c: F.lag(c).over(design())
+    m = df.withColumns({"prev": prev("cmd"), "far": distance(F.col("x_u") - prev("x_u"), F.col("y_u") - prev("y_u"))})
+    opens = down & (F.col("prev").isNull() | (F.col("prev") != "stitch") | (F.col("far") >= hop_u))
+    m = m.withColumn("run", F.sum(opens.cast("int")).over(so_far()) - 1).withColumn("down", down)
+    # a run here holds its stitches and the commands that follow it, which open the next one
+    w = Window.partitionBy("design_id", "run", "down").orderBy("seq")
+    at = lambda f, c, k=1: F.when(F.col("down"), f(c, k).over(w))
+    s = m.withColumns({"dx": F.col("x_u") - at(F.lag, "x_u"), "dy": F.col("y_u") - at(F.lag, "y_u"), "two": distance(at(F.lead, "x_u", 2) - F.col("x_u"), at(F.lead, "y_u", 2) - F.col("y_u"))}).withColumn("len", distance(F.col("dx"), F.col("dy")))
+    size = F.col("len") * at(F.lag, "len")
+    s = s.withColumn("back", F.when(size > 0, (F.col("dx") * at(F.lag, "dx") + F.col("dy") * at(F.lag, "dy")) / size < -0.2))
+    end = lambda f, c: f(F.when(F.col("down"), F.col(c)), F.when(F.col("down"), F.col("seq")))
+    g = s.groupBy("design_id", "run").agg(_n(F.col("cmd") == "trim").alias("trims"), _n(F.col("cmd") == "jump").alias("jumps"), _n(F.col("cmd").isin("trim", "color")).alias("cuts"), end(F.min_by, "x_u").alias("x0"), end(F.min_by, "y_u").alias("y0"), end(F.max_by, "x_u").alias("x1"), end(F.max_by, "y_u").alias("y1"),
+                                          F.count("len").alias("n"), F.when(F.count("len") > 0, kth(F.collect_list("len"), 0.5)).alias("median"), F.count(F.when(F.col("back"), 1)).alias("back"), F.count(F.when(F.col("len") < short_u, 1)).alias("short"), F.max("two").alias("two"))
+    of = Window.partitionBy("design_id").orderBy("run")
+    share = F.try_divide("back", "n")
+    lock = (F.col("n") <= 5) & (F.col("median") <= 10)
+    satin = (F.col("n") > 0) & ~lock & (share >= 0.6)
+    fill = (F.col("n") > 5) & ~lock & ~satin & ~((share <= 0.2) & (F.col("median") <= 40))
+    gap = distance(F.col("x0") - F.lag("x1").over(of), F.col("y0") - F.lag("y1").over(of))
+    r = g.withColumns({"gap": F.when(F.col("run") >= 0, gap), "cut": F.lag("cuts").over(of) > 0, "satin": satin, "fill": fill})
+    return r.groupBy("design_id").agg(F.sum("trims").alias("trims"), F.sum("jumps").alias("jumps"), F.min(F.when(F.col("cut"), F.col("gap"))).alias("shortest_cut"), F.sum("gap").alias("travel"), F.sum(F.when(F.col("fill"), F.col("short")).otherwise(0)).alias("short_fill_steps"), F.max(F.when(F.col("satin"), F.col("two"))).alias("satin_gap"))
 
 
 def distance_bands(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:

@@ -205,6 +205,13 @@ def cap_colours(palette: DataFrame, most: int) -> DataFrame:
     return near.select("image_id", "label", "pixels", F.when(F.col("__n") <= most, F.col("label")).otherwise(F.col("m.to")).alias("to_label"))
 
 
+def cap_warnings(palette: DataFrame, most: int) -> DataFrame:
+    """Images with more colours than spools: colours, how many stay, and the share of pixels whose colour changes."""
+    ranked = palette.withColumn("__n", F.row_number().over(of_image().orderBy(F.col("pixels").desc(), "label")))
+    g = ranked.groupBy("image_id").agg(F.count("*").alias("colours"), (F.sum(F.when(F.col("__n") > most, F.col("pixels")).otherwise(0)) / F.sum("pixels")).alias("changed"))
+    return g.where(F.col("colours") > most).select("image_id", "colours", F.lit(most).cast("long").alias("kept"), "changed")
+
+
 #: Thresholds and margins of the four-way decision.
 PHOTO, PHOTO_MARGIN = 0.28, 0.08
 GRADIENT, GRADIENT_MARGIN = 0.0015, 0.0008

@@ -10,14 +10,21 @@ from .graph import checkpointed
 
 
 def polygon_measures(vertices: DataFrame) -> DataFrame:
-    """Shoelace area (signed and not), perimeter, bounding box and vertex mean of closed rings."""
+    """Shoelace area (signed and not), perimeter, bounding box, vertex mean, centroid, axis (degrees; none if all directions are alike) and width 2A/P of closed rings."""
     keys = ["design_id", "shape_id"]
     w = Window.partitionBy(*keys).orderBy("vertex")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
     e = vertices.withColumn("nx", nxt("x_u")).withColumn("ny", nxt("y_u"))
     cross = F.sum(F.col("x_u") * F.col("ny") - F.col("nx") * F.col("y_u")) / 2
-    return e.groupBy(*keys).agg(cross.alias("signed_area"), F.abs(cross).alias("area"), F.sum(distance(F.col("nx") - F.col("x_u"), F.col("ny") - F.col("y_u"))).alias("perimeter"), F.min("x_u").alias("min_x"), F.max("x_u").alias("max_x"), F.min("y_u").alias("min_y"), F.max("y_u").alias("max_y"), F.avg("x_u").alias("mid_x"), F.avg("y_u").alias("mid_y"))
+    part = F.col("x_u") * F.col("ny") - F.col("nx") * F.col("y_u")
+    moment = lambda c, n: F.sum((F.col(c) + F.col(n)) * part) / 6
+    lean, stretch = F.round(F.covar_pop("x_u", "y_u") * 2, 6), F.round(F.var_pop("x_u") - F.var_pop("y_u"), 6)
+    axis = F.when((lean != 0) | (stretch != 0), F.pmod(F.degrees(F.atan2(lean, stretch)) / 2, F.lit(180.0)))
+    g = e.groupBy(*keys).agg(moment("x_u", "nx").alias("__mx"), moment("y_u", "ny").alias("__my"), F.round(axis, 4).alias("axis"), cross.alias("signed_area"), F.abs(cross).alias("area"), F.sum(distance(F.col("nx") - F.col("x_u"), F.col("ny") - F.col("y_u"))).alias("perimeter"), F.min("x_u").alias("min_x"), F.max("x_u").alias("max_x"), F.min("y_u").alias("min_y"), F.max("y_u").alias("max_y"), F.avg("x_u").alias("mid_x"), F.avg("y_u").alias("mid_y"))
+    at = lambda c: F.when(F.col("area") > 0, F.col(c) / F.col("signed_area"))
+    width = F.when(F.col("perimeter") > 0, F.col("area") * 2 / F.col("perimeter"))
+    return g.withColumns({"centroid_x": at("__mx"), "centroid_y": at("__my"), "width": width}).drop("__mx", "__my")
 
 
 def drop_nested(boxes: DataFrame) -> DataFrame:
@@ -91,10 +98,29 @@ def compact_layers(shapes: DataFrame) -> DataFrame:
 
 
 def layer_order(shapes: DataFrame) -> DataFrame:
-    """Layers of a design, dark before light, larger first on ties, then the old order."""
+    """Layers of a design: background first and details last, then dark before light, larger first on ties, then the old order.
+
+    `shapes` has enclosed and tier. A layer is background if all its stitched shapes (all shapes if none is) are enclosed, detail if all
+    are runs or satin."""
     light = F.floor(F.sum(F.col("r") * 2126 + F.col("g") * 7152 + F.col("b") * 722) / F.count("*"))  # mean luma in ten-thousandths
-    g = shapes.groupBy("design_id", "layer").agg(light.alias("light"), F.sum(F.col("w_u") * F.col("h_u")).cast("long").alias("area"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy("design_id").orderBy("light", F.desc("area"), "layer")))
+    voting = shapes.withColumn("__votes", F.max("stitched").over(Window.partitionBy("design_id", "layer"))).where(F.col("stitched") | ~F.col("__votes"))
+    depth = F.when(F.bool_and("enclosed"), 0).when(F.bool_and(F.lower("tier").isin("run", "satin")), 2).otherwise(1)
+    g = voting.groupBy("design_id", "layer").agg(depth.alias("depth"), light.alias("light"), F.sum(F.col("w_u") * F.col("h_u")).cast("long").alias("area"))
+    return g.withColumn("place", F.row_number().over(Window.partitionBy("design_id").orderBy("depth", "light", F.desc("area"), "layer")))
+
+
+def effective_order(shapes: DataFrame) -> DataFrame:
+    """Order of each shape: its override, else the stored one, else its sew index, else last (1e9), with its place by (order, id)."""
+    j = shapes.join(sew_index(shapes), ["design_id", "shape_id"], "left")
+    o = j.withColumn("order", F.coalesce(F.col("override"), F.col("stored"), F.col("sew_index"), F.lit(10**9)).cast("long"))
+    return o.select("design_id", "shape_id", "order", F.row_number().over(Window.partitionBy("design_id").orderBy("order", "shape_id")).alias("place"))
+
+
+def carry_meta(cur: DataFrame, prev: DataFrame, matches: DataFrame, names: list[str]) -> DataFrame:
+    """Shapes with the named columns; where one is null, that of the shape matched before (design_id, prev_id, cur_id)."""
+    old = prev.select("design_id", F.col("shape_id").alias("prev_id"), *[F.col(n).alias(f"__{n}") for n in names])
+    m = matches.select("design_id", "prev_id", F.col("cur_id").alias("shape_id")).join(old, ["design_id", "prev_id"])
+    return cur.join(m, ["design_id", "shape_id"], "left").select("design_id", "shape_id", "prev_id", *[F.coalesce(n, f"__{n}").alias(n) for n in names])
 
 
 def color_blocks(shapes: DataFrame) -> DataFrame:
@@ -112,6 +138,13 @@ def apply_edits(shapes: DataFrame, deleted: DataFrame, overrides: DataFrame) ->
     return edited, unknown
 
 
+def added_threads(overrides: DataFrame, used: DataFrame) -> DataFrame:
+    """Threads that recolouring brings to a design: those of its overrides that none of its shapes has, numbered after its own in order."""
+    new = overrides.select("design_id", "thread_idx").distinct().join(used.select("design_id", "thread_idx").distinct(), ["design_id", "thread_idx"], "left_anti")
+    n = used.groupBy("design_id").agg(F.countDistinct("thread_idx").alias("n"))
+    return new.join(n, "design_id").select("design_id", "thread_idx", (F.col("n") + F.row_number().over(Window.partitionBy("design_id").orderBy("thread_idx")) - 1).alias("place"))
+
+
 def merge_shapes(shapes: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups (design_id, group, shape_id) of at least two shapes of one thread: merged key, members, primary and area."""
     j = groups.join(shapes, ["design_id", "shape_id"]).withColumn("area", (F.col("w_u") * F.col("h_u")).cast("long") * 4)
@@ -120,13 +153,27 @@ def merge_shapes(shapes: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def unsewn_summary(shapes: DataFrame) -> DataFrame:
+    """Shapes of each design that are planned and not sewn: how many, their ids, threads, areas, and how many by reason.
+
+    A shape that is `enclosed` stays bare for that, any other by an override."""
     a = (F.col("w_u") * F.col("h_u") * 4).cast("long")
-    return shapes.where("not stitched").groupBy("design_id").agg(F.count("*").alias("shapes"), F.countDistinct("thread_idx").alias("threads"), F.sum(a).alias("area"), F.max(a).alias("largest"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("shape_id")), lambda x: x.cast("string")), ",")
+    return shapes.where("not stitched").groupBy("design_id").agg(F.count("*").alias("shapes"), ids.alias("ids"), F.countDistinct("thread_idx").alias("threads"), F.sum(a).alias("area"), F.max(a).alias("largest"), F.count_if("enclosed").alias("by_enclosure"), F.count_if(~F.col("enclosed")).alias("by_override"))
+
+
+#: Tiers, least first.
+TIERS = ("run", "satin", "fill")
 
 
-def sew_facts(shapes: DataFrame) -> DataFrame:
-    """Every shape with its sew index (null when never sewn)."""
-    return shapes.select("design_id", "shape_id", "layer").join(sew_index(shapes), ["design_id", "shape_id"], "left")
+def sew_facts(parts: DataFrame) -> DataFrame:
+    """Every shape of `parts` (design_id, shape_id, layer, stitched, tier: a row a sewn part) with its sew index, block and highest tier;
+    all null when it is never sewn. A block is a layer in use, from 0."""
+    rank = sum((F.when(F.col("tier") == t, i).otherwise(0) for i, t in enumerate(TIERS, 1)), F.lit(0))
+    sewn = parts.where("stitched").groupBy("design_id", "shape_id").agg(F.max(rank).alias("rank"), F.min("layer").alias("first_layer"))
+    sewn = sewn.withColumn("block", F.dense_rank().over(Window.partitionBy("design_id").orderBy("first_layer")) - 1)
+    tier = F.when(F.col("rank") > 0, F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("rank").cast("int")))
+    facts = sewn.join(sew_index(parts), ["design_id", "shape_id"]).select("design_id", "shape_id", "sew_index", "block", tier.alias("tier"))
+    return parts.groupBy("design_id", "shape_id").agg(F.min("layer").alias("layer")).join(facts, ["design_id", "shape_id"], "left")
 
 
 def group_key(df: DataFrame, keys: list[str], item: str) -> DataFrame:

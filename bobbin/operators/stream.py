@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import distance, kth
 
+#: Points that gather before they are put away.
+CHUNK = 256
 #: Units (0.1 mm) that end a run when stitched over.
 HOP_U = 75
 
@@ -92,12 +94,19 @@ def drop_coincident(df: DataFrame, tolerance_u: float = 0.1) -> DataFrame:
     """Stitches of runs without those nearer than the tolerance to the last one kept. One ordered pass per run."""
     pts = runs(df).groupBy("design_id", "run").agg(F.array_sort(F.collect_list(F.struct("seq", "x_u", "y_u", "block"))).alias("pts"))
 
+    # kept points gather in chunks, so that a point is copied a bounded number of times within its chunk and chunks alone are copied on
+    head = F.slice("pts", 1, 1)
+    start = F.struct(head.alias("chunk"), F.slice(F.array(head), 2, 1).alias("full"))
+
     def step(acc, p):
-        last = F.element_at(acc, -1)
+        last = F.element_at(acc["chunk"], -1)
         far = distance(p["x_u"] - last["x_u"], p["y_u"] - last["y_u"]) >= tolerance_u
-        return F.when(far, F.concat(acc, F.array(p))).otherwise(acc)
+        whole = F.size(acc["chunk"]) >= CHUNK
+        chunk = F.when(whole, F.array(p)).otherwise(F.concat(acc["chunk"], F.array(p)))
+        full = F.when(whole, F.concat(acc["full"], F.array(acc["chunk"]))).otherwise(acc["full"])
+        return F.when(far, F.struct(chunk.alias("chunk"), full.alias("full"))).otherwise(acc)
 
-    kept = F.aggregate(F.slice("pts", 2, F.size("pts")), F.slice("pts", 1, 1), step)
+    kept = F.aggregate(F.slice("pts", 2, F.size("pts")), start, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["chunk"]))
     return pts.select("design_id", "run", F.explode(kept).alias("p")).select("design_id", "run", "p.*")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare as K
+from ..operators import measures as M
 from ..operators import pixels as P
 from .pixel_queries import SIG, decide_sql
 from .registry import query
-from .stitch_queries import GAPS
+from .stitch_queries import BOTH, GAPS
 
 RATE = """b AS (SELECT design_id, COUNT(*) FILTER (WHERE cmd = 'trim') AS t, COUNT(*) FILTER (WHERE cmd = 'stitch') AS s FROM v_stitches GROUP BY 1), a AS (SELECT design_id, COUNT(*) FILTER (WHERE cmd = 'trim') AS t, COUNT(*) FILTER (WHERE cmd = 'stitch') AS s FROM v_stitches_b GROUP BY 1),
 d AS (SELECT a.design_id, b.t - a.t AS d_trims, a.s - b.s AS d_stitches FROM a JOIN b ON a.design_id = b.design_id),
@@ -20,16 +21,21 @@ def _(a, b):
     return K.exchange_rate(a, b).withColumn("rate", F.round("rate", 6))
 
 
+@query("a45_exchange_totals", "v_stitches", "v_stitches_b", sql=f"WITH {RATE} SELECT COUNT(*) AS designs, CAST(SUM(d_trims) AS BIGINT) AS d_trims, CAST(SUM(d_stitches) AS BIGINT) AS d_stitches, CAST(SUM(score) AS BIGINT) AS score, COUNT(*) FILTER (worse) AS worse, ROUND(CASE WHEN SUM(d_trims) > 0 THEN SUM(d_stitches) / SUM(d_trims) END, 6) AS rate FROM rate")
+def _(a, b):
+    return K.exchange_totals(K.exchange_rate(a, b)).withColumn("rate", F.round("rate", 6))
+
+
 @query("t8_worst_fixtures", "v_stitches", "v_stitches_b", sql=f"WITH {RATE} SELECT design_id, score FROM rate ORDER BY score DESC, design_id LIMIT 10")
 def _(a, b):
     return K.worst(K.exchange_rate(a, b), "score", 10).select("design_id", "score")
 
 
-@query("u1_combine_designs", "v_stitches", sql="""WITH s AS (SELECT design_id % 10 AS g, *, LAG(design_id) OVER w AS pd, LAG(x_u) OVER w AS px, LAG(y_u) OVER w AS py FROM v_stitches WINDOW w AS (PARTITION BY design_id % 10 ORDER BY design_id, seq)),
+@query("u1_combine_designs", "v_stitches", sql="""WITH s AS (SELECT CAST(FLOOR(design_id / 10) AS BIGINT) AS g, *, LAG(design_id) OVER w AS pd, LAG(x_u) OVER w AS px, LAG(y_u) OVER w AS py FROM v_stitches WINDOW w AS (PARTITION BY CAST(FLOOR(design_id / 10) AS BIGINT) ORDER BY design_id, seq)),
 u AS (SELECT g, design_id, seq, 2 AS k, cmd, x_u, y_u FROM s UNION ALL SELECT g, design_id, seq, k, c, px, py FROM s CROSS JOIN (VALUES (0, 'trim'), (1, 'color')) AS z(k, c) WHERE pd <> design_id)
 SELECT g, ROW_NUMBER() OVER (PARTITION BY g ORDER BY design_id, seq, k) - 1 AS pos, cmd, x_u, y_u FROM u""")
 def _(s):
-    return K.combine_designs(s.withColumn("g", F.col("design_id") % 10), "g")
+    return K.combine_designs(s.withColumn("g", F.floor(F.col("design_id") / 10)), "g")
 
 
 @query("x12_collapse_tokens", "v_stitches", sql="""WITH b AS (SELECT *, SUM(CAST(cmd = 'color' AS INT)) OVER (PARTITION BY design_id ORDER BY seq) AS block FROM v_stitches),
@@ -79,6 +85,12 @@ def _(s):
     return K.confusion(s, F.col("forced_class").isin("BUILDING", "MACHINERY"), {"ucm": F.col("ucm") >= 0.28, "grad": F.col("grad") >= 8, "alpha": F.col("alpha") >= 0.5})
 
 
+@query("a42_tier_matrix", "v_stitches", "v_stitches_b", sql=f"""WITH {BOTH} SELECT a.typ AS tier, {', '.join(f"COUNT(*) FILTER (b.typ = '{t}') AS {t}" for t in ('run', 'satin', 'fill'))} FROM cell a JOIN cell2 b ON a.design_id = b.design_id AND a.ci = b.ci AND a.cj = b.cj GROUP BY 1""")
+def _(a, b):
+    cells = M.cell_map(a).select("design_id", "ci", "cj", F.col("typ").alias("tier")).join(M.cell_map(b).select("design_id", "ci", "cj", F.col("typ").alias("said")), ["design_id", "ci", "cj"])
+    return K.tier_matrix(cells, "tier", "said", ("run", "satin", "fill"))
+
+
 @query("f12_photo_class", "v_signals", sql=f"WITH {SIG}, z AS ({decide_sql('sig', 'CAST(0.28 AS DOUBLE)')}) SELECT z.image_id, COALESCE({FORCED} IN ('photo_subject', 'photo_scene'), FALSE) OR class IN ('photo_subject', 'photo_scene') AS photo FROM z JOIN v_signals v ON v.image_id = z.image_id")
 def _(s):
     return P.decide(s).select("image_id", K.photo_class(F.expr(FORCED), F.col("class")).alias("photo"))

@@ -140,6 +140,12 @@ def _(px):
     return P.cap_colours(P.palette_of(px), 2)
 
 
+@query("t4_cap_warnings", "v_pixels", sql=f"""WITH {PALETTE}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY pixels DESC, label) AS n FROM pal)
+SELECT image_id, COUNT(*) AS colours, 2 AS kept, ROUND(COALESCE(SUM(pixels) FILTER (n > 2), 0) / SUM(pixels), 6) AS changed FROM k GROUP BY 1 HAVING COUNT(*) > 2""")
+def _(px):
+    return P.cap_warnings(P.palette_of(px), 2).withColumn("changed", F.round("changed", 6))
+
+
 def decide_sql(src: str, photo: str) -> str:
     """Select list that decides on rows of `src`."""
     sure = lambda v, t, m: f"LEAST(1.0, ABS({v} - {t}) * 0.5 / {m} + 0.5)"

@@ -80,7 +80,7 @@ def facts(st: DataFrame, limits: Limits = Limits(), hop_u: int = HOP_U) -> DataF
     runs = s.groupBy("design_id", "run").agg(*[n(F.col("cmd") == c).alias(c) for c in ("stitch", "trim", "color")], F.count("shared").alias("shared"), n(F.col("move") > limits.longest_u).alias("too_long"), F.max("move").alias("longest"),
                                              F.count("len").alias("steps"), F.when(F.count("len") > 0, kth(F.collect_list("len"), 0.5)).alias("median"), n(F.col("turns")).alias("back"), n(F.col("len") < limits.shortest_u).alias("short"), F.greatest(span("x_u"), span("y_u")).alias("extent"))
     lock = (F.col("steps") <= 5) & (F.col("median") <= 10)
-    satin = (F.col("steps") > 0) & ~lock & (F.col("back") / F.col("steps") >= 0.6)
+    satin = (F.col("steps") > 0) & ~lock & (F.try_divide("back", "steps") >= 0.6)
     small = satin & ((F.col("median") < limits.column_u) | (F.col("extent") < limits.extent_u))
     in_satin = lambda c: F.sum(F.when(satin, F.col(c)).otherwise(0))
     return runs.groupBy("design_id").agg(*[F.sum(c).alias(c) for c in ("stitch", "trim", "color", "shared", "too_long")], F.max("longest").alias("longest"), in_satin("steps").alias("satin_steps"), in_satin("short").alias("short"), n(satin).alias("total"), n(small).alias("small"))
@@ -89,7 +89,7 @@ def facts(st: DataFrame, limits: Limits = Limits(), hop_u: int = HOP_U) -> DataF
 def _rules(limits: Limits) -> dict[str, list[tuple]]:
     """Built-in rules over the facts: code, severity, when, metric."""
     c, enough = F.col, F.col("stitch") >= limits.least_stitches
-    share, trims, holes = c("short") / c("satin_steps"), c("trim") * 1000.0 / c("stitch"), c("shared") / F.col("stitch")
+    share, trims, holes = F.try_divide("short", "satin_steps"), F.try_divide(c("trim") * 1000.0, c("stitch")), F.try_divide("shared", "stitch")
     return {
         "stitch_length": [("too_long", "block", c("too_long") > limits.too_many_long, c("longest")), ("too_short", "warn", (c("satin_steps") >= limits.satin_steps) & (share > limits.short_share), share)],
         "lettering": [("lettering_small", "warn", c("small") > limits.small_shapes, c("small"))],

@@ -297,11 +297,12 @@ def _(a, b):
     return r4(M.paired_means(M.plan_stats(a), M.plan_stats(b), "trims"), "before", "after")
 
 
-@query("a48_audit", "v_stitches", sql=f"""WITH {GAPS}, base AS (SELECT design_id, COUNT(*) FILTER (cmd = 'trim') AS trims, COUNT(*) FILTER (cmd = 'jump') AS jumps FROM v_stitches GROUP BY 1),
-gg AS (SELECT design_id, MIN(gap) FILTER (cut) AS shortest_cut, SUM(gap) AS travel FROM h GROUP BY 1), ss AS (SELECT design_id, COUNT(*) FILTER (len < 8) AS short_steps FROM s GROUP BY 1)
-SELECT base.design_id, trims, jumps, ROUND(shortest_cut, 4) AS shortest_cut, ROUND(travel, 3) AS travel, short_steps FROM base LEFT JOIN gg ON base.design_id = gg.design_id LEFT JOIN ss ON base.design_id = ss.design_id""")
+@query("a48_audit", "v_stitches", sql=f"""WITH {GAPS}, {CLASSES[CLASSES.index(', t AS') + 2:]}, base AS (SELECT design_id, COUNT(*) FILTER (cmd = 'trim') AS trims, COUNT(*) FILTER (cmd = 'jump') AS jumps FROM v_stitches GROUP BY 1),
+gg AS (SELECT design_id, MIN(gap) FILTER (cut) AS shortest_cut, SUM(gap) AS travel FROM h GROUP BY 1), ss AS (SELECT s.design_id, COUNT(*) FILTER (len < 12 AND kind = 'fill') AS short_fill_steps FROM s JOIN c ON s.design_id = c.design_id AND s.run = c.run GROUP BY 1),
+tw AS (SELECT design_id, run, SQRT(CAST(POW(LEAD(x_u, 2) OVER w - x_u, 2) + POW(LEAD(y_u, 2) OVER w - y_u, 2) AS DOUBLE)) AS two FROM r WINDOW w AS (PARTITION BY design_id, run ORDER BY seq)), sg AS (SELECT tw.design_id, MAX(two) AS satin_gap FROM tw JOIN c ON tw.design_id = c.design_id AND tw.run = c.run WHERE kind = 'satin' GROUP BY 1)
+SELECT base.design_id, trims, jumps, ROUND(shortest_cut, 4) AS shortest_cut, ROUND(travel, 3) AS travel, COALESCE(short_fill_steps, 0) AS short_fill_steps, ROUND(satin_gap, 4) AS satin_gap FROM base LEFT JOIN gg ON base.design_id = gg.design_id LEFT JOIN ss ON base.design_id = ss.design_id LEFT JOIN sg ON base.design_id = sg.design_id""")
 def _(st):
-    return r4(M.audit_stats(st), "shortest_cut").withColumn("travel", F.round("travel", 3))
+    return r4(M.audit_stats(st, 12), "shortest_cut", "satin_gap").withColumn("travel", F.round("travel", 3))
 
 
 # ---- quality rules and their report
