@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,6 +119,3 @@ def axial_mean(angle: Column, weight: Column) -> Column:
     """Weighted mean direction in degrees modulo 180 of axial angles (radians), as an aggregate."""
     s, c = F.sum(F.sin(angle * 2) * weight), F.sum(F.cos(angle * 2) * weight)
     return F.pmod(F.degrees(F.atan2(s, c)) / 2, F.lit(180.0))
-
-
-RIGHT_ANGLE = math.pi / 2

@@ -9,7 +9,7 @@ from ..operators import measures as M
 from ..operators import pixels as P
 from .pixel_queries import SIG, decide_sql
 from .registry import query
-from .stitch_queries import BOTH, GAPS
+from .stitch_queries import BOTH
 
 RATE = """b AS (SELECT design_id, COUNT(*) FILTER (WHERE cmd = 'trim') AS t, COUNT(*) FILTER (WHERE cmd = 'stitch') AS s FROM v_stitches GROUP BY 1), a AS (SELECT design_id, COUNT(*) FILTER (WHERE cmd = 'trim') AS t, COUNT(*) FILTER (WHERE cmd = 'stitch') AS s FROM v_stitches_b GROUP BY 1),
 d AS (SELECT a.design_id, b.t - a.t AS d_trims, a.s - b.s AS d_stitches FROM a JOIN b ON a.design_id = b.design_id),

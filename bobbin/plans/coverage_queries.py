@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import coverage as V
 from . import qc
 from .registry import query
-from .stitch_queries import RUNS, SAMPLES, WHOLE, r4
+from .stitch_queries import RUNS, SAMPLES, r4
 from .technique_queries import TIES, lines_sql, recursive
 
 WR = "WINDOW w AS (PARTITION BY design_id, run ORDER BY seq)"
