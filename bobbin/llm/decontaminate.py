@@ -16,9 +16,10 @@ at the front and at the end, and fewer than 0.15 of unrelated windows become can
 
 The scan is one pass over the documents without a shuffle; drop_contaminated() drops rows in that pass, so no ids are joined
 back. Items are broadcast in blocks of at most BLOCK_BYTES of text; find_items() takes a pass for each, drop_contaminated() runs
-them one after the other on the same rows.
+them one after the other on the same rows in one worker, which holds one block's index at a time.
 
-Defined results: null and empty texts hold nothing; null and wordless items are held by nothing; equal items are
+Defined results: no documents or no items give no rows found and drop none; other columns are not read, and are carried by
+drop_contaminated() under whatever names; a text of any length is one word list in the worker; null and empty texts hold nothing; null and wordless items are held by nothing; equal items are
 reported each, with a null item_id too; repeated documents are reported each; a row is judged by its own text, whatever its
 doc_id (null or repeated).
 """
@@ -40,6 +41,8 @@ from .common import prepare
 
 SIMILARITY, REPETITIONS, TABLES, SAMPLED, REACH, SEED = 0.8, 8, 16, 3, 1.2, 7
 BLOCK_BYTES = 16 << 20
+#: Bytes of rows that wait in a worker while blocks of items are taken one after the other.
+HELD_BYTES = 128 << 20
 #: Windows embedded together.
 WINDOWS = 4096
 SPACED = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -173,6 +176,7 @@ class Index:
                 by_length[n] += [(d, x) for x in sorted(starts)]
         for n, places in by_length.items():
             bucket = self.buckets[n]
+            known = np.fromiter(bucket, np.uint64, len(bucket))
             for at in range(0, len(places), WINDOWS):
                 part = places[at : at + WINDOWS]
                 rows = np.zeros((len(part), n), dtype=np.int64)
@@ -180,7 +184,6 @@ class Index:
                     lo, hi = max(0, x), min(len(docs[d]), x + n)
                     rows[i, lo - x : hi - x] = docs[d][lo:hi]
                 keys = lsh_keys(rows)
-                known = np.fromiter(bucket, np.uint64, len(bucket))
                 for i in np.flatnonzero(np.isin(keys, known).any(axis=1)).tolist():
                     d, start = part[i]
                     for k in set().union(*(bucket[x] for x in keys[i].tolist() if x in bucket)):
@@ -203,10 +206,12 @@ _indexes: dict[str, Index] = {}
 
 def _index(shared, similarity: float) -> Index:
     """The worker's index of a block."""
-    key, rows = shared.value
+    key = shared[0]
     if key not in _indexes:
         _indexes.clear()
+        rows = shared[1].value
         _indexes[key] = Index(rows, similarity)
+        shared[1].__dict__.pop("_value", None)  # the index stands for the rows; one block is held at a time
     return _indexes[key]
 
 
@@ -217,7 +222,7 @@ def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator:
     blocks = int(total // BLOCK_BYTES * 2 + 1)  # by hash: twice as many as would do, so that none is much over
     for b in range(blocks):
         rows = [tuple(r) for r in item.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+        yield uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast(rows)
 
 
 def _numbers(index: Index, texts: list[str | None]) -> list[np.ndarray]:
@@ -251,16 +256,28 @@ def find_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs` whose text holds no item."""
+    """The rows of `docs` whose text holds no item. One worker a task takes HELD_BYTES of rows at a time through the blocks."""
     prepare(docs.sparkSession)
     at = docs.columns.index(text)
-    for shared in _blocks(items, item_id, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = _index(shared, similarity)
-            for batch in batches:
-                held = index.find(_numbers(index, batch.column(at).to_pylist()))
-                yield batch.filter(pa.array([not x for x in held], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    blocks = list(_blocks(items, item_id, item_text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, HELD_BYTES if len(blocks) > 1 else 0):
+            for shared in blocks:
+                index = _index(shared, similarity)
+                group = [batch.filter(pa.array([not x for x in index.find(_numbers(index, batch.column(at).to_pylist()))], pa.bool_())) for batch in group]
+            yield from group
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Neighbouring batches, together of `most` bytes or little more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield held
+            held = []
+    if held:
+        yield held
