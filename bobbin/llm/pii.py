@@ -13,11 +13,14 @@ Kinds. Base: email, ip, card, phone; all that pass their check stay. Added by th
 MIN_SCORE. An added span never removes a base one.
 
 Defined results: null counts as empty; a text without spans gives counts of 0 and empty strings; spans of
-different kinds may overlap; repeated rows are scanned each.
+different kinds may overlap; repeated rows are scanned each; a null doc_id is carried; any number of spans in a text of any length
+is found, in time that grows a little faster than the spans (by the root of their number); no rows give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,30 +79,58 @@ def confirmed(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spans_of(kind: str, text: Column) -> Column:
-    """Confirmed spans of one kind: array of (start, k, kind, end, value, score), k being the kind's place."""
+    """Confirmed spans of one kind: array of (start, k, kind, end, value, score), k being the kind's place.
+
+    Matches and the gaps before them are paired and taken in stretches of about the root of their number, so that no list
+    is copied on for each match: lengths of stretches first, running sums of these, then the spans of each stretch from its own
+    part of the text."""
     k, pattern = KINDS.index(kind), PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,k:int,kind:string,end:int,value:string,score:double>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<start:int,k:int,kind:string,end:int,value:string,score:double>>)")
+    width = lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["value"]), F.lit(0))
 
-    def span(start: Column, value: Column) -> Column:
-        end = start + F.length(value)
-        near = F.concat(F.substring(text, F.greatest(F.lit(1), start - CONTEXT_CHARS + 1), F.least(start, F.lit(CONTEXT_CHARS))), F.lit(" "), F.substring(text, end + 1, F.lit(CONTEXT_CHARS)))
+    def span(around: Column, first: Column, start: Column, value: Column) -> Column:
+        """`around` is the part of the text that begins at place `first`."""
+        end, at = start + F.length(value), start - first
+        near = F.concat(F.substring(around, F.greatest(F.lit(1), at - CONTEXT_CHARS + 1), F.least(at, F.lit(CONTEXT_CHARS))), F.lit(" "), F.substring(around, end - first + 1, F.lit(CONTEXT_CHARS)))
         gain = F.when(near.rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0) - F.when(near.rlike(AGAINST), CONTEXT_GAIN).otherwise(0.0)
         score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(SCORES[kind]) + gain))
         return F.struct(start.cast("int").alias("start"), F.lit(k).alias("k"), F.lit(kind).alias("kind"), end.cast("int").alias("end"), value.alias("value"), score.alias("score"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        value = pair["value"]  # null beside the text after the last match
-        kept = F.when(value.isNotNull() & confirmed(kind, value), F.array(span(start, value))).otherwise(F.expr("cast(array() as array<struct<start:int,k:int,kind:string,end:int,value:string,score:double>>)"))
-        return F.struct((start + F.coalesce(F.length(value), F.lit(0))).cast("int").alias("at"), F.concat(acc["out"], kept).alias("out"))
+    def stretch(own: Column, start: Column, size: Column) -> Column:
+        first = F.greatest(F.lit(0), start - CONTEXT_CHARS)
+        part = F.struct(first.alias("first"), F.substring(text, first + 1, start - first + size + CONTEXT_CHARS).alias("around"))
+
+        def step(acc: Column, pair: Column, part: Column) -> Column:
+            at = acc["at"] + F.length(pair["gap"])
+            value = pair["value"]  # null beside the text after the last match
+            kept = F.when(value.isNotNull() & confirmed(kind, value), F.array(span(part["around"], part["first"], at, value))).otherwise(none)
+            return F.struct((acc["at"] + width(pair)).cast("int").alias("at"), F.concat(acc["out"], kept).alias("out"))
+
+        zero = F.struct(start.cast("int").alias("at"), none.alias("out"))
+        return _let(part, lambda part: F.aggregate(own, zero, lambda acc, pair: step(acc, pair, part), lambda acc: acc["out"]))
+
+    def spans(pairs: Column, many: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(pairs), many), lambda i: F.slice(pairs, i, many))
+        sized = F.transform(parts, lambda own: F.struct(own.alias("own"), F.aggregate(own, F.lit(0), lambda n, p: n + width(p)).alias("size")))
+
+        def placed(sized: Column) -> Column:
+            zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+            starts = F.aggregate(sized, zero, lambda acc, s: F.struct((acc["at"] + s["size"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+            return F.flatten(F.zip_with(sized, starts, lambda s, start: stretch(s["own"], start, s["size"])))
+
+        return _let(sized, placed)
 
     pairs = F.zip_with(found, between, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    out = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    out = _let(pairs, lambda p: spans(p, F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(p))).cast("int"))))
     out = out if kind in BASE else F.filter(out, lambda s: s["score"] >= MIN_SCORE)
-    none = F.expr("cast(array() as array<struct<start:int,k:int,kind:string,end:int,value:string,score:double>>)")
     may = text.rlike(NEEDS[kind]) if kind in ("email", "phone") else text.rlike(NEEDS[kind]) & text.rlike(pattern)
     return F.when(may, out).otherwise(none)
 
