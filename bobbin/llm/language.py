@@ -7,12 +7,13 @@ these features scores each language. Texts are scored in batches: presence matri
 products.
 
 N-grams are hashed to DIM places; only places that some landmark has take part in products. At most
-FIT_PER_LANGUAGE labelled documents of a language (least hash of doc_id) and FIT_ROWS in all fit the model, LANDMARKS_PER_LANGUAGE
-of each are landmarks. These bounds are parameters; each fitting document reaches the driver as its
-place list only.
+FIT_PER_LANGUAGE labelled rows of a language (least hash of doc_id and text) and FIT_ROWS in all fit the model, LANDMARKS_PER_LANGUAGE
+of each are landmarks. These bounds are parameters; each fitting row reaches the driver as its place list only, and its
+label is its own, whatever other rows share its doc_id.
 
-Defined results: `und` with score 0 if a text is null or has no letter, or if nothing was learned; ties go to the
-first language by name; repeated rows are scored each.
+Defined results: `und` with score 0 if a text is null or has no letter, or if nothing was learned (an empty table); with one language
+all lettered texts are of it; ties go to the first language by name; repeated rows are scored each and fit as one; a null doc_id
+is a value like any other; texts of any length go through in pieces; columns that clash with the two results are replaced.
 """
 
 from __future__ import annotations
@@ -50,22 +51,23 @@ def presence(text: str) -> np.ndarray:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = FIT_PER_LANGUAGE, rows: int = FIT_ROWS) -> dict:
     """A model from the rows of `docs` that have a language and a letter. Filter `docs` first to hold rows out."""
     prepare(docs.sparkSession)
-    named = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    # a hash below this share of its range leaves about twice the rows wanted of each language, so only those meet in one
-    # task; at most `rows` languages (the first by name) can be chosen from, so their counts may be broadcast
-    sizes = named.groupBy("lang").agg(F.count("*").alias("n_lang")).orderBy("lang").limit(rows)
+    raw = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
+    # a row's own hash below this share of its range leaves about twice the rows wanted of each language, so only those meet in
+    # one task; at most `rows` languages (the first by name) can be chosen from, so their counts may be broadcast
+    sizes = raw.groupBy("lang").agg(F.count("*").alias("n_lang")).orderBy("lang").limit(rows)
     share = F.lit(2.0 * per_language) / F.col("n_lang")
-    named = named.join(F.broadcast(sizes), "lang").where(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= share).drop("n_lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = named.withColumn("n", place).where(F.col("n") <= per_language).orderBy("n", "lang").limit(rows)
-    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), "doc_id").select("lang", "n", "doc_id", "text")
+    lettered = raw.join(F.broadcast(sizes), "lang").where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", "text"))
+    # rows that repeat are one, joined inside each task first
+    src = lettered.where(F.col("h") / 2.0**64 + 0.5 <= share).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [presence(t).astype(np.int32) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array([h.tobytes() for h in held], pa.binary())], names=["lang", "n", "held"])
+            held = [presence(t).astype(np.int32) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.tobytes() for h in held], pa.binary())], names=["lang", "h", "held"])
 
-    got = sorted((r["n"], r["lang"], bytes(r["held"])) for r in src.mapInArrow(run, "lang string, n int, held binary").collect())
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = src.mapInArrow(run, "lang string, h long, held binary").withColumn("n", place).where(F.col("n") <= per_language).orderBy("n", "lang").limit(rows)
+    got = sorted((r["n"], r["lang"], bytes(r["held"])) for r in chosen.collect())
     names = sorted({r[1] for r in got})
     if not names:
         return {"names": []}
