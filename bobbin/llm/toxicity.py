@@ -7,13 +7,15 @@ found by one Aho-Corasick pass; an entry inside an exception phrase (a word pair
 use and the toxic ones don't, or one that the caller names) doesn't count. Weights are summed and
 normalised by length, and a logistic curve over the sum and the density makes the score.
 
-Fitting. At most FIT_ROWS labelled documents of each class (the least by hash of doc_id) are read; that bound is a
-parameter. Entries are counted in Spark; all that reach SUPPORT and MIN_ODDS form the lexicon (each occurs in SUPPORT of the
+Fitting. At most FIT_ROWS labelled ids of each class (the least by hash) are read, and of their different texts at most FIT_ROWS of each
+class again, whatever number of rows share an id; that bound is a parameter. Entries are counted in Spark; all that reach SUPPORT and MIN_ODDS form the lexicon (each occurs in SUPPORT of the
 FIT_ROWS toxic documents, so their number is bounded by what these hold), and the curve is fitted on three numbers of
 each sampled document. Scoring is a pass without a shuffle.
 
 Defined results: null and empty texts score as texts without matches; without both classes among the labels
-every score is the share of toxic labels (0 if none); repeated rows are scored each.
+every score is the share of toxic labels (0 if none, as for empty tables); repeated rows are scored each and fit as one, a
+doc_id on two texts lends its label to both, one with both labels to none; ties of weights at a word count once; texts of
+any length are one string in the worker; a column of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, spare
+from .common import forget, keep, prepare, spare
 
 FIT_ROWS, STEMS = 6_000, (4, 5, 6, 7)
 #: Least toxic documents that hold an entry, and least log odds.
@@ -94,21 +96,27 @@ def features(total: float, words: int) -> tuple[float, float]:
     return float(np.log1p(total)), total / max(1, words)
 
 
-def _sample(labels: DataFrame, doc_id: str, label: str, rows: int) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int) -> DataFrame:
+    """y, text of at most `rows` different labelled texts of each class, the least by hash, as a written table."""
+    # an id's label is the one that all its label rows give; ids with both are left out
     known = labels.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y"))
-    known = known.withColumn("__h", F.xxhash64("doc_id"))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("doc_id", "y", F.xxhash64("doc_id").alias("__h"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     # a hash below this share of its range leaves about twice the rows wanted, so only those meet in one task
     share = {y: min(1.0, 2 * rows / n) for y, n in sizes.items()}
     parts = [known.where((F.col("y") == y) & (F.col("__h") / 2.0**64 + 0.5 <= share.get(y, 1.0))).orderBy("__h", "doc_id").limit(rows) for y in (0, 1)]
-    return parts[0].union(parts[1]).drop("__h")
+    ids = parts[0].union(parts[1]).drop("__h")
+    # an id may be on any number of rows: these are bounded too, by the least hashes of doc_id and text
+    met = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
+    last = {y: met.where(F.col("y") == y).select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0] for y in (0, 1)}
+    below = F.when(F.col("y") == 1, F.col("h") <= F.lit(last[1])).otherwise(F.col("h") <= F.lit(last[0]))
+    return keep(met.where(below).groupBy("y", "h").agg(F.first("text", ignorenulls=False).alias("text")).select("y", "text"), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, exceptions: tuple[str, ...] = ()) -> dict:
     """A model from the labelled rows given: lexicon, exceptions, curve. Filter `labels` first to hold rows out."""
     spark = prepare(docs.sparkSession)
-    chosen = _sample(labels, doc_id, label, fit_rows)
-    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    src = _sample(docs, labels, doc_id, text, label, fit_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     whole = counts.where("entry = ''").first()
     clean, toxic = (whole["clean"], whole["toxic"]) if whole else (0, 0)
     if not clean or not toxic:
+        forget(src)
         return {"lexicon": {}, "exceptions": [], "curve": None, "base": toxic / max(1, clean + toxic)}
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     top = counts.where((F.col("entry") != "") & (F.col("toxic") >= SUPPORT)).withColumn("w", odds).where(F.col("w") >= MIN_ODDS).select("entry", "w").collect()
@@ -158,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     y = np.array([r["y"] for r in rows], dtype=float)
     x = np.array([(1.0, r["a"], r["b"]) for r in rows])
     model["curve"] = _logistic(x, y)
+    forget(src)
     return model
 
 
