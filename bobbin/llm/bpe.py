@@ -10,15 +10,21 @@ again, over more and more of both sides until their outer neighbours agree. The
 a piece whose encoding depends on all that stands before (such as one letter, repeated), which the query then takes whole.
 Spark partitions the documents; nothing is shuffled and only the vocabulary (a fixed file) is broadcast.
 
+A piece that is an entry of the vocabulary is that entry, as in any byte-level BPE whose merges make its entries; only the
+others reach the query.
+
 Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows are
-encoded each; other columns are carried along untouched.
+encoded each, whatever their doc_id; other columns are carried along untouched, but for those that have the name of a result
+column, which they lose to it; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,7 +117,7 @@ class Coder:
     def __init__(self, tokens: list[bytes], merges: dict[str, np.ndarray], pattern: str):
         import duckdb
 
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": f"{tempfile.gettempdir()}/bpe-{os.getpid()}"})
         merged = pa.table(merges)  # noqa: F841  DuckDB reads it by name
         vocab = pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "ch": [t.decode("latin-1") for t in tokens]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merged")
