@@ -60,9 +60,9 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of `docs` for each text: the one with the largest doc_id, any one of those that repeat it."""
     found = keep(exact_duplicates(docs, doc_id, text), "copies")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__of")).distinct()
-    sha = spare(docs.columns, "__sha")
+    sha, lost, of = (spare(docs.columns, c) for c in ("__sha", "__gone", "__of"))
+    gone = found.where("not kept").select(F.col("doc_id").alias(lost), F.col("text_sha256").alias(of)).distinct()
     out = docs.withColumn(sha, F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
     if found.where("kept").groupBy("text_sha256").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates([doc_id, sha])  # joined inside each task before the shuffle
-    return out.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone")) & (F.col(sha) == F.col("__of")), "left_anti").drop(sha)
+    return out.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(lost)) & (F.col(sha) == F.col(of)), "left_anti").drop(sha)

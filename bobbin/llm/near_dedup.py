@@ -344,9 +344,9 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5, do
     """One row of `docs` for each component: its first by doc_id (null last), then by the text's hash; of repeated rows any one."""
     found = keep(_labelled(docs, threshold, width, doc_id, text), "near")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    gone = found.where(~own.eqNullSafe(F.col("lead"))).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__of")).distinct()
-    h = spare(docs.columns, "__hash")
+    h, lost, of = (spare(docs.columns, c) for c in ("__hash", "__gone", "__of"))
+    gone = found.where(~own.eqNullSafe(F.col("lead"))).select(F.col("doc_id").alias(lost), F.col("text_hash").alias(of)).distinct()
     out = docs.withColumn(h, F.xxhash64(F.col(f"`{text}`")))
     if repeated(found):
         out = out.dropDuplicates([doc_id, h])
-    return out.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone")) & (F.col(h) == F.col("__of")), "left_anti").drop(h)
+    return out.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(lost)) & (F.col(h) == F.col(of)), "left_anti").drop(h)
