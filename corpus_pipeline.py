@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bobbin.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
-from bobbin.llm.common import crc_bucket, keep, made, sweep, table
+from bobbin.llm.common import crc_bucket, keep, made, spare, sweep, table
 
 #: Documents whose toxicity score reaches this go.
 TOXIC = 0.5
@@ -25,7 +25,8 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fitted on labelled documents outside the held-out fifth; documents that score as toxic go."""
     labels = table(spark, sf_dir, "labels").where(crc_bucket(F.col("doc_id"), 5) != 0)
-    return toxicity.score(docs, toxicity.fit(docs, labels), out="__score").where(F.col("__score") < TOXIC).drop("__score")
+    out = spare(docs.columns, "__score")
+    return toxicity.score(docs, toxicity.fit(docs, labels), out=out).where(F.col(out) < TOXIC).drop(out)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,8 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, and decoded: whether the ids decode to the text's bytes."""
     import public_tokenizers as P
 
-    made = bpe.encode_documents(docs.select("doc_id", "text"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, decoded="__decoded")
-    return made.select("doc_id", "n_tokens", "token_ids", (F.coalesce("text", F.lit("")).cast("binary") == F.col("__decoded")).alias("decoded"))
+    coded = bpe.encode_documents(docs.select("doc_id", "text"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, decoded="__decoded")
+    return coded.select("doc_id", "n_tokens", "token_ids", (F.coalesce("text", F.lit("")).cast("binary") == F.col("__decoded")).alias("decoded"))
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("decontamination", drop_benchmark_passages), ("bpe", to_tokens)]
