@@ -14,9 +14,9 @@ Their fragments are reduced as a tree, FAN neighbours at a time, each level one
 they closed. Shorter texts are one chunk and need no reduction.
 
 Tokens. Neither tokenizer joins bytes across a single space between two characters that aren't space, so a text is cut into units
-there, and each worker remembers the tokens and groups of short units (at most UNITS of them).
+there, and each worker remembers the ids of short units (at most UNITS of them).
 
-Counts. How many documents hold an id pair linked is summed from blocks of at most BLOCK documents, each with one list of its distinct pairs; the
+Counts. How many documents hold an id pair linked is summed from blocks of at most BLOCK documents and about BLOCK_CHARS characters, each with one list of its distinct pairs; the
 counts come back to the blocks, joined by pair (frequent ones dealt by a salt), and meet the blocks' documents by block. Pairs of
 chunked documents are rows of their own. Nothing is broadcast but the two vocabularies.
 
@@ -30,11 +30,14 @@ ids, so a group costs the product of these.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -46,15 +49,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import attach, forget, keep, prepare
+from .common import SIGNS, attach, forget, keep, prepare
 
 #: Bytes of a chunk, bytes around its end in which a place between words is sought, and neighbours composed at a time.
 CHUNK, REACH, FAN = 32 << 10, 2 << 10, 8
-#: Documents and distinct pairs of a block; units that a worker remembers, and their greatest length.
-BLOCK, BLOCK_PAIRS, UNITS, UNIT_CHARS = 2048, 200_000, 100_000, 48
+#: Documents and characters of a block; units that a worker remembers, and their greatest length.
+BLOCK, BLOCK_CHARS, UNITS, UNIT_CHARS = 2048, 4 << 20, 400_000, 48
+#: Links of a group that are listed one by one.
+FEW_LINKS = 256
 #: A single space between characters that aren't space, for texts; the same between two printable ASCII signs, for bytes.
-_BETWEEN = re.compile(r"(?<=[^\s▁᠎]) (?=[^\s▁᠎])")
+_BETWEEN = re.compile(r"(?<=[^\s▁᠎])(?= [^\s▁᠎])")
 _CUT = re.compile(rb"(?<=[!-~]) (?=[!-~])")
+#: Units that can follow one another.
+_JOINT = re.compile(r" [^\s▁᠎](?:.*[^\s▁᠎])?", re.DOTALL)
+#: Fixed value: the pattern of byte-level pre-tokens.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 Tokens = list[tuple[int, int]]
 
@@ -83,17 +92,29 @@ def fragment(a: Tokens, b: Tokens) -> Fragment:
     common = [e for _, e in a if e in ends]
     if not common:
         return Fragment(a, b, [], [], [], False)
-    i = j = 0
-    cut = []
-    for end in common:
-        x, y = i, j
-        while i < len(a) and a[i][1] <= end:
+    first, last = common[0], common[-1]
+    side = lambda x, lo, hi: [t for t in x if lo < t[1] <= hi]
+    middle = cut(side(a, first, last), side(b, first, last))
+    return Fragment(side(a, 0, first), side(b, 0, first), [(last, middle)] if middle else [], [t for t in a if t[1] > last], [t for t in b if t[1] > last], True)
+
+
+def cut(a: Tokens, b: Tokens) -> list[tuple]:
+    """Groups of tokens that begin at one byte and end at one."""
+    out, i, j, x, y = [], 0, 0, [], []
+    while i < len(a) or j < len(b):
+        if j == len(b) or i < len(a) and a[i][1] <= b[j][1]:
+            x.append(a[i][0])
+            both = j < len(b) and a[i][1] == b[j][1]
             i += 1
-        while j < len(b) and b[j][1] <= end:
+            if both:
+                y.append(b[j][0])
+                j += 1
+                out.append((tuple(x), tuple(y)))
+                x, y = [], []
+        else:
+            y.append(b[j][0])
             j += 1
-        cut.append((a[x:i], b[y:j]))
-    stretches = [(common[-1], [_group(*g) for g in cut[1:]])] if len(cut) > 1 else []
-    return Fragment(*cut[0], stretches, a[i:], b[j:], True)
+    return out
 
 
 def closings(f: Fragment) -> list:
@@ -135,38 +156,59 @@ def linked(groups: list) -> dict[int, int]:
     return out
 
 
-class Closed(NamedTuple):
-    """What is told of closed groups: their spelling and numbers."""
-
-    groups: str
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    pairs: tuple
-
-    @classmethod
-    def of(cls, groups: list) -> Closed:
-        return cls(";".join(map(spell, groups)), sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups), tuple(linked(groups).items()))
-
-
-def total(parts: list[Closed]) -> tuple[Closed, dict[int, int]]:
-    """One Closed for neighbouring ones (its pairs left out), and their links by pair."""
-    seen: dict[int, list] = {}
-    for p in parts:
-        seen.setdefault(id(p), [p, 0])[1] += 1
-    n = [0, 0, 0, 0]
-    pairs: dict[int, int] = {}
-    for p, times in seen.values():
-        for k in range(4):
-            n[k] += times * p[k + 1]
-        for code, m in p.pairs:
-            pairs[code] = pairs.get(code, 0) + times * m
-    return Closed(";".join([p.groups for p in parts]), *n, ()), pairs
+class Told(NamedTuple):
+    """What is told of stretches of closed groups, one entry a stretch: spelling, numbers; and links as (stretch, pair, links)."""
+
+    groups: list[str]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    at: np.ndarray
+    pairs: np.ndarray
+    links: np.ndarray
+
+
+def tell(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, stops: np.ndarray, spelt: tuple[np.ndarray, np.ndarray]) -> Told:
+    """Told of tokens (ids and ascending ends) in stretches that end at `stops`, where both sides have an end; `spelt` has
+    each id's spelling before a sign inside its side and at its side's end."""
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+    n_a, n_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
+    up_a, up_b = np.cumsum(n_a), np.cumsum(n_b)
+    # spelling: a group's tokens of A, then those of B
+    parts = np.empty(len(a) + len(b), dtype=object)
+    parts[np.arange(len(a)) + (up_b - n_b)[of_a]] = spelt[0][(np.arange(len(a)) + 1 == up_a[of_a]).astype(np.intp), a]
+    parts[np.arange(len(b)) + up_a[of_b]] = spelt[1][(np.arange(len(b)) + 1 == up_b[of_b]).astype(np.intp), b]
+    signs = parts.tolist()
+    last = np.searchsorted(common, stops)
+    bounds = [0, *(up_a + up_b)[last].tolist()]
+    groups = ["".join(signs[x:y])[:-1] for x, y in pairwise(bounds)]
+    per = lambda up: np.diff(up[last], prepend=0)
+    # links: each token of A with every one of B in its group; large groups by their distinct ids
+    each = n_b[of_a]
+    many = (n_a * n_b > FEW_LINKS)[of_a]
+    each = np.where(many, 0, each)
+    other = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat((up_b - n_b)[of_a], each)
+    pair, at = np.repeat(a, each) << 32 | b[other], np.searchsorted(last, np.repeat(of_a, each))
+    links = np.ones(len(pair), np.int64)
+    for g in np.unique(of_a[many]).tolist():
+        x, y = (np.unique(side[of == g], return_counts=True) for side, of in ((a, of_a), (b, of_b)))
+        own = (x[0][:, None] << 32 | y[0][None, :]).ravel()
+        pair, links = np.concatenate([pair, own]), np.concatenate([links, (x[1][:, None] * y[1][None, :]).ravel()])
+        at = np.concatenate([at, np.full(len(own), np.searchsorted(last, g))])
+    known, code = np.unique(pair, return_inverse=True)
+    key, place = np.unique(at * max(1, len(known)) + code, return_inverse=True)
+    summed = np.zeros(len(key), np.int64)
+    np.add.at(summed, place, links)
+    at, code = np.divmod(key, max(1, len(known)))
+    return Told(groups, per(up_a), per(up_b), np.diff(last + 1, prepend=0), per(np.cumsum(n_a * n_b)), at, known[code] if len(known) else key, summed)
 
 
 class Aligner:
-    """Both tokenizers, from their files' contents."""
+    """Both tokenizers, from their files' contents.
+
+    Units that a worker doesn't remember are joined and go through each tokenizer as one text, whose ids are cut at the units' ends."""
 
     def __init__(self, a_spec: str, b_model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -175,73 +217,96 @@ class Aligner:
 
         self.a, self.b = Tokenizer.from_str(a_spec), sentencepiece.SentencePieceProcessor(model_proto=b_model)
         self.a.encode_special_tokens = True
-        # the byte that each sign of a byte-level entry stands for: printable Latin-1 signs stand for themselves, the others follow from 256 on
-        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-        sign = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
-        self.a_bytes = {i: bytes(sign[c] for c in t) if all(c in sign for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        byte = {c: b for b, c in SIGNS.items()}
+        vocab = self.a.get_vocab(with_added_tokens=True)
+        entries = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in vocab.items()}
+        self.a_bytes = [entries.get(i, b"") for i in range(max(entries) + 1)]
         pieces = ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
-        self.known: dict[str, Closed | None] = {}
-
-    def tokens(self, units: list[str]) -> list[tuple[Tokens, Tokens] | None]:
-        """Tokens of A and B of each unit, with ends in it; None where they don't spell it."""
-        out: list[tuple[Tokens, Tokens] | None] = []
-        for unit, a, b in zip(units, self.a.encode_batch(units, add_special_tokens=False), self.b.encode([u[1:] for u in units], num_threads=1), strict=True):
-            made, whole = [], unit.encode()
-            for ids, entry in ((a.ids, self.a_bytes), (b, self.b_bytes)):
-                parts = [entry[i] for i in ids]
-                if b"".join(parts) != whole:
-                    break
-                ends = np.cumsum([len(p) for p in parts]).tolist()
-                made.append(list(zip(ids, ends, strict=True)))
-            out.append((made[0], made[1]) if len(made) == 2 else None)
-        return out
-
-    def closed(self, units: list[str]) -> list[Closed | None]:
-        """The closed groups of each unit; None where tokens don't spell it."""
-        own = set(units)
-        new = [u for u in own if u not in self.known]
-        if len(self.known) + len(new) > UNITS:
-            self.known.clear()
-            new = list(own)
-        made = {u: Closed.of([g for _, gs in closings(fragment(*t)) for g in gs]) if t else None for u, t in zip(new, self.tokens(new), strict=True)} if new else {}
-        long = {u: c for u, c in made.items() if len(u) > UNIT_CHARS}
-        self.known.update((u, c) for u, c in made.items() if u not in long)
-        return [long[u] if u in long else self.known[u] for u in units] if long else list(map(self.known.__getitem__, units))
-
-    def chunk(self, window: bytes, at: int, lo: int, hi: int) -> tuple[Fragment, dict[int, tuple[Closed, dict]]] | None:
-        """The fragment of the tokens that start in [lo, hi), and by end what is told of its stretch of whole units. `window` holds
-        the bytes from `at` on, from one place between words to another. None if some tokens don't spell their unit."""
-        units = _spaced(window.decode())
-        ends = (at + np.cumsum([len(u.encode()) for u in units])).tolist()
-        starts = [at, *ends[:-1]]
-        inside = [k for k in range(len(units)) if starts[k] >= lo and ends[k] <= hi]
-        cut = [k for k in range(len(units)) if (starts[k] < lo or ends[k] > hi) and ends[k] > lo and starts[k] < hi]
-        closed = self.closed([units[k] for k in inside])
-        halves = dict(zip(cut, self.tokens([units[k] for k in cut]), strict=True)) if cut else {}
-        if any(c is None for c in closed) or any(h is None for h in halves.values()):
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
+        self.sizes = [np.array([len(t) for t in entry], np.int64) for entry in (self.a_bytes, self.b_bytes)]
+        self.spelt = tuple(np.array([[f"{i}{c}" for i in range(len(entry))] for c in ("," + end)], dtype=object) for entry, end in ((self.a_bytes, "|"), (self.b_bytes, ";")))
+        self.fast = self._ranks(json.loads(a_spec), entries)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _ranks(self, spec: dict, entries: dict[int, bytes]):
+        """A as a table of ranks, where it is one: byte-level pre-tokens, and merges in the order of the ids they make."""
+        model, cut = spec["model"], spec["pre_tokenizer"]
+        if spec["normalizer"] is not None or cut != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             return None
-
-        def owned(k: int) -> Fragment:
-            kept = []
-            for tokens in halves[k]:
-                begins = [starts[k], *(starts[k] + e for _, e in tokens)]
-                kept.append([(i, starts[k] + e) for (i, e), s in zip(tokens, begins, strict=False) if lo <= s < hi])
-            return fragment(*kept)
-
-        told: dict[int, tuple[Closed, dict]] = {}
-        parts = [owned(k) for k in cut if not inside or k < inside[0]]
-        if inside:
-            told[ends[inside[-1]]] = total(closed)
-            parts.append(Fragment([], [], [(ends[inside[-1]], None)], [], [], True))
-            parts += [owned(k) for k in cut if k > inside[-1]]
-        return reduce(compose, parts, IDENTITY), told
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        special = {t["id"] for t in spec["added_tokens"]}
+        ranks = {t: i for i, t in entries.items() if i not in special}
+        if made != sorted(made) or len(made) + 256 != len(ranks) or any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, spaced: str) -> tuple[list[int], list[int]]:
+        """Ids of both tokenizers for a text that begins with a space."""
+        return self.fast.encode_ordinary(spaced) if self.fast else self.a.encode(spaced, add_special_tokens=False).ids, self.b.encode(spaced[1:])
+
+    def learn(self, units: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Ids of units, as bytes of 32-bit numbers; None where the tokens don't spell the unit."""
+        alone = [u for u in units if not _JOINT.fullmatch(u)]
+        if alone and len(units) > 1:
+            rest = [u for u in units if _JOINT.fullmatch(u)]
+            return {u: ids for part in ([rest] if rest else []) + [[u] for u in alone] for u, ids in self.learn(part).items()}
+        spaced = "".join(units)
+        ends = np.cumsum([len(u.encode()) for u in units])
+        sides = []
+        for ids, entry, sizes in zip(self.ids(spaced), (self.a_bytes, self.b_bytes), self.sizes, strict=True):
+            if b"".join([entry[i] for i in ids]) != spaced.encode():
+                return {units[0]: None} if len(units) == 1 else self.learn(units[: len(units) // 2]) | self.learn(units[len(units) // 2 :])
+            at = (4 * np.searchsorted(np.cumsum(sizes[ids]), ends, side="right")).tolist()
+            raw = array("i", ids).tobytes()
+            sides.append([raw[x:y] for x, y in pairwise([0, *at])])
+        return dict(zip(units, zip(*sides, strict=True), strict=True))
+
+    def tokens(self, spaced: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids and ends of A, of B, of a text that begins with a space, or of a part of one between places between words; None where they don't spell it."""
+        units, known = _spaced(spaced), self.known
+        new = [u for u in set(units) if u not in known]
+        if len(known) + len(new) > UNITS:
+            known.clear()
+            new = list(set(units))
+        long: dict[str, tuple[bytes, bytes] | None] = {}
+        if new:
+            for u, ids in self.learn(new).items():
+                (known if len(u) <= UNIT_CHARS else long)[u] = ids
+        parts = [long[u] if u in long else known[u] for u in units] if long else list(map(known.__getitem__, units))
+        if None in parts:
+            return None
+        out = []
+        for k, sizes in enumerate(self.sizes):
+            ids = np.frombuffer(b"".join([p[k] for p in parts]), np.int32).astype(np.int64)
+            out += [ids, np.cumsum(sizes[ids])]
+        return out[0], out[1], out[2], out[3]
+
+    def chunk(self, window: bytes, at: int, lo: int, hi: int) -> tuple[Fragment, Told | None] | None:
+        """The fragment of the tokens that start in [lo, hi), and what is told of its stretch. `window` holds the bytes from `at` on,
+        from one place between words to another. None if the tokens don't spell them."""
+        got = self.tokens(window.decode())
+        if got is None:
+            return None
+        sides = []
+        for ids, ends in (got[:2], got[2:]):
+            starts = at + np.concatenate([[0], ends[:-1]])
+            own = (starts >= lo) & (starts < hi)
+            sides.append((ids[own], at + ends[own]))
+        common = np.intersect1d(sides[0][1], sides[1][1], assume_unique=True)
+        pick = lambda low, high: [list(zip(ids[k].tolist(), ends[k].tolist(), strict=True)) for ids, ends in sides for k in ((ends > low) & (ends <= high),)]
+        if not len(common):
+            return Fragment(*pick(-1, hi << 1), [], [], [], False), None
+        first, last = int(common[0]), int(common[-1])
+        inner = [x[k] for ids, ends in sides for k in ((ends > first) & (ends <= last),) for x in (ids, ends)]
+        told = tell(*inner, np.array([last]), self.spelt) if last > first else None
+        return Fragment(*pick(-1, first), [(last, None)] if told else [], *pick(last, 1 << 62), True), told
 
 
 def _spaced(spaced: str) -> list[str]:
     """Units of a text that begins with a space."""
-    first, *rest = _BETWEEN.split(spaced)
-    return [first, *(" " + r for r in rest)]
+    return _BETWEEN.split(spaced)
 
 
 def windows(text: str, chunk: int = CHUNK, reach: int = REACH) -> Iterator[tuple[int, int, int, bytes]]:
@@ -276,14 +341,18 @@ _NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 _STRETCH = "row long, k int, chunks int, edge boolean, ok boolean, pre_a binary, pre_b binary, suf_a binary, suf_b binary, closed boolean, at long, groups string, n_a long, n_b long, n_groups long, n_links long, codes array<long>, links array<long>"
 
 
-def _rows_of(row: int, k: int, chunks: int, ok: bool, f: Fragment, told: dict) -> list[tuple]:
+def _rows_of(row: int, k: int, chunks: int, ok: bool, f: Fragment, told: Told | None) -> list[tuple]:
     """A row for each stretch of a fragment and, unless it is the whole document, one for its open ends."""
     stretches = closings(f) if chunks == 1 else f.stretches
-    none = (None,) * 5
     out = []
     for end, groups in stretches:
-        c, pairs = told[end] if groups is None else ((c := Closed.of(groups)), dict(c.pairs))
-        out.append((row, k, chunks, False, ok, *none, int(end), c.groups, *c[1:5], list(pairs), list(pairs.values())))
+        if groups is None:
+            said = (told.groups[0], *(int(x[0]) for x in told[1:5]), told.pairs.tolist(), told.links.tolist())
+        else:
+            links = linked(groups)
+            n = [sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups)]
+            said = (";".join(map(spell, groups)), *n, list(links), list(links.values()))
+        out.append((row, k, chunks, False, ok, *(None,) * 5, int(end), *said))
     if chunks > 1 or not out:
         out.append((row, k, chunks, True, ok, *map(_pack, (f.pre_a, f.pre_b, f.suf_a, f.suf_b)), f.closed, 0, "", 0, 0, 0, 0, [], []))
     return out
@@ -292,10 +361,10 @@ def _rows_of(row: int, k: int, chunks: int, ok: bool, f: Fragment, told: dict) -
 def _long_documents(docs: DataFrame, readers, chunk: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(rows of chunked documents, row and doc_id of them, tables to forget): stretches in `at` order within a row."""
     numbered = docs.where(F.octet_length("text") >= chunk).withColumn("row", F.monotonically_increasing_id())
-    cut_schema = T.StructType().add("row", "long").add(docs.schema["doc_id"]).add("k", "integer").add("chunks", "integer").add("lo", "long").add("hi", "long").add("at", "long").add("window", "binary")
-    arrow = to_arrow_schema(cut_schema)
+    split_schema = T.StructType().add("row", "long").add(docs.schema["doc_id"]).add("k", "integer").add("chunks", "integer").add("lo", "long").add("hi", "long").add("at", "long").add("window", "binary")
+    arrow = to_arrow_schema(split_schema)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (t, row) in enumerate(zip(batch.column("text"), batch.column("row").to_pylist(), strict=True)):
                 n = 0
@@ -304,15 +373,15 @@ def _long_documents(docs: DataFrame, readers, chunk: int) -> tuple[DataFrame, Da
                     yield pa.RecordBatch.from_arrays([pa.array([row]), batch.column("doc_id").slice(i, 1), pa.array([n], pa.int32()), pa.array([len(parts)], pa.int32()), *(pa.array([v]) for v in (lo, hi, at)), pa.array([window], pa.binary())], schema=arrow)
                     n += 1
 
-    spread = keep(numbered.mapInArrow(cut, cut_schema).repartition("row", "k"), "windows")
+    spread = keep(numbered.mapInArrow(split, split_schema).repartition("row", "k"), "windows")
     made_schema = to_arrow_schema(docs.sparkSession.createDataFrame([], _STRETCH).schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*readers.value)
+        aligner = _aligner(readers)
         for batch in batches:
             for r in batch.to_pylist():
                 got = aligner.chunk(r["window"], r["at"], r["lo"], r["hi"])
-                made = _rows_of(r["row"], r["k"], r["chunks"], got is not None, *(got or (IDENTITY, {})))
+                made = _rows_of(r["row"], r["k"], r["chunks"], got is not None, *(got or (IDENTITY, None)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), made_schema, strict=True)], schema=made_schema)
 
     level = keep(spread.select("row", "k", "chunks", "lo", "hi", "at", "window").mapInArrow(work, _STRETCH), "fragments")
@@ -322,7 +391,7 @@ def _long_documents(docs: DataFrame, readers, chunk: int) -> tuple[DataFrame, Da
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
         parts = [Fragment(_unpack(a), _unpack(b), [], _unpack(c), _unpack(d), bool(e)) for a, b, c, d, e in zip(*(rows[c] for c in ("pre_a", "pre_b", "suf_a", "suf_b", "closed")), strict=True)]
-        made = _rows_of(int(key[0]), int(key[1]), -(-int(rows["chunks"].iloc[0]) // FAN), bool(rows["ok"].all()), reduce(compose, parts, IDENTITY), {})
+        made = _rows_of(int(key[0]), int(key[1]), -(-int(rows["chunks"].iloc[0]) // FAN), bool(rows["ok"].all()), reduce(compose, parts, IDENTITY), None)
         return pd.DataFrame(made, columns=list(made_schema.names))
 
     while most > 1:
@@ -349,52 +418,69 @@ def _short_documents(docs: DataFrame, readers, chunk: int, groups: bool) -> Data
     arrow = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*readers.value)
-        task, block = TaskContext.get().partitionId(), 0
-        place: dict[int, int] = {}
-        held: Counter = Counter()
-        n = 0
-
-        def listed() -> pa.RecordBatch:
-            row = {"block": task << 32 | block, "codes": list(place), "docs": [held[c] for c in place]}
-            return pa.RecordBatch.from_pylist([row], schema=arrow)
+        aligner, block = _aligner(readers), TaskContext.get().partitionId() << 32
+        ids: list[pa.Array] = []
+        texts: list[str | None] = []
+        size = 0
 
         for batch in batches:
-            made: list[dict] = []
-            ids = batch.column("doc_id")
-            for t in batch.column("text"):
-                text = t.as_py()
-                parts = aligner.closed(_spaced(" " + text)) if text else [None]
-                row = {"block": task << 32 | block, "groups_sha256": ""} | dict.fromkeys(_NUMBERS, 0)
-                row |= {"groups": "", "places": b"", "links": b""}
-                if all(p is not None for p in parts):
-                    c, pairs = total(parts)
-                    for code in pairs:
-                        if code not in place:
-                            place[code] = len(place)
-                    held.update(pairs.keys())
-                    row |= dict(zip(_NUMBERS, c[1:5], strict=True)) | {"groups_sha256": hashlib.sha256(c.groups.encode()).hexdigest(), "groups": c.groups if groups else None}
-                    at = np.fromiter(map(place.__getitem__, pairs), np.int32, len(pairs))
-                    row |= {"places": at.tobytes(), "links": np.fromiter(pairs.values(), np.int32, len(pairs)).tobytes()}
-                made.append(row)
-                n += 1
-                if n >= BLOCK or len(place) >= BLOCK_PAIRS:
-                    yield _with_ids(made, ids.slice(0, len(made)), arrow)
-                    ids, made = ids.slice(len(made)), []
-                    yield listed()
-                    block, n = block + 1, 0
-                    place.clear()
-                    held.clear()
-            if made:
-                yield _with_ids(made, ids, arrow)
-        if n:
-            yield listed()
+            taken = 0
+            for k, t in enumerate(batch.column("text")):
+                texts.append(t.as_py())
+                size += len(texts[-1] or "")
+                if len(texts) >= BLOCK or size >= BLOCK_CHARS:
+                    ids.append(batch.column("doc_id").slice(taken, k + 1 - taken))
+                    taken = k + 1
+                    yield from _block_rows(aligner, block, pa.concat_arrays(ids), texts, groups, arrow)
+                    block, ids, texts, size = block + 1, [], [], 0
+            ids.append(batch.column("doc_id").slice(taken))
+        if texts:
+            yield from _block_rows(aligner, block, pa.concat_arrays(ids), texts, groups, arrow)
 
     return src.select("doc_id", "text").mapInArrow(work, schema)
 
 
-def _with_ids(rows: list[dict], ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids if f.name == "doc_id" else pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+def _block_rows(aligner: Aligner, block: int, ids: pa.Array, texts: list[str | None], groups: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of a block's documents, and the row with its pairs and how many of its documents hold each."""
+    good, tokens, stops, at = [], ([], [], [], []), [], 0
+    for k, t in enumerate(texts):
+        got = aligner.tokens(" " + t) if t else None
+        if got is not None:
+            good.append(k)
+            for held, x, shift in zip(tokens, got, (0, at, 0, at), strict=True):
+                held.append(x + shift)
+            at += int(got[1][-1])
+            stops.append(at)
+    n = len(texts)
+    columns = {c: np.zeros(n, np.int64) for c in _NUMBERS} | {"block": np.full(n, block)}
+    columns |= {"doc_id": ids, "codes": pa.nulls(n), "docs": pa.nulls(n)} | {c: [v] * n for c, v in (("groups_sha256", ""), ("groups", ""), ("places", b""), ("links", b""))}
+    known = docs = np.empty(0, np.int64)
+    if good:
+        told = tell(*(np.concatenate(x) for x in tokens), np.array(stops), aligner.spelt)
+        known, places = np.unique(told.pairs, return_inverse=True)
+        docs = np.bincount(places, minlength=len(known))
+        for c, x in zip(_NUMBERS, told[1:5], strict=True):
+            columns[c][good] = x
+        bounds = np.searchsorted(told.at, np.arange(len(good) + 1))
+        for j, (k, said) in enumerate(zip(good, told.groups, strict=True)):
+            own = slice(bounds[j], bounds[j + 1])
+            columns["groups_sha256"][k] = hashlib.sha256(said.encode()).hexdigest()
+            columns["groups"][k] = said if groups else ""
+            columns["places"][k], columns["links"][k] = places[own].astype(np.int32).tobytes(), told.links[own].astype(np.int32).tobytes()
+    yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+    yield pa.RecordBatch.from_pylist([{"block": block, "codes": known.tolist(), "docs": docs.tolist()}], schema=schema)
+
+
+_aligners: dict[int, Aligner] = {}
+
+
+def _aligner(readers) -> Aligner:
+    """The worker's aligner, kept for its next tasks."""
+    key = hash(readers.value)
+    if key not in _aligners:
+        _aligners.clear()
+        _aligners[key] = Aligner(*readers.value)
+    return _aligners[key]
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, groups: bool = False, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:

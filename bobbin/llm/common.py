@@ -9,6 +9,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The sign that stands for each byte in byte-level vocabularies: printable Latin-1 signs stand for themselves, the others follow from 256 on.
+_OWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+SIGNS = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
 #: Rows in one Arrow batch; with texts of about 100 kB a batch stays near 50 MB.
 ARROW_ROWS = 512
 #: A key is hot if it holds more than this part of a table's rows; so at most HOT keys are.

@@ -105,7 +105,7 @@ def test_word_memory_is_bounded_and_slices_change_nothing(monkeypatch):
     monkeypatch.setattr(K, "WORDS", 50)
     monkeypatch.setattr(K, "SLICE", 64)
     texts = [" ".join(f"w{k}{j}" for j in range(40)) + " " + "z" * 80 + " tail" for k in range(9)]
-    assert [np.frombuffer(coder.encode(t), coder.dtype).tolist() + [2] for t in texts] == word_ids(texts) and len(coder.known) <= 60
+    assert [np.frombuffer(coder.encode(t), coder.dtype).tolist() + [2] for t in texts] == word_ids(texts) and len(coder) <= 50
 
 
 @pytest.fixture(scope="module")
@@ -198,14 +198,19 @@ def test_units_and_windows_have_the_tokens_of_the_whole_text(aligner):
     signs = list("ab AB  1!") + ["é", "\x1c", "\x85", "\xa0", "\t", "\n", "'ll ", "日本", "<s>", "<0x41>", "  ", " ", " ", "word", "Word "]
     for _ in range(150):
         text = "".join(rng.choice(signs, 80))
-        made = aligner.closed(A._spaced(" " + text))
+        made = aligner.tokens(" " + text)
         want = plain_groups(aligner, text)
-        assert (";".join(c.groups for c in made) if all(made) else None) == (";".join(map(A.spell, want)) if want is not None else None)
+        assert (made is None) == (want is None)
+        if made is not None:
+            said = A.tell(*made, np.array([len((" " + text).encode())]), aligner.spelt)
+            links = Counter((a << 32) + b for x, y in want for a in x for b in y)
+            assert said.groups == [";".join(map(A.spell, want))] and dict(zip(said.pairs.tolist(), said.links.tolist())) == links
+            assert [int(x[0]) for x in said[1:5]] == [sum(len(x) for x, _ in want), sum(len(y) for _, y in want), len(want), sum(links.values())]
         spans = list(A.windows(text, 37, 12))
         assert [s[0] for s in spans] == [0, *(s[1] for s in spans[:-1])] and spans[-1][1] == len((" " + text).encode())
         parts = [aligner.chunk(w, at, lo, hi) for lo, hi, at, w in spans]
         if want is not None:
-            told = {e: c.groups for p in parts for e, (c, _) in p[1].items()}
+            told = {f.stretches[0][0]: said.groups[0] for f, said in parts if said}
             done = A.closings(reduce(A.compose, [p[0] for p in parts], A.IDENTITY))
             assert ";".join(told[e] if g is None else ";".join(map(A.spell, g)) for e, g in done) == ";".join(map(A.spell, want))
 
