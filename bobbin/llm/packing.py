@@ -8,7 +8,7 @@ row's global place whatever the order it is read in, and cuts it at the multiple
 window, one more for each window boundary that falls inside it (`cut_before`, `cut_after` tell). No shuffle.
 
 Ids. A document is its text's ids and then `end_id`. The tokenizer drops white space between words and no pre-token spans it,
-so a text is split at ASCII white space and each worker remembers the ids of short words (at most WORDS of them); texts go through
+so a text is split at white space and each worker remembers the ids of short words (at most WORDS of them); texts go through
 in slices of SLICE characters. Strings of special tokens inside texts are ordinary text.
 
 Defined results: null and empty texts are `end_id` alone; a null doc_id is carried; rows that repeat a doc_id or a whole row
@@ -18,6 +18,7 @@ other columns are not read. Sequence numbers are gapless; which document lies wh
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,27 +32,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import keep, prepare
+from .common import SIGNS, keep, prepare
 
 LENGTH, END_ID, PAD_ID = 4096, 2, 0
 #: Words that a worker remembers, their greatest length in characters, and characters of text that are split at once.
-WORDS, WORD_CHARS, SLICE = 200_000, 48, 1 << 19
+WORDS, WORD_CHARS, SLICE = 600_000, 48, 1 << 19
+#: Fixed value: the pattern of pre-tokens, as the tokenizer's file has it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-_ODD = re.compile(r"[^\x00-\x1b\x20-\x7f]")
+#: White space of str.split() that isn't ASCII white space, and all beyond Latin-1.
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u0100-\U0010ffff]")
+#: Words whose lower case and pre-tokens are plain: ASCII signs and Latin-1 letters.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
-class WordCoder:
-    """Ids of texts under a tokenizer that drops white space, as little-endian bytes."""
+class WordCoder(dict):
+    """Ids of texts under a tokenizer that drops white space; as a table, the ids of words, as little-endian bytes.
+
+    A word of ASCII signs and Latin-1 letters is lower-cased and cut into pre-tokens here, by the tokenizer's own pattern, and
+    these go to its merges alone, remembered like words; others go through the whole tokenizer."""
 
     def __init__(self, spec: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.packed = [k.to_bytes(self.dtype.itemsize, "little") for k in range(size)]
+        steps = [n["type"] for n in json.loads(spec)["normalizer"]["normalizers"]], json.loads(spec)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.plain = steps == (["NFC", "Replace", "Lowercase"], PATTERN)
+
+    def made(self, word: str) -> bytes:
+        if self.plain and _PLAIN.fullmatch(word):
+            low = word.lower()
+            parts = _PARTS.findall(low)
+            if len(parts) > 1 or low != word:
+                return b"".join([self[p] for p in parts])
+            sign = low if low.isascii() else low.encode().decode("latin-1").translate(SIGNS)
+            return b"".join([self.packed[t.id] for t in self.merges.tokenize(sign)])
+        return b"".join([self.packed[k] for k in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.made(word)
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
     @staticmethod
     def words(text: str) -> Iterator[list[str]]:
@@ -62,26 +95,25 @@ class WordCoder:
             stop = _SPACE.search(text, end) if end < len(text) else None
             part = text[at : stop.start()] if stop else text[at:]
             at += len(part)
-            # str.split() also splits at some characters that the tokenizer keeps; these go by the pattern
-            yield _WORD.findall(part) if _ODD.search(part) else part.split()
+            # str.split() also splits at some characters that the tokenizer keeps, and lower() knows neighbours beyond Latin-1
+            yield _WORD.findall(part) if _ODD.search(part) else part.lower().split()
             if stop:
                 at += 1
 
-    def ids(self, words: list[str]) -> bytes:
-        own = set(words)
-        new = [w for w in own if w not in self.known]
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = list(own)
-        made = {w: np.array(e.ids, dtype=self.dtype).tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)} if new else {}
-        long = {w: b for w, b in made.items() if len(w) > WORD_CHARS}
-        self.known.update((w, b) for w, b in made.items() if w not in long)
-        if long:
-            return b"".join([long[w] if w in long else self.known[w] for w in words])
-        return b"".join(map(self.known.__getitem__, words))
-
     def encode(self, text: str | None) -> bytes:
-        return b"".join(self.ids(w) for w in self.words(text or ""))
+        return b"".join([b"".join(map(self.__getitem__, w)) for w in self.words(text or "")])
+
+
+_coders: dict[int, WordCoder] = {}
+
+
+def _coder(spec: str) -> WordCoder:
+    """The worker's coder, kept for its next tasks."""
+    key = hash(spec)
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = WordCoder(spec)
+    return _coders[key]
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.dtype]:
@@ -97,7 +129,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str
     last = np.array([end_id], dtype=dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, before = WordCoder(spec.value), 0
+        coder, before = _coder(spec.value), 0
         for batch in batches:
             ids = [coder.encode(t.as_py()) + last for t in batch.column(1)]
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // dtype.itemsize
