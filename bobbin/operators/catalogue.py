@@ -135,6 +135,42 @@ def select_palette(colors: DataFrame, threads: DataFrame, k: int, extra: int = E
     return chosen
 
 
+def swap_costs(costs: DataFrame, chosen: list[int]) -> DataFrame:
+    """place, thread_idx, cost: the weighted total (rounded to 1e-6) if that thread took the place of a chosen one, for every such pair.
+
+    `costs` has r, g, b, weight, thread_idx, delta_e, every colour with every thread. A colour keeps its nearest and second chosen thread, so a swap
+    changes only the colours whose nearest goes: one aggregate by thread and nearest serves all pairs."""
+    own = F.create_map(*[x for k, c in enumerate(chosen) for x in (F.lit(c), F.lit(k))])
+    held = F.array_sort(F.collect_list(F.struct("delta_e", own[F.col("thread_idx")].alias("place"))))
+    near = costs.where(F.col("thread_idx").isin(chosen)).groupBy("r", "g", "b").agg(held.alias("held"))
+    second = F.try_element_at("held", F.lit(2)).getField("delta_e")
+    state = near.select("r", "g", "b", F.col("held")[0]["delta_e"].alias("d1"), F.col("held")[0]["place"].alias("near"), second.alias("d2"))
+    met = costs.where(~F.col("thread_idx").isin(chosen)).select("r", "g", "b", "weight", "thread_idx", "delta_e").join(state, ["r", "g", "b"])
+    stays, goes = F.least("d1", "delta_e"), F.when(F.col("d2").isNull(), F.col("delta_e")).otherwise(F.least("d2", "delta_e"))
+    by_near = met.groupBy("thread_idx", "near").agg(F.sum(F.col("weight") * stays).alias("stays"), F.sum(F.col("weight") * (goes - stays)).alias("more"))
+    each = by_near.groupBy("thread_idx").agg(F.sum("stays").alias("stays"), F.map_from_entries(F.collect_list(F.struct("near", "more"))).alias("more"))
+    out = each.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1))))
+    return out.select("place", "thread_idx", F.round(F.col("stays") + F.coalesce(F.try_element_at("more", F.col("place")), F.lit(0.0)), 6).alias("cost"))
+
+
+def swap_palette(colors: DataFrame, threads: DataFrame, chosen: list[int]) -> tuple[list[int], float]:
+    """The chosen threads after swaps, and their weighted total cost: each round makes the one that lowers the total most (on ties the first place, then
+    the lowest thread), until none does. `chosen` are lowest threads of their colours, as select_palette() gives them."""
+    from .graph import checkpointed, forget
+
+    costs = checkpointed(palette_costs(colors, chart_colors(threads)))
+    chosen = list(chosen)
+    near = costs.where(F.col("thread_idx").isin(chosen)).groupBy("r", "g", "b").agg((F.min("delta_e") * F.first("weight")).alias("c"))
+    now = near.agg(F.round(F.sum("c"), 6)).first()[0] or 0.0
+    while chosen:
+        best = swap_costs(costs, chosen).agg(F.min(F.struct("cost", "place", "thread_idx")).alias("m")).first()["m"]
+        if best is None or best["cost"] >= now:
+            break
+        chosen[best["place"]], now = best["thread_idx"], best["cost"]
+    forget(costs)
+    return chosen, now
+
+
 def filter_threads(threads: DataFrame, text: str) -> DataFrame:
     """Threads whose name or number contains the text, whatever its case; a blank one passes all."""
     q = text.strip().lower()

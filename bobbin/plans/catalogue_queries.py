@@ -126,6 +126,28 @@ def _(s, t):
     return s.sparkSession.createDataFrame([(k + 1, c) for k, c in enumerate(chosen)], "place int, thread_idx long")
 
 
+#: The palette to be improved: the six lowest threads of the chart's colours.
+FIRST_SIX = f"""{pairs_sql(WEIGHTED)}, sx AS (SELECT thread_idx, ROW_NUMBER() OVER (ORDER BY thread_idx) - 1 AS place FROM (SELECT DISTINCT thread_idx FROM d ORDER BY thread_idx LIMIT 6) q), ds AS (SELECT r, g, b, w, thread_idx, ROUND(de, 6) AS de FROM d),
+hd AS (SELECT r, g, b, place, de, ROW_NUMBER() OVER (PARTITION BY r, g, b ORDER BY de, place) AS k FROM ds JOIN sx USING (thread_idx)), st AS (SELECT x.r, x.g, x.b, x.de AS d1, x.place AS near, y.de AS d2 FROM hd x JOIN hd y ON x.r = y.r AND x.g = y.g AND x.b = y.b AND x.k = 1 AND y.k = 2)"""
+
+
+def first_six(t):
+    return [r["thread_idx"] for r in K.chart_colors(t).select("thread_idx").orderBy("thread_idx").limit(6).collect()]
+
+
+@query("t6_swap_costs", "v_shapes", "v_threads", sql=f"""WITH {FIRST_SIX} SELECT sx.place, ds.thread_idx, ROUND(SUM(w * LEAST(ds.de, CASE WHEN near = sx.place THEN d2 ELSE d1 END)), 2) AS cost
+FROM ds JOIN st USING (r, g, b) CROSS JOIN sx WHERE ds.thread_idx NOT IN (SELECT thread_idx FROM sx) GROUP BY 1, 2""")
+def _(s, t):
+    costs = K.palette_costs(_weighted(s), K.chart_colors(t))
+    return K.swap_costs(costs, first_six(t)).withColumn("cost", F.round("cost", 2)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("t6_swap_palette", "v_shapes", "v_threads")
+def _(s, t):
+    chosen, cost = K.swap_palette(_weighted(s), t, first_six(t))
+    return s.sparkSession.createDataFrame([(k, c, cost) for k, c in enumerate(chosen)], "place int, thread_idx long, cost double")
+
+
 @query("s10_palette_lines", "v_threads", sql="SELECT thread_idx, r, g, b, CAST(thread_idx AS VARCHAR) AS number, name FROM v_threads WHERE b < 200")
 def _(t):
     line = F.concat_ws(" ", "r", "g", F.when(F.col("b") < 200, F.col("b")).otherwise(F.col("b") + 100), "name", "number")
