@@ -120,17 +120,27 @@ def line_cells(s: DataFrame, cell_u: float) -> DataFrame:
     return e.withColumn("cx", at("x0", "x1")).withColumn("cy", at("y0", "y1")).withColumn("part", F.lit(1.0) / F.col("pts"))
 
 
-def underlay_share(df: DataFrame, cell_u: float = 4, gap: int = 15, covered: float = 0.6, short_u: float = 5, long_u: float = 121) -> DataFrame:
-    """Millimetres of underlay and of all sewing: a step is underlay if `covered` of its points lie where its own block sews last, over `gap` steps later."""
+def underlay_points(df: DataFrame, cell_u: float, gap: int, short_u: float, long_u: float) -> DataFrame:
+    """Points of sewn steps with `hit`: whether they lie where its own block sews last, over `gap` steps later."""
     s = segments(df, 1 << 30).where((F.col("len") > 0) & (F.col("len") <= long_u)).withColumn("idx", F.row_number().over(Window.partitionBy("design_id").orderBy("seq")))
     pts = line_cells(s, cell_u)
     last = pts.groupBy("design_id", "cx", "cy").agg(F.max("idx").alias("last"), F.max_by("block", "idx").alias("last_block"))
     hit = (F.col("last") > F.col("idx") + gap) & (F.col("last_block") == F.col("block"))
-    each = pts.join(last, ["design_id", "cx", "cy"]).groupBy("design_id", "idx", "len").agg(F.avg(hit.cast("int")).alias("share"))
-    sewn = each.where(F.col("len") >= short_u)
+    return pts.join(last, ["design_id", "cx", "cy"]).withColumn("hit", hit.cast("int")).where(F.col("len") >= short_u)
+
+
+def underlay_share(df: DataFrame, cell_u: float = 4, gap: int = 15, covered: float = 0.6, short_u: float = 5, long_u: float = 121) -> DataFrame:
+    """Millimetres of underlay and of all sewing: a step is underlay if `covered` of its points lie where its own block sews last, over `gap` steps later."""
+    sewn = underlay_points(df, cell_u, gap, short_u, long_u).groupBy("design_id", "idx", "len").agg(F.avg("hit").alias("share"))
     return sewn.groupBy("design_id").agg((F.sum(F.when(F.round("share", 9) >= covered, F.col("len")).otherwise(0.0)) * 0.1).alias("underlay_mm"), (F.sum("len") * 0.1).alias("sewn_mm"))
 
 
+def underlay_cells(df: DataFrame, cell_u: float = 4, gap: int = 15, covered: float = 0.6, short_u: float = 5, long_u: float = 121) -> DataFrame:
+    """Cells (design_id, cx, cy) under steps that are underlay."""
+    pts = underlay_points(df, cell_u, gap, short_u, long_u).withColumn("share", F.avg("hit").over(Window.partitionBy("design_id", "idx")))
+    return pts.where(F.round("share", 9) >= covered).select("design_id", "cx", "cy").distinct()
+
+
 def exposed_drag(df: DataFrame, hidden: DataFrame, cell_u: float, walk_u: float = 20) -> DataFrame:
     """Millimetres of untrimmed thread on cells that are not `hidden` (design_id, cx, cy), how many steps walk on bare ground, and the worst."""
     pts = line_cells(segments(df, 1 << 30).where("len > 0"), cell_u)
