@@ -59,14 +59,18 @@ def phase_labels(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     return r.select("design_id", "block", "run", "seq", "len", label.when(F.col("rev") <= RUN_SHARE, "R").otherwise("O").alias("label"))
 
 
-def phases(df: DataFrame, least: int = PHASE_LEAST, hop_u: int = HOP_U) -> DataFrame:
-    """Phases of each run: equal labels in a row; one of fewer than `least` segments joins the phase before it."""
+def phase_steps(df: DataFrame, least: int = PHASE_LEAST, hop_u: int = HOP_U) -> DataFrame:
+    """Labelled segments with their phase: equal labels in a row; one of fewer than `least` segments joins the phase before it."""
     labels = phase_labels(df, hop_u).withColumn("turn", F.coalesce((F.lag("label").over(of_run()) != F.col("label")).cast("int"), F.lit(1)))
     labels = labels.withColumn("stretch", F.sum("turn").over(of_run()))
     sized = labels.withColumn("c", F.count("*").over(Window.partitionBy("design_id", "run", "stretch")))
     opens = (F.col("turn") == 1) & ((F.col("c") >= least) | (F.col("stretch") == 1))
-    marked = sized.withColumn("phase", F.sum(opens.cast("int")).over(of_run()) - 1)
-    return marked.groupBy("design_id", "block", "run", "phase").agg(F.min_by("label", "seq").alias("label"), F.count("*").alias("steps"), kth(F.collect_list("len"), 0.5).alias("median_len"))
+    return sized.withColumn("phase", F.sum(opens.cast("int")).over(of_run()) - 1)
+
+
+def phases(df: DataFrame, least: int = PHASE_LEAST, hop_u: int = HOP_U) -> DataFrame:
+    """Phases of each run with the label of their first segment."""
+    return phase_steps(df, least, hop_u).groupBy("design_id", "block", "run", "phase").agg(F.min_by("label", "seq").alias("label"), F.count("*").alias("steps"), kth(F.collect_list("len"), 0.5).alias("median_len"))
 
 
 def of_kind(df: DataFrame, kind: str, hop_u: int = HOP_U) -> DataFrame:
