@@ -38,7 +38,7 @@ def region_colour_error(px: DataFrame, spools: DataFrame, least: int = REGION_PI
     `spools` has image_id, label, thread_idx and the thread's r, g, b as tr, tg, tb."""
     inside = px.where("a > 127").withColumn("__n", F.count("*").over(Window.partitionBy(*REGION))).where(F.col("__n") >= least)
     some = evenly(inside, REGION, ["y", "x"], most)
-    met = lab(lab(some.join(spools, list(REGION)), "own_"), "spool_", "t")
+    met = lab(lab(some.hint("merge").join(spools, list(REGION)), "own_"), "spool_", "t")
     each = met.withColumn("de", delta_e2000(triple("own_"), triple("spool_")))
     return each.groupBy(*REGION, "thread_idx").agg(F.count("*").alias("samples"), F.percentile("de", 0.5).alias("delta_e"), *[F.percentile(c, 0.5).alias(f"median_{c}") for c in "rgb"])
 
@@ -54,7 +54,7 @@ def tonal_span(px: DataFrame, low: float = DARK, high: float = LIGHT, least: int
     """CIEDE2000 between the mean colours of each region's darkest and lightest band; 0 with fewer than `least` pixels."""
     p = lab(px.where("a > 127"))
     cut = p.groupBy(*REGION).agg(F.count("*").alias("n"), F.percentile("L", low).alias("lo"), F.percentile("L", high).alias("hi"))
-    band = p.join(cut, list(REGION))
+    band = p.hint("merge").join(cut, list(REGION))
     mean = lambda cond, n: [F.avg(F.when(cond, F.col(c))).alias(f"{n}{c}") for c in "LAB"]
     g = band.groupBy(*REGION).agg(F.max("n").alias("n"), *mean(F.round("L", 9) <= F.round("lo", 9), "d"), *mean(F.round("L", 9) >= F.round("hi", 9), "l"))
     return g.select(*REGION, "n", F.when(F.col("n") >= least, delta_e2000(triple("d"), triple("l"))).otherwise(0.0).alias("span"))
@@ -72,27 +72,27 @@ def merge_similar_colours(colors: DataFrame, tol: float = 6.0) -> DataFrame:
     p = c.select("grp", F.col("id").alias("u"), *[F.col(x).alias(f"u{x}") for x in "LAB"], *[e.alias(f"c{x}") for x, e in zip("LAB", cells, strict=True)])
     q = c.select("grp", F.col("id").alias("v"), *[F.col(x).alias(f"v{x}") for x in "LAB"], *[e.alias(f"o{x}") for x, e in zip("LAB", cells, strict=True)], F.explode(near).alias("o"))
     q = q.select("grp", "v", "vL", "vA", "vB", *[(F.col(f"o{x}") + F.col(f"o.{n}")).alias(f"c{x}") for x, n in zip("LAB", "ijk", strict=True)])
-    links = p.join(q, ["grp", "cL", "cA", "cB"]).where((F.col("u") < F.col("v")) & (F.round(delta_e76(triple("u"), triple("v")), 6) <= tol))
+    links = p.hint("merge").join(q, ["grp", "cL", "cA", "cB"]).where((F.col("u") < F.col("v")) & (F.round(delta_e76(triple("u"), triple("v")), 6) <= tol))
     node = lambda x: F.struct("grp", F.col(x).alias("id"))
     roots = components(c.select(node("id").alias("node")), links.select(node("u").alias("u"), node("v").alias("v")))
-    out = roots.select("node.grp", "node.id", F.col("root.id").alias("root")).join(colors.select("grp", "id", "weight"), ["grp", "id"])
+    out = roots.select("node.grp", "node.id", F.col("root.id").alias("root")).hint("merge").join(colors.select("grp", "id", "weight"), ["grp", "id"])
     sums = out.groupBy("grp", "root").agg(F.sum("weight").alias("total"))
     ranks = sums.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("total"), "root")))
-    return out.join(ranks, ["grp", "root"]).select("grp", "id", "root", F.col("rank").cast("long").alias("rank"), "total")
+    return out.hint("merge").join(ranks, ["grp", "root"]).select("grp", "id", "root", F.col("rank").cast("long").alias("rank"), "total")
 
 
 def nearest_other_colour(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """For each colour group of our side (design_id, grp, r, g, b) the other side's nearest by squared RGB distance, the first on ties."""
     o = theirs.select("design_id", F.col("grp").alias("other"), *[F.col(c).alias(f"o{c}") for c in "rgb"])
     d2 = sum(((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in "rgb"), F.lit(0))
-    return ours.join(o, "design_id").groupBy("design_id", "grp").agg(F.min(F.struct(d2.alias("d2"), "other")).alias("m")).select("design_id", "grp", "m.other", "m.d2")
+    return ours.hint("merge").join(o, "design_id").groupBy("design_id", "grp").agg(F.min(F.struct(d2.alias("d2"), "other")).alias("m")).select("design_id", "grp", "m.other", "m.d2")
 
 
 def merge_nearest_pair(palette: DataFrame, reach: float = 16.0) -> DataFrame:
     """One round over palettes (image_id, id, r, g, b, weight): the closest pair under `reach` RGB units becomes one weighted colour."""
     q = palette.select("image_id", F.col("id").alias("jd"), *[F.col(c).alias(f"j{c}") for c in "rgb"], F.col("weight").alias("jw"))
     d2 = sum(((F.col(c) - F.col(f"j{c}")) * (F.col(c) - F.col(f"j{c}")) for c in "rgb"), F.lit(0))
-    pairs = palette.join(q, "image_id").where(F.col("id") < F.col("jd")).withColumn("d2", d2).where(F.col("d2") < reach * reach)
+    pairs = palette.hint("merge").join(q, "image_id").where(F.col("id") < F.col("jd")).withColumn("d2", d2).where(F.col("d2") < reach * reach)
     best = pairs.groupBy("image_id").agg(F.min(F.struct("d2", "id", "jd", "jr", "jg", "jb", "jw")).alias("m")).select("image_id", F.col("m.id").alias("keep"), F.col("m.jd").alias("gone"), *[F.col(f"m.j{c}") for c in "rgb"], F.col("m.jw").alias("jw"))
     met = palette.join(best, "image_id", "left").where(F.col("gone").isNull() | (F.col("id") != F.col("gone")))
     hit = F.coalesce(F.col("id") == F.col("keep"), F.lit(False))
@@ -126,7 +126,7 @@ def kmeans_round(colors: DataFrame, centres: DataFrame) -> DataFrame:
     """Centres after one round: every colour (image_id, L, A, B, weight) goes to its nearest centre, the lowest on ties, and centres become weighted means."""
     c = centres.select("image_id", "centre", *[F.col(x).alias(f"c{x}") for x in "LAB"])
     d = F.round(delta_e76(triple(""), triple("c")), 6)
-    near = colors.join(c, "image_id").groupBy("image_id", "L", "A", "B", "weight").agg(F.min(F.struct(d.alias("d"), "centre")).getField("centre").alias("centre"))
+    near = colors.hint("merge").join(c, "image_id").groupBy("image_id", "L", "A", "B", "weight").agg(F.min(F.struct(d.alias("d"), "centre")).getField("centre").alias("centre"))
     mean = lambda x: (F.sum(F.col(x) * F.col("weight")) / F.sum("weight")).alias(x)
     return near.groupBy("image_id", "centre").agg(*[mean(x) for x in "LAB"], F.sum("weight").alias("weight"))
 
@@ -139,7 +139,7 @@ def kmeans_centres(colors: DataFrame, k: int, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         new = checkpointed(kmeans_round(colors, now))
         old = now.select("image_id", "centre", *[F.col(x).alias(f"c{x}") for x in "LAB"])
-        moved = new.join(old, ["image_id", "centre"]).where(delta_e76(triple(""), triple("c")) > 1e-6).limit(1).count()
+        moved = new.hint("merge").join(old, ["image_id", "centre"]).where(delta_e76(triple(""), triple("c")) > 1e-6).limit(1).count()
         now = new
         if not moved:
             break

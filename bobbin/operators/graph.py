@@ -36,16 +36,16 @@ def looked_up(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner")
     """`rows` (a written table) joined to `lookup` (unique by key). Rows of hot keys are dealt by a salt, their row of `lookup` copied for each salt."""
     total = rows.count()
     if total <= 2 * HOT:
-        return rows.join(lookup, key, how)
+        return rows.hint("merge").join(lookup, key, how)
     share = total / HOT
     over = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("__salts")).limit(HOT).collect()
     if not over:
-        return rows.join(lookup, key, how)
+        return rows.hint("merge").join(lookup, key, how)
     hot = F.broadcast(rows.sparkSession.createDataFrame(over, rows.select(key).schema.add("__salts", "integer")))
     salts = F.coalesce("__salts", F.lit(1))
     dealt = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("__salts")
     copies = lookup.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+    return dealt.hint("merge").join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return roots
         offers = met.select(F.col("v").alias("node"), F.col("u_root").alias("low")).union(met.select(F.col("v_root").alias("node"), F.col("u_root").alias("low")))
         best = offers.groupBy("node").agg(F.min("low").alias("low"))
-        hooked = checkpointed(roots.join(best, "node", "left").select("node", F.coalesce("low", "root").alias("root")))
+        hooked = checkpointed(roots.hint("merge").join(best, "node", "left").select("node", F.coalesce("low", "root").alias("root")))
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
         jumped = checkpointed(looked_up(hooked, up, "root").select("node", F.col("top").alias("root")))
         forget(near, met, hooked, roots)
