@@ -39,7 +39,7 @@ def drop_nested(boxes: DataFrame) -> DataFrame:
     small = boxes.withColumn("gx", F.floor(F.col("cx_u") / cell)).withColumn("gy", F.floor(F.col("cy_u") / cell))
     l1, r1, t1, b1 = edge("")
     inside = (F.col("o_shape_id") != F.col("shape_id")) & (F.col("o_w_u") * F.col("o_h_u") > F.col("w_u") * F.col("h_u")) & (l2 <= l1) & (r2 >= r1) & (t2 <= t1) & (b2 >= b1)
-    return small.join(big, (F.col("design_id") == F.col("o_design_id")) & (small["gx"] == big["gx"]) & (small["gy"] == big["gy"]) & inside, "left_anti").drop("gx", "gy")
+    return small.hint("merge").join(big, (F.col("design_id") == F.col("o_design_id")) & (small["gx"] == big["gx"]) & (small["gy"] == big["gy"]) & inside, "left_anti").drop("gx", "gy")
 
 
 def shape_candidates(prev: DataFrame, cur: DataFrame, tolerance_u: int = 25) -> DataFrame:
@@ -49,7 +49,7 @@ def shape_candidates(prev: DataFrame, cur: DataFrame, tolerance_u: int = 25) ->
     near = lambda c: F.explode(F.array(*[grid(c) + k for k in (-1, 0, 1)]))
     c = cur.select("design_id", "thread_idx", F.col("shape_id").alias("cur_id"), "cx_u", "cy_u", near("cx_u").alias("gx"), "layer").withColumn("gy", near("cy_u"))
     d2 = (F.col("cx_u") - F.col("px")) * (F.col("cx_u") - F.col("px")) + (F.col("cy_u") - F.col("py")) * (F.col("cy_u") - F.col("py"))
-    return p.join(c, ["design_id", "thread_idx", "gx", "gy"]).withColumn("d2", d2).where(F.col("d2") <= tolerance_u * tolerance_u).select("design_id", "prev_id", "cur_id", "d2")
+    return p.hint("merge").join(c, ["design_id", "thread_idx", "gx", "gy"]).withColumn("d2", d2).where(F.col("d2") <= tolerance_u * tolerance_u).select("design_id", "prev_id", "cur_id", "d2")
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def match_shape_ids(prev: DataFrame, cur: DataFrame, tolerance_u: int = 25) -> D
     while not pairs.isEmpty():
         got = checkpointed(mutual_best(pairs))
         found = got if found is None else found.unionByName(got)
-        pairs = checkpointed(pairs.join(got.select("design_id", "prev_id"), ["design_id", "prev_id"], "left_anti").join(got.select("design_id", "cur_id"), ["design_id", "cur_id"], "left_anti"))
+        pairs = checkpointed(pairs.hint("merge").join(got.select("design_id", "prev_id"), ["design_id", "prev_id"], "left_anti").hint("merge").join(got.select("design_id", "cur_id"), ["design_id", "cur_id"], "left_anti"))
     return pairs if found is None else found
 
 
@@ -80,7 +80,7 @@ def sew_index(shapes: DataFrame) -> DataFrame:
 
 def sort_key_layers(shapes: DataFrame) -> DataFrame:
     """Place of each shape by (layer, sew index, id), shapes never sewn last in their layer."""
-    j = shapes.join(sew_index(shapes), ["design_id", "shape_id"], "left")
+    j = shapes.hint("merge").join(sew_index(shapes), ["design_id", "shape_id"], "left")
     w = Window.partitionBy("design_id").orderBy("layer", F.asc_nulls_last("sew_index"), "shape_id")
     return j.select("design_id", "shape_id", "layer", "sew_index", F.row_number().over(w).alias("place"))
 
@@ -111,7 +111,7 @@ def layer_order(shapes: DataFrame) -> DataFrame:
 
 def effective_order(shapes: DataFrame) -> DataFrame:
     """Order of each shape: its override, else the stored one, else its sew index, else last (1e9), with its place by (order, id)."""
-    j = shapes.join(sew_index(shapes), ["design_id", "shape_id"], "left")
+    j = shapes.hint("merge").join(sew_index(shapes), ["design_id", "shape_id"], "left")
     o = j.withColumn("order", F.coalesce(F.col("override"), F.col("stored"), F.col("sew_index"), F.lit(10**9)).cast("long"))
     return o.select("design_id", "shape_id", "order", F.row_number().over(Window.partitionBy("design_id").orderBy("order", "shape_id")).alias("place"))
 
@@ -119,35 +119,35 @@ def effective_order(shapes: DataFrame) -> DataFrame:
 def carry_meta(cur: DataFrame, prev: DataFrame, matches: DataFrame, names: list[str]) -> DataFrame:
     """Shapes with the named columns; where one is null, that of the shape matched before (design_id, prev_id, cur_id)."""
     old = prev.select("design_id", F.col("shape_id").alias("prev_id"), *[F.col(n).alias(f"__{n}") for n in names])
-    m = matches.select("design_id", "prev_id", F.col("cur_id").alias("shape_id")).join(old, ["design_id", "prev_id"])
-    return cur.join(m, ["design_id", "shape_id"], "left").select("design_id", "shape_id", "prev_id", *[F.coalesce(n, f"__{n}").alias(n) for n in names])
+    m = matches.select("design_id", "prev_id", F.col("cur_id").alias("shape_id")).hint("merge").join(old, ["design_id", "prev_id"])
+    return cur.hint("merge").join(m, ["design_id", "shape_id"], "left").select("design_id", "shape_id", "prev_id", *[F.coalesce(n, f"__{n}").alias(n) for n in names])
 
 
 def color_blocks(shapes: DataFrame) -> DataFrame:
     """Stitched shapes grouped by layer: sew index range and the first one's colour."""
-    j = shapes.join(sew_index(shapes), ["design_id", "shape_id"])
+    j = shapes.hint("merge").join(sew_index(shapes), ["design_id", "shape_id"])
     return j.groupBy("design_id", "layer").agg(F.min("sew_index").alias("first"), F.max("sew_index").alias("last"), F.count("*").alias("shapes"), F.min_by("r", "sew_index").alias("r"), F.min_by("g", "sew_index").alias("g"), F.min_by("b", "sew_index").alias("b"))
 
 
 def apply_edits(shapes: DataFrame, deleted: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Shapes without the deleted ones and with overridden threads; and ids of either table that no shape has."""
     keys = ["design_id", "shape_id"]
-    kept = shapes.join(deleted.select(*keys), keys, "left_anti").join(overrides.select(*keys, F.col("thread_idx").alias("__t")), keys, "left")
+    kept = shapes.hint("merge").join(deleted.select(*keys), keys, "left_anti").hint("merge").join(overrides.select(*keys, F.col("thread_idx").alias("__t")), keys, "left")
     edited = kept.select("design_id", "shape_id", F.coalesce("__t", "thread_idx").alias("thread_idx"), F.col("__t").isNotNull().alias("edited"))
-    unknown = deleted.select(*keys).unionByName(overrides.select(*keys)).distinct().join(shapes.select(*keys), keys, "left_anti")
+    unknown = deleted.select(*keys).unionByName(overrides.select(*keys)).distinct().hint("merge").join(shapes.select(*keys), keys, "left_anti")
     return edited, unknown
 
 
 def added_threads(overrides: DataFrame, used: DataFrame) -> DataFrame:
     """Threads that recolouring brings to a design: those of its overrides that none of its shapes has, numbered after its own in order."""
-    new = overrides.select("design_id", "thread_idx").distinct().join(used.select("design_id", "thread_idx").distinct(), ["design_id", "thread_idx"], "left_anti")
+    new = overrides.select("design_id", "thread_idx").distinct().hint("merge").join(used.select("design_id", "thread_idx").distinct(), ["design_id", "thread_idx"], "left_anti")
     n = used.groupBy("design_id").agg(F.countDistinct("thread_idx").alias("n"))
     return new.join(n, "design_id").select("design_id", "thread_idx", (F.col("n") + F.row_number().over(Window.partitionBy("design_id").orderBy("thread_idx")) - 1).alias("place"))
 
 
 def merge_shapes(shapes: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups (design_id, group, shape_id) of at least two shapes of one thread: merged key, members, primary and area."""
-    j = groups.join(shapes, ["design_id", "shape_id"]).withColumn("area", (F.col("w_u") * F.col("h_u")).cast("long") * 4)
+    j = groups.hint("merge").join(shapes, ["design_id", "shape_id"]).withColumn("area", (F.col("w_u") * F.col("h_u")).cast("long") * 4)
     g = j.groupBy("design_id", "group", "thread_idx").agg(F.array_sort(F.collect_set("shape_id")).alias("ids"), F.sum("area").alias("area"), F.max(F.struct("area", -F.col("shape_id"))).alias("big")).where(F.size("ids") >= 2)
     return g.select("design_id", "group", "thread_idx", F.substring(F.sha2(F.array_join("ids", ","), 256), 1, 12).alias("key"), F.size("ids").cast("long").alias("members"), (-F.col("big")["col2"]).alias("primary_id"), "area")
 
@@ -172,8 +172,8 @@ def sew_facts(parts: DataFrame) -> DataFrame:
     sewn = parts.where("stitched").groupBy("design_id", "shape_id").agg(F.max(rank).alias("rank"), F.min("layer").alias("first_layer"))
     sewn = sewn.withColumn("block", F.dense_rank().over(Window.partitionBy("design_id").orderBy("first_layer")) - 1)
     tier = F.when(F.col("rank") > 0, F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("rank").cast("int")))
-    facts = sewn.join(sew_index(parts), ["design_id", "shape_id"]).select("design_id", "shape_id", "sew_index", "block", tier.alias("tier"))
-    return parts.groupBy("design_id", "shape_id").agg(F.min("layer").alias("layer")).join(facts, ["design_id", "shape_id"], "left")
+    facts = sewn.hint("merge").join(sew_index(parts), ["design_id", "shape_id"]).select("design_id", "shape_id", "sew_index", "block", tier.alias("tier"))
+    return parts.groupBy("design_id", "shape_id").agg(F.min("layer").alias("layer")).hint("merge").join(facts, ["design_id", "shape_id"], "left")
 
 
 def group_key(df: DataFrame, keys: list[str], item: str) -> DataFrame:
