@@ -20,12 +20,12 @@ def fill_stats(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     along it; the point there belongs to both. The gap is null where no two rows are GAPS_U apart. The stagger tells for the first
     ROWS rows how far each one's middle point is moved on from that of the row before, as a part of the median step."""
     of = Window.partitionBy("design_id", "run")
-    s = segments(df, hop_u).join(of_kind(df, "fill", hop_u), ["design_id", "run"], "left_semi")
+    s = segments(df, hop_u).hint("merge").join(of_kind(df, "fill", hop_u), ["design_id", "run"], "left_semi")
     long = F.col("len") > LONG_U
     turn = F.pmod(F.degrees(F.atan2((F.col("y1") - F.col("y0")).cast("double"), (F.col("x1") - F.col("x0")).cast("double"))), F.lit(180.0))
     s = s.withColumn("bin", F.when(long, F.pmod(F.round(turn / 5) * 5, F.lit(180.0)).cast("int")))
     top = s.where("bin is not null").groupBy("design_id", "run", "bin").count().groupBy("design_id", "run").agg(F.max_by("bin", F.struct("count", -F.col("bin"))).alias("angle"))
-    s = s.join(top, ["design_id", "run"]).withColumn("c", F.cos(F.radians("angle"))).withColumn("n", F.sin(F.radians("angle")))
+    s = s.hint("merge").join(top, ["design_id", "run"]).withColumn("c", F.cos(F.radians("angle"))).withColumn("n", F.sin(F.radians("angle")))
     along = lambda k: F.round(F.col(f"x{k}") * F.col("c") + F.col(f"y{k}") * F.col("n"), 6)
     off = lambda k: F.col(f"y{k}") * F.col("c") - F.col(f"x{k}") * F.col("n")
     s = s.withColumns({"t0": along(0), "t1": along(1), "o0": off(0), "o1": off(1)})
@@ -58,7 +58,7 @@ def ranks(rows: DataFrame, key: str, value: str, qs: dict[str, float]) -> DataFr
 
 def underlay_by_width(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     """Widths of columns over zigzag and over none: the width of an element is that of its last column of COLUMN_STEPS steps or more."""
-    p = phases(df, hop_u=hop_u).join(elements(df, hop_u=hop_u), ["design_id", "run"])
+    p = phases(df, hop_u=hop_u).hint("merge").join(elements(df, hop_u=hop_u), ["design_id", "run"])
     column = (F.col("label") == "S") & (F.col("steps") >= COLUMN_STEPS)
     each = p.groupBy("design_id", "element").agg(F.max(F.when(column, F.struct("run", "phase", "median_len"))).alias("s"), F.max((F.col("label") == "Z").cast("int")).alias("z"))
     e = each.where("s is not null").select(F.when(F.col("z") == 1, "with zigzag").otherwise("no zigzag").alias("under"), F.col("s.median_len").alias("width"))

@@ -69,7 +69,7 @@ def mitre_pairs(df: DataFrame, reach_u: int = 20, of_runs: bool = False) -> Data
     e = ends.withColumns({"cx": cell("last_x_u"), "cy": cell("last_y_u")}).alias("e")
     near = distance(F.col("e.last_x_u") - F.col("s.sx"), F.col("e.last_y_u") - F.col("s.sy")) < reach_u
     meets = [F.col(f"e.{c}") == F.col(f"s.{c}") for c in ("design_id", "cx", "cy")]
-    return e.join(starts.alias("s"), meets[0] & meets[1] & meets[2] & (F.col("e.run") != F.col("s.other")) & near, "left_semi").select("design_id", "run")
+    return e.hint("merge").join(starts.alias("s"), meets[0] & meets[1] & meets[2] & (F.col("e.run") != F.col("s.other")) & near, "left_semi").select("design_id", "run")
 
 
 def dedupe_ring(vertices: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def stacking(grid: DataFrame, warn: float = WARN, block: float = BLOCK, cell_u:
 def bare_cells(wanted: DataFrame, grid: DataFrame, least: float = BARE) -> DataFrame:
     """Wanted cells (design_id, cx, cy and more) on which less than `least` thread lies."""
     laid = grid.where(F.round("units", 6) >= least).select("design_id", "cx", "cy")
-    return wanted.join(laid, ["design_id", "cx", "cy"], "left_anti")
+    return wanted.hint("merge").join(laid, ["design_id", "cx", "cy"], "left_anti")
 
 
 def claimed_cells(boxes: DataFrame, cell_u: int = 10) -> DataFrame:
@@ -120,7 +120,7 @@ def box_cover(df: DataFrame, cell_u: float = CELL_U, hop_u: int = HOP_U) -> Data
 def colour_surface(a: DataFrame, b: DataFrame, least: int = 15) -> tuple[DataFrame, DataFrame]:
     """Agreement of two designs' showing blocks on cells that both cover, and the recall of each of `a`'s blocks of at least `least` cells."""
     keys = ["design_id", "cx", "cy"]
-    both = a.select(*keys, F.col("block").alias("pro")).join(b.select(*keys, F.col("block").alias("ours")), keys, "left")
+    both = a.select(*keys, F.col("block").alias("pro")).hint("merge").join(b.select(*keys, F.col("block").alias("ours")), keys, "left")
     met = F.col("ours").isNotNull()
     agree = both.where(met).groupBy("design_id").agg(F.count("*").alias("cells"), F.avg((F.col("pro") == F.col("ours")).cast("int")).alias("agreement"))
     each = both.groupBy("design_id", F.col("pro").alias("block")).agg(F.count("*").alias("cells"), F.avg(F.coalesce(F.col("pro") == F.col("ours"), F.lit(False)).cast("int")).alias("recall"))
@@ -135,7 +135,7 @@ def best_shift(a: DataFrame, b: DataFrame, reach: int = 2) -> DataFrame:
     moves = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]))
     left, right = a.select(*keys).distinct(), b.select(*keys).distinct()
     moved = right.withColumn("m", moves).select("design_id", "m", (F.col("cx") + F.col("m.dx")).alias("cx"), (F.col("cy") + F.col("m.dy")).alias("cy"))
-    hits = moved.join(left.withColumn("hit", F.lit(1)), keys, "left").groupBy("design_id", "m").agg(F.count("hit").alias("both"), F.count("*").alias("nb"))
+    hits = moved.hint("merge").join(left.withColumn("hit", F.lit(1)), keys, "left").groupBy("design_id", "m").agg(F.count("hit").alias("both"), F.count("*").alias("nb"))
     n = left.groupBy("design_id").agg(F.count("*").alias("na"))
     iou = F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 9)
     rank = F.struct((-iou).alias("worse"), (F.col("m.dx") * F.col("m.dx") + F.col("m.dy") * F.col("m.dy")).alias("far"), F.col("m.dx").alias("dx"), F.col("m.dy").alias("dy"))

@@ -33,7 +33,7 @@ def linked_shapes(shapes: DataFrame) -> DataFrame:
     alike = lambda c: F.least(f"p.{c}", f"q.{c}") / F.greatest(f"p.{c}", f"q.{c}") >= SIMILAR
     away = distance(F.col("p.cx") - F.col("q.cx"), F.col("p.cy") - F.col("q.cy"))
     once = (F.col("p.height") > F.col("q.height")) | ((F.col("p.height") == F.col("q.height")) & (F.col("p.shape_id") < F.col("q.shape_id")))
-    met = taller.join(lower, ["design_id", "level", "gx", "gy"]).where(once & alike("height") & alike("stroke") & (F.round(away, 9) <= F.col("p.height") * REACH))
+    met = taller.hint("merge").join(lower, ["design_id", "level", "gx", "gy"]).where(once & alike("height") & alike("stroke") & (F.round(away, 9) <= F.col("p.height") * REACH))
     return met.select("design_id", F.least("p.shape_id", "q.shape_id").alias("u"), F.greatest("p.shape_id", "q.shape_id").alias("v"))
 
 
@@ -43,7 +43,7 @@ def text_clusters(shapes: DataFrame, members: int = MEMBERS) -> DataFrame:
     node = lambda c: F.struct("design_id", F.col(c).alias("shape_id"))
     links = links.select(node("u").alias("u"), node("v").alias("v"))
     found = components(links.select(F.explode(F.array("u", "v")).alias("node")), links)
-    placed = found.select("node.design_id", "node.shape_id", F.col("root.shape_id").alias("cluster")).join(shapes.select("design_id", "shape_id", "stroke"), ["design_id", "shape_id"])
+    placed = found.select("node.design_id", "node.shape_id", F.col("root.shape_id").alias("cluster")).hint("merge").join(shapes.select("design_id", "shape_id", "stroke"), ["design_id", "shape_id"])
     # the median by ranks, so that no cluster becomes one array
     w = Window.partitionBy("design_id", "cluster")
     ranked = placed.withColumn("members", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("stroke", "shape_id")) - 1)
@@ -58,7 +58,7 @@ def log_polar(points: DataFrame, keys: list[str]) -> DataFrame:
     shape, whose number of points its outline sampling bounds."""
     p = points.select(*keys, F.col("vertex"), F.col("x").alias("x0"), F.col("y").alias("y0"))
     q = points.select(*keys, F.col("vertex").alias("other"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    pairs = p.join(q, keys).where("vertex <> other").withColumns({"dx": F.col("x1") - F.col("x0"), "dy": F.col("y1") - F.col("y0")}).withColumn("r", distance(F.col("dx"), F.col("dy")))
+    pairs = p.hint("merge").join(q, keys).where("vertex <> other").withColumns({"dx": F.col("x1") - F.col("x0"), "dy": F.col("y1") - F.col("y0")}).withColumn("r", distance(F.col("dx"), F.col("dy")))
     mean = F.avg("r").over(Window.partitionBy(*keys))
     near = pairs.withColumn("mean", mean).withColumn("s", F.when(F.col("mean") > 0, F.col("r") / F.col("mean")).otherwise(F.col("r")))
     step = (math.log10(FAR) - math.log10(NEAR)) / RADII
@@ -89,7 +89,7 @@ def shape_distances(points: DataFrame, block: Column, limit: float = ALIKE) -> D
     q = h.select("design_id", "block", F.col("shape_id").alias("v"), F.col("vertex").alias("j"), F.col("h").alias("hv"))
     part = lambda x, y: F.when(x + y > 0, (x - y) * (x - y) / (x + y)).otherwise(0.0)
     chi = F.aggregate(F.zip_with("hu", "hv", part), F.lit(0.0), lambda s, x: s + x) / 2
-    met = checkpointed(p.join(q, ["design_id", "block"]).where("u < v").select("design_id", "u", "v", "i", "j", chi.alias("chi")))
+    met = checkpointed(p.hint("merge").join(q, ["design_id", "block"]).where("u < v").select("design_id", "u", "v", "i", "j", chi.alias("chi")))
     side = lambda point: met.groupBy("design_id", "u", "v", point).agg(F.min("chi").alias("least")).groupBy("design_id", "u", "v").agg(F.avg("least").alias(point))
-    both = side("i").join(side("j"), ["design_id", "u", "v"])
+    both = side("i").hint("merge").join(side("j"), ["design_id", "u", "v"])
     return both.select("design_id", "u", "v", F.greatest("i", "j").alias("distance")).where(F.round("distance", 9) <= limit)

@@ -57,7 +57,7 @@ def travel_chains(df: DataFrame, support: float = 1.0, most: int = 8, most_u: fl
     steps and length, with supported steps of its run on a side."""
     mid = lambda a, b: cell_of((F.col(a) + F.col(b)) / 2, 10)
     s = segments(df, hop_u).withColumns({"cx": mid("x0", "x1"), "cy": mid("y0", "y1")})
-    s = s.join(thread_density(df, hop_u=hop_u), ["design_id", "cx", "cy"], "left")
+    s = s.hint("merge").join(thread_density(df, hop_u=hop_u), ["design_id", "cx", "cy"], "left")
     whole = Window.partitionBy("design_id", "run")
     s = s.withColumn("bare", F.round(F.coalesce("density", F.lit(0.0)), 6) < support).withColumn("n", F.count("*").over(whole))
     g = F.row_number().over(of_run()) - F.row_number().over(Window.partitionBy("design_id", "run", "bare").orderBy("seq"))
@@ -81,11 +81,11 @@ def transport(runs: DataFrame) -> DataFrame:
 def cross_validate(expected: DataFrame, decoded: DataFrame) -> DataFrame:
     """How well two point lists (design_id, pos, x_u, y_u) agree under the best of the eight turns and flips with the rounded mean offset:
     the transform (least rms, first on ties), rms and worst error over the positions that both have, and how many those are."""
-    j = expected.join(decoded.select("design_id", "pos", F.col("x_u").alias("dx"), F.col("y_u").alias("dy")), ["design_id", "pos"])
+    j = expected.hint("merge").join(decoded.select("design_id", "pos", F.col("x_u").alias("dx"), F.col("y_u").alias("dy")), ["design_id", "pos"])
     forms = [(a, b, c, d) for a, b, c, d in ((1, 0, 0, 1), (0, -1, 1, 0), (-1, 0, 0, -1), (0, 1, -1, 0), (-1, 0, 0, 1), (1, 0, 0, -1), (0, 1, 1, 0), (0, -1, -1, 0))]
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("form"), (F.col("dx") * a + F.col("dy") * b).alias("u"), (F.col("dx") * c + F.col("dy") * d).alias("v")) for i, (a, b, c, d) in enumerate(forms)]))
     t = j.withColumn("t", each).select("design_id", "t.form", (F.col("x_u") - F.col("t.u")).alias("ex"), (F.col("y_u") - F.col("t.v")).alias("ey"))
     mean = t.groupBy("design_id", "form").agg(F.floor(F.avg("ex") + 0.5).alias("ox"), F.floor(F.avg("ey") + 0.5).alias("oy"))
-    e = t.join(mean, ["design_id", "form"]).withColumn("e2", F.pow(F.col("ex") - F.col("ox"), 2) + F.pow(F.col("ey") - F.col("oy"), 2))
+    e = t.hint("merge").join(mean, ["design_id", "form"]).withColumn("e2", F.pow(F.col("ex") - F.col("ox"), 2) + F.pow(F.col("ey") - F.col("oy"), 2))
     g = e.groupBy("design_id", "form").agg(F.round(F.sqrt(F.avg("e2")), 6).alias("rms"), F.round(F.sqrt(F.max("e2")), 6).alias("worst"), F.count("*").alias("compared"))
     return g.groupBy("design_id").agg(F.min(F.struct("rms", "form", "worst", "compared")).alias("m")).select("design_id", "m.form", "m.rms", "m.worst", "m.compared")

@@ -30,7 +30,7 @@ def link_samples(steps: DataFrame, cell_u: float = LINK_CELL_U, thread_u: float
     laid = _samples(steps.where("not transport"), cell_u).groupBy("design_id", "cx", "cy").agg(F.max("block").alias("block")).withColumn("m", moves)
     cover = laid.groupBy("design_id", (F.col("cx") + F.col("m.i")).alias("cx"), (F.col("cy") + F.col("m.j")).alias("cy")).agg(F.max("block").alias("last"))
     links = _samples(steps.where("transport"), cell_u)
-    return links.join(cover, ["design_id", "cx", "cy"], "left").withColumn("bare", F.coalesce(F.col("last") < F.col("block"), F.lit(True)))
+    return links.hint("merge").join(cover, ["design_id", "cx", "cy"], "left").withColumn("bare", F.coalesce(F.col("last") < F.col("block"), F.lit(True)))
 
 
 def link_cover(steps: DataFrame, cell_u: float = LINK_CELL_U, thread_u: float = THREAD_U) -> DataFrame:
@@ -64,7 +64,7 @@ def link_exposure(steps: DataFrame, run: str = "run", cell_u: float = 1.0, threa
     s = s.select("design_id", run, "seq", "i", "part", "x", "y", cell_of(F.col("x"), size).alias("gx"), cell_of(F.col("y"), size).alias("gy"))
     span = lambda c: F.sequence(cell_of(F.least(f"{c}0", f"{c}1") - reach, size), cell_of(F.greatest(f"{c}0", f"{c}1") + reach, size))
     laid = steps.where("not transport").withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y"))).select("design_id", "gx", "gy", "x0", "y0", "x1", "y1")
-    met = s.join(laid, ["design_id", "gx", "gy"], "left")
+    met = s.hint("merge").join(laid, ["design_id", "gx", "gy"], "left")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     along = F.when(dx * dx + dy * dy > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / (dx * dx + dy * dy)))).otherwise(0.0)
     away = F.sqrt(F.pow(F.col("x") - F.col("x0") - along * dx, 2) + F.pow(F.col("y") - F.col("y0") - along * dy, 2))

@@ -93,12 +93,12 @@ def rail_advance(df: DataFrame, hop_u: int = HOP_U, least: int = 1) -> DataFrame
 def satin_stats(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     """Width (step length) median and maximum, and density (two apart) median, by run."""
     width = segments(df, hop_u).groupBy("design_id", "run").agg(kth(F.collect_list("len"), 0.5).alias("width"), F.max("len").alias("widest"))
-    return width.join(rail_advance(df, hop_u).select("design_id", "run", F.col("advance").alias("density")), ["design_id", "run"], "left")
+    return width.hint("merge").join(rail_advance(df, hop_u).select("design_id", "run", F.col("advance").alias("density")), ["design_id", "run"], "left")
 
 
 def class_census(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     """Step lengths by run class over the corpus."""
-    s = segments(df, hop_u).join(classify_runs(df, hop_u=hop_u).select("design_id", "run", "kind"), ["design_id", "run"])
+    s = segments(df, hop_u).hint("merge").join(classify_runs(df, hop_u=hop_u).select("design_id", "run", "kind"), ["design_id", "run"])
     # ranks by counting equal lengths first: no class's rows meet in one task
     by_len = s.groupBy("kind", F.round("len", 4).alias("len")).agg(F.count("*").alias("c"))
     w = Window.partitionBy("kind").orderBy("len")
@@ -150,27 +150,27 @@ def pass_count_grid(df: DataFrame, chunk: int = 16, cell_u: float = 10, hop_u: i
     """Per cell, how many stretches of `chunk` stitches cross it."""
     s = sample_segments(df, 5, hop_u)
     order = segments(df, hop_u).withColumn("chunk", F.floor((F.row_number().over(design()) - 1) / chunk)).select("design_id", "seq", "chunk")
-    cells = s.join(order, ["design_id", "seq"]).select("design_id", F.floor(F.col("x") / cell_u).alias("cx"), F.floor(F.col("y") / cell_u).alias("cy"), "chunk").distinct()
+    cells = s.hint("merge").join(order, ["design_id", "seq"]).select("design_id", F.floor(F.col("x") / cell_u).alias("cx"), F.floor(F.col("y") / cell_u).alias("cy"), "chunk").distinct()
     return cells.groupBy("design_id", "cx", "cy").agg(F.count("*").alias("passes"))
 
 
 def type_chance(a: DataFrame, b: DataFrame) -> DataFrame:
     """Agreement expected by chance of two cell maps' types."""
     share = lambda d, n: d.groupBy("design_id", "typ").agg(F.count("*").alias("c")).withColumn(n, F.col("c") / F.sum("c").over(Window.partitionBy("design_id"))).drop("c")
-    return share(a, "pa").join(share(b, "pb"), ["design_id", "typ"]).groupBy("design_id").agg(F.sum(F.col("pa") * F.col("pb")).alias("chance"))
+    return share(a, "pa").hint("merge").join(share(b, "pb"), ["design_id", "typ"]).groupBy("design_id").agg(F.sum(F.col("pa") * F.col("pb")).alias("chance"))
 
 
 def mask_iou(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("ci", "cj")) -> DataFrame:
     """Overlap of two cell sets: IoU, recall of a, precision of b, cells missing and spilled."""
     left = a.select("design_id", *keys).distinct().withColumn("in_a", F.lit(1))
     right = b.select("design_id", *keys).distinct().withColumn("in_b", F.lit(1))
-    j = left.join(right, ["design_id", *keys], "full_outer")
+    j = left.hint("merge").join(right, ["design_id", *keys], "full_outer")
     both, na, nb = _n(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()), _n(F.col("in_a").isNotNull()), _n(F.col("in_b").isNotNull())
     return j.groupBy("design_id").agg((both / F.count("*")).alias("iou"), (both / na).alias("recall"), (both / nb).alias("precision"), (na - both).alias("missing"), (nb - both).alias("overspill"))
 
 
 def type_confusion(a: DataFrame, b: DataFrame) -> DataFrame:
-    j = a.select("design_id", "ci", "cj", F.col("typ").alias("pt")).join(b.select("design_id", "ci", "cj", F.col("typ").alias("ot")), ["design_id", "ci", "cj"])
+    j = a.select("design_id", "ci", "cj", F.col("typ").alias("pt")).hint("merge").join(b.select("design_id", "ci", "cj", F.col("typ").alias("ot")), ["design_id", "ci", "cj"])
     return j.groupBy("pt", "ot").agg(F.count("*").alias("cells"))
 
 

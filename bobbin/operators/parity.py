@@ -56,11 +56,11 @@ def overlaps(shifts: DataFrame, pro: DataFrame, ours: DataFrame, sizes: DataFram
     whole = lambda c: F.floor(F.col(c) / CELL).cast("long")
     rest = lambda c: F.pmod(F.col(c), F.lit(CELL)).cast("int")
     cut = shifts.withColumns({"rx": rest("sx"), "ry": rest("sy"), "salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
-    moved = cut.join(ours, ["design_id", "rx", "ry", "salt"]).select("design_id", "seed", "move", (F.col("cx") + whole("sx")).alias("cx"), (F.col("cy") + whole("sy")).alias("cy"))
-    met = moved.join(pro.withColumn("hit", F.lit(1)), ["design_id", "cx", "cy"], "left")
+    moved = cut.hint("merge").join(ours, ["design_id", "rx", "ry", "salt"]).select("design_id", "seed", "move", (F.col("cx") + whole("sx")).alias("cx"), (F.col("cy") + whole("sy")).alias("cy"))
+    met = moved.hint("merge").join(pro.withColumn("hit", F.lit(1)), ["design_id", "cx", "cy"], "left")
     hits = met.groupBy("design_id", "seed", "move").agg(F.count("hit").alias("both"), F.count("*").alias("nb"))
     iou = F.round(F.coalesce(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), F.lit(0.0)), 9)
-    return shifts.join(hits, ["design_id", "seed", "move"], "left").join(sizes, "design_id", "left").withColumn("iou", iou).drop("both", "na", "nb")
+    return shifts.hint("merge").join(hits, ["design_id", "seed", "move"], "left").join(sizes, "design_id", "left").withColumn("iou", iou).drop("both", "na", "nb")
 
 
 def centres(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
@@ -92,7 +92,7 @@ def candidates(state: DataFrame) -> DataFrame:
 def climb(state: DataFrame, pro: DataFrame, ours: DataFrame, sizes: DataFrame) -> DataFrame:
     """One round of all climbs (design_id, seed, sx, sy, level, iou): to the best of the eight moves (the first on ties) if that gains, else to the next finer step."""
     found = overlaps(candidates(state), pro, ours, sizes).groupBy("design_id", "seed").agg(F.max(F.struct("iou", (-F.col("move")).alias("first"), "sx", "sy")).alias("b"))
-    j = state.join(found, ["design_id", "seed"], "left").withColumn("gain", F.coalesce(F.col("b.iou") > F.col("iou") + GAIN, F.lit(False)))
+    j = state.hint("merge").join(found, ["design_id", "seed"], "left").withColumn("gain", F.coalesce(F.col("b.iou") > F.col("iou") + GAIN, F.lit(False)))
     new = lambda c: F.when(F.col("gain"), F.col(f"b.{c}")).otherwise(F.col(c)).alias(c)
     return j.select("design_id", "seed", new("sx"), new("sy"), F.least(F.lit(len(STEPS)), F.col("level") + (~F.col("gain")).cast("int")).alias("level"), new("iou"))
 
@@ -155,36 +155,36 @@ def coverage(pro: DataFrame, ours: DataFrame, pro_colours: DataFrame, our_colour
     theirs = colour_groups(pro_colours)
     mine = colour_groups(our_colours)
     near = nearest_other_colour(mine.select("design_id", "grp", "r", "g", "b").distinct(), theirs.select("design_id", "grp", "r", "g", "b").distinct())
-    mine = mine.select("design_id", "block", "grp").join(near.select("design_id", "grp", "other"), ["design_id", "grp"]).select("design_id", "block", F.col("other").alias("grp"))
-    layer = lambda cells, groups: solid(cells.join(groups.select("design_id", "block", "grp"), ["design_id", "block"]), ["design_id", "grp"], window, least)
+    mine = mine.select("design_id", "block", "grp").hint("merge").join(near.select("design_id", "grp", "other"), ["design_id", "grp"]).select("design_id", "block", F.col("other").alias("grp"))
+    layer = lambda cells, groups: solid(cells.hint("merge").join(groups.select("design_id", "block", "grp"), ["design_id", "block"]), ["design_id", "grp"], window, least)
     order = mine.groupBy("design_id", "grp").agg(F.min("block").alias("rank"))
     pg = layer(a, theirs)
     keys = ["design_id", "cx", "cy"]
     p_top = pg.groupBy(*keys).agg(F.max("grp").alias("pt"))
-    o_top = layer(b, mine).join(order, ["design_id", "grp"]).groupBy(*keys).agg(F.max_by("grp", "rank").alias("ot"))
+    o_top = layer(b, mine).hint("merge").join(order, ["design_id", "grp"]).groupBy(*keys).agg(F.max_by("grp", "rank").alias("ot"))
     sp, so = solid(a, ["design_id"], window, least).withColumn("p", F.lit(1)), solid(b, ["design_id"], window, least).withColumn("o", F.lit(1))
     # a colour's solid ground lies in its side's, so the ground of both sides is all there is to compare
-    grid = sp.join(so, keys, "full_outer").join(p_top, keys, "left").join(o_top, keys, "left")
+    grid = sp.hint("merge").join(so, keys, "full_outer").hint("merge").join(p_top, keys, "left").hint("merge").join(o_top, keys, "left")
     both, np_, no = F.count(F.when(F.col("p").isNotNull() & F.col("o").isNotNull(), 1)), F.count("p"), F.count("o")
     same = F.col("pt").eqNullSafe(F.col("ot")).cast("int")
     g = grid.groupBy("design_id").agg((both / F.count("*")).alias("iou"), F.coalesce(F.try_divide(both, np_), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide(both, no), F.lit(0.0)).alias("precision"), F.avg(same).alias("agreement"), np_.alias("solid_pro"), no.alias("solid_ours"))
     shown = grid.where("pt is not null").groupBy("design_id", F.col("pt").alias("grp")).agg(F.avg(same).alias("seen"))
     each = pg.groupBy("design_id", "grp").agg((F.count("*") * (cell_u * 0.1) ** 2).alias("mm2")).where(F.col("mm2") >= COLOUR_MM2)
     each = each.withColumn("share", F.col("mm2") / F.sum("mm2").over(Window.partitionBy("design_id"))).where(F.col("share") >= COLOUR_SHARE)
-    worst = each.join(shown, ["design_id", "grp"], "left").groupBy("design_id").agg(F.min(F.coalesce("seen", F.lit(1.0))).alias("worst"))
+    worst = each.hint("merge").join(shown, ["design_id", "grp"], "left").groupBy("design_id").agg(F.min(F.coalesce("seen", F.lit(1.0))).alias("worst"))
     return g.join(worst, "design_id", "left").withColumn("worst", F.coalesce("worst", "recall"))
 
 
 def cells_alike(pro: DataFrame, ours: DataFrame, cell_u: float, ratio: int, window: int, least: float, hop_u: int = HOP_U) -> DataFrame:
     """Per design over the squares of `ratio` cells of which both sides fill half: agreement of directions and of stitch types, and the types' chance."""
     keys = ["design_id", "ci", "cj"]
-    s = solid(thread_cells(pro, cell_u, hop_u), ["design_id"], window, least).join(solid(thread_cells(ours, cell_u, hop_u), ["design_id"], window, least), ["design_id", "cx", "cy"])
+    s = solid(thread_cells(pro, cell_u, hop_u), ["design_id"], window, least).hint("merge").join(solid(thread_cells(ours, cell_u, hop_u), ["design_id"], window, least), ["design_id", "cx", "cy"])
     square = lambda c: F.floor(F.col(c) / ratio).cast("long")
     shared = s.groupBy("design_id", square("cx").alias("ci"), square("cy").alias("cj")).count().where(F.col("count") * 2 >= ratio * ratio).drop("count")
     # a cell whose directions cancel out has a type but no direction
     angle = F.when(F.col("concentration") > 1e-6, F.col("angle")).alias("angle")
     of = lambda d: M.cell_map(d, cell_u * ratio, hop_u=hop_u).select(*keys, angle, "typ")
-    j = shared.join(of(pro).withColumnsRenamed({"angle": "pa", "typ": "pt"}), keys).join(of(ours).withColumnsRenamed({"angle": "oa", "typ": "ot"}), keys)
+    j = shared.hint("merge").join(of(pro).withColumnsRenamed({"angle": "pa", "typ": "pt"}), keys).hint("merge").join(of(ours).withColumnsRenamed({"angle": "oa", "typ": "ot"}), keys)
     apart = F.abs(F.col("pa") - F.col("oa"))
     apart = F.least(apart, F.lit(180.0) - apart)
     types = sorted(("run", "satin", "fill"))

@@ -134,7 +134,7 @@ def votes(px: DataFrame) -> DataFrame:
     """Per opaque pixel the labels of its 3x3 window: y, x, label, most (highest count), ties (labels that have it), mode (lowest such)."""
     seen = px.where(F.col("a") > CLEAR).select("image_id", "y", "x", "label")
     around = shifted(seen.select("image_id", "y", "x", F.col("label").alias("v")), [(j, i) for j in (-1, 0, 1) for i in (-1, 0, 1)])
-    counts = around.join(seen.select("image_id", "y", "x", F.col("label").alias("centre")), ["image_id", "y", "x"]).groupBy("image_id", "y", "x", "centre", "v").agg(F.count("*").alias("n"))
+    counts = around.hint("merge").join(seen.select("image_id", "y", "x", F.col("label").alias("centre")), ["image_id", "y", "x"]).groupBy("image_id", "y", "x", "centre", "v").agg(F.count("*").alias("n"))
     top = counts.groupBy("image_id", "y", "x", "centre").agg(F.max("n").alias("most"), F.collect_list(F.struct("n", "v")).alias("all"))
     best = F.filter("all", lambda e: e["n"] == F.col("most"))
     return top.select("image_id", "y", "x", F.col("centre").alias("label"), "most", F.size(best).alias("ties"), F.array_min(F.transform(best, lambda e: e["v"])).alias("mode"))
@@ -160,9 +160,9 @@ def pixel_components(px: DataFrame, eight: bool = True) -> DataFrame:
     low, reach = runs.alias("p"), runs.select((F.col("y") - 1).alias("y"), *[F.col(c) for c in ("image_id", "x0", "x1", "label", "node")]).alias("q")
     pad = int(eight)
     meet = (F.col("p.image_id") == F.col("q.image_id")) & (F.col("p.y") == F.col("q.y")) & (F.col("p.label") == F.col("q.label")) & (F.col("q.x0") <= F.col("p.x1") + pad) & (F.col("q.x1") >= F.col("p.x0") - pad)
-    found = components(runs.select("node"), low.join(reach, meet).select(F.col("p.node").alias("u"), F.col("q.node").alias("v")))
+    found = components(runs.select("node"), low.hint("merge").join(reach, meet).select(F.col("p.node").alias("u"), F.col("q.node").alias("v")))
     at = found.select(F.col("node.image_id").alias("image_id"), F.col("node.y").alias("y"), F.col("node.x0").alias("x0"), F.col("root.y").alias("root_y"), F.col("root.x0").alias("root_x"))
-    return cells.join(at, ["image_id", "y", "x0"]).select("image_id", "y", "x", "label", "root_y", "root_x")
+    return cells.hint("merge").join(at, ["image_id", "y", "x0"]).select("image_id", "y", "x", "label", "root_y", "root_x")
 
 
 def component_sizes(px: DataFrame, eight: bool = True) -> DataFrame:

@@ -41,7 +41,7 @@ def edge_weights(nodes: DataFrame, edges: DataFrame, least_px: int = LEAST_PX) -
     mean = F.struct(*[(F.col(k) / F.col("n")).alias(k) for k in "lab"], "fg", "face")
     of = lambda end: n.select("image_id", F.col("id").alias(end), mean.alias(f"of_{end}"))
     total = n.groupBy("image_id").agg(F.sum("fg").alias("total"))
-    e = edges.join(of("u"), ["image_id", "u"]).join(of("v"), ["image_id", "v"]).join(total, "image_id")
+    e = edges.hint("merge").join(of("u"), ["image_id", "u"]).hint("merge").join(of("v"), ["image_id", "v"]).join(total, "image_id")
     small, big = F.least("of_u.fg", "of_v.fg"), F.greatest("of_u.fg", "of_v.fg")
     hard = (F.col("blen") > 0) & (F.col("bsum") / F.col("blen") >= HARD_LAB) & (small >= least_px) & (small >= F.col("total") * LEAST_SHARE)
     uneven = (small > 0) & (small >= least_px) & (big / small >= RATIO)
@@ -62,12 +62,12 @@ def mutual_best(weighted: DataFrame, limit: float) -> DataFrame:
 def contract(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after `merges` (image_id, id, to): sums are added, a face stays one, edges inside a region go."""
     sums = [c for c in nodes.columns if c not in ("image_id", "id", "face")]
-    moved = nodes.join(merges, ["image_id", "id"], "left").withColumn("id", F.coalesce("to", "id")).drop("to")
+    moved = nodes.hint("merge").join(merges, ["image_id", "id"], "left").withColumn("id", F.coalesce("to", "id")).drop("to")
     face = [F.max("face").alias("face")] if "face" in nodes.columns else []
     made = moved.groupBy("image_id", "id").agg(*[F.sum(c).alias(c) for c in sums], *face)
     e = edges
     for end in "uv":
-        e = e.join(merges.select("image_id", F.col("id").alias(end), "to"), ["image_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        e = e.hint("merge").join(merges.select("image_id", F.col("id").alias(end), "to"), ["image_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
     low, high = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     e = e.where("u <> v").groupBy("image_id", low, high).agg(*[F.sum(c).alias(c) for c in edges.columns if c not in ("image_id", "u", "v")])
     return made, e
@@ -91,7 +91,7 @@ def merge_regions(nodes: DataFrame, edges: DataFrame, limit: float = MERGE, leas
         if merges.isEmpty():
             return nodes, roots
         nodes, edges = map(checkpointed, contract(nodes, edges, merges))
-        roots = checkpointed(roots.join(merges.withColumnRenamed("id", "root"), ["image_id", "root"], "left").select("image_id", "id", F.coalesce("to", "root").alias("root")))
+        roots = checkpointed(roots.hint("merge").join(merges.withColumnRenamed("id", "root"), ["image_id", "root"], "left").select("image_id", "id", F.coalesce("to", "root").alias("root")))
 
 
 def component_graph(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +115,7 @@ def absorb_round(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     other = at.select("image_id", F.col("id").alias("other"), F.col("label").alias("o_label"), F.col("n").alias("o_n"))
     ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other")), F.struct(F.col("v").alias("id"), F.col("u").alias("other"))))
     sides = edges.select("image_id", ends.alias("e"), "sides").select("image_id", "e.id", "e.other", "sides")
-    met = sides.join(at.where(F.col("n") < least), ["image_id", "id"]).join(other, ["image_id", "other"])
+    met = sides.hint("merge").join(at.where(F.col("n") < least), ["image_id", "id"]).hint("merge").join(other, ["image_id", "other"])
     before = (F.col("o_n") < least) & (F.struct(F.col("o_n").alias("n"), F.col("other").alias("id")) < F.struct("n", "id"))
     by_label = met.groupBy("image_id", "id", "o_label").agg(F.sum("sides").alias("sides"), F.max(before).alias("waits"))
     best = by_label.groupBy("image_id", "id").agg(F.max(F.struct("sides", (-F.col("o_label")).alias("k"))).alias("m"), F.max("waits").alias("waits"))
@@ -132,19 +132,19 @@ def absorb_small(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     while True:
         taken = checkpointed(absorb_round(nodes, edges, least))
         if taken.isEmpty():
-            return roots.join(nodes.select("image_id", F.col("id").alias("root"), "label"), ["image_id", "root"]).select("image_id", "id", "label")
-        relabelled = nodes.join(taken, ["image_id", "id"], "left").select("image_id", "id", F.coalesce("to_label", "label").alias("label"), "n", F.col("to_label").isNotNull().alias("gone"))
+            return roots.hint("merge").join(nodes.select("image_id", F.col("id").alias("root"), "label"), ["image_id", "root"]).select("image_id", "id", "label")
+        relabelled = nodes.hint("merge").join(taken, ["image_id", "id"], "left").select("image_id", "id", F.coalesce("to_label", "label").alias("label"), "n", F.col("to_label").isNotNull().alias("gone"))
         of = lambda end: relabelled.select("image_id", F.col("id").alias(end), F.struct("label", "gone").alias(f"of_{end}"))
         one = (F.col("of_u.label") == F.col("of_v.label")) & (F.col("of_u.gone") | F.col("of_v.gone"))
-        links = edges.join(of("u"), ["image_id", "u"]).join(of("v"), ["image_id", "v"]).where(one)
+        links = edges.hint("merge").join(of("u"), ["image_id", "u"]).hint("merge").join(of("v"), ["image_id", "v"]).where(one)
         node = lambda c: F.struct("image_id", F.col(c).alias("id"))
         links = links.select(node("u").alias("u"), node("v").alias("v"))
         found = components(links.select(F.explode(F.array("u", "v")).alias("node")), links)
         merges = found.where("node <> root").select("node.image_id", "node.id", F.col("root.id").alias("to"))
         labels = relabelled.select("image_id", "id", "label")
         made, edges = contract(relabelled.drop("label", "gone"), edges, merges)
-        nodes, edges = checkpointed(made.join(labels, ["image_id", "id"])), checkpointed(edges)
-        roots = checkpointed(roots.join(merges.withColumnRenamed("id", "root"), ["image_id", "root"], "left").select("image_id", "id", F.coalesce("to", "root").alias("root")))
+        nodes, edges = checkpointed(made.hint("merge").join(labels, ["image_id", "id"])), checkpointed(edges)
+        roots = checkpointed(roots.hint("merge").join(merges.withColumnRenamed("id", "root"), ["image_id", "root"], "left").select("image_id", "id", F.coalesce("to", "root").alias("root")))
 
 
 def absorb_small_regions(px: DataFrame, least: int, eight: bool = False) -> DataFrame:
@@ -154,7 +154,7 @@ def absorb_small_regions(px: DataFrame, least: int, eight: bool = False) -> Data
     parts = checkpointed(pixel_components(px.where(F.col("a") > CLEAR), eight))
     done = absorb_small(*component_graph(parts), least)
     at = done.select("image_id", F.col("id.root_y").alias("root_y"), F.col("id.root_x").alias("root_x"), "label")
-    return parts.drop("label").join(at, ["image_id", "root_y", "root_x"]).select("image_id", "y", "x", "label")
+    return parts.drop("label").hint("merge").join(at, ["image_id", "root_y", "root_x"]).select("image_id", "y", "x", "label")
 
 
 def tiles(px: DataFrame, side: int) -> DataFrame:

@@ -59,7 +59,7 @@ def split_tonal(px: DataFrame, tone: float = TONE, least: int = TONE_PIXELS, par
     # the aggregate keeps the long expression of a span from being written out at each use
     spans = tonal_span(px).groupBy(*REGION).agg(F.max("n").alias("n"), F.max("span").alias("span"))
     span = spans.where((F.col("n") >= least) & (F.round("span", 6) >= tone)).select(*REGION, F.least(F.greatest(F.floor(F.round(F.col("span") / part, 6) + 0.5), F.lit(2)), F.lit(MOST_PARTS)).alias("parts"))
-    met = p.join(span.join(cut, list(REGION)), list(REGION))
+    met = p.hint("merge").join(span.hint("merge").join(cut, list(REGION)), list(REGION))
     above = lambda i: (F.round("L", 9) >= F.round(F.col("q")[i], 9)).cast("int")
     band = F.when(F.col("parts") == 2, above(2)).when(F.col("parts") == 3, above(1) + above(3)).otherwise(above(0) + above(2) + above(4))
     return met.select(*REGION, "y", "x", "parts", band.alias("part"))
@@ -69,7 +69,7 @@ def outline(cells: DataFrame) -> DataFrame:
     """Cells (image_id, y, x) of a set that have a neighbour, of eight, outside it."""
     own = cells.select("image_id", "y", "x").distinct()
     inner = shifted(own, BOX).groupBy("image_id", "y", "x").count().where("count = 9")
-    return own.join(inner, ["image_id", "y", "x"], "left_anti")
+    return own.hint("merge").join(inner, ["image_id", "y", "x"], "left_anti")
 
 
 def to_outline(source: DataFrame, target: DataFrame, frame: DataFrame) -> DataFrame:
@@ -80,12 +80,12 @@ def to_outline(source: DataFrame, target: DataFrame, frame: DataFrame) -> DataFr
     w = Window.partitionBy("image_id", "x").orderBy("y")
     size = frame.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
     box = size.select("image_id", F.explode(F.sequence(F.lit(0), "h")).alias("y"), "w").select("image_id", "y", F.explode(F.sequence(F.lit(0), "w")).alias("x"))
-    f = box.join(target.withColumn("t", F.col("y")), ["image_id", "y", "x"], "left")
+    f = box.hint("merge").join(target.withColumn("t", F.col("y")), ["image_id", "y", "x"], "left")
     up = F.col("y") - F.last("t", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first("t", True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("y")
     rows = f.withColumn("g", F.least(up, down)).where("g is not null").groupBy("image_id", "y").agg(F.collect_list(F.struct("x", "g")).alias("row"))
     d = F.array_min(F.transform("row", lambda c: (c["x"] - F.col("x")) * (c["x"] - F.col("x")) + c["g"] * c["g"]))
-    return source.join(rows, ["image_id", "y"]).select("image_id", "y", "x", F.sqrt(d.cast("double")).alias("d"))
+    return source.hint("merge").join(rows, ["image_id", "y"]).select("image_id", "y", "x", F.sqrt(d.cast("double")).alias("d"))
 
 
 def boundary_distance(a: DataFrame, b: DataFrame, frame: DataFrame) -> DataFrame:
@@ -111,9 +111,9 @@ def phantom_colours(px: DataFrame, share: float = EDGE_SHARE, off_line: float =
     off = F.sqrt(sum((F.pow(aj(c) - F.col("t") * ab(c), 2) for c in "LAB"), F.lit(0.0)))
     blend = (F.round("t", 6) > BETWEEN[0]) & (F.round("t", 6) < BETWEEN[1]) & (F.round(off, 6) < off_line)
     gone = t.where(blend).select("image_id", "label").distinct()
-    kept = g.join(gone, ["image_id", "label"], "left_anti").select("image_id", F.col("label").alias("to"), *[F.col(c).alias(f"k{c}") for c in "LAB"])
-    near = g.join(gone, ["image_id", "label"], "left_semi").join(kept, "image_id").groupBy("image_id", "label").agg(F.min(F.struct(F.round(delta_e76(triple(""), triple("k")), 6).alias("d"), "to")).alias("m"))
-    return g.select("image_id", "label").join(near, ["image_id", "label"], "left").select("image_id", "label", F.coalesce("m.to", "label").alias("to_label"))
+    kept = g.hint("merge").join(gone, ["image_id", "label"], "left_anti").select("image_id", F.col("label").alias("to"), *[F.col(c).alias(f"k{c}") for c in "LAB"])
+    near = g.hint("merge").join(gone, ["image_id", "label"], "left_semi").join(kept, "image_id").groupBy("image_id", "label").agg(F.min(F.struct(F.round(delta_e76(triple(""), triple("k")), 6).alias("d"), "to")).alias("m"))
+    return g.select("image_id", "label").hint("merge").join(near, ["image_id", "label"], "left").select("image_id", "label", F.coalesce("m.to", "label").alias("to_label"))
 
 
 def gate_attribution(rejected: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def corner_turns(points: DataFrame, keys: list[str]) -> DataFrame:
     k = F.greatest(F.lit(1), F.bround(F.round(F.greatest(F.col("width"), F.lit(WIDTH_U)) / F.col("median"), 9)).cast("int"))
     sized = ranked.withColumn("k", k).where(F.col("n") > 2 * F.col("k")).select(*keys, "i", "k", "x", "y")
     at = lambda shift, tag: sized.select(*keys, (F.col("i") + shift).alias("i"), F.col("x").alias(f"x{tag}"), F.col("y").alias(f"y{tag}"))
-    met = sized.join(at(F.col("k"), "a"), [*keys, "i"]).join(at(-F.col("k"), "c"), [*keys, "i"])
+    met = sized.hint("merge").join(at(F.col("k"), "a"), [*keys, "i"]).hint("merge").join(at(-F.col("k"), "c"), [*keys, "i"])
     way = lambda x0, y0, x1, y1: F.atan2((F.col(y1) - F.col(y0)).cast("double"), (F.col(x1) - F.col(x0)).cast("double"))
     turn = F.degrees(way("x", "y", "xc", "yc") - way("xa", "ya", "x", "y"))
     turned = met.select(*keys, "i", "k", F.round(F.abs(F.pmod(turn + 180, F.lit(360.0)) - 180), 6).alias("turn"))

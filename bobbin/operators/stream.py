@@ -48,7 +48,7 @@ def break_kinds(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     between = marked.where("cmd <> 'stitch'").groupBy("design_id", F.coalesce("__n", F.lit(0)).alias("__n")).agg(F.max(F.when(F.col("cmd") == "color", 3).when(F.col("cmd") == "trim", 2).otherwise(1)).alias("__k"))
     first = runs(df, hop_u).withColumn("__n", F.row_number().over(design()) - 1).groupBy("design_id", "run").agg(F.min("__n").alias("__n"))
     kind = F.when(F.col("__k") == 3, "color").when(F.col("__k") == 2, "trim").when(F.col("__n") == 0, "start").when(F.col("__k") == 1, "jump").otherwise("hop")
-    return first.join(between, ["design_id", "__n"], "left").select("design_id", "run", kind.alias("break_kind"))
+    return first.hint("merge").join(between, ["design_id", "__n"], "left").select("design_id", "run", kind.alias("break_kind"))
 
 
 def segments(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
@@ -180,4 +180,4 @@ def cut_gaps(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     ends = runs(df, hop_u).groupBy("design_id", "run").agg(F.min_by("x_u", "seq").alias("x0"), F.min_by("y_u", "seq").alias("y0"), F.max_by("x_u", "seq").alias("x1"), F.max_by("y_u", "seq").alias("y1"))
     w = Window.partitionBy("design_id").orderBy("run")
     gaps = ends.withColumn("gap", distance(F.col("x0") - F.lag("x1").over(w), F.col("y0") - F.lag("y1").over(w)))
-    return gaps.join(break_kinds(df, hop_u), ["design_id", "run"]).where("gap is not null").select("design_id", "run", "gap", F.col("break_kind").isin("trim", "color").alias("cut"))
+    return gaps.hint("merge").join(break_kinds(df, hop_u), ["design_id", "run"]).where("gap is not null").select("design_id", "run", "gap", F.col("break_kind").isin("trim", "color").alias("cut"))

@@ -19,7 +19,7 @@ def by(*order: str):
 
 def satin_mitres(df: DataFrame, reach_u: int = 20, hop_u: int = HOP_U) -> DataFrame:
     """Satin runs that end nearer than the reach to the start of another satin run of their design."""
-    r = runs(df, hop_u).join(of_kind(df, "satin", hop_u), ["design_id", "run"], "left_semi")
+    r = runs(df, hop_u).hint("merge").join(of_kind(df, "satin", hop_u), ["design_id", "run"], "left_semi")
     return mitre_pairs(r, reach_u, of_runs=True)
 
 
@@ -30,7 +30,7 @@ def corpus_study(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     classes = classify_runs(df, hop_u=hop_u)
     kinds = classes.groupBy("design_id").agg(*[F.sum((F.col("kind") == k).cast("long")).alias(k) for k in ("satin", "fill", "run", "lock")])
     count = runs(df, hop_u).groupBy("design_id").agg(F.countDistinct("run").alias("runs"))
-    satin = satin_stats(df, hop_u).join(classes.where("kind = 'satin'").select("design_id", "run"), ["design_id", "run"], "left_semi")
+    satin = satin_stats(df, hop_u).hint("merge").join(classes.where("kind = 'satin'").select("design_id", "run"), ["design_id", "run"], "left_semi")
     widths = satin.groupBy("design_id").agg(kth(F.collect_list("width"), 0.5).alias("med"), F.max("width").alias("widest"))
     locks = tail_locks(df, hop_u=hop_u).groupBy("design_id").agg(F.sum(F.col("locked").cast("long")).alias("locked"))
     out = base

@@ -81,7 +81,7 @@ def row_advance(df: DataFrame, least: int = 30, straight: float = 0.6, hop_u: in
     """Each design's fill row advance: the median part, across its run's axis, of steps over 45 degrees off that axis.
 
     Runs without one axis (concentration below `straight`) don't count; null under `least` such steps. With the best concentration."""
-    s = segments(df, hop_u).where("len > 0").join(of_kind(df, "fill", hop_u), ["design_id", "run"], "left_semi")
+    s = segments(df, hop_u).where("len > 0").hint("merge").join(of_kind(df, "fill", hop_u), ["design_id", "run"], "left_semi")
     s = s.withColumn("dx", (F.col("x1") - F.col("x0")).cast("double")).withColumn("dy", (F.col("y1") - F.col("y0")).cast("double")).withColumn("th", F.atan2("dy", "dx"))
     w = Window.partitionBy("design_id", "run")
     s = s.withColumn("sn", F.sum(F.sin(F.col("th") * 2) * F.col("len")).over(w)).withColumn("cs", F.sum(F.cos(F.col("th") * 2) * F.col("len")).over(w))
@@ -94,7 +94,7 @@ def row_advance(df: DataFrame, least: int = 30, straight: float = 0.6, hop_u: in
 
 def satin_advance(df: DataFrame, least: int = 30, hop_u: int = HOP_U) -> DataFrame:
     """Each design's median distance of points two apart in satin runs; null under `least`."""
-    r = runs(df, hop_u).join(of_kind(df, "satin", hop_u), ["design_id", "run"], "left_semi")
+    r = runs(df, hop_u).hint("merge").join(of_kind(df, "satin", hop_u), ["design_id", "run"], "left_semi")
     two = distance(F.lead("x_u", 2).over(of_run()) - F.col("x_u"), F.lead("y_u", 2).over(of_run()) - F.col("y_u"))
     g = r.withColumn("two", two).groupBy("design_id").agg(F.collect_list("two").alias("twos"))
     return g.select("design_id", F.size("twos").cast("long").alias("n"), F.when(F.size("twos") >= least, kth(F.col("twos"), 0.5)).alias("advance"))
@@ -102,7 +102,7 @@ def satin_advance(df: DataFrame, least: int = 30, hop_u: int = HOP_U) -> DataFra
 
 def small_lettering(df: DataFrame, column_u: float = 10, extent_u: float = 40, hop_u: int = HOP_U) -> DataFrame:
     """Satin runs (a run is a shape here) of each design: how many there are, and how many are too narrow or too small to read."""
-    s = segments(df, hop_u).join(of_kind(df, "satin", hop_u), ["design_id", "run"], "left_semi")
+    s = segments(df, hop_u).hint("merge").join(of_kind(df, "satin", hop_u), ["design_id", "run"], "left_semi")
     span = lambda c: F.greatest(F.max(f"{c}0"), F.max(f"{c}1")) - F.least(F.min(f"{c}0"), F.min(f"{c}1"))
     each = s.groupBy("design_id", "run").agg(kth(F.collect_list("len"), 0.5).alias("column"), F.greatest(span("x"), span("y")).alias("extent"))
     small = (F.col("column") < column_u) | (F.col("extent") < extent_u)
@@ -112,7 +112,7 @@ def small_lettering(df: DataFrame, column_u: float = 10, extent_u: float = 40, h
 def short_satin(df: DataFrame, long_u: float = 121, short_u: float = 10, least: int = 30, hop_u: int = HOP_U) -> DataFrame:
     """Steps over `long_u`, the longest, and the share of satin steps under `short_u` (null under `least` of these)."""
     s = segments(df, 1 << 30).groupBy("design_id").agg(F.sum((F.col("len") > long_u).cast("long")).alias("too_long"), F.max("len").alias("longest"))
-    satin = segments(df, hop_u).join(of_kind(df, "satin", hop_u), ["design_id", "run"], "left_semi").groupBy("design_id").agg(F.count("*").alias("satin_steps"), F.avg((F.col("len") < short_u).cast("int")).alias("share"))
+    satin = segments(df, hop_u).hint("merge").join(of_kind(df, "satin", hop_u), ["design_id", "run"], "left_semi").groupBy("design_id").agg(F.count("*").alias("satin_steps"), F.avg((F.col("len") < short_u).cast("int")).alias("share"))
     return s.join(satin, "design_id", "left").select("design_id", "too_long", "longest", F.coalesce("satin_steps", F.lit(0).cast("long")).alias("satin_steps"), F.when(F.col("satin_steps") >= least, F.col("share")).alias("short_share"))
 
 
@@ -130,7 +130,7 @@ def underlay_points(df: DataFrame, cell_u: float, gap: int, short_u: float, long
     pts = line_cells(s, cell_u)
     last = pts.groupBy("design_id", "cx", "cy").agg(F.max("idx").alias("last"), F.max_by("block", "idx").alias("last_block"))
     hit = (F.col("last") > F.col("idx") + gap) & (F.col("last_block") == F.col("block"))
-    return pts.join(last, ["design_id", "cx", "cy"]).withColumn("hit", hit.cast("int")).where(F.col("len") >= short_u)
+    return pts.hint("merge").join(last, ["design_id", "cx", "cy"]).withColumn("hit", hit.cast("int")).where(F.col("len") >= short_u)
 
 
 def underlay_share(df: DataFrame, cell_u: float = 4, gap: int = 15, covered: float = 0.6, short_u: float = 5, long_u: float = 121) -> DataFrame:
@@ -148,7 +148,7 @@ def underlay_cells(df: DataFrame, cell_u: float = 4, gap: int = 15, covered: flo
 def exposed_drag(df: DataFrame, hidden: DataFrame, cell_u: float, walk_u: float = 20) -> DataFrame:
     """Millimetres of untrimmed thread on cells that are not `hidden` (design_id, cx, cy), how many steps walk on bare ground, and the worst."""
     pts = line_cells(segments(df, 1 << 30).where("len > 0"), cell_u)
-    bare = pts.join(hidden.select("design_id", "cx", "cy").distinct().withColumn("hid", F.lit(1)), ["design_id", "cx", "cy"], "left")
+    bare = pts.hint("merge").join(hidden.select("design_id", "cx", "cy").distinct().withColumn("hid", F.lit(1)), ["design_id", "cx", "cy"], "left")
     each = bare.groupBy("design_id", "seq", "len").agg(F.avg(F.col("hid").isNull().cast("int")).alias("f"))
     walk = (F.round("f", 9) > 0.5) & (F.col("len") >= walk_u)
     return each.groupBy("design_id").agg((F.sum(F.col("f") * F.col("len")) * 0.1).alias("drag_mm"), F.sum(walk.cast("long")).alias("walks"), (F.max(F.col("f") * F.col("len")) * 0.1).alias("worst_mm"))
@@ -157,7 +157,7 @@ def exposed_drag(df: DataFrame, hidden: DataFrame, cell_u: float, walk_u: float
 def trim_attribution(df: DataFrame, k: int = 8, hop_u: int = HOP_U) -> DataFrame:
     """The k blocks of a design that open most runs by a trim: runs, trims, share of the design's trims, and runs by kind."""
     b = runs(df, hop_u).groupBy("design_id", "run").agg(F.min("block").alias("block"))
-    kinds = break_kinds(df, hop_u).join(b, ["design_id", "run"])
+    kinds = break_kinds(df, hop_u).hint("merge").join(b, ["design_id", "run"])
     each = kinds.groupBy("design_id", "block").agg(F.count("*").alias("runs"), *[F.sum((F.col("break_kind") == x).cast("long")).alias(n) for x, n in (("trim", "trims"), ("jump", "jumps"), ("hop", "hops"))])
     total = F.sum("trims").over(Window.partitionBy("design_id"))
     ranked = each.withColumn("share", F.when(total > 0, F.col("trims") / total)).withColumn("place", F.row_number().over(Window.partitionBy("design_id").orderBy(F.desc("trims"), "block")))
@@ -171,7 +171,7 @@ def box_pairs(boxes: DataFrame, cell_u: int) -> DataFrame:
     p, q = cut.alias("p"), cut.alias("q")
     meets = (F.col("p.x1") >= F.col("q.x0")) & (F.col("q.x1") >= F.col("p.x0")) & (F.col("p.y1") >= F.col("q.y0")) & (F.col("q.y1") >= F.col("p.y0"))
     same = (F.col("p.grp") == F.col("q.grp")) & (F.col("p.gx") == F.col("q.gx")) & (F.col("p.gy") == F.col("q.gy")) & (F.col("p.node") < F.col("q.node"))
-    return p.join(q, same & meets).select(F.col("p.node").alias("u"), F.col("q.node").alias("v")).distinct()
+    return p.hint("merge").join(q, same & meets).select(F.col("p.node").alias("u"), F.col("q.node").alias("v")).distinct()
 
 
 def elements(df: DataFrame, pad_u: int = 3, cell_u: int = 400, hop_u: int = HOP_U) -> DataFrame:
@@ -187,7 +187,7 @@ def elements(df: DataFrame, pad_u: int = 3, cell_u: int = 400, hop_u: int = HOP_
 
 def recipes(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     """Each element's techniques in sewing order, equal ones in a row once, joined by dots."""
-    p = phases(df, hop_u=hop_u).join(elements(df, hop_u=hop_u), ["design_id", "run"])
+    p = phases(df, hop_u=hop_u).hint("merge").join(elements(df, hop_u=hop_u), ["design_id", "run"])
     labels = F.transform(F.array_sort(F.collect_list(F.struct("run", "phase", "label"))), lambda x: x["label"])
     g = p.groupBy("design_id", "element").agg(labels.alias("labels"))
     return g.select("design_id", "element", F.array_join(F.filter("labels", lambda x, i: (i == 0) | (x != F.element_at("labels", F.when(i == 0, 1).otherwise(i)))), ".").alias("recipe"))
@@ -202,7 +202,7 @@ def lost_and_gained(a: DataFrame, b: DataFrame, hop_u: int = HOP_U) -> DataFrame
     key = lambda d: runs(d, hop_u).groupBy("design_id", "run").agg(F.min("x_u").alias("x0"), F.min("y_u").alias("y0"), F.max("x_u").alias("x1"), F.max("y_u").alias("y1"), F.count("*").alias("n")).drop("run").distinct()
     ka, kb = key(a), key(b)
     on = ["design_id", "x0", "y0", "x1", "y1", "n"]
-    return ka.join(kb, on, "left_anti").withColumn("side", F.lit("lost")).unionByName(kb.join(ka, on, "left_anti").withColumn("side", F.lit("gained")))
+    return ka.hint("merge").join(kb, on, "left_anti").withColumn("side", F.lit("lost")).unionByName(kb.hint("merge").join(ka, on, "left_anti").withColumn("side", F.lit("gained")))
 
 
 def worksheet(df: DataFrame, threads: DataFrame, many: int = 25_000, hop_u: int = HOP_U) -> DataFrame:

@@ -66,6 +66,6 @@ SELECT design_id, run, ROW_NUMBER() OVER (PARTITION BY design_id, run ORDER BY f
 def _(a, b):
     cell = lambda c: F.floor(F.col(c) / 10)
     thread = b.where("cmd = 'stitch'").select("design_id", cell("x_u").alias("cx"), cell("y_u").alias("cy"), F.lit(True).alias("hit")).distinct()
-    r = runs(a).withColumns({"cx": cell("x_u"), "cy": cell("y_u")}).join(thread, ["design_id", "cx", "cy"], "left")
+    r = runs(a).withColumns({"cx": cell("x_u"), "cy": cell("y_u")}).hint("merge").join(thread, ["design_id", "cx", "cy"], "left")
     rings = r.select("design_id", "run", F.col("seq").alias("i"), F.col("x_u").alias("x"), F.col("y_u").alias("y"), F.col("hit").isNull().alias("bare"))
     return r4(C.bare_arcs(rings, ["design_id", "run"]), "length")

@@ -73,7 +73,7 @@ def _(s):
 
 @query("f11_text_candidates", "v_shapes", sql=f"WITH {WIDTHS} SELECT s.design_id, s.shape_id FROM v_shapes s JOIN st ON s.design_id = st.design_id AND s.shape_id = st.shape_id WHERE cv <= 0.32 AND CAST(w_u AS DOUBLE) / h_u BETWEEN 0.05 AND 1.4")
 def _(s):
-    return K.text_candidates(s.join(K.stroke_stats(widths(s)), ["design_id", "shape_id"])).select("design_id", "shape_id")
+    return K.text_candidates(s.hint("merge").join(K.stroke_stats(widths(s)), ["design_id", "shape_id"])).select("design_id", "shape_id")
 
 
 FORCED = "CASE forced_class WHEN 'BUILDING' THEN 'photo_subject' WHEN 'MACHINERY' THEN 'photo_scene' END"
@@ -87,7 +87,7 @@ def _(s):
 
 @query("a42_tier_matrix", "v_stitches", "v_stitches_b", sql=f"""WITH {BOTH} SELECT a.typ AS tier, {', '.join(f"COUNT(*) FILTER (b.typ = '{t}') AS {t}" for t in ('run', 'satin', 'fill'))} FROM cell a JOIN cell2 b ON a.design_id = b.design_id AND a.ci = b.ci AND a.cj = b.cj GROUP BY 1""")
 def _(a, b):
-    cells = M.cell_map(a).select("design_id", "ci", "cj", F.col("typ").alias("tier")).join(M.cell_map(b).select("design_id", "ci", "cj", F.col("typ").alias("said")), ["design_id", "ci", "cj"])
+    cells = M.cell_map(a).select("design_id", "ci", "cj", F.col("typ").alias("tier")).hint("merge").join(M.cell_map(b).select("design_id", "ci", "cj", F.col("typ").alias("said")), ["design_id", "ci", "cj"])
     return K.tier_matrix(cells, "tier", "said", ("run", "satin", "fill"))
 
 

@@ -75,7 +75,7 @@ def _(st):
     from ..operators.stream import classify_runs
 
     kinds = classify_runs(st).select("design_id", "run", F.col("kind").isin("run", "lock").alias("travel"))
-    runs = run_ends(st).join(kinds, ["design_id", "run"], "left").select("design_id", "block", "run", F.floor(F.col("x0") / 200).alias("shape"), F.coalesce("travel", F.lit(False)).alias("travel"))
+    runs = run_ends(st).hint("merge").join(kinds, ["design_id", "run"], "left").select("design_id", "block", "run", F.floor(F.col("x0") / 200).alias("shape"), F.coalesce("travel", F.lit(False)).alias("travel"))
     return Y.transport(runs)
 
 

@@ -27,8 +27,8 @@ lc AS (SELECT design_id, CAST(SUM(k) AS BIGINT) AS segments, SUM(a) * 0.1 AS thr
 
 def steps(st):
     kinds = classify_runs(st).select("design_id", "run", F.col("kind").isin("run", "lock").alias("travel"))
-    runs = run_ends(st).join(kinds, ["design_id", "run"], "left").select("design_id", "block", "run", F.floor(F.col("x0") / 200).alias("shape"), F.coalesce("travel", F.lit(False)).alias("travel"))
-    return checkpointed(segments(st).join(transport(runs).select("design_id", "run", "transport"), ["design_id", "run"]))
+    runs = run_ends(st).hint("merge").join(kinds, ["design_id", "run"], "left").select("design_id", "block", "run", F.floor(F.col("x0") / 200).alias("shape"), F.coalesce("travel", F.lit(False)).alias("travel"))
+    return checkpointed(segments(st).hint("merge").join(transport(runs).select("design_id", "run", "transport"), ["design_id", "run"]))
 
 
 @query("q8_link_cover", "v_stitches", sql=f"WITH {COVER} SELECT design_id, segments, ROUND(thread_mm, 3) AS thread_mm, ROUND(uncovered_mm, 3) AS uncovered_mm, ROUND(max_mm, 3) AS max_mm FROM lc")

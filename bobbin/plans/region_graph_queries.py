@@ -43,7 +43,7 @@ def _(px):
 @query("u12_merge_region_graph", "v_pixels")
 def _(px):
     nodes, roots = G.merge_regions(*G.region_graph(G.tiles(px, SIDE)), LIMIT, LEAST_PX)
-    return roots.join(nodes.select("image_id", F.col("id").alias("root"), "n"), ["image_id", "root"]).select("image_id", "id", "root", "n")
+    return roots.hint("merge").join(nodes.select("image_id", F.col("id").alias("root"), "n"), ["image_id", "root"]).select("image_id", "id", "root", "n")
 
 
 LEAST = 4
