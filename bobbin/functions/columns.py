@@ -27,6 +27,15 @@ def kth(values: Column, q: float) -> Column:
     return F.element_at(s, F.least(F.size(s), (F.floor(F.size(s) * F.lit(q)) + 1).cast("int")))
 
 
+def rounded(name: str, places: int) -> Column:
+    """A column of doubles rounded as SQL engines do that scale it, halves of the scaled double away from zero.
+
+    Spark's round() takes halves of the shortest decimal text: 23.12035 is a half there, but 231203.49999999997 when scaled."""
+    x = F.col(name) * 10.0**places
+    near = F.rint(x)
+    return F.when(F.abs(x - near) == 0.5, x + F.signum(x) * 0.5).otherwise(near) / 10.0**places
+
+
 def distance(dx: Column, dy: Column) -> Column:
     return F.sqrt((dx * dx + dy * dy).cast("double"))
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import distance
+from ..functions.columns import distance, rounded
 from .coverage import cell_of, thread_density
 from .stream import HOP_U, segments
 from .technique import of_run
@@ -22,15 +22,17 @@ def place_design(df: DataFrame, turn: float = 0, width_mm: float | None = None,
     hoop's too), moved, rounded half up; an `end` row at the offset follows. `turn` is in degrees."""
     cos, sin = QUARTERS.get(turn % 360) or (math.cos(math.radians(turn)), math.sin(math.radians(turn)))
     whole = Window.partitionBy("design_id")
-    t = df.withColumns({"tx": F.round(F.col("x_u") * F.lit(cos) - F.col("y_u") * F.lit(sin), 6), "ty": F.round(F.col("x_u") * F.lit(sin) + F.col("y_u") * F.lit(cos), 6)})
+    t = df.withColumns({"tx": F.col("x_u") * F.lit(cos) - F.col("y_u") * F.lit(sin), "ty": F.col("x_u") * F.lit(sin) + F.col("y_u") * F.lit(cos)})
+    t = t.withColumns({c: rounded(c, 6) for c in ("tx", "ty")})
     down = lambda c: F.when(F.col("cmd") == "stitch", F.col(c))
     t = t.withColumns({f"{k}_{c}": f(down(c)).over(whole) for k, f in (("lo", F.min), ("hi", F.max)) for c in ("tx", "ty")})
     wide, high = (F.greatest(F.lit(0.1), (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / 10) for c in ("tx", "ty"))
     target = F.least(F.greatest(wide if width_mm is None else F.lit(float(width_mm)), F.lit(1.0)), F.lit(float(hoop_mm[0])))
     scale = F.when(high * (target / wide) > hoop_mm[1], F.lit(float(hoop_mm[1])) / high).otherwise(target / wide)
     off = [math.floor(o * 10 + 0.5) for o in offset_mm]
-    at = lambda c, o: (F.floor(F.round((F.col(c) - (F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2) * F.col("scale"), 6) + 0.5) + o).cast("long")
-    moved = t.withColumn("scale", scale).select("design_id", "seq", "cmd", at("tx", off[0]).alias("x_u"), at("ty", off[1]).alias("y_u"))
+    t = t.withColumn("scale", scale).withColumns({f"at_{c}": (F.col(c) - (F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2) * F.col("scale") for c in ("tx", "ty")})
+    at = lambda c, o: (F.floor(rounded(f"at_{c}", 6) + 0.5) + o).cast("long")
+    moved = t.select("design_id", "seq", "cmd", at("tx", off[0]).alias("x_u"), at("ty", off[1]).alias("y_u"))
     ends = df.groupBy("design_id").agg((F.max("seq") + 1).alias("seq")).select("design_id", "seq", F.lit("end").alias("cmd"), F.lit(off[0]).cast("long").alias("x_u"), F.lit(off[1]).cast("long").alias("y_u"))
     return moved.unionByName(ends)
 

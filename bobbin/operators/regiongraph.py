@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import with_delta_e2000
+from ..functions.columns import rounded, with_delta_e2000
 from .graph import checkpointed, components
 from .pixels import CLEAR, lab
 
@@ -47,7 +47,8 @@ def edge_weights(nodes: DataFrame, edges: DataFrame, least_px: int = LEAST_PX) -
     uneven = (small > 0) & (small >= least_px) & (big / small >= RATIO)
     factor = F.when(F.col("of_u.face") | F.col("of_v.face"), FACE_FACTOR).otherwise(1.0) * F.when(uneven, RATIO_FACTOR).otherwise(1.0) * F.when(hard, HARD_FACTOR).otherwise(1.0)
     e = with_delta_e2000(e, *(tuple(F.col(f"of_{end}.{k}") for k in "lab") for end in "uv"), "away")
-    return e.select("image_id", "u", "v", "bsum", "blen", F.round(F.col("away") / factor, 6).alias("weight"))
+    e = e.withColumn("weight", F.col("away") / factor)
+    return e.select("image_id", "u", "v", "bsum", "blen", rounded("weight", 6).alias("weight"))
 
 
 def mutual_best(weighted: DataFrame, limit: float) -> DataFrame:

@@ -41,7 +41,8 @@ KTH = "LIST_SORT(LIST({v}))[LEAST(COUNT(*), CAST(FLOOR(COUNT(*) * {q}) AS BIGINT
 
 def r4(df, *cols):
     """Rounded to four places, as the twins do."""
-    return df.withColumns({c: F.round(c, 4) for c in cols})
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: C.rounded(c, 4) if kinds[c] == "double" else F.round(c, 4) for c in cols})
 
 
 @query("p1_units", "v_stitches", sql="SELECT design_id, seq, ROUND(x_u * 0.1, 4) AS x_mm, CAST(ROUND((x_u * 0.1) / 0.1) AS INT) AS back_u FROM v_stitches")
