@@ -49,12 +49,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SIGNS, attach, forget, keep, prepare
+from .common import SIGNS, attach, forget, give_back, keep, prepare
 
 #: Bytes of a chunk, bytes around its end in which a place between words is sought, and neighbours composed at a time.
 CHUNK, REACH, FAN = 32 << 10, 2 << 10, 8
 #: Documents and characters of a block; units that a worker remembers, and their greatest length.
 BLOCK, BLOCK_CHARS, UNITS, UNIT_CHARS = 2048, 4 << 20, 400_000, 48
+#: Bytes of a block's texts whose tokens and links are worked out at once.
+PART_BYTES = 512 << 10
 #: Links of a group that are listed one by one.
 FEW_LINKS = 256
 #: A single space between characters that aren't space, for texts; the same between two printable ASCII signs, for bytes.
@@ -383,6 +385,7 @@ def _long_documents(docs: DataFrame, readers, chunk: int) -> tuple[DataFrame, Da
                 got = aligner.chunk(r["window"], r["at"], r["lo"], r["hi"])
                 made = _rows_of(r["row"], r["k"], r["chunks"], got is not None, *(got or (IDENTITY, None)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), made_schema, strict=True)], schema=made_schema)
+        give_back()
 
     level = keep(spread.select("row", "k", "chunks", "lo", "hi", "at", "window").mapInArrow(work, _STRETCH), "fragments")
     levels = [level]
@@ -436,12 +439,28 @@ def _short_documents(docs: DataFrame, readers, chunk: int, groups: bool) -> Data
             ids.append(batch.column("doc_id").slice(taken))
         if texts:
             yield from _block_rows(aligner, block, pa.concat_arrays(ids), texts, groups, arrow)
+        give_back()
 
     return src.select("doc_id", "text").mapInArrow(work, schema)
 
 
 def _block_rows(aligner: Aligner, block: int, ids: pa.Array, texts: list[str | None], groups: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows of a block's documents, and the row with its pairs and how many of its documents hold each."""
+    n = len(texts)
+    columns = {c: np.zeros(n, np.int64) for c in _NUMBERS} | {"block": np.full(n, block)}
+    columns |= {"doc_id": ids, "codes": pa.nulls(n), "docs": pa.nulls(n)} | {c: [v] * n for c, v in (("groups_sha256", ""), ("groups", ""), ("places", b""), ("links", b""))}
+    parts = []
+
+    def told_of(good: list[int], tokens: tuple[list, ...], stops: list[int]) -> None:
+        told = tell(*(np.concatenate(x) for x in tokens), np.array(stops), aligner.spelt)
+        for c, x in zip(_NUMBERS, told[1:5], strict=True):
+            columns[c][good] = x
+        for k, said in zip(good, told.groups, strict=True):
+            columns["groups_sha256"][k] = hashlib.sha256(said.encode()).hexdigest()
+            columns["groups"][k] = said if groups else ""
+        own, places = np.unique(told.pairs, return_inverse=True)
+        parts.append((good, np.searchsorted(told.at, np.arange(len(good) + 1)), own, places.astype(np.int32), told.links.astype(np.int32)))
+
     good, tokens, stops, at = [], ([], [], [], []), [], 0
     for k, t in enumerate(texts):
         got = aligner.tokens(" " + t) if t else None
@@ -451,22 +470,19 @@ def _block_rows(aligner: Aligner, block: int, ids: pa.Array, texts: list[str | N
                 held.append(x + shift)
             at += int(got[1][-1])
             stops.append(at)
-    n = len(texts)
-    columns = {c: np.zeros(n, np.int64) for c in _NUMBERS} | {"block": np.full(n, block)}
-    columns |= {"doc_id": ids, "codes": pa.nulls(n), "docs": pa.nulls(n)} | {c: [v] * n for c, v in (("groups_sha256", ""), ("groups", ""), ("places", b""), ("links", b""))}
-    known = docs = np.empty(0, np.int64)
+        if at >= PART_BYTES:
+            told_of(good, tokens, stops)
+            good, tokens, stops, at = [], ([], [], [], []), [], 0
     if good:
-        told = tell(*(np.concatenate(x) for x in tokens), np.array(stops), aligner.spelt)
-        known, places = np.unique(told.pairs, return_inverse=True)
-        docs = np.bincount(places, minlength=len(known))
-        for c, x in zip(_NUMBERS, told[1:5], strict=True):
-            columns[c][good] = x
-        bounds = np.searchsorted(told.at, np.arange(len(good) + 1))
-        for j, (k, said) in enumerate(zip(good, told.groups, strict=True)):
-            own = slice(bounds[j], bounds[j + 1])
-            columns["groups_sha256"][k] = hashlib.sha256(said.encode()).hexdigest()
-            columns["groups"][k] = said if groups else ""
-            columns["places"][k], columns["links"][k] = places[own].astype(np.int32).tobytes(), told.links[own].astype(np.int32).tobytes()
+        told_of(good, tokens, stops)
+    known = np.unique(np.concatenate([p[2] for p in parts])) if parts else np.empty(0, np.int64)
+    docs = np.zeros(len(known), np.int64)
+    for good, bounds, own, places, links in parts:
+        places = np.searchsorted(known, own).astype(np.int32)[places]
+        docs += np.bincount(places, minlength=len(known))
+        for j, k in enumerate(good):
+            at = slice(bounds[j], bounds[j + 1])
+            columns["places"][k], columns["links"][k] = places[at].tobytes(), links[at].tobytes()
     yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
     yield pa.RecordBatch.from_pylist([{"block": block, "codes": known.tolist(), "docs": docs.tolist()}], schema=schema)
 
