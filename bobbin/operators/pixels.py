@@ -1,7 +1,7 @@
 """Rasters as tables, one row a pixel: image_id, y, x, r, g, b, a, label.
 
 Neighbours come from windows along rows and columns or from shifted copies, so one layout by image serves a whole
-step. Components work on horizontal runs of equal label, which are far fewer than pixels.
+step. Components are found by squares of pixels and a graph of what meets across them.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import delta_e76, rgb_to_lab
-from .graph import components
+from .tiles import tiled_components
 
 #: Alpha up to which a pixel is background.
 CLEAR = 127
@@ -152,17 +152,7 @@ def unique_colour_mass(px: DataFrame) -> DataFrame:
 
 def pixel_components(px: DataFrame, eight: bool = True) -> DataFrame:
     """Pixels with root, the first (y, x) of their equal-label component; 8- or 4-connected."""
-    w = Window.partitionBy("image_id", "y").orderBy("x")
-    opens = F.when((F.lag("x").over(w) == F.col("x") - 1) & (F.lag("label").over(w) == F.col("label")), 0).otherwise(1)
-    cells = px.select("image_id", "y", "x", "label", opens.alias("o")).withColumn("run", F.sum("o").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("o")
-    cells = cells.withColumn("x0", F.min("x").over(Window.partitionBy("image_id", "y", "run")))
-    runs = cells.groupBy("image_id", "y", "x0").agg(F.max("x").alias("x1"), F.first("label").alias("label")).withColumn("node", F.struct("image_id", "y", "x0"))
-    low, reach = runs.alias("p"), runs.select((F.col("y") - 1).alias("y"), *[F.col(c) for c in ("image_id", "x0", "x1", "label", "node")]).alias("q")
-    pad = int(eight)
-    meet = (F.col("p.image_id") == F.col("q.image_id")) & (F.col("p.y") == F.col("q.y")) & (F.col("p.label") == F.col("q.label")) & (F.col("q.x0") <= F.col("p.x1") + pad) & (F.col("q.x1") >= F.col("p.x0") - pad)
-    found = components(runs.select("node"), low.hint("merge").join(reach, meet).select(F.col("p.node").alias("u"), F.col("q.node").alias("v")))
-    at = found.select(F.col("node.image_id").alias("image_id"), F.col("node.y").alias("y"), F.col("node.x0").alias("x0"), F.col("root.y").alias("root_y"), F.col("root.x0").alias("root_x"))
-    return cells.hint("merge").join(at, ["image_id", "y", "x0"]).select("image_id", "y", "x", "label", "root_y", "root_x")
+    return tiled_components(px, eight)
 
 
 def component_sizes(px: DataFrame, eight: bool = True) -> DataFrame:
