@@ -1,11 +1,14 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and how rows are dealt to tasks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows of a part. A part holds all rows of its keys, so a giant key makes a larger one.
+PART_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` by its keys in parts of about PART_ROWS rows, so that a task's memory doesn't grow with the table.
+
+    The session's number of partitions is one for tables of any size, and what is merged by size merges rows that later grow."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS)), *keys)
