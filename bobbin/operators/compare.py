@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
+from ..sources.shared import dealt
 from .stream import blocks, runs
 
 #: Fixed value: stitches that a cut is worth.
@@ -40,7 +41,7 @@ def combine_designs(df: DataFrame, group: str) -> DataFrame:
     where a group has several designs."""
     w = Window.partitionBy(group)
     many = F.min("design_id").over(w) != F.max("design_id").over(w)
-    rows = df.withColumn("__many", many).where(~F.col("__many") | (F.col("cmd") != "end"))
+    rows = dealt(df, group).withColumn("__many", many).where(~F.col("__many") | (F.col("cmd") != "end"))
     order = w.orderBy("design_id", "seq")
     prev = lambda c: F.lag(c).over(order)
     starts = prev("design_id").isNotNull() & (prev("design_id") != F.col("design_id"))
