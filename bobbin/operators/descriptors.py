@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
+from ..sources.shared import dealt
 from .graph import checkpointed, components
 
 #: Least ratio of heights and strokes, reach in heights of the taller one, least members of a cluster.
@@ -56,6 +57,7 @@ def log_polar(points: DataFrame, keys: list[str]) -> DataFrame:
 
     Distances are divided by the shape's mean distance; those beyond the edges count in the first or last bin. Pairs are those inside one
     shape, whose number of points its outline sampling bounds."""
+    points = dealt(points, *keys)
     p = points.select(*keys, F.col("vertex"), F.col("x").alias("x0"), F.col("y").alias("y0"))
     q = points.select(*keys, F.col("vertex").alias("other"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     pairs = p.hint("merge").join(q, keys).where("vertex <> other").withColumns({"dx": F.col("x1") - F.col("x0"), "dy": F.col("y1") - F.col("y0")}).withColumn("r", distance(F.col("dx"), F.col("dy")))
