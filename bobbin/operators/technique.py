@@ -128,9 +128,11 @@ def underlay_points(df: DataFrame, cell_u: float, gap: int, short_u: float, long
     """Points of sewn steps with `hit`: whether they lie where its own block sews last, over `gap` steps later."""
     s = segments(df, 1 << 30).where((F.col("len") > 0) & (F.col("len") <= long_u)).withColumn("idx", F.row_number().over(Window.partitionBy("design_id").orderBy("seq")))
     pts = line_cells(s, cell_u)
-    last = pts.groupBy("design_id", "cx", "cy").agg(F.max("idx").alias("last"), F.max_by("block", "idx").alias("last_block"))
+    # windows of cells lie where windows of designs do: no point is shuffled
+    cell = Window.partitionBy("design_id", "cx", "cy")
+    pts = pts.withColumns({"last": F.max("idx").over(cell), "last_block": F.max_by("block", "idx").over(cell)})
     hit = (F.col("last") > F.col("idx") + gap) & (F.col("last_block") == F.col("block"))
-    return pts.hint("merge").join(last, ["design_id", "cx", "cy"]).withColumn("hit", hit.cast("int")).where(F.col("len") >= short_u)
+    return pts.withColumn("hit", hit.cast("int")).where(F.col("len") >= short_u)
 
 
 def underlay_share(df: DataFrame, cell_u: float = 4, gap: int = 15, covered: float = 0.6, short_u: float = 5, long_u: float = 121) -> DataFrame:

@@ -2,7 +2,12 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from bobbin.operators import compare as K
 from bobbin.operators import coverage as V
+from bobbin.operators import descriptors as D
+from bobbin.operators import technique as T
 from bobbin.sources import shared
 from bobbin.views import view
 
@@ -24,3 +29,16 @@ def test_parts_grow_with_the_table(spark, monkeypatch):
 
 def test_a_chain_of_windows_and_cells_is_one_shuffle(spark):
     assert len(exchanges(V.thread_density(view(spark, SF, "v_stitches")))) == 1
+
+
+def test_points_of_underlay_are_not_shuffled(spark):
+    assert len(exchanges(T.underlay_share(view(spark, SF, "v_stitches")))) == 1
+
+
+def test_operators_that_gather_by_other_keys_deal_too(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PART_ROWS", 500)
+    corners = view(spark, SF, "v_vertices").selectExpr("design_id", "shape_id", "vertex", "x_u AS x", "y_u AS y")
+    rows = corners.count()
+    assert {n for _, n, _ in exchanges(D.log_polar(corners, ["design_id", "shape_id"]))} == {str(-(-rows // 500))}
+    st = view(spark, SF, "v_stitches")
+    assert {n for _, n, _ in exchanges(K.combine_designs(st.withColumn("g", F.floor(F.col("design_id") / 10)), "g"))} == {str(-(-st.count() // 500))}
