@@ -1,17 +1,25 @@
 """Graphs of regions: merging neighbours of like colour, and absorbing regions too small to sew.
 
-Both contract a graph of regions round by round. Nodes and edges carry what a merged region needs (sums of colours, sizes, lengths of
-shared boundaries), so no round reads a pixel. Keys are (image_id, id), so the regions of one large image stay spread over tasks.
+Merging contracts a graph of regions round by round, absorption takes it by squares. Nodes and edges carry what a merged region
+needs (sums of colours, sizes, lengths of shared boundaries), so no round reads a pixel. Keys are (image_id, id), so the regions of one large image stay spread over tasks.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter, defaultdict
+from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import rounded, with_delta_e2000
-from .graph import checkpointed, components
+from .graph import checkpointed
 from .pixels import CLEAR, lab
+from .tiles import SIDE
 
 #: The colour difference up to which neighbours merge, and what is left of it beside a face, between regions of very
 #: different size, and across a hard boundary; the ratio, Lab step, shares and sizes from which these hold.
@@ -123,29 +131,143 @@ def absorb_round(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     return best.where("not waits").select("image_id", "id", (-F.col("m.k")).alias("to_label"))
 
 
+#: What a row of a square is: a small component, a link to one of the same square, a link to one of another, and sides to large components of a label.
+NODE, NEAR, FAR, VOTE = range(4)
+#: Stands for a missing label.
+NO_LABEL = -(1 << 62)
+
+
+def absorb_square(rows: Iterable[tuple[int, int, int, int]], least: int) -> list[tuple[int, int, int, int, bool]]:
+    """What becomes of a square's small components: place, place of the one it is part of then, label, pixels, and whether that is large.
+
+    Rows are (NODE, place, label, pixels), (NEAR, place, other place, sides), (FAR, place, 0, 0) and (VOTE, place, label, sides).
+    Components with a neighbour in another square stay, and so do those that wait for them."""
+    label, n, beside, votes, far, joined, large = {}, {}, defaultdict(dict), defaultdict(Counter), set(), {}, set()
+    for kind, p, a, b in rows:
+        if kind == NODE:
+            label[p], n[p], joined[p] = a, b, p
+        elif kind == NEAR:
+            beside[p][a] = b
+        elif kind == VOTE:
+            votes[p][a] += b
+        else:
+            far.add(p)
+    todo = [(size, p) for p, size in n.items()]
+    heapify(todo)
+    while todo:
+        size, p = heappop(todo)
+        if p in far or n.get(p) != size or any((n[q], q) < (size, p) for q in beside[p]):
+            continue
+        said = Counter(votes[p])
+        for q, sides in beside[p].items():
+            said[label[q]] += sides
+        to = max(said, key=lambda k: (said[k], k != NO_LABEL, -k), default=NO_LABEL)
+        if to == NO_LABEL:
+            continue
+        one = {p, *(q for q in beside[p] if label[q] == to)}
+        first, whole = min(one), sum(n[q] for q in one)
+        around, heard = Counter(), Counter()
+        for q in one:
+            around.update({o: k for o, k in beside.pop(q, {}).items() if o not in one})
+            heard.update(votes.pop(q, {}))
+            joined[q] = first
+            del n[q]
+        label[first] = to
+        for o in around:
+            for q in one:
+                beside[o].pop(q, None)
+        # next to large ground of its label it is part of that
+        if whole >= least or to in heard:
+            large.add(first)
+            for o, sides in around.items():
+                votes[o][to] += sides
+        else:
+            n[first], beside[first], votes[first] = whole, dict(around), heard
+            if far & one:
+                far.add(first)
+            for o, sides in around.items():
+                beside[o][first] = sides
+            heappush(todo, (whole, first))
+        # who waited for one of these may go now
+        for o in around:
+            heappush(todo, (n[o], o))
+    size = dict.fromkeys(large, least) | n
+    out = []
+    for p in joined:
+        r = p
+        while joined[r] != r:
+            r = joined[r]
+        out.append((p, r, label[r], size[r], r in large))
+    return out
+
+
+def absorb_squares(small: DataFrame, beside: DataFrame, least: int, down: int, along: int) -> DataFrame:
+    """absorb_square() for all squares of the small components' first pixels, moved by (down, along): image_id, id, root, label, n, large."""
+    side = max(SIDE, 8 * least)
+    y, x = (lambda c: F.col(f"{c}.root_y") + down), (lambda c: F.col(f"{c}.root_x") + along)
+    home = lambda c: [F.floor(y(c) / side).cast("long"), F.floor(x(c) / side).cast("long")]
+    place = lambda c: (F.pmod(y(c), F.lit(side)) * side + F.pmod(x(c), F.lit(side))).cast("long")
+    row = lambda kind, a, b: F.struct(F.lit(kind).cast("long").alias("kind"), place("id").alias("p"), F.coalesce(F.col(a) if isinstance(a, str) else a, F.lit(NO_LABEL)).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    same = (home("id")[0] == home("other")[0]) & (home("id")[1] == home("other")[1])
+    link = F.when(F.col("other").isNull(), row(VOTE, "label", "sides")).when(same, row(NEAR, place("other"), "sides")).otherwise(row(FAR, F.lit(0), "sides"))
+    at = [h.alias(k) for h, k in zip(home("id"), ("ty", "tx"), strict=True)]
+    rows = small.select("image_id", *at, row(NODE, "label", "n").alias("r")).union(beside.select("image_id", *at, link.alias("r")))
+    squares = rows.groupBy("image_id", "ty", "tx").agg(F.collect_list("r").alias("r"))
+    squares = squares.select("image_id", "ty", "tx", "r.kind", "r.p", "r.a", "r.b")
+    names = ("at", "root", "label", "n", "large")
+
+    @F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in names]))
+    def absorbed(kind: pd.Series, p: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        done = [absorb_square(zip(*(v.tolist() for v in r), strict=True), least) for r in zip(kind, p, a, b, strict=True)]
+        return pd.DataFrame({c: [[int(e[k]) for e in d] for d in done] for k, c in enumerate(names)}, columns=list(names))
+
+    e = squares.withColumn("d", absorbed("kind", "p", "a", "b")).select("image_id", "ty", "tx", F.explode(F.arrays_zip(*[F.col(f"d.{c}").alias(c) for c in names])).alias("e"))
+    kinds = {f.name: f.dataType for f in small.schema["id"].dataType.fields}
+    first = lambda c: F.struct((F.col("ty") * side + F.floor(F.col(c) / side) - down).cast(kinds["root_y"]).alias("root_y"), (F.col("tx") * side + F.col(c) % side - along).cast(kinds["root_x"]).alias("root_x"))
+    label = F.when(F.col("e.label") != NO_LABEL, F.col("e.label")).cast(small.schema["label"].dataType)
+    return e.select("image_id", first("e.at").alias("id"), first("e.root").alias("root"), label.alias("label"), F.col("e.n").alias("n"), (F.col("e.large") == 1).alias("large"))
+
+
 def absorb_small(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     """image_id, id, label of every component given, after small ones have joined what surrounds them most.
 
     The result is that of taking the smallest one again and again: which label a component takes depends on its neighbours alone, and it
-    goes before any of them here as there; neighbours never go in one round."""
+    goes before any of them here as there; neighbours never go at one time. Large components keep their label, so small ones are all that
+    is followed. They meet by squares (of SIDE pixels, or eight times `least`); what waits across an edge goes when the squares
+    have moved by half a side, where every small component has its neighbours with it in one of four ways. Images no larger than a
+    square are done in one pass."""
     nodes, edges = checkpointed(nodes), checkpointed(edges)
-    roots = nodes.select("image_id", "id", F.col("id").alias("root"))
-    while True:
-        taken = checkpointed(absorb_round(nodes, edges, least))
-        if taken.isEmpty():
-            return roots.hint("merge").join(nodes.select("image_id", F.col("id").alias("root"), "label"), ["image_id", "root"]).select("image_id", "id", "label")
-        relabelled = nodes.hint("merge").join(taken, ["image_id", "id"], "left").select("image_id", "id", F.coalesce("to_label", "label").alias("label"), "n", F.col("to_label").isNotNull().alias("gone"))
-        of = lambda end: relabelled.select("image_id", F.col("id").alias(end), F.struct("label", "gone").alias(f"of_{end}"))
-        one = (F.col("of_u.label") == F.col("of_v.label")) & (F.col("of_u.gone") | F.col("of_v.gone"))
-        links = edges.hint("merge").join(of("u"), ["image_id", "u"]).hint("merge").join(of("v"), ["image_id", "v"]).where(one)
-        node = lambda c: F.struct("image_id", F.col(c).alias("id"))
-        links = links.select(node("u").alias("u"), node("v").alias("v"))
-        found = components(links.select(F.explode(F.array("u", "v")).alias("node")), links)
-        merges = found.where("node <> root").select("node.image_id", "node.id", F.col("root.id").alias("to"))
-        labels = relabelled.select("image_id", "id", "label")
-        made, edges = contract(relabelled.drop("label", "gone"), edges, merges)
-        nodes, edges = checkpointed(made.hint("merge").join(labels, ["image_id", "id"])), checkpointed(edges)
-        roots = checkpointed(roots.hint("merge").join(merges.withColumnRenamed("id", "root"), ["image_id", "root"], "left").select("image_id", "id", F.coalesce("to", "root").alias("root")))
+    at = nodes.select("image_id", "id", "label", (F.col("n") < least).alias("small"))
+    other = at.select("image_id", F.col("id").alias("other"), "label", "small")
+    ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other")), F.struct(F.col("v").alias("id"), F.col("u").alias("other"))))
+    met = edges.select("image_id", ends.alias("e"), "sides").select("image_id", "e.id", "e.other", "sides")
+    met = met.hint("merge").join(at.where("small").select("image_id", "id"), ["image_id", "id"]).hint("merge").join(other, ["image_id", "other"])
+    link = lambda small: [F.when(small, F.col("other")).alias("other"), F.when(~small, F.col("label")).alias("label")]
+    added = lambda d: d.groupBy("image_id", "id", "other", "label").agg(F.sum("sides").alias("sides"))
+    beside = checkpointed(added(met.select("image_id", "id", *link(F.col("small")), "sides")))
+    small = nodes.where(F.col("n") < least).select("image_id", "id", "label", "n")
+    fate = small.select("image_id", "id", F.col("id").alias("root"), "label")
+    half, idle = max(SIDE, 8 * least) // 2, 0
+    for turn in itertools.count():
+        moved = absorb_squares(small, beside, least, turn // 2 % 2 * half, turn % 2 * half)
+        done = checkpointed(moved)
+        news = done.select("image_id", F.col("id").alias("root"), F.col("root").alias("to"), F.col("label").alias("now"))
+        # the last look at what has its place already finds nothing and leaves it
+        fate = checkpointed(fate.hint("merge").join(news, ["image_id", "root"], "left").select("image_id", "id", F.coalesce("to", "root").alias("root"), F.when(F.col("to").isNull(), F.col("label")).otherwise(F.col("now")).alias("label")))
+        idle = 0 if not done.where("large or id <> root").isEmpty() else idle + 1
+        if idle == 4 or not turn and beside.where(F.col("other").isNotNull() & ~_one_square(max(SIDE, 8 * least))).isEmpty():
+            break
+        here, there = done.select("image_id", "id", F.struct("root", "label", "large").alias("p")), done.select("image_id", F.col("id").alias("other"), F.struct("root", "label", "large").alias("q"))
+        links = beside.hint("merge").join(here.where("not p.large"), ["image_id", "id"]).hint("merge").join(there, ["image_id", "other"], "left")
+        links = links.select("image_id", F.col("p.root").alias("id"), F.when(~F.coalesce(F.col("q.large"), F.lit(True)), F.col("q.root")).alias("other"), F.when(F.col("q.large"), F.col("q.label")).otherwise(F.col("label")).alias("label"), "sides")
+        beside = checkpointed(added(links.where("other is null or id <> other")))
+        small = done.where("not large").select("image_id", F.col("root").alias("id"), "label", "n").distinct()
+    return nodes.where(F.col("n") >= least).select("image_id", "id", "label").unionByName(fate.select("image_id", "id", "label"))
+
+
+def _one_square(side: int) -> Column:
+    """Whether a small component and its neighbour begin in one square."""
+    return (F.floor(F.col("id.root_y") / side) == F.floor(F.col("other.root_y") / side)) & (F.floor(F.col("id.root_x") / side) == F.floor(F.col("other.root_x") / side))
 
 
 def absorb_small_regions(px: DataFrame, least: int, eight: bool = False) -> DataFrame:

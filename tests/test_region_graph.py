@@ -147,3 +147,20 @@ def test_region_graph_counts_sides_and_steps(spark):
     assert {(r.id, r.n) for r in nodes.collect()} == {(0, 6), (1, 5)}
     e = edges.collect()
     assert [(r.u, r.v, r.blen) for r in e] == [(0, 1, 3)] and math.isclose(e[0].bsum, 300, abs_tol=0.1)
+
+
+def test_absorbing_across_squares_equals_one_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    labels, clear = rng.integers(0, 4, (9, 70)), rng.random((9, 70)) < 0.05
+    px = spark.createDataFrame([(1, y + 28, x - 30, 0, 0, 0, 0 if clear[y, x] else 255, int(labels[y, x])) for y in range(9) for x in range(70)], PX)
+    got = {(r.y - 28, r.x + 30): r.label for r in G.absorb_small_regions(px, 4).collect()}
+    done = absorb_one_at_a_time(labels, clear, 4)
+    assert got == {(y, x): int(done[y, x]) for y in range(9) for x in range(70) if not clear[y, x]}
+
+
+def test_images_of_one_square_are_absorbed_in_one_pass(spark, monkeypatch):
+    turns = []
+    monkeypatch.setattr(G, "absorb_squares", lambda *a, f=G.absorb_squares: turns.append(a) or f(*a))
+    rng = np.random.default_rng(6)
+    px = spark.createDataFrame([(k, y, x, 0, 0, 0, 255, int(rng.integers(0, 3))) for k in range(3) for y in range(24) for x in range(24)], PX)
+    assert G.absorb_small_regions(px, 4).count() == 3 * 24 * 24 and len(turns) == 1
