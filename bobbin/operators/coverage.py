@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import distance
+from ..functions.columns import distance, floor_near
 from .graph import checkpointed
 from .pixels import pixel_components, shifted
 from .stream import HOP_U, segments
@@ -19,7 +19,7 @@ BARE, WARN, BLOCK, PATCH_MM2, BARE_PATCH_MM2 = 0.25, 2.5, 3.5, 25.0, 5.0
 
 def cell_of(c, size: float):
     """The cell of a coordinate; noise in the last digits doesn't move a point over an edge."""
-    return F.floor(F.round(c / size, 6)).cast("long")
+    return floor_near(c / size)
 
 
 def untied_segments(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import chance_correct, distance
+from ..functions.columns import chance_correct, distance, floor_near
 from . import measures as M
 from . import technique as T
 from .colour import nearest_other_colour
@@ -39,7 +39,7 @@ def solid(cells: DataFrame, keys: list[str], window: int, least: float) -> DataF
 
 def lattice(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
     """Points of the lattice that a design's thread touches."""
-    at = lambda c: F.floor(F.round(F.col(c) / LATTICE_U, 6)).cast("long")
+    at = lambda c: floor_near(F.col(c) / LATTICE_U)
     return sample_segments(df, LATTICE_U, hop_u).select("design_id", at("x").alias("qx"), at("y").alias("qy")).distinct()
 
 

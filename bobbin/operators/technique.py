@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import distance, kth
+from ..functions.columns import distance, floor_near, kth
 from .stream import HOP_U, break_kinds, classify_runs, reversals, runs, segments
 
 #: Fixed values of the phase rules: half window, shares of reversals, lengths in units.
@@ -120,7 +120,7 @@ def line_cells(s: DataFrame, cell_u: float) -> DataFrame:
     """Sample points of segments from end to end, max(2, floor(len / cell) + 1) each, with their cells; `part` is one point's share."""
     n = F.greatest(F.lit(2), F.floor(F.col("len") / cell_u).cast("int") + 1)
     e = s.withColumn("pts", n).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("pts") - 1)))
-    at = lambda a, b: F.floor(F.round((F.col(a) + (F.col(b) - F.col(a)) * F.col("t") / (F.col("pts") - 1)) / cell_u, 6)).cast("long")
+    at = lambda a, b: floor_near((F.col(a) + (F.col(b) - F.col(a)) * F.col("t") / (F.col("pts") - 1)) / cell_u)
     return e.withColumn("cx", at("x0", "x1")).withColumn("cy", at("y0", "y1")).withColumn("part", F.lit(1.0) / F.col("pts"))
 
 
