@@ -123,26 +123,31 @@ def kmeans_seeds(colors: DataFrame, k: int) -> DataFrame:
 
 
 def kmeans_round(colors: DataFrame, centres: DataFrame) -> DataFrame:
-    """Centres after one round: every colour (image_id, L, A, B, weight) goes to its nearest centre, the lowest on ties, and centres become weighted means."""
-    c = centres.select("image_id", "centre", *[F.col(x).alias(f"c{x}") for x in "LAB"])
-    d = F.round(delta_e76(triple(""), triple("c")), 6)
-    near = colors.hint("merge").join(c, "image_id").groupBy("image_id", "L", "A", "B", "weight").agg(F.min(F.struct(d.alias("d"), "centre")).getField("centre").alias("centre"))
+    """Centres after one round: every colour (image_id, L, A, B, weight) goes to its nearest centre, the lowest on ties, and centres become weighted means.
+
+    An image's centres (k of them) meet its colours as one array, so a colour stays one row."""
+    c = centres.groupBy("image_id").agg(F.collect_list(F.struct("centre", "L", "A", "B")).alias("centres"))
+    away = lambda m: F.struct(F.round(delta_e76(triple(""), tuple(m[x] for x in "LAB")), 6).alias("d"), m["centre"].alias("centre"))
+    near = colors.hint("merge").join(c, "image_id").withColumn("centre", F.array_min(F.transform("centres", away)).getField("centre"))
     mean = lambda x: (F.sum(F.col(x) * F.col("weight")) / F.sum("weight")).alias(x)
     return near.groupBy("image_id", "centre").agg(*[mean(x) for x in "LAB"], F.sum("weight").alias("weight"))
 
 
 def kmeans_centres(colors: DataFrame, k: int, rounds: int = 60) -> DataFrame:
-    """Lloyd's rounds over all images until no centre moves by 1e-6, `rounds` at most."""
-    from .graph import checkpointed
+    """Lloyd's rounds over all images until no centre moves by 1e-6, `rounds` at most. Colours are worked out once."""
+    from .graph import checkpointed, forget
 
+    colors = checkpointed(colors)
     now = checkpointed(kmeans_seeds(colors, k).withColumn("weight", F.lit(0).cast("long")))
     for _ in range(rounds):
         new = checkpointed(kmeans_round(colors, now))
         old = now.select("image_id", "centre", *[F.col(x).alias(f"c{x}") for x in "LAB"])
-        moved = new.hint("merge").join(old, ["image_id", "centre"]).where(delta_e76(triple(""), triple("c")) > 1e-6).limit(1).count()
+        still = new.hint("merge").join(old, ["image_id", "centre"]).where(delta_e76(triple(""), triple("c")) > 1e-6).isEmpty()
+        forget(now)
         now = new
-        if not moved:
+        if still:
             break
+    forget(colors)
     return now
 
 
