@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions.columns import distance, floor_near, kth
 from .stream import HOP_U, break_kinds, classify_runs, reversals, runs, segments
@@ -11,6 +14,9 @@ from .stream import HOP_U, break_kinds, classify_runs, reversals, runs, segments
 #: Fixed values of the phase rules: half window, shares of reversals, lengths in units.
 WINDOW, LOCK_U, LOCK_SHARE, ZIGZAG_SHARE, ZIGZAG_U, COLUMN_U, RUN_SHARE, PHASE_LEAST = 4, 5.5, 0.3, 0.6, 6.0, 14.0, 0.35, 5
 
+#: Runs of a block whose boxes meet in one row.
+CHUNK_RUNS = 256
+
 
 def of_run():
     return Window.partitionBy("design_id", "run").orderBy("seq")
@@ -176,15 +182,54 @@ def box_pairs(boxes: DataFrame, cell_u: int) -> DataFrame:
     return p.hint("merge").join(q, same & meets).select(F.col("p.node").alias("u"), F.col("q.node").alias("v")).distinct()
 
 
+def chunk_elements(at: pd.Series) -> pd.Series:
+    """For lists of boxes (run, x0, y0, x1, y1, flat, runs in order): the first run of those that overlap, directly or through others."""
+    found = []
+    for flat in at:
+        run, x0, y0, x1, y1 = np.asarray(flat, dtype=np.float64).reshape(-1, 5).T
+        root = np.arange(len(run))
+        met = (x1[:, None] >= x0) & (x1 >= x0[:, None]) & (y1[:, None] >= y0) & (y1 >= y0[:, None])
+        while True:
+            # the least root beside each box, then the roots' own roots
+            low = np.where(met, root, len(run)).min(axis=1, initial=len(run))
+            new = root.copy()
+            np.minimum.at(new, root, low)
+            new = np.minimum(new, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        found.append(run[root].astype(np.int64))
+    return pd.Series(found, dtype=object)
+
+
 def elements(df: DataFrame, pad_u: int = 3, cell_u: int = 400, hop_u: int = HOP_U) -> DataFrame:
-    """design_id, run, element (the first run of it): runs of one block whose padded boxes overlap, directly or through others."""
-    from .graph import components
-
-    r = runs(df, hop_u)
-    b = r.groupBy("design_id", "run").agg(F.min("block").alias("block"), *[(f(c) + d * pad_u).alias(n) for n, f, c, d in (("x0", F.min, "x_u", -1), ("y0", F.min, "y_u", -1), ("x1", F.max, "x_u", 1), ("y1", F.max, "y_u", 1))])
-    boxes = b.withColumn("grp", F.struct("design_id", "block")).withColumn("node", F.struct("design_id", "run"))
-    found = components(boxes.select("node"), box_pairs(boxes, cell_u))
-    return found.select("node.design_id", "node.run", F.col("root.run").alias("element"))
+    """design_id, run, element (the first run of it): runs of one block whose padded boxes overlap, directly or through others.
+
+    CHUNK_RUNS runs of a block meet in one row, so a design of no more makes no pairs and needs no round of the graph. In larger blocks boxes of
+    different chunks meet in grid cells, and what they join goes through the graph."""
+    from .graph import checkpointed, components
+
+    ends = [(f(c) + d * pad_u).cast("double").alias(n) for n, f, c, d in (("x0", F.min, "x_u", -1), ("y0", F.min, "y_u", -1), ("x1", F.max, "x_u", 1), ("y1", F.max, "y_u", 1))]
+    b = runs(df, hop_u).groupBy("design_id", "run").agg(F.min("block").alias("block"), *ends)
+    chunk = F.floor(F.col("run") / CHUNK_RUNS).cast("long").alias("chunk")
+    rows = b.groupBy("design_id", "block", chunk).agg(F.array_sort(F.collect_list(F.struct("run", "x0", "y0", "x1", "y1"))).alias("boxes"))
+    flat = F.flatten(F.transform("boxes", lambda e: F.array(*[e[c].cast("double") for c in ("run", "x0", "y0", "x1", "y1")])))
+    found = F.pandas_udf(chunk_elements, S.ArrayType(S.LongType()))
+    cut = checkpointed(rows.withColumn("root", found(flat)))
+    each = cut.select("design_id", "block", "chunk", F.explode(F.arrays_zip("boxes", "root")).alias("e")).select("design_id", "block", "chunk", "e.boxes.*", F.col("e.root").alias("root"))
+    run_type = b.schema["run"].dataType
+    if cut.where("chunk > 0").isEmpty():
+        return each.select("design_id", "run", F.col("root").cast(run_type).alias("element"))
+    several = Window.partitionBy("design_id", "block")
+    boxes = each.withColumn("__n", F.max("chunk").over(several) - F.min("chunk").over(several)).where(F.col("__n") > 0).drop("__n")
+    boxes = boxes.withColumn("grp", F.struct("design_id", "block")).withColumn("node", F.struct("chunk", F.struct("design_id", F.col("root").alias("run")).alias("at")))
+    links = box_pairs(boxes, cell_u).where("u.chunk <> v.chunk").select(F.least("u.at", "v.at").alias("u"), F.greatest("u.at", "v.at").alias("v")).distinct()
+    links = checkpointed(links)
+    joined = components(links.select(F.explode(F.array("u", "v")).alias("node")), links)
+    tops = joined.select("node.design_id", F.col("node.run").alias("root"), F.col("root.run").alias("top"))
+    met = each.hint("merge").join(tops, ["design_id", "root"], "left")
+    return met.select("design_id", "run", F.coalesce("top", "root").cast(run_type).alias("element"))
 
 
 def recipes(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
