@@ -12,7 +12,6 @@ from ..functions.columns import chance_correct, distance, floor_near
 from . import measures as M
 from . import technique as T
 from .colour import nearest_other_colour
-from .coverage import opaque
 from .graph import checkpointed, forget
 from .pixels import close_cells, open_cells
 from .stream import HOP_U, sample_segments, segments
@@ -30,11 +29,16 @@ DIRECTION_CHANCE, COLOUR_MM2, COLOUR_SHARE, NO_UNDERLAY, ECONOMY_EPS, TRIM_FLOOR
 
 
 def solid(cells: DataFrame, keys: list[str], window: int, least: float) -> DataFrame:
-    """Places (keys, cx, cy) whose square window of `window` cells is full to `least`; the cells themselves where `window` is 0."""
+    """Places (keys, cx, cy) whose square window of `window` cells is full to `least`; the cells themselves where `window` is 0.
+
+    Keys stay columns, so the nine copies of a cell are not shuffled where cells lie by design already."""
     if not window:
         return cells.select(*keys, "cx", "cy").distinct()
-    full = opaque(cells.select(F.struct(*keys).alias("image_id"), F.col("cy").alias("y"), F.col("cx").alias("x")), window, least)
-    return full.select(*[F.col(f"image_id.{k}").alias(k) for k in keys], F.col("x").alias("cx"), F.col("y").alias("cy"))
+    box = range(-window, window + 1)
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in box for j in box]))
+    around = cells.select(*keys, "cx", "cy").distinct().withColumn("m", near).select(*keys, (F.col("cx") + F.col("m.i")).alias("cx"), (F.col("cy") + F.col("m.j")).alias("cy"))
+    full = around.groupBy(*keys, "cx", "cy").agg((F.count("*") / len(box) ** 2).alias("share"))
+    return full.where(F.col("share") >= least).drop("share")
 
 
 def lattice(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
@@ -165,7 +169,7 @@ def coverage(pro: DataFrame, ours: DataFrame, pro_colours: DataFrame, our_colour
     mine = colour_groups(our_colours)
     near = nearest_other_colour(mine.select("design_id", "grp", "r", "g", "b").distinct(), theirs.select("design_id", "grp", "r", "g", "b").distinct())
     mine = mine.select("design_id", "block", "grp").hint("merge").join(near.select("design_id", "grp", "other"), ["design_id", "grp"]).select("design_id", "block", F.col("other").alias("grp"))
-    layer = lambda cells, groups: solid(cells.hint("merge").join(groups.select("design_id", "block", "grp"), ["design_id", "block"]), ["design_id", "grp"], window, least)
+    layer = lambda cells, groups: solid(cells.hint("merge").join(groups.select("design_id", "block", "grp"), ["design_id", "block"]).repartition("design_id"), ["design_id", "grp"], window, least)
     order = mine.groupBy("design_id", "grp").agg(F.min("block").alias("rank"))
     pg = layer(a, theirs)
     keys = ["design_id", "cx", "cy"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import parity as P
 from ..operators.stream import blocks
+from ..sources.shared import laid
 from .registry import query
 from .stitch_queries import cells_sql, r4, runs_sql
 from .technique_queries import lines_sql
@@ -123,5 +124,6 @@ def coloured(st, threads, number):
 @query("q15_parity_score", "v_stitches", "v_stitches_b", "v_threads", sql=SCORE)
 def _(a, b, t):
     n = F.col("block")
+    a, b = laid(a, "design_id"), laid(b, "design_id")
     got = P.parity_score(a, b, coloured(a, t, n % 5), coloured(b, t, n % 7 * 11), CELL, RATIO, 1, LEAST, (8.0, 5), (20.0, 1), {"gap": 3, "covered": 0.3})
     return r4(got, *P.WEIGHTS, "direction_raw", "sttype_raw").withColumns({c: F.round(c, 3) for c in ("score", "score_raw")})

@@ -33,3 +33,14 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     The session's number of partitions is one for tables of any size, and what is merged by size merges rows that later grow."""
     spark = df.sparkSession
     return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS)), *keys)
+
+
+def laid(df: DataFrame, key: str) -> DataFrame:
+    """`df` written once to the shared folder, in buckets by `key` of about PART_ROWS rows, and read again.
+
+    What reads it many times neither makes it anew nor shuffles it for windows and groups by the key."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
+    name = f"laid_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", fresh(spark, "laid")).saveAsTable(name, format="parquet")
+    return spark.table(name)
