@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions.columns import distance
 from ..sources.shared import dealt
 from .graph import checkpointed, components
+from .outlines import alike_rows, polar_rows
 
 #: Least ratio of heights and strokes, reach in heights of the taller one, least members of a cluster.
 SIMILAR, REACH, MEMBERS = 0.5, 3.0, 3
-#: Radius bins (log-spaced edges from 1/8 to 2 mean distances), angle bins, and the distance up to which shapes are alike.
-RADII, ANGLES, NEAR, FAR, ALIKE = 5, 12, 0.125, 2.0, 0.25
+#: Fixed value: the distance up to which shapes are alike.
+ALIKE = 0.25
+
+#: Points of a design's block that meet in one task.
+PART_POINTS = 1_024
 
 
 def linked_shapes(shapes: DataFrame) -> DataFrame:
@@ -56,26 +61,12 @@ def log_polar(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, vertex, bin (radius * ANGLES + angle), n: where a shape's other points lie from each of its points.
 
     Distances are divided by the shape's mean distance; those beyond the edges count in the first or last bin. Pairs are those inside one
-    shape, whose number of points its outline sampling bounds."""
-    points = dealt(points, *keys)
-    p = points.select(*keys, F.col("vertex"), F.col("x").alias("x0"), F.col("y").alias("y0"))
-    q = points.select(*keys, F.col("vertex").alias("other"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    pairs = p.hint("merge").join(q, keys).where("vertex <> other").withColumns({"dx": F.col("x1") - F.col("x0"), "dy": F.col("y1") - F.col("y0")}).withColumn("r", distance(F.col("dx"), F.col("dy")))
-    mean = F.avg("r").over(Window.partitionBy(*keys))
-    near = pairs.withColumn("mean", mean).withColumn("s", F.when(F.col("mean") > 0, F.col("r") / F.col("mean")).otherwise(F.col("r")))
-    step = (math.log10(FAR) - math.log10(NEAR)) / RADII
-    edges = [10 ** (math.log10(NEAR) + step * k) for k in range(1, RADII)]
-    radius = sum(((F.round("s", 9) >= round(e, 9)).cast("int") for e in edges), F.lit(0))
-    turn = F.floor(F.round((F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")) + math.pi) / (2 * math.pi) * ANGLES, 9)).cast("int")
-    spot: Column = radius * ANGLES + F.least(F.lit(ANGLES - 1), turn)
-    return near.groupBy(*keys, "vertex", spot.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-
-
-def histograms(points: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, vertex, h: shares of the bins, as an array, of each point."""
-    bins = log_polar(points, keys).groupBy(*keys, "vertex").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sum("n").alias("total"))
-    share = F.transform(F.sequence(F.lit(0), F.lit(RADII * ANGLES - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)) / F.col("total"))
-    return bins.select(*keys, "vertex", share.alias("h"))
+    shape, whose number of points its outline sampling bounds; a task makes them in blocks of a bounded number."""
+    kinds = points.schema
+    out = S.StructType([S.StructField(c, kinds[c].dataType) for c in (*keys, "vertex")] + [S.StructField("bin", S.IntegerType()), S.StructField("n", S.LongType())])
+    xy = [F.col(c).cast("double").alias(c) for c in ("x", "y")]
+    rows = dealt(points, *keys).select(*keys, "vertex", *xy).dropna(subset=[*keys, "vertex"])
+    return rows.sortWithinPartitions(*keys, "vertex").mapInArrow(partial(polar_rows, keys=keys), out)
 
 
 def shape_distances(points: DataFrame, block: Column, limit: float = ALIKE) -> DataFrame:
@@ -83,15 +74,23 @@ def shape_distances(points: DataFrame, block: Column, limit: float = ALIKE) -> D
     counterpart, from both sides the greater. A best counterpart may serve twice (an optimal pairing serves each once), so this is never more than
     the distance by pairing.
 
-    `block` is an expression on points' columns that holds what alike shapes share."""
-    keys = ["design_id", "shape_id"]
-    named = points.withColumn("block", block)
-    h = checkpointed(histograms(named, [*keys, "block"]))
-    p = h.select("design_id", "block", F.col("shape_id").alias("u"), F.col("vertex").alias("i"), F.col("h").alias("hu"))
-    q = h.select("design_id", "block", F.col("shape_id").alias("v"), F.col("vertex").alias("j"), F.col("h").alias("hv"))
-    part = lambda x, y: F.when(x + y > 0, (x - y) * (x - y) / (x + y)).otherwise(0.0)
-    chi = F.aggregate(F.zip_with("hu", "hv", part), F.lit(0.0), lambda s, x: s + x) / 2
-    met = checkpointed(p.hint("merge").join(q, ["design_id", "block"]).where("u < v").select("design_id", "u", "v", "i", "j", chi.alias("chi")))
-    side = lambda point: met.groupBy("design_id", "u", "v", point).agg(F.min("chi").alias("least")).groupBy("design_id", "u", "v").agg(F.avg("least").alias(point))
-    both = side("i").hint("merge").join(side("j"), ["design_id", "u", "v"])
-    return both.select("design_id", "u", "v", F.greatest("i", "j").alias("distance")).where(F.round("distance", 9) <= limit)
+    `block` is an expression on points' columns that holds what alike shapes share. Points lie by design and block, where a task makes the
+    shapes' histograms and meets them; neither histograms nor pairs of points are shuffled. A block of over PART_POINTS points is cut into
+    parts, each two of which are dealt as a key of their own: all its pairs of shapes, in tasks of bounded size."""
+    key, level = ["design_id", "block"], ["p", "q", "part"]
+    named = points.withColumn("block", block).select(*key, "shape_id", "vertex", "x", "y").dropna(subset=[*key, "shape_id", "vertex"])
+    size = named.groupBy(*key).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    at = dealt(named, *key, rows=size["rows"] or 0)
+    if (size["most"] or 0) <= PART_POINTS:
+        at = at.withColumns({c: F.lit(0).cast("long") for c in level})
+    else:
+        # a rank counts the points of the shapes before, so no shape is cut
+        part = F.floor((F.rank().over(Window.partitionBy(*key).orderBy("shape_id")) - 1) / PART_POINTS)
+        at = at.withColumn("part", part).withColumn("last", F.max("part").over(Window.partitionBy(*key)))
+        at = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+        at = dealt(at.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("last", "other"), *key, "p", "q")
+    xy = [F.col(c).cast("double").alias(c) for c in ("x", "y")]
+    rows = at.select(*key, *level, "shape_id", "vertex", *xy).sortWithinPartitions(*key, "p", "q", "shape_id", "vertex")
+    ids = rows.schema["shape_id"].dataType
+    out = S.StructType([rows.schema["design_id"], S.StructField("u", ids), S.StructField("v", ids), S.StructField("distance", S.DoubleType())])
+    return rows.mapInArrow(partial(alike_rows, limit=limit), out).where(F.round("distance", 9) <= limit)

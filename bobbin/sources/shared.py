@@ -27,12 +27,12 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """`df` by its keys in parts of about PART_ROWS rows, so that a task's memory doesn't grow with the table.
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """`df` by its keys in parts of about PART_ROWS rows, so that a task's memory doesn't grow with the table; `rows` where they are counted already.
 
     The session's number of partitions is one for tables of any size, and what is merged by size merges rows that later grow."""
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS)), *keys)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-(df.count() if rows is None else rows) // PART_ROWS)), *keys)
 
 
 def laid(df: DataFrame, key: str) -> DataFrame:
