@@ -69,16 +69,17 @@ def log_polar(points: DataFrame, keys: list[str]) -> DataFrame:
     return rows.sortWithinPartitions(*keys, "vertex").mapInArrow(partial(polar_rows, keys=keys), out)
 
 
-def shape_distances(points: DataFrame, block: Column, limit: float = ALIKE) -> DataFrame:
-    """design_id, u < v, distance of the shapes of one design and block whose outlines are alike: the mean of every point's chi-square to its best
+def shape_distances(points: DataFrame, block: Column | None = None, limit: float = ALIKE) -> DataFrame:
+    """design_id, u < v, distance of the shapes of one design whose outlines are alike: the mean of every point's chi-square to its best
     counterpart, from both sides the greater. A best counterpart may serve twice (an optimal pairing serves each once), so this is never more than
     the distance by pairing.
 
-    `block` is an expression on points' columns that holds what alike shapes share. Points lie by design and block, where a task makes the
-    shapes' histograms and meets them; neither histograms nor pairs of points are shuffled. A block of over PART_POINTS points is cut into
-    parts, each two of which are dealt as a key of their own: all its pairs of shapes, in tasks of bounded size."""
+    All shapes of a design meet; only a caller whose alike shapes are known to share something names it as `block`, an expression on points'
+    columns. Points lie by design and block, where a task makes the shapes' histograms and meets them; neither histograms nor pairs of points are
+    shuffled. A block of over PART_POINTS points is cut into parts, each two of which are dealt as a key of their own: all its pairs of shapes, in
+    tasks of bounded size."""
     key, level = ["design_id", "block"], ["p", "q", "part"]
-    named = points.withColumn("block", block).select(*key, "shape_id", "vertex", "x", "y").dropna(subset=[*key, "shape_id", "vertex"])
+    named = points.withColumn("block", F.lit(0) if block is None else block).select(*key, "shape_id", "vertex", "x", "y").dropna(subset=[*key, "shape_id", "vertex"])
     size = named.groupBy(*key).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
     at = dealt(named, *key, rows=size["rows"] or 0)
     if (size["most"] or 0) <= PART_POINTS:

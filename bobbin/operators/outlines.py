@@ -134,21 +134,33 @@ def alike_rows(batches: Iterable[pa.RecordBatch], limit: float) -> Iterator[pa.R
         v = u + 1 + _each(after)
         keep = (size[u] > 1) & (size[v] > 1) & ~(cross[u] & (part[u] == part[v]))
         u, v = u[keep], v[keep]
-        far = np.empty(len(u))
-        kinds, kind = np.unique(np.stack([size[u], size[v]]), axis=1, return_inverse=True)
+        # outlines of equal counts are as far from any other, so a pair of them is worked out once
+        alike = _classes(c[:, [*used, BINS]], first)
+        _, once, of = np.unique(alike[u] * (len(rows) + 1) + alike[v], return_index=True, return_inverse=True)
+        a, z = u[once], v[once]
+        far = np.empty(len(a))
+        kinds, kind = np.unique(np.stack([size[a], size[z]]), axis=1, return_inverse=True)
         kind = kind.ravel()
         order = np.argsort(kind, kind="stable")
         for (m, n), these in zip(kinds.T, np.split(order, np.cumsum(np.bincount(kind, minlength=kinds.shape[1]))[:-1])):
             step = max(1, PAIRS // int(m * n))
             for k in range(0, len(these), step):
                 some = these[k:k + step]
-                far[some] = distances(share, first[u[some]], int(m), first[v[some]], int(n))
+                far[some] = distances(share, first[a[some]], int(m), first[z[some]], int(n))
+        far = far[of.ravel()]
         near = far <= limit + 1e-6
         u, v = rows[u[near]], rows[v[near]]
         ids = b.column("shape_id")
         yield pa.RecordBatch.from_pydict({"design_id": b.column("design_id").take(pa.array(u)), "u": ids.take(pa.array(u)), "v": ids.take(pa.array(v)), "distance": pa.array(far[near])})
 
 
+def _classes(c: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each outline, whose points' counts are rows of `c` from `first` on, the first outline of equal counts."""
+    seen: dict[bytes, int] = {}
+    narrow = c.astype(np.int32) if c.size and c.max() < 1 << 31 else c
+    return np.array([seen.setdefault(narrow[a:b].tobytes(), k) for k, (a, b) in enumerate(zip(first[:-1], first[1:]))], dtype=np.int64)
+
+
 def distances(share: np.ndarray, a: np.ndarray, m: int, b: np.ndarray, n: int) -> np.ndarray:
     """For pairs of outlines whose m and n points start at a and b: the mean chi-square of points to their best counterparts, of both sides the greater."""
     left, right = [], np.full((len(a), n), np.inf)

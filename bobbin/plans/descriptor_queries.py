@@ -48,9 +48,9 @@ def _(v):
 
 
 @query("j23_shape_distance_join", "v_vertices", sql=f"""WITH {BINS}, tt AS (SELECT design_id, shape_id, vertex, SUM(n) AS total FROM bn GROUP BY 1, 2, 3), hs AS (SELECT bn.design_id, bn.shape_id, bn.vertex, bin, n / total AS p FROM bn JOIN tt USING (design_id, shape_id, vertex)),
-pp AS (SELECT a.design_id, a.shape_id AS u, b.shape_id AS v, a.vertex AS i, b.vertex AS j FROM tt a JOIN tt b ON a.design_id = b.design_id AND a.shape_id % 4 = b.shape_id % 4 AND a.shape_id < b.shape_id),
+pp AS (SELECT a.design_id, a.shape_id AS u, b.shape_id AS v, a.vertex AS i, b.vertex AS j FROM tt a JOIN tt b ON a.design_id = b.design_id AND a.shape_id < b.shape_id),
 sh AS (SELECT pp.*, SUM(CASE WHEN x.p + y.p > 0 THEN x.p * y.p / (x.p + y.p) ELSE 0 END) AS met FROM pp LEFT JOIN hs x ON x.design_id = pp.design_id AND x.shape_id = u AND x.vertex = i LEFT JOIN hs y ON y.design_id = pp.design_id AND y.shape_id = v AND y.vertex = j AND y.bin = x.bin GROUP BY 1, 2, 3, 4, 5),
 ch AS (SELECT *, 1 - 2 * COALESCE(met, 0) AS chi FROM sh), si AS (SELECT design_id, u, v, AVG(m) AS d FROM (SELECT design_id, u, v, i, MIN(chi) AS m FROM ch GROUP BY 1, 2, 3, 4) q GROUP BY 1, 2, 3), sj AS (SELECT design_id, u, v, AVG(m) AS d FROM (SELECT design_id, u, v, j, MIN(chi) AS m FROM ch GROUP BY 1, 2, 3, 4) q GROUP BY 1, 2, 3)
 SELECT design_id, u, v, ABS(ROUND(GREATEST(si.d, sj.d), 4)) AS distance FROM si JOIN sj USING (design_id, u, v) WHERE ROUND(GREATEST(si.d, sj.d), 9) <= 0.25""")
 def _(v):
-    return r4(D.shape_distances(outline(v), F.col("shape_id") % 4), "distance").withColumn("distance", F.abs("distance"))
+    return r4(D.shape_distances(outline(v)), "distance").withColumn("distance", F.abs("distance"))

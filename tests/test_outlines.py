@@ -84,3 +84,32 @@ def test_repeated_rows_lone_points_and_unknown_places():
     assert count([0, math.nan], [0, 1], [0, 1], [0, 2])[:, O.BINS].tolist() == [1, 1]
     lone = pa.RecordBatch.from_pydict({c: pa.array([0]) for c in ("design_id", "block", "p", "q", "part", "shape_id", "vertex", "x", "y")})
     assert sum(b.num_rows for b in O.alike_rows([lone], 0.25)) == 0 and list(O.alike_rows([], 0.25)) == []
+
+
+def test_all_shapes_of_a_design_meet(spark):
+    """Ids of any remainder, and outlines of equal counts, at any cut into parts."""
+    square = [(0, 0), (9, 0), (9, 7), (0, 7)]
+    shapes = {(1, s, 0): [(x * k + s, y * k) for x, y in square] for s, k in ((1, 1), (2, 3), (3, 1), (4, 2), (8, 5))}
+    shapes[2, 5, 0], shapes[1, 6, 0] = square, [(0, 0), (1, 0), (30, 1)]
+    rows = [(d, s, i, float(x), float(y)) for (d, s, _), p in shapes.items() for i, (x, y) in enumerate(p)]
+    out = [tuple(r) for r in D.shape_distances(spark.createDataFrame(rows, KINDS)).collect()]
+    assert len(out) == 10 and {r[:3]: round(r[3], 6) for r in out} == plain(shapes)
+
+
+def test_outlines_of_equal_counts_meet_others_once(monkeypatch):
+    met, real = [], O.distances
+    monkeypatch.setattr(O, "distances", lambda share, a, m, b, n: met.append(len(a)) or real(share, a, m, b, n))
+    rows = [(1, 0, 0, 0, 0, s, i, x * (s + 1), y) for s in range(8) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)])]
+    names = ["design_id", "block", "p", "q", "part", "shape_id", "vertex", "x", "y"]
+    out, = O.alike_rows([pa.RecordBatch.from_pydict({n: pa.array(list(c)) for n, c in zip(names, zip(*rows))})], 0.25)
+    assert met == [1] and out.num_rows == 28
+
+
+def test_points_without_a_place_make_another_outline():
+    """Their counts are part of the outline's: equal but for them, two outlines are not as far from a third."""
+    names = ["design_id", "block", "p", "q", "part", "shape_id", "vertex", "x", "y"]
+    square = [(0.0, 0.0), (9.0, 0.0), (9.0, 7.0), (0.0, 7.0)]
+    shapes = [square, [*square, (math.nan, 0.0)], square[:3]]
+    rows = [(1, 0, 0, 0, 0, s, i, x, y) for s, p in enumerate(shapes) for i, (x, y) in enumerate(p)]
+    far = lambda keep: {(r["u"], r["v"]): r["distance"] for b in O.alike_rows([pa.RecordBatch.from_pydict({n: pa.array(list(c)) for n, c in zip(names, zip(*[r for r in rows if r[5] in keep]))})], 2.0) for r in b.to_pylist()}
+    assert far({0, 1, 2}) == {k: v for pair in ({0, 1}, {0, 2}, {1, 2}) for k, v in far(pair).items()}
