@@ -5,24 +5,20 @@ either side has an overlap of 0 and stays where it is."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import chance_correct, distance, floor_near
+from ..functions.columns import chance_correct
+from . import climbs as C
 from . import measures as M
 from . import technique as T
+from .climbs import MOVES as MOVES
 from .colour import nearest_other_colour
-from .graph import checkpointed, forget
 from .pixels import close_cells, open_cells
-from .stream import HOP_U, sample_segments, segments
-
-#: Units of the finest step of the search, and how many of them a cell is wide.
-LATTICE_U, CELL = 2.5, 2
-#: Steps of the climb in units of the lattice (1.0, 0.5, 0.25 mm), the longest shift in units, and what counts as a gain.
-STEPS, REACH_U, GAIN = (4, 2, 1), 400.0, 1e-6
-MOVES = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1))
-#: Places that the climbs of a design start from at most.
-SEEDS = 2
+from .stream import HOP_U, segments
+
 #: Weights of the parts, chance of a direction, limits of colours and underlay, trims that cost nothing.
 WEIGHTS = {"coverage": 20, "direction": 20, "sttype": 20, "density": 15, "underlay": 10, "travel": 15}
 DIRECTION_CHANCE, COLOUR_MM2, COLOUR_SHARE, NO_UNDERLAY, ECONOMY_EPS, TRIM_FLOOR, LONG_U = 0.5, 15.0, 0.03, 0.01, 0.02, 8, 121
@@ -41,105 +37,25 @@ def solid(cells: DataFrame, keys: list[str], window: int, least: float) -> DataF
     return full.where(F.col("share") >= least).drop("share")
 
 
-def lattice(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
-    """Points of the lattice that a design's thread touches."""
-    at = lambda c: floor_near(F.col(c) / LATTICE_U)
-    return sample_segments(df, LATTICE_U, hop_u).select("design_id", at("x").alias("qx"), at("y").alias("qy")).distinct()
-
-
-def masks(points: DataFrame, turns: int, window: int, least: float) -> DataFrame:
-    """Solid cells under each remainder (rx, ry) of a shift. A shift is whole cells and a remainder, so CELL * CELL masks serve all of them."""
-    rests = F.explode(F.array(*[F.struct(F.lit(i).alias("rx"), F.lit(j).alias("ry")) for i in range(turns) for j in range(turns)]))
-    at = lambda c, r: F.floor((F.col(c) + F.col(r)) / CELL).cast("long")
-    cells = points.withColumn("t", rests).select("design_id", "t.rx", "t.ry", at("qx", "t.rx").alias("cx"), at("qy", "t.ry").alias("cy"))
-    return solid(cells, ["design_id", "rx", "ry"], window, least)
-
-
-def overlaps(shifts: DataFrame, pro: DataFrame, ours: DataFrame) -> DataFrame:
-    """`shifts` (design_id, seed, move, sx, sy) with the overlap (IoU) of the moved masks.
-
-    A cell has one bit for each of its design's shifts that fill it, so cells that several shifts fill are one row, and rows that lie by
-    design (as lattice() leaves them) are not shuffled again."""
-    whole = lambda c: F.floor(F.col(f"t.{c}") / CELL).cast("long")
-    rest = lambda t, c: F.pmod(t[c], F.lit(CELL)).cast("int")
-    bit = (F.col("seed") * (len(MOVES) + 1) + F.col("move") + 1).cast("int")
-    tries = shifts.groupBy("design_id").agg(F.collect_list(F.struct("sx", "sy", F.expr("CAST(1 AS BIGINT)").alias("one"), bit.alias("bit"))).alias("tries"))
-    here = F.filter("tries", lambda t: (rest(t, "sx") == F.col("rx")) & (rest(t, "sy") == F.col("ry")))
-    moved = ours.hint("merge").join(tries, "design_id").select("design_id", "cx", "cy", F.explode(here).alias("t"))
-    moved = moved.select("design_id", (F.col("cx") + whole("sx")).alias("cx"), (F.col("cy") + whole("sy")).alias("cy"), F.call_function("shiftleft", F.col("t.one"), F.col("t.bit")).alias("tried"), F.lit(False).alias("hit"))
-    both = moved.unionByName(pro.select("design_id", "cx", "cy", F.lit(0).cast("long").alias("tried"), F.lit(True).alias("hit")))
-    cells = both.groupBy("design_id", "cx", "cy").agg(F.bit_or("tried").alias("tried"), F.max("hit").alias("hit"))
-    on = lambda k: F.col("tried").bitwiseAND(1 << k) != 0
-    places = range(SEEDS * (len(MOVES) + 1))
-    counted = cells.groupBy("design_id").agg(F.count_if("hit").alias("na"), F.array(*[F.struct(F.count_if(on(k)).alias("nb"), F.count_if(on(k) & F.col("hit")).alias("both")) for k in places]).alias("counts"))
-    c = F.element_at("counts", bit + 1)
-    iou = F.round(F.coalesce(F.try_divide(c["both"], F.col("na") + c["nb"] - c["both"]), F.lit(0.0)), 9)
-    return shifts.hint("merge").join(counted, "design_id", "left").withColumn("iou", iou).drop("na", "counts")
-
-
-def centres(df: DataFrame, hop_u: int = HOP_U) -> DataFrame:
-    s = segments(df, hop_u)
-    mid = lambda c: (F.min(F.least(f"{c}0", f"{c}1")) + F.max(F.greatest(f"{c}0", f"{c}1"))) / 2
-    return s.groupBy("design_id").agg(mid("x").alias("mx"), mid("y").alias("my"))
-
-
-def within() -> Column:
-    return distance(F.col("sx"), F.col("sy")) * LATTICE_U <= REACH_U
-
-
-def seeds(pro: DataFrame, ours: DataFrame, hop_u: int = HOP_U) -> DataFrame:
-    """Where a design's climbs start: no shift (seed 0) and, if it is another one within reach, middle on middle (seed 1)."""
-    j = centres(pro, hop_u).hint("merge").join(centres(ours, hop_u).select("design_id", F.col("mx").alias("ox"), F.col("my").alias("oy")), "design_id")
-    by = lambda p, q: F.floor((F.col(p) - F.col(q)) / LATTICE_U + 0.5).cast("long")
-    j = j.withColumn("s", F.explode(F.array(F.struct(F.lit(0).alias("seed"), F.lit(0).cast("long").alias("sx"), F.lit(0).cast("long").alias("sy")), F.struct(F.lit(1).alias("seed"), by("mx", "ox").alias("sx"), by("my", "oy").alias("sy")))))
-    return j.select("design_id", "s.*").where(within() & ((F.col("seed") == 0) | (F.col("sx") != 0) | (F.col("sy") != 0)))
-
-
-def candidates(state: DataFrame) -> DataFrame:
-    """The moves of every climb that still has a step to try."""
-    step = F.element_at(F.array(*map(F.lit, STEPS)), F.col("level") + 1)
-    options = F.array(*[F.struct(F.lit(k).alias("move"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate(MOVES)])
-    m = state.where(F.col("level") < len(STEPS)).withColumn("step", step).withColumn("m", F.explode(options))
-    return m.select("design_id", "seed", "m.move", (F.col("sx") + F.col("m.i") * F.col("step")).alias("sx"), (F.col("sy") + F.col("m.j") * F.col("step")).alias("sy")).where(within())
-
-
-def climb(state: DataFrame, pro: DataFrame, ours: DataFrame) -> DataFrame:
-    """One round of all climbs (design_id, seed, sx, sy, level, iou): to the best of the eight moves (the first on ties) if that gains, else to the next finer step."""
-    found = overlaps(candidates(state), pro, ours).groupBy("design_id", "seed").agg(F.max(F.struct("iou", (-F.col("move")).alias("first"), "sx", "sy")).alias("b"))
-    j = state.hint("merge").join(found, ["design_id", "seed"], "left").withColumn("gain", F.coalesce(F.col("b.iou") > F.col("iou") + GAIN, F.lit(False)))
-    new = lambda c: F.when(F.col("gain"), F.col(f"b.{c}")).otherwise(F.col(c)).alias(c)
-    return j.select("design_id", "seed", new("sx"), new("sy"), F.least(F.lit(len(STEPS)), F.col("level") + (~F.col("gain")).cast("int")).alias("level"), new("iou"))
-
-
-def start(pro: DataFrame, ours: DataFrame, window: int, least: float, hop_u: int) -> tuple[DataFrame, DataFrame]:
-    """Masks of both sides."""
-    return masks(lattice(pro, hop_u), 1, window, least).drop("rx", "ry"), masks(lattice(ours, hop_u), CELL, window, least)
+def _by_design(run: Callable, pro: DataFrame, ours: DataFrame, columns: str, window: int, least: float, hop_u: int) -> DataFrame:
+    """What `run` of climbs makes of both sides' steps of each design. Steps lie by design already, so they are not shuffled again."""
+    steps = lambda d: segments(d, hop_u).select("design_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "len")]).dropna()
+    left, right = steps(pro), steps(ours)
+    work = lambda key, p, o: run(key, p, o, window, least)
+    return left.groupBy("design_id").cogroup(right.groupBy("design_id")).applyInArrow(work, f"design_id {left.schema['design_id'].dataType.simpleString()}, {columns}")
 
 
 def first_round(pro: DataFrame, ours: DataFrame, window: int = 1, least: float = 0.55, hop_u: int = HOP_U) -> DataFrame:
     """The overlap of every seed and of its eight moves by the widest step."""
-    left, right = start(pro, ours, window, least, hop_u)
-    s = checkpointed(seeds(pro, ours, hop_u))
-    stay = s.select("design_id", "seed", F.lit(-1).alias("move"), "sx", "sy")
-    return overlaps(stay.unionByName(candidates(s.withColumn("level", F.lit(0)))), left, right)
+    return _by_design(C.tried, pro, ours, "seed int, move int, sx long, sy long, iou double", window, least, hop_u)
 
 
 def register(pro: DataFrame, ours: DataFrame, window: int = 1, least: float = 0.55, hop_u: int = HOP_U) -> DataFrame:
     """design_id, dx_u, dy_u, iou: the shift of `ours` onto `pro` that the climbs from both seeds reach, the first seed's on ties.
 
-    All designs climb at once, a round is one job over tables of the shared folder and ends for a design at a step that gains
-    nothing; overlaps only grow, so the rounds end. Hill climbs find a peak, which need not be the highest."""
-    left, right = map(checkpointed, start(pro, ours, window, least, hop_u))
-    at = checkpointed(seeds(pro, ours, hop_u))
-    stay = overlaps(at.withColumn("move", F.lit(-1)), left, right)
-    state = checkpointed(stay.select("design_id", "seed", "sx", "sy", F.lit(0).alias("level"), "iou"))
-    while not state.where(F.col("level") < len(STEPS)).isEmpty():
-        new = checkpointed(climb(state, left, right))
-        forget(state)
-        state = new
-    forget(left, right, at)
-    best = state.groupBy("design_id").agg(F.max(F.struct("iou", (-F.col("seed")).alias("first"), "sx", "sy")).alias("b"))
-    return best.select("design_id", (F.col("b.sx") * LATTICE_U).alias("dx_u"), (F.col("b.sy") * LATTICE_U).alias("dy_u"), F.col("b.iou").alias("iou"))
+    A design's steps of both sides meet in one task, which holds its masks and climbs to the end; nothing is written between rounds. Hill
+    climbs find a peak, which need not be the highest."""
+    return _by_design(C.climbed, pro, ours, "dx_u double, dy_u double, iou double", window, least, hop_u)
 
 
 def moved(df: DataFrame, shift: DataFrame) -> DataFrame:
