@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import delta_e76, delta_e2000, rgb_to_lab
+from .lloyd import centre_rows
 
 #: Least pixels and most samples of a region, and the findings' limits.
 REGION_PIXELS, REGION_SAMPLES, WARN, BLOCK = 50, 4096, 5.0, 10.0
@@ -133,22 +134,13 @@ def kmeans_round(colors: DataFrame, centres: DataFrame) -> DataFrame:
     return near.groupBy("image_id", "centre").agg(*[mean(x) for x in "LAB"], F.sum("weight").alias("weight"))
 
 
-def kmeans_centres(colors: DataFrame, k: int, rounds: int = 60) -> DataFrame:
-    """Lloyd's rounds over all images until no centre moves by 1e-6, `rounds` at most. Colours are worked out once."""
-    from .graph import checkpointed, forget
-
-    colors = checkpointed(colors)
-    now = checkpointed(kmeans_seeds(colors, k).withColumn("weight", F.lit(0).cast("long")))
-    for _ in range(rounds):
-        new = checkpointed(kmeans_round(colors, now))
-        old = now.select("image_id", "centre", *[F.col(x).alias(f"c{x}") for x in "LAB"])
-        still = new.hint("merge").join(old, ["image_id", "centre"]).where(delta_e76(triple(""), triple("c")) > 1e-6).isEmpty()
-        forget(now)
-        now = new
-        if still:
-            break
-    forget(colors)
-    return now
+def kmeans_centres(colors: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
+    """image_id, centre, L, A, B, weight: Lloyd's rounds over each image until no centre of it moves by 1e-6, or `rounds` of them where a caller wants fewer.
+
+    An image's colours, which its distinct r, g, b bound, are worked out once and meet in one task, which makes all its rounds."""
+    kind = colors.schema["image_id"].dataType.simpleString()
+    known = colors.select("image_id", *[F.col(x).cast("double").alias(x) for x in "LAB"], F.col("weight").cast("long").alias("weight"))
+    return known.groupBy("image_id").applyInArrow(lambda key, c: centre_rows(key, c, k, rounds), f"image_id {kind}, centre int, L double, A double, B double, weight long")
 
 
 def split_widest_box(boxes: DataFrame, number: Column | int) -> DataFrame:

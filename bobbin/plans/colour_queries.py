@@ -104,7 +104,7 @@ def _(px):
 
 @query("a53_kmeans_centres", "v_pixels")
 def _(px):
-    return K.kmeans_centres(lab_colours(px), 4, 4)
+    return K.kmeans_centres(lab_colours(px), 4)
 
 
 @query("a54_median_cut_first", "v_pixels", sql="""WITH dc AS (SELECT image_id, r, g, b, COUNT(*) AS weight FROM v_pixels WHERE a > 127 GROUP BY 1, 2, 3, 4), sp AS (SELECT image_id, MAX(r) - MIN(r) AS sr, MAX(g) - MIN(g) AS sg, MAX(b) - MIN(b) AS sb FROM dc GROUP BY 1),
