@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .coverage import THREAD_U, cell_of
-from .pixels import disc
+from .linkcells import cover_rows
 
 #: Fixed value: the pitch, in units, at which links are sampled and cover is laid out in cells.
 LINK_CELL_U = 2.0
@@ -20,31 +20,18 @@ def _samples(steps: DataFrame, cell_u: float) -> DataFrame:
     return s.withColumns({"cx": at("x0", "x1"), "cy": at("y0", "y1"), "part": F.col("len") / F.col("n")})
 
 
-def link_samples(steps: DataFrame, cell_u: float = LINK_CELL_U, thread_u: float = THREAD_U) -> DataFrame:
-    """Samples of the transport steps with `bare`. `steps` has design_id, block, seq, x0, y0, x1, y1, len and transport.
+def link_cover(steps: DataFrame, cell_u: float = LINK_CELL_U, thread_u: float = THREAD_U) -> DataFrame:
+    """Per design with links: segments, thread_mm, uncovered_mm, and max_mm: the longest stretch that lies bare without a break. `steps` has
+    design_id, block, seq, x0, y0, x1, y1, len and transport.
 
     Thread covers the disc of half its width round its samples. A link is covered by other thread of its own block or of any block sewn
-    later, so a cell needs only the last block that lays thread on it: one aggregate, whatever the number of blocks."""
+    later, so a cell needs only the last block that lays thread on it. A stretch goes on from one step into the next of its block where that
+    begins at its end; many links of short stitches are one line on the fabric. A design's cells lie in one task: no sample is shuffled or written."""
     reach = max(1, round(thread_u / 2 / cell_u))
-    moves = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j, i in disc(reach)]))
-    laid = _samples(steps.where("not transport"), cell_u).groupBy("design_id", "cx", "cy").agg(F.max("block").alias("block")).withColumn("m", moves)
-    cover = laid.groupBy("design_id", (F.col("cx") + F.col("m.i")).alias("cx"), (F.col("cy") + F.col("m.j")).alias("cy")).agg(F.max("block").alias("last"))
-    links = _samples(steps.where("transport"), cell_u)
-    return links.hint("merge").join(cover, ["design_id", "cx", "cy"], "left").withColumn("bare", F.coalesce(F.col("last") < F.col("block"), F.lit(True)))
-
-
-def link_cover(steps: DataFrame, cell_u: float = LINK_CELL_U, thread_u: float = THREAD_U) -> DataFrame:
-    """Per design with links: segments, thread_mm, uncovered_mm, and max_mm: the longest stretch that lies bare without a break.
-
-    A stretch goes on from one step into the next of its block where that begins at its end; many links of short stitches are one line on the fabric."""
-    s = link_samples(steps, cell_u, thread_u)
-    w = Window.partitionBy("design_id", "block").orderBy("seq", "i")
-    apart = (F.col("i") == 0) & ((F.lag("x1").over(w) != F.col("x0")) | (F.lag("y1").over(w) != F.col("y0")))
-    opens = F.col("bare") & F.coalesce(apart | ~F.lag("bare").over(w), F.lit(True))
-    s = s.withColumn("stretch", F.sum(opens.cast("int")).over(w))
-    each = s.groupBy("design_id", "block", "stretch").agg(F.sum("part").alias("all"), F.sum(F.when(F.col("bare"), F.col("part")).otherwise(0.0)).alias("bare"), F.count_if(F.col("i") == 0).alias("steps"))
-    mm = lambda c: F.col(c) * 0.1
-    return each.groupBy("design_id").agg(F.sum("steps").alias("segments"), F.sum(mm("all")).alias("thread_mm"), F.sum(mm("bare")).alias("uncovered_mm"), F.max(mm("bare")).alias("max_mm"))
+    number = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "len")]
+    s = steps.select("design_id", F.col("block").cast("long").alias("block"), F.col("seq").cast("long").alias("seq"), *number, "transport")
+    out = f"design_id {s.schema['design_id'].dataType.simpleString()}, segments long, thread_mm double, uncovered_mm double, max_mm double"
+    return s.where("design_id is not null").groupBy("design_id").applyInArrow(lambda key, t: cover_rows(key, t, cell_u, reach), out)
 
 
 def link_rule(cover: DataFrame, limit_mm: float) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import links as N
-from ..operators.graph import checkpointed
 from ..operators.layout import transport
 from ..operators.stream import classify_runs, segments
 from .layout_queries import ENDS, run_ends
@@ -26,9 +25,13 @@ lc AS (SELECT design_id, CAST(SUM(k) AS BIGINT) AS segments, SUM(a) * 0.1 AS thr
 
 
 def steps(st):
+    """Steps of runs with whether their run is a walk between shapes.
+
+    A design's runs are numbered from 0, so what they tell comes to its steps as one array by place: only rows of runs are shuffled, no step is."""
     kinds = classify_runs(st).select("design_id", "run", F.col("kind").isin("run", "lock").alias("travel"))
     runs = run_ends(st).hint("merge").join(kinds, ["design_id", "run"], "left").select("design_id", "block", "run", F.floor(F.col("x0") / 200).alias("shape"), F.coalesce("travel", F.lit(False)).alias("travel"))
-    return checkpointed(segments(st).hint("merge").join(transport(runs).select("design_id", "run", "transport"), ["design_id", "run"]))
+    told = transport(runs).groupBy("design_id").agg(F.array_sort(F.collect_list(F.struct("run", "transport"))).alias("told"))
+    return segments(st).hint("merge").join(told, "design_id").withColumn("transport", F.get("told", F.col("run").cast("int"))["transport"]).drop("told")
 
 
 @query("q8_link_cover", "v_stitches", sql=f"WITH {COVER} SELECT design_id, segments, ROUND(thread_mm, 3) AS thread_mm, ROUND(uncovered_mm, 3) AS uncovered_mm, ROUND(max_mm, 3) AS max_mm FROM lc")
