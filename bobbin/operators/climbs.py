@@ -44,15 +44,20 @@ def lattice(steps: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return distinct(*(np.concatenate(c) for c in zip(*found)))
 
 
-def mask(points: tuple[np.ndarray, np.ndarray], rest: tuple[int, int], window: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Cells under the points moved by a remainder of a cell; those whose square window of `window` cells is full to `least`, if there is one."""
-    x, y = distinct(*((p + r) // CELL for p, r in zip(points, rest)))
+def solid(x: np.ndarray, y: np.ndarray, window: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose square window of `window` cells the cells, each once, fill to `least`; without a window each cell once."""
     if not window:
-        return x, y
+        return distinct(x, y)
     box = np.arange(-window, window + 1)
     return distinct(np.add.outer(x, np.repeat(box, len(box))).ravel(), np.add.outer(y, np.tile(box, len(box))).ravel(), least * len(box) ** 2 - 1e-9)
 
 
+def mask(points: tuple[np.ndarray, np.ndarray], rest: tuple[int, int], window: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Solid cells under the points moved by a remainder of a cell."""
+    cells = distinct(*((p + r) // CELL for p, r in zip(points, rest)))
+    return solid(*cells, window, least) if window else cells
+
+
 def overlap(pro: pa.Table, ours: pa.Table, window: int, least: float) -> Callable[[int, int], float]:
     """The overlap (IoU, to nine places) of both sides' masks by the shift (sx, sy) of ours. A shift is whole cells and a remainder, so CELL * CELL masks serve all."""
     px, py = mask(lattice(pro), (0, 0), window, least)

@@ -16,6 +16,7 @@ from . import measures as M
 from . import technique as T
 from .climbs import MOVES as MOVES
 from .colour import nearest_other_colour
+from .grounds import ground_rows
 from .pixels import close_cells, open_cells
 from .stream import HOP_U, segments
 
@@ -79,29 +80,25 @@ def coverage(pro: DataFrame, ours: DataFrame, pro_colours: DataFrame, our_colour
     """Per design: iou, recall, precision of the solid ground, agreement of the colours that show, the worst recall of a colour, and solid cells of each side.
 
     Our colours count as the nearest of the other side's; the colour whose first block comes last shows. Colours of under
-    COLOUR_MM2 or COLOUR_SHARE of the ground don't count for the worst; without any the recall stands in."""
-    a, b = thread_cells(pro, cell_u, hop_u), thread_cells(ours, cell_u, hop_u)
+    COLOUR_MM2 or COLOUR_SHARE of the ground don't count for the worst; without any the recall stands in. A design's cells of both sides
+    meet in one task, so none is shuffled."""
     theirs = colour_groups(pro_colours)
     mine = colour_groups(our_colours)
     near = nearest_other_colour(mine.select("design_id", "grp", "r", "g", "b").distinct(), theirs.select("design_id", "grp", "r", "g", "b").distinct())
     mine = mine.select("design_id", "block", "grp").hint("merge").join(near.select("design_id", "grp", "other"), ["design_id", "grp"]).select("design_id", "block", F.col("other").alias("grp"))
-    layer = lambda cells, groups: solid(cells.hint("merge").join(groups.select("design_id", "block", "grp"), ["design_id", "block"]).repartition("design_id"), ["design_id", "grp"], window, least)
-    order = mine.groupBy("design_id", "grp").agg(F.min("block").alias("rank"))
-    pg = layer(a, theirs)
-    keys = ["design_id", "cx", "cy"]
-    p_top = pg.groupBy(*keys).agg(F.max("grp").alias("pt"))
-    o_top = layer(b, mine).hint("merge").join(order, ["design_id", "grp"]).groupBy(*keys).agg(F.max_by("grp", "rank").alias("ot"))
-    sp, so = solid(a, ["design_id"], window, least).withColumn("p", F.lit(1)), solid(b, ["design_id"], window, least).withColumn("o", F.lit(1))
-    # a colour's solid ground lies in its side's, so the ground of both sides is all there is to compare
-    grid = sp.hint("merge").join(so, keys, "full_outer").hint("merge").join(p_top, keys, "left").hint("merge").join(o_top, keys, "left")
-    both, np_, no = F.count(F.when(F.col("p").isNotNull() & F.col("o").isNotNull(), 1)), F.count("p"), F.count("o")
-    same = F.col("pt").eqNullSafe(F.col("ot")).cast("int")
-    g = grid.groupBy("design_id").agg((both / F.count("*")).alias("iou"), F.coalesce(F.try_divide(both, np_), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide(both, no), F.lit(0.0)).alias("precision"), F.avg(same).alias("agreement"), np_.alias("solid_pro"), no.alias("solid_ours"))
-    shown = grid.where("pt is not null").groupBy("design_id", F.col("pt").alias("grp")).agg(F.avg(same).alias("seen"))
-    each = pg.groupBy("design_id", "grp").agg((F.count("*") * (cell_u * 0.1) ** 2).alias("mm2")).where(F.col("mm2") >= COLOUR_MM2)
-    each = each.withColumn("share", F.col("mm2") / F.sum("mm2").over(Window.partitionBy("design_id"))).where(F.col("share") >= COLOUR_SHARE)
-    worst = each.hint("merge").join(shown, ["design_id", "grp"], "left").groupBy("design_id").agg(F.min(F.coalesce("seen", F.lit(1.0))).alias("worst"))
-    return g.join(worst, "design_id", "left").withColumn("worst", F.coalesce("worst", "recall"))
+
+    def steps(side: DataFrame, groups: DataFrame) -> DataFrame:
+        # a design's groups come to its steps as one map, so no step is shuffled
+        ranked = groups.withColumn("rank", F.min("block").over(Window.partitionBy("design_id", "grp")))
+        told = ranked.groupBy("design_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.col("block").cast("long"), F.struct(F.col("grp").cast("long").alias("grp"), F.col("rank").cast("long").alias("rank")))))).alias("told"))
+        s = segments(side, hop_u).where((F.col("len") > 0) & (F.col("len") <= LONG_U)).hint("merge").join(told, "design_id", "left")
+        s = s.withColumn("own", F.try_element_at("told", F.col("block").cast("long")))
+        return s.select("design_id", F.col("own.grp").alias("grp"), F.col("own.rank").alias("rank"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "len")]).dropna(subset=["design_id", "x0", "y0", "x1", "y1"])
+
+    left, right = steps(pro, theirs.select("design_id", "block", "grp")), steps(ours, mine)
+    out = f"design_id {left.schema['design_id'].dataType.simpleString()}, iou double, recall double, precision double, agreement double, worst double, solid_pro long, solid_ours long"
+    work = lambda key, p, o: ground_rows(key, p, o, cell_u, window, least, COLOUR_MM2, COLOUR_SHARE)
+    return left.groupBy("design_id").cogroup(right.groupBy("design_id")).applyInArrow(work, out)
 
 
 def cells_alike(pro: DataFrame, ours: DataFrame, cell_u: float, ratio: int, window: int, least: float, hop_u: int = HOP_U) -> DataFrame:

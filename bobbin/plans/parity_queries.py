@@ -124,6 +124,9 @@ def coloured(st, threads, number):
 @query("q15_parity_score", "v_stitches", "v_stitches_b", "v_threads", sql=SCORE)
 def _(a, b, t):
     n = F.col("block")
-    a, b = laid(a, "design_id"), laid(b, "design_id")
+    # both sides lie in the same buckets
+    both = laid(a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b"))), "design_id", "side")
+    # columns of their own, for what meets one side with the other
+    a, b = (both.where(F.col("side") == s).select(*[F.col(c).alias(c) for c in ("design_id", "seq", "cmd", "x_u", "y_u")]) for s in "ab")
     got = P.parity_score(a, b, coloured(a, t, n % 5), coloured(b, t, n % 7 * 11), CELL, RATIO, 1, LEAST, (8.0, 5), (20.0, 1), {"gap": 3, "covered": 0.3})
     return r4(got, *P.WEIGHTS, "direction_raw", "sttype_raw").withColumns({c: F.round(c, 3) for c in ("score", "score_raw")})

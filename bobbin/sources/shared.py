@@ -35,12 +35,13 @@ def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, -(-(df.count() if rows is None else rows) // PART_ROWS)), *keys)
 
 
-def laid(df: DataFrame, key: str) -> DataFrame:
-    """`df` written once to the shared folder, in buckets by `key` of about PART_ROWS rows, and read again.
+def laid(df: DataFrame, key: str, by: str | None = None) -> DataFrame:
+    """`df` written once to the shared folder, in buckets by `key` of about PART_ROWS rows, and read again; in folders by the column `by`, if there is one.
 
     What reads it many times neither makes it anew nor shuffles it for windows and groups by the key."""
     spark = df.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
     name = f"laid_{uuid.uuid4().hex}"
-    df.repartition(parts, key).write.bucketBy(parts, key).option("path", fresh(spark, "laid")).saveAsTable(name, format="parquet")
+    out = df.repartition(parts, key).write.bucketBy(parts, key).option("path", fresh(spark, "laid"))
+    (out.partitionBy(by) if by else out).saveAsTable(name, format="parquet")
     return spark.table(name)
