@@ -16,8 +16,8 @@ from . import measures as M
 from . import technique as T
 from .climbs import MOVES as MOVES
 from .colour import nearest_other_colour
+from .drag import drag_rows
 from .grounds import ground_rows
-from .pixels import close_cells, open_cells
 from .stream import HOP_U, segments
 
 #: Weights of the parts, chance of a direction, limits of colours and underlay, trims that cost nothing.
@@ -131,19 +131,18 @@ def underlay_alike(pro: DataFrame, ours: DataFrame, cell_u: float, square: int,
     return j.select("design_id", F.least(r, 1 / r).alias("economy"), F.when(none | F.col("iou").isNull(), 1.0).otherwise(F.col("iou")).alias("composition"))
 
 
-def hidden_cells(df: DataFrame, cell_u: float, radius: int, hop_u: int = HOP_U) -> DataFrame:
-    """Cells that a second pass crosses, or of ground that holds when gaps are closed and lone lines opened away (discs of `radius`)."""
-    passes = M.pass_count_grid(df, 16, cell_u, hop_u)
-    cells = T.line_cells(segments(df, hop_u).where("len > 0"), cell_u).select(F.col("design_id").alias("image_id"), F.col("cy").alias("y"), F.col("cx").alias("x")).distinct()
-    ground = open_cells(close_cells(cells, radius), radius).select(F.col("image_id").alias("design_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    return passes.where("passes >= 2").select("design_id", "cx", "cy").union(ground).distinct()
+def drag(df: DataFrame, cell_u: float, radius: int, hop_u: int = HOP_U) -> DataFrame:
+    """design_id, drag_mm: exposed drag over ground whose gaps are closed and lone lines opened away (discs of `radius`). A design's points and
+    cells lie in one task, so none is shuffled."""
+    s = segments(df, 1 << 30).select("design_id", "seq", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "len")]).dropna()
+    return s.groupBy("design_id").applyInArrow(lambda key, t: drag_rows(key, t, cell_u, radius, hop_u), f"design_id {s.schema['design_id'].dataType.simpleString()}, drag_mm double")
 
 
 def travel(pro: DataFrame, ours: DataFrame, cell_u: float, radius: int, hop_u: int = HOP_U) -> DataFrame:
     """Per design: our exposed drag beyond theirs against a fifth of the width of both (at least 10 mm), and the economy of trims."""
-    drag = lambda d, n: T.exposed_drag(d, hidden_cells(d, cell_u, radius, hop_u), cell_u).select("design_id", F.col("drag_mm").alias(n))
+    dragged = lambda d, n: drag(d, cell_u, radius, hop_u).withColumnRenamed("drag_mm", n)
     trims = lambda d, n: d.groupBy("design_id").agg(F.count(F.when(F.col("cmd") == "trim", 1)).alias(n), F.min(F.when(F.col("cmd") == "stitch", F.col("x_u"))).alias(f"{n}0"), F.max(F.when(F.col("cmd") == "stitch", F.col("x_u"))).alias(f"{n}1"))
-    j = trims(pro, "pt").join(trims(ours, "ot"), "design_id").join(drag(pro, "pd"), "design_id", "left").join(drag(ours, "od"), "design_id", "left")
+    j = trims(pro, "pt").join(trims(ours, "ot"), "design_id").join(dragged(pro, "pd"), "design_id", "left").join(dragged(ours, "od"), "design_id", "left")
     wide = F.greatest((F.greatest("pt1", "ot1") - F.least("pt0", "ot0")) * 0.1, F.lit(10.0))
     excess = F.greatest(F.coalesce("od", F.lit(0.0)) - F.coalesce("pd", F.lit(0.0)), F.lit(0.0))
     economy = F.least(F.lit(1.0), (F.col("pt") + TRIM_FLOOR) / (F.col("ot") + TRIM_FLOOR))
